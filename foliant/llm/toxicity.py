@@ -61,7 +61,7 @@ class ToxicityModel:
         return float(-np.expm1(clean)), found
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_features: int = 4000, least_docs: int = 4, rounds: int = 300) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_features: int = 4000, least_uses: int = 5, rounds: int = 300) -> ToxicityModel:
     """Fit on about ``per_class`` labelled documents of each class.
 
     ``labels`` has ``doc_id`` and ``toxic``; null labels teach nothing, and a
@@ -78,17 +78,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_featur
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-                f = sorted(features(set(_WORD.findall(text.lower()))))
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array([toxic] * len(f), pa.int32())], ["feature", "toxic"])
+            got = [sorted(features(set(_WORD.findall(s.lower())))) for s in b["sentence"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.string())), b["toxic"]], ["features", "toxic"])
 
     drawn = {int(r["toxic"]): r["count"] for r in bags.groupBy("toxic").count().collect()}
-    n1, n0 = max(1, drawn.get(1, 0)), max(1, drawn.get(0, 0))
-    counts = bags.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(seen, "feature string, toxic int").groupBy("feature").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("c"))
+    n1, n0 = max(1, drawn.get(1, 0)), max(1, sum(n for t, n in drawn.items() if t != 1))
+    # Evidence is counted over distinct sentences, so copies of a document do not
+    # make its words look typical; one that also stands in a clean document is clean.
+    sentences = bags.select(F.col("toxic").cast("int").alias("toxic"), F.explode(F.split("text", r"[.!?\n]+", -1)).alias("sentence")).groupBy("sentence").agg(F.min("toxic").alias("toxic"))
+    counts = sentences.mapInArrow(seen, "features array<string>, toxic int").select(F.explode("features").alias("feature"), "toxic")
+    counts = counts.groupBy("feature").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("c"))
     # Words in toxic documents far more often than in others, by a smoothed log ratio against its error.
     lift = F.log((F.col("t") + 0.5) / n1) - F.log((F.col("c") + 0.5) / n0)
     strength = lift / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    picked = [r["feature"] for r in counts.where((F.col("t") >= least_docs) & (strength > 2.5) & (lift > 1.0)).orderBy(F.desc(strength), "feature").limit(most_features).select("feature").collect()]
+    picked = [r["feature"] for r in counts.where((F.col("t") >= least_uses) & (strength > 3.0) & (lift > 1.0)).orderBy(F.desc(strength), "feature").limit(most_features).select("feature").collect()]
     number = {f: i for i, f in enumerate(sorted(picked))}
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_featur
         # The loss of a toxic document is -log(1 - exp(-s)), of another one s.
         ds = importance * np.where(y == 1, -1 / np.expm1(np.maximum(s, 1e-9)), 1.0)
         dz = ds[doc_of] / (1 + np.exp(-z))
-        grad = np.concatenate([np.bincount(feat, dz[sent_of], len(picked)) + 0.01 * w, [dz.sum(), ds.sum() / (1 + np.exp(-leak))]]) / max(1, len(y))
+        grad = np.concatenate([np.bincount(feat, dz[sent_of], len(picked)) + 0.05 * w, [dz.sum(), ds.sum() / (1 + np.exp(-leak))]]) / max(1, len(y))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b, leak = w - move[:-2], b - move[-2], leak - move[-1]
