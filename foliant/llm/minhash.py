@@ -14,7 +14,6 @@ component, the members of its smaller components are compared with the rest.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +24,11 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components
 
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LETTER = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64)
+_LETTER[65:91] = _LETTER[97:123]
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
 def _blur(x: np.ndarray) -> np.ndarray:
@@ -36,24 +37,40 @@ def _blur(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; A-Z count as a-z."""
-    import xxhash
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
-    tokens = [w for w in _SPACE.split(text.translate(_UPPER)) if w] if text else []
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in tokens), np.uint64, len(tokens))
-    n = max(1, len(h) - words + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(min(words, len(h))):
-        out = _blur(out * _MIX + h[i : i + n])
-    return np.unique(out)
+
+class Shingler:
+    """Hashes of a text's word shingles; A-Z count as a-z, words end at ASCII white space."""
+
+    def __init__(self, words: int):
+        self.words = words
+        self.up, self.down = _powers(int(_MIX), 1 << 12), _powers(pow(int(_MIX), -1, 1 << 64), 1 << 12)
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        """Sorted distinct 64-bit hashes."""
+        if not text:
+            return np.zeros(0, np.uint64)
+        b = np.frombuffer(text, np.uint8)
+        if len(b) >= len(self.up):
+            self.up, self.down = _powers(int(_MIX), 2 * len(b)), _powers(pow(int(_MIX), -1, 1 << 64), 2 * len(b))
+        edge = np.flatnonzero(np.diff(_BLANK[b], prepend=True, append=True))
+        starts, ends = edge[::2], edge[1::2]
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        # A word's hash is a difference of prefix sums, moved to a common origin.
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[b] * self.up[: len(b)])])
+        h = _blur((prefix[ends] - prefix[starts]) * self.down[starts])
+        n = max(1, len(h) - self.words + 1)
+        out = np.zeros(n, np.uint64)
+        for i in range(min(self.words, len(h))):
+            out = _blur(out * _MIX + h[i : i + n])
+        return np.unique(out)
 
 
 def sketch(docs: DataFrame, words: int, bundles: int, rows: int, seed: int = 1) -> DataFrame:
-    """``(doc_id, n_shingles, content, shingles, halves)``.
+    """``(doc_id, n_shingles, content, halves)``.
 
     ``content`` is a 128-bit digest of the set; ``halves`` has the bundles of
     the first collection, then of the second.
@@ -62,37 +79,39 @@ def sketch(docs: DataFrame, words: int, bundles: int, rows: int, seed: int = 1)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        rng = np.random.default_rng(seed)
-        n = 2 * bundles * rows
-        factor = rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        names = ["doc_id", "n_shingles", "content", "shingles", "halves"]
+        n, shingles = 2 * bundles * rows, Shingler(words)
+        factor = np.random.default_rng(seed).integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        for b in batches:
+            count, content, keys = [], [], []
+            for text in b["text"].cast(pa.binary()).to_pylist():
+                s = shingles(text)
+                count.append(len(s))
+                content.append(xxhash.xxh128_digest(s.tobytes()))
+                if not len(s):
+                    keys.append(None)
+                    continue
+                x, low = (s >> np.uint64(32)).astype(np.uint32), np.full(n, np.iinfo(np.uint32).max, np.uint32)
+                for k in range(0, len(x), 512):  # a long text's hashes are taken in parts
+                    np.minimum(low, (x[k : k + 512, None] * factor).min(0), out=low)
+                half = np.arange(2 * bundles, dtype=np.uint64)
+                for r in range(rows):
+                    half = _blur(half * _MIX + low[r::rows])
+                keys.append(half.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(count, pa.int64()), pa.array(content, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "content", "halves"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, content binary, halves array<long>")
+
+
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, n_shingles, shingles)`` with every shingle's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
         for b in batches:
-            ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
-            for at in range(0, len(ids), 500):
-                count, content, sets, keys = [], [], [], []
-                for text in texts[at : at + 500]:
-                    s = shingle_hashes(text, words)
-                    count.append(len(s))
-                    content.append(xxhash.xxh128_digest(s.tobytes()))
-                    sets.append(s.tobytes())
-                    if not len(s):
-                        keys.append([])
-                        continue
-                    low = np.full(n, np.iinfo(np.uint64).max)
-                    with np.errstate(over="ignore"):
-                        for k in range(0, len(s), 1024):  # a long text's hashes are taken in parts
-                            m = s[k : k + 1024, None] * factor
-                            m ^= m >> np.uint64(32)
-                            np.minimum(low, m.min(0), out=low)
-                        half = np.arange(2 * bundles, dtype=np.uint64)
-                        for r in range(rows):
-                            half = _blur(half * _MIX + low[r::rows])
-                    keys.append(half.astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at : at + 500], pa.int64()), pa.array(count, pa.int64()), pa.array(content, pa.binary()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, content binary, shingles binary, halves array<long>")
+            sets = [shingles(text) for text in b["text"].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n_shingles", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, shingles binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -123,12 +142,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bundles:
     equal sets are linked outright, whatever their number; repeated rows with
     one id and one text come out once each.
     """
-    done = sketch(docs, words, bundles, rows)
-    slim = cut(done.select("doc_id", "n_shingles", "content", "shingles", "halves"))
+    slim = cut(sketch(docs, words, bundles, rows))
     full = slim.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("content").agg(F.min("doc_id").alias("rep"))
     # Among rows with one id but different texts, each text is a class of its own id.
-    reps = full.join(classes, "content").where("doc_id = rep").dropDuplicates(["doc_id", "content"]).select("doc_id", "n_shingles", "shingles", "halves")
+    reps = full.join(classes, "content", "left").where("doc_id = rep").dropDuplicates(["doc_id", "content"]).select("doc_id", "n_shingles", "halves")
     halves = reps.select("doc_id", F.posexplode("halves").alias("h", "key"))
     # Bundles are dealt with their place mixed in, so a key is enough.
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -145,8 +163,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bundles:
         n = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n1")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n2")), "b")
         return n.where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")).select("a", "b")
 
+    # Only texts that share a table key are shingled in full.
+    taking_part = buckets.select("doc_id").distinct()
+    sets = cut(full_sets(docs.join(taking_part, "doc_id", "left_semi"), words))
+
     stars = fits(buckets.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = cut(verify(stars, reps, percent))
+    links = cut(verify(stars, sets, percent))
     joined = components(links)
     # Buckets still in several components: their smaller components meet all the rest.
     label = joined.select(F.col("node").alias("doc_id"), "component")
@@ -158,7 +180,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bundles:
     others = split.select("cell", F.col("doc_id").alias("y"), F.col("part").alias("q"), "main")
     cross = few.join(others, "cell").where((F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("x") < F.col("y"))))
     cross = fits(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    more = cut(verify(cross, reps, percent))
+    more = cut(verify(cross, sets, percent))
     final = components(links.union(more)) if not more.isEmpty() else joined
     of_rep = final.select(F.col("node").alias("rep"), "component")
     ids = classes.join(of_rep, "rep", "left").select("content", F.coalesce("component", "rep").alias("component_id"))
