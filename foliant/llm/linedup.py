@@ -97,12 +97,12 @@ def _halves(line: Column) -> Column:
     return F.array(*keys(n), *keys(n - 1))
 
 
-def drop_repeats(docs: DataFrame, min_chars: int = 20, near: bool = True) -> DataFrame:
+def drop_repeats(docs: DataFrame, min_chars: int = 20, near: bool = True, few: int = 1_000_000) -> DataFrame:
     """The documents with repeated lines taken out, and ``n_lines``, ``n_exact``, ``n_near``.
 
     Blank lines are neither counted nor dropped. Exact repeats go at any
     length; near ones only from ``min_chars`` characters, below which one edit
-    makes another word. A null id is the earliest; rows that share id and text
+    makes another word. Up to ``few`` linked keys (16 bytes each) are broadcast. A null id is the earliest; rows that share id and text
     are one place in the corpus, so repeated rows do not erase each other. A
     null or empty text stays as it is. Texts that lose no line are returned
     unchanged. Columns of those names are replaced.
@@ -117,7 +117,9 @@ def drop_repeats(docs: DataFrame, min_chars: int = 20, near: bool = True) -> Dat
     if near:
         halves = distinct.where("halves is not null").select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
         shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-        linked = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
+        linked = cut(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct())
+        # Few keys are sent to the lines; only when there are many do the lines travel to the keys.
+        linked = F.broadcast(linked) if linked.count() <= few else linked
         chosen = lines.join(linked, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("line").alias("line"))
         chosen = cut(chosen)
         variants = chosen.select("h1", "h2", F.col("place.doc").alias("doc"), F.col("place.line_no").alias("line_no"), "line").mapInArrow(_variants, "key long, own byte, h1 long, h2 long, doc long, line_no int")
