@@ -18,7 +18,6 @@ an item as it is. That loses no leak.
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,16 +28,32 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-_WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.multiply.accumulate(np.full(64, _MIX))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    import xxhash
+def letters_and_digits() -> np.ndarray:
+    """Which characters make words; those beyond the first plane all do."""
+    return np.array([chr(i).isalnum() for i in range(1 << 16)] + [True])
+
+
+def hashed_words(texts: list[str | None], in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and where each text's words begin."""
+    lowered = [(t or "").lower() for t in texts]
+    codes = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.flatnonzero(np.diff(in_word[np.minimum(codes, 1 << 16)], prepend=False))
+    starts = edge[::2]
+    first_char = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+    bounds = np.searchsorted(starts, first_char)
+    if not len(starts):
+        return np.zeros(0, np.uint64), bounds
+    at = np.arange(edge[0], len(codes)) - np.repeat(edge, np.diff(edge, append=len(codes)))
+    mixed = _blur(codes[edge[0] :].astype(np.uint64) + np.uint64(1)) * _POWERS[at & 63]
+    return _blur(np.add.reduceat(mixed, edge - edge[0])[::2]), bounds
 
-    words = _WORD.findall(text.lower()) if text else []
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+def word_hashes(text: str | None) -> np.ndarray:
+    return hashed_words([text], letters_and_digits())[0]
 
 
 def bound(n: int, edits: float) -> int:
@@ -121,6 +136,9 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, np.ndarray]], edits: float):
         self.edits = edits
         self.sizes = [len(w) for _, w in items]
+        self.vocabulary = np.zeros(1 << 20, bool)
+        for _, w in items:
+            self.vocabulary[w >> np.uint64(44)] = True
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for i, (_, w) in enumerate(items):
             for at, length in parts(len(w), edits):
@@ -140,19 +158,30 @@ class ItemIndex:
                 out = _blur(out * _MIX + h[j : j + n])
         return out
 
-    def windows(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """Starts and item sizes of the windows that hold an item's part where the item has it."""
+    def windows(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+        """Text, start and item size of the windows that hold an item's part where the item has it."""
         out = set()
+        ok = self.vocabulary[h >> np.uint64(44)]
         for length, (keys, items, ats) in self.parts.items():
-            rolled = self.roll(h, length)
+            n = len(h) - length + 1
+            if n < 1:
+                continue
+            all_known = ok[:n].copy()
+            for j in range(1, length):
+                all_known &= ok[j : j + n]
+            at = np.flatnonzero(all_known)
+            rolled = np.zeros(len(at), np.uint64)
+            for j in range(length):
+                rolled = _blur(rolled * _MIX + h[at + j])
             low = np.searchsorted(keys, rolled)
             low[low == len(keys)] = 0
-            for p in np.flatnonzero(keys[low] == rolled):
-                j = low[p]
-                while j < len(keys) and keys[j] == rolled[p]:
-                    out.add((int(p - ats[j]), self.sizes[items[j]]))
+            for k in np.flatnonzero(keys[low] == rolled):
+                p, j = int(at[k]), low[k]
+                text = int(np.searchsorted(bounds, p, "right")) - 1
+                while p + length <= bounds[text + 1] and j < len(keys) and keys[j] == rolled[k]:
+                    out.add((text, p - int(bounds[text]) - int(ats[j]), self.sizes[items[j]]))
                     j += 1
-        return out
+        return sorted(out)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: float = 0.99, differ: float = 0.5, bits: int = 2, slice_words: int = 2_000_000) -> DataFrame:
@@ -186,19 +215,22 @@ def _leaks_of(spark, docs: DataFrame, own: list[tuple[int, np.ndarray]], edits:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "origin", "words", "keys"]
+        in_word = letters_and_digits()
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                h = word_hashes(text)
-                held = sorted(index.windows(h)) if len(h) else []
-                for i in range(0, len(held), 2000):
-                    some = held[i : i + 2000]
-                    sizes = np.array([n for _, n in some], np.int64)
-                    k = lsh_keys([h[max(0, s) : max(0, s + n)] for s, n in some], sizes, repeats, bits)
+            ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
+            for i in range(0, len(ids), 256):
+                h, bounds = hashed_words(texts[i : i + 256], in_word)
+                held = index.windows(h, bounds)
+                for k in range(0, len(held), 2000):
+                    some = held[k : k + 2000]
+                    own = [h[bounds[t] : bounds[t + 1]] for t, *_ in some]
+                    sizes = np.array([n for *_, n in some], np.int64)
+                    keys = lsh_keys([w[max(0, s) : max(0, s + n)] for w, (_, s, n) in zip(own, some, strict=True)], sizes, repeats, bits)
                     # The stretch around a window has room for all edits on either side.
-                    slack = [bound(n, edits) for _, n in some]
-                    origin = [max(0, s - 2 * e) for (s, _), e in zip(some, slack, strict=True)]
-                    stretch = [h[o : max(0, s + n + 2 * e)].astype(np.int64) for (s, n), o, e in zip(some, origin, slack, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(some), pa.int64()), pa.array(origin, pa.int64()), pa.array(stretch, pa.list_(pa.int64())), pa.array(list(k), pa.list_(pa.int64()))], names)
+                    slack = [2 * bound(n, edits) for *_, n in some]
+                    origin = [max(0, s - e) for (_, s, _), e in zip(some, slack, strict=True)]
+                    stretch = [w[o : max(0, s + n + e)].astype(np.int64) for w, (_, s, n), o, e in zip(own, some, origin, slack, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i + t] for t, *_ in some], pa.int64()), pa.array(origin, pa.int64()), pa.array(stretch, pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names)
 
     held = docs.select("doc_id", "text").mapInArrow(windows, "doc_id long, origin long, words array<long>, keys array<long>")
     held = cut(held.withColumn("window", F.xxhash64("doc_id", "origin", "words")).dropDuplicates(["window"]))
