@@ -1,0 +1,8 @@
+"""Operators on streams of events."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# State handlers travel to the executors by value, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
