@@ -80,3 +80,6 @@ QUERIES = {
     f.__name__: f
     for f in (op1_language_id, op2_license_scan, op3_mix_sources, op4_secret_scan, op5_line_dedup, op6_nearest_neighbours, op7_toxicity, op8_chat_windows, op9_decontaminate, op10_near_duplicates)
 }
+
+#: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {}
