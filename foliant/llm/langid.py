@@ -137,8 +137,8 @@ class LanguageModel:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Natural logs of the words' likelihoods: word x language."""
-        if not words:
-            return np.zeros((0, len(self.languages)))
+        if not words or not self.languages:
+            return np.zeros((len(words), len(self.languages)))
         arcs, lengths = self.table.lattice([WORD_START + w for w in words])
         at = (lengths, np.arange(len(words)))
         return np.stack([np.log(np.maximum(self.table.forward(arcs, lengths, p)[at], 1e-300)) for p in self.p], 1)

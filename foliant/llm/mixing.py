@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150,
         .withColumn("_rest", F.sum(F.col("_s") * F.col("_worth")).over(by_length.rowsBetween(0, Window.unboundedFollowing)))
         .withColumnRenamed("source", "_source")
         .join(goals, F.col("_source").eqNullSafe(F.col("source")))
-        .withColumn("_level", (F.col("target") - most * F.col("_before")) / F.col("_rest"))
+        .withColumn("_level", F.try_divide(F.col("target") - most * F.col("_before"), F.col("_rest").cast("double")))
         .groupBy("source", "source_size", "target")
         .agg(F.coalesce(F.max(F.when(fits, F.col("_level"))), F.lit(float(most))).alias("_level"))
         .withColumnRenamed("source", "_source")
