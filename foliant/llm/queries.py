@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, langid, licenses, linedup, minhash, mixing, secret_scan, toxicity
 from .common import fold, table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_language_id, op2_license_scan, op3_mix_sources, op4_secret_scan, op5_line_dedup, op6_nearest_neighbours, op7_toxicity, op8_chat_windows, op9_decontaminate, op10_near_duplicates)
 }
-
-#: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {}

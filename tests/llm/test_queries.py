@@ -224,3 +224,12 @@ def test_pipeline(spark, sf, docs):
     assert 0 < stages["benchmark_decontamination"](spark, d, sf).count() < len(docs)
     mixed = corpus_pipeline.run(spark, sf).toPandas()
     assert 0 < len(mixed) < len(docs) and (mixed["taken"] > 0).any()
+
+
+@pytest.mark.parametrize("name", ["op3_mix_sources", "op4_secret_scan"])
+def test_sql(spark, sf, name):
+    from oracle_compare import connect, same
+
+    from foliant.llm.oracles import ORACLES
+
+    assert same(QUERIES[name](spark, sf), connect(sf), ORACLES[name]) is None
