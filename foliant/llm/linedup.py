@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -49,29 +49,26 @@ def deletion_hashes(text: str) -> tuple[int, np.ndarray]:
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each line: its own key, and for each deletion a key with the position and one without."""
-    held: list[tuple] = []
-    names = ["key", "own", "h1", "h2", "doc", "line_no"]
+    """``(key, at, h1)``: for each line its own hash (at -1), and the hash left by each deletion that may matter.
+
+    A line linked by its first half alone differs in the rest, and the reverse.
+    """
+    held: list[tuple[np.ndarray, np.ndarray, int]] = []
+    waiting = 0
 
     def flush() -> pa.RecordBatch:
-        sizes = [len(k) for k, *_ in held]
-        keys = np.concatenate([k for k, *_ in held])
-        kinds = np.concatenate([k for _, k, *_ in held])
-        ids = [pa.array([x[i] for x in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), sizes))) for i in (2, 3, 4, 5)]
+        ids = np.repeat(np.array([h for *_, h in held], np.int64), [len(k) for k, *_ in held])
+        batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, *_ in held])), pa.array(np.concatenate([p for _, p, _ in held])), pa.array(ids)], ["key", "at", "h1"])
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), *ids[:3], ids[3].cast(pa.int32())], names)
+        return batch
 
-    waiting = 0
     for b in batches:
-        for h1, h2, doc, no, text in zip(*(b[c].to_pylist() for c in ("h1", "h2", "doc", "line_no", "line")), strict=True):
+        for h1, text, first, last in zip(*(b[c].to_pylist() for c in ("h1", "line", "first", "last")), strict=True):
             own, gone = deletion_hashes(text)
-            with np.errstate(over="ignore"):
-                placed = gone * np.int64(0x2545F4914F6CDD1D) + _mixed(np.arange(len(gone)) + 1).astype(np.int64)
-            unplaced = np.unique(gone)
-            keys = np.concatenate([np.array([own], np.int64), unplaced, placed])
-            kinds = np.repeat(np.array([1, 0, 2], np.int8), [1, len(unplaced), len(placed)])
-            held.append((keys, kinds, h1, h2, doc, no))
-            waiting += len(keys)
+            n = len(gone)
+            at = np.arange(0 if last else (n - 1) // 2, n if first else (n + 1) // 2, dtype=np.int32)
+            held.append((np.concatenate([np.array([own], np.int64), gone[at]]), np.concatenate([np.array([-1], np.int32), at]), h1))
+            waiting += len(at) + 1
             if waiting > 200_000:
                 yield flush()
                 waiting = 0
@@ -102,7 +99,7 @@ def drop_repeats(docs: DataFrame, min_chars: int = 20, near: bool = True, few: i
 
     Blank lines are neither counted nor dropped. Exact repeats go at any
     length; near ones only from ``min_chars`` characters, below which one edit
-    makes another word. Up to ``few`` linked keys (16 bytes each) are broadcast. A null id is the earliest; rows that share id and text
+    makes another word. Up to ``few`` linked keys (8 bytes each) are broadcast. A null id is the earliest; rows that share id and text
     are one place in the corpus, so repeated rows do not erase each other. A
     null or empty text stays as it is. Texts that lose no line are returned
     unchanged. Columns of those names are replaced.
@@ -112,35 +109,31 @@ def drop_repeats(docs: DataFrame, min_chars: int = 20, near: bool = True, few: i
     lines = _lines(docs.select("doc_id", "text"))
     place = F.struct("doc", "line_no", "version")
     slim = lines.select("h1", "h2", place.alias("place"), F.when(F.length("line") >= min_chars, _halves(F.col("line"))).alias("halves"))
-    distinct = cut(slim.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("halves").alias("halves")))
+    distinct = stored(slim.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("halves").alias("halves")))
     firsts = distinct.select("h1", "h2", "place")
     if near:
-        halves = distinct.where("halves is not null").select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
+        halves = distinct.where("halves is not null").select("h1", F.posexplode("halves").alias("k", "half"))
         shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-        linked = cut(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct())
+        sides = [F.bool_or(F.col("k") % 2 == i).alias(name) for i, name in enumerate(("first", "last"))]
+        linked = cut(halves.join(shared, "half", "left_semi").groupBy("h1").agg(*sides))
         # Few keys are sent to the lines; only when there are many do the lines travel to the keys.
-        linked = F.broadcast(linked) if linked.count() <= few else linked
-        chosen = lines.join(linked, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("line").alias("line"))
-        chosen = cut(chosen)
-        variants = chosen.select("h1", "h2", F.col("place.doc").alias("doc"), F.col("place.line_no").alias("line_no"), "line").mapInArrow(_variants, "key long, own byte, h1 long, h2 long, doc long, line_no int")
-        who = F.struct("doc", "line_no", "h1", "h2")
-        variants = variants.select("key", "own", "h1", "h2", who.alias("who"))
-        least = variants.groupBy("key", "own").agg(F.min("who").alias("who"))
-        # Substitutions and repeats of a deletion meet in one key; insertions meet across kinds 0 and 1.
-        own = F.when(F.col("own") == 2, 2).otherwise(1 - F.col("own")).cast("byte")
-        facing = least.select("key", own.alias("own"), F.col("who").alias("other"))
-        witness = variants.join(facing, ["key", "own"]).where(F.col("other") < F.col("who"))
-        pairs = witness.groupBy("h1", "h2").agg(F.collect_set("other").alias("others"))
-        texts = chosen.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other_line"))
-        checked = (
-            pairs.select("h1", "h2", F.explode("others").alias("other"))
-            .join(chosen.select("h1", "h2", "line"), ["h1", "h2"])
-            .join(texts, (F.col("other.h1") == F.col("o1")) & (F.col("other.h2") == F.col("o2")))
-            .where(F.levenshtein("line", "other_line", 1) == 1)
-            .select("h1", "h2")
-            .distinct()
-        )
-        firsts = firsts.join(checked.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+        wanted = F.broadcast(linked.select("h1")) if linked.count() <= few else linked.select("h1")
+        chosen = lines.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min(place).alias("place"), F.first("line").alias("line"))
+        chosen = cut(chosen.join(linked, "h1"))
+        variants = chosen.select("h1", "line", "first", "last").mapInArrow(_variants, "key long, at int, h1 long")
+        met = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        who = chosen.select("h1", F.struct("place.doc", "place.line_no", "h1").alias("who"))
+        variants = cut(variants.join(met, "key", "left_semi").join(who, "h1"))
+        # The earliest line of each key: substitutions share the place of the deletion, an insertion
+        # turns a deletion of one line into the other line itself.
+        own, gone = F.when(F.col("at") < 0, F.col("who")), F.when(F.col("at") >= 0, F.col("who"))
+        placed = variants.where("at >= 0").groupBy("key", "at").agg(F.min("who").alias("other"))
+        either = variants.groupBy("key").agg(F.min(own).alias("own"), F.min(gone).alias("gone"))
+        witness = variants.join(placed, ["key", "at"]).select("h1", "who", "other").union(variants.join(either, "key").select("h1", "who", F.when(F.col("at") < 0, F.col("gone")).otherwise(F.col("own"))))
+        pairs = witness.where(F.col("other") < F.col("who")).select("h1", F.col("other.h1").alias("o1")).distinct()
+        texts = chosen.select(F.col("h1").alias("o1"), F.col("line").alias("other_line"))
+        checked = pairs.join(chosen.select("h1", "line"), "h1").join(texts, "o1").where(F.levenshtein("line", "other_line", 1) == 1).select("h1").distinct()
+        firsts = firsts.join(checked.withColumn("near", F.lit(True)), "h1", "left")
     else:
         firsts = firsts.withColumn("near", F.lit(None).cast("boolean"))
     firsts = firsts.withColumn("near", F.coalesce("near", F.lit(False)))
