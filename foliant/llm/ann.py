@@ -33,13 +33,26 @@ def _lift(v: np.ndarray, norm: float) -> np.ndarray:
     return np.concatenate([v, left[:, None]], 1) / norm
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", pivots: int = 128, listed: int = 32, rerank: float = 0.1, least: int = 400, block: int = 8192, seed: int = 11) -> DataFrame:
+def _apart(sample: np.ndarray, n: int, alike: float = 0.9) -> np.ndarray:
+    """The first ``n`` of a sample, those that nearly repeat a chosen one put last: a crowd would fill the lists with itself."""
+    chosen, repeats = [], []
+    for i, v in enumerate(sample):
+        near = bool(chosen) and float((sample[chosen] @ v).max()) > alike
+        (repeats if near else chosen).append(i)
+        if len(chosen) == n:
+            break
+    return sample[(chosen + repeats)[:n]]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", pivots: int = 256, listed: int = 64, rerank: float = 0.15, close: float = 0.8, least: int = 400, block: int = 8192, seed: int = 11) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query its ``k`` best by inner product, in double precision.
 
-    ``pivots`` rows chosen by hash are the pivots and bound what the driver
-    holds; ``listed`` is the length of a vector's pivot list. In each block the
+    ``pivots`` rows chosen by hash, from a sample eight times as large, are the
+    pivots and bound what the driver holds; ``listed`` is the length of a vector's pivot list. In each block the
     ``least`` best by footrule, or the share ``rerank`` of the block if that is
-    more, are compared exactly. Equal vectors are indexed once with their
+    more, are compared exactly, and with them all whose lists agree nearly as well
+    as the best (to the share ``close``): a crowd of near copies has lists too
+    alike to choose by. Equal vectors are indexed once with their
     ``k + 1`` smallest ids, which is all that a list of ``k`` can use, so a
     crowd of copies hides nobody. Ties go to the smaller id; a query is not its
     own neighbour. Vectors that are null, zero, or hold null or non-finite
@@ -54,8 +67,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     norm = crowds.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     if norm is None:
         return vectors.sparkSession.createDataFrame([], schema)
-    chosen = crowds.select("v", F.xxhash64(F.lit(seed), "v").alias("s")).orderBy("s", "v").limit(pivots).collect()
-    anchor = _lift(np.array([r["v"] for r in chosen]), norm)
+    sample = crowds.select("v", F.xxhash64(F.lit(seed), "v").alias("s")).orderBy("s", "v").limit(8 * pivots).collect()
+    anchor = _apart(_lift(np.array([r["v"] for r in sample]), norm), pivots)
     listed = min(listed, len(anchor))
     blocks = max(1, -(-crowds.count() // block))
     sent = vectors.sparkSession.sparkContext.broadcast(anchor)
@@ -90,17 +103,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
             # The inverted files: for each pivot, the vectors that list it and at which place.
             order = np.argsort(perm.ravel(), kind="stable")
             bounds = np.searchsorted(perm.ravel()[order], np.arange(pivots + 1))
-            rows, places = order // listed, order % listed
+            rows, left = order // listed, (listed - order % listed).astype(np.int32)
             take = min(n, max(least, int(rerank * n)))
             for qid, qv, qp in zip(q["vec_id"], q["v"], q["pivots"], strict=True):
-                near = np.zeros(n, np.int64)
+                near = np.zeros(n, np.int32)
                 for place, p in enumerate(qp):
                     part = slice(bounds[p], bounds[p + 1])
-                    # A pivot missing from a list counts as standing just behind it.
-                    near[rows[part]] += (listed - place) + (listed - places[part]) - np.abs(places[part] - place)
-                # The footrule over the union of both lists is a constant less this sum; ties go to smaller ids.
-                ranked = near * n + np.arange(n, 0, -1) - 1
-                best = np.argpartition(ranked, n - take)[n - take :]
+                    # A pivot missing from a list counts as standing just behind it. Then the footrule is a
+                    # constant less twice the sum, over shared pivots, of what the later place leaves.
+                    near[rows[part]] += np.minimum(left[part], np.int32(listed - place))
+                ranked = near.astype(np.int64) * n + np.arange(n, 0, -1) - 1  # ties go to smaller ids
+                some = max(take, int((near >= close * near.max()).sum()))
+                best = np.argpartition(ranked, n - some)[n - some :]
                 scores = (v[best] * qv).sum(1)
                 top = scores >= np.partition(scores, len(scores) - min(len(scores), k + 1))[len(scores) - min(len(scores), k + 1)]
                 found = sorted((-s, i) for s, b in zip(scores[top], best[top], strict=True) for i in ids[b] if i != qid)[:k]
