@@ -22,12 +22,12 @@ from .common import hashed_sample
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
-#: Inflected forms share their first letters, which are a feature beside the word.
-STEM = 5
+#: Inflected forms share their first letters, which are features beside the word.
+STEMS = (4, 5)
 
 
 def features(words: set[str]) -> set[str]:
-    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
