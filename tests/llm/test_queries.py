@@ -226,7 +226,7 @@ def test_pipeline(spark, sf, docs):
     assert 0 < len(mixed) < len(docs) and (mixed["taken"] > 0).any()
 
 
-@pytest.mark.parametrize("name", ["op3_mix_sources", "op4_secret_scan"])
+@pytest.mark.parametrize("name", ["op3_mix_sources", "op4_secret_scan", "op8_chat_windows"])
 def test_sql(spark, sf, name):
     from oracle_compare import connect, same
 
