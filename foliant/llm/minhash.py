@@ -8,8 +8,9 @@ dropped before the pairs of bundles are formed. Candidates are verified on the
 full shingle sets, and links become components.
 
 A bucket does not emit all its pairs. Its members are first compared with its
-smallest one; when the links found so far leave a bucket in more than one
-component, the members of its smaller components are compared with the rest.
+smallest one. Where that leaves a bucket in more than one component, members
+outside the largest one are compared with those of other components; where many
+meet, this goes block by block and only links come out.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 from .components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -132,12 +134,39 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bundles: int = 24, rows: int = 4) -> DataFrame:
+def _meet(percent: int):
+    """A comparison of two blocks of texts by an inverted index of the second block's shingles."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(x) and len(y):
+            sets = [np.frombuffer(s, np.uint64) for s in y["shingles"]]
+            sizes = np.array([len(s) for s in sets])
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            posted, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+            ids, parts = y["doc_id"].to_numpy(), y["part"].to_numpy()
+            for i, part, s in zip(x["doc_id"], x["part"], x["shingles"], strict=True):
+                own = np.frombuffer(s, np.uint64)
+                low, high = np.searchsorted(posted, own), np.searchsorted(posted, own, "right")
+                n = high - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                linked = ids[(100 * both >= percent * (sizes + len(own) - both)) & (parts != part)]
+                a += np.minimum(linked, i).tolist()
+                b += np.maximum(linked, i).tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bundles: int = 24, rows: int = 4, crowd: int = 32, block: int = 1024) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per distinct id and set.
 
     With ``rows`` minhashes to a bundle a pair of similarity s is missed with
     probability below ``2 * (1 - s ** rows) ** bundles``: 6e-6 at 0.8 for the
-    defaults. Texts null or without words have no shingles, link with nothing and
+    defaults. Bundles that more than ``crowd`` texts of open buckets share are
+    compared in blocks of about ``block`` texts. Texts null or without words have no shingles, link with nothing and
     are kept, as are rows with a null id (``component_id`` null). Texts with
     equal sets are linked outright, whatever their number; repeated rows with
     one id and one text come out once each.
@@ -151,37 +180,62 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bundles:
     # Bundles are dealt with their place mixed in, so a key is enough.
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     live = halves.join(shared, "key", "left_semi")
-    grids = live.groupBy("doc_id").agg(F.collect_list(F.when(F.col("h") < bundles, F.col("key"))).alias("first"), F.collect_list(F.when(F.col("h") >= bundles, F.col("key"))).alias("second"))
-    cells = grids.where((F.size("first") > 0) & (F.size("second") > 0)).select("doc_id", "second", F.explode("first").alias("one")).select("doc_id", "one", F.explode("second").alias("two"))
+    one_side = lambda lower: F.collect_list(F.when((F.col("h") < bundles) == lower, F.col("key")))
+    grids = live.groupBy("doc_id").agg(one_side(True).alias("first"), one_side(False).alias("second"))
+    grids = cut(grids.where((F.size("first") > 0) & (F.size("second") > 0)).join(reps.select("doc_id", "n_shingles", F.slice("halves", 1, bundles).alias("places")), "doc_id"))
+    cells = grids.select("doc_id", "second", F.explode("first").alias("one")).select("doc_id", "one", F.explode("second").alias("two"))
     cells = cells.select("doc_id", F.xxhash64("one", "two").alias("cell"))
     heads = cells.groupBy("cell").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("cell", "head")
-    buckets = cut(cells.join(heads, "cell"))
-    sizes = reps.select("doc_id", "n_shingles")
+    buckets = stored(cells.join(heads, "cell"))
+    # Only texts that share a table key are shingled in full.
+    taking_part = buckets.select("doc_id").distinct()
+    sets = cut(full_sets(docs.join(taking_part, "doc_id", "left_semi"), words))
+    sizes = grids.select("doc_id", "n_shingles")
 
     def fits(pairs: DataFrame) -> DataFrame:
         """Sets of too different sizes cannot be similar enough."""
         n = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n1")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n2")), "b")
         return n.where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")).select("a", "b")
 
-    # Only texts that share a table key are shingled in full.
-    taking_part = buckets.select("doc_id").distinct()
-    sets = cut(full_sets(docs.join(taking_part, "doc_id", "left_semi"), words))
-
     stars = fits(buckets.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = cut(verify(stars, sets, percent))
     joined = components(links)
-    # Buckets still in several components: their smaller components meet all the rest.
-    label = joined.select(F.col("node").alias("doc_id"), "component")
-    marked = buckets.join(label, "doc_id", "left").select("cell", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    parts = marked.groupBy("cell", "part").agg(F.count("*").alias("n"))
-    main = parts.groupBy("cell").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("cell", F.col("m.part").alias("main"))
-    split = cut(marked.join(main, "cell"))
-    few = split.where("part <> main").select("cell", F.col("doc_id").alias("x"), F.col("part").alias("p"))
-    others = split.select("cell", F.col("doc_id").alias("y"), F.col("part").alias("q"), "main")
-    cross = few.join(others, "cell").where((F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("x") < F.col("y"))))
-    cross = fits(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    more = cut(verify(cross, sets, percent))
-    final = components(links.union(more)) if not more.isEmpty() else joined
+
+    def unsettled() -> DataFrame:
+        """Buckets in more than one component, each member with its component and the bucket's largest one."""
+        label = joined.select(F.col("node").alias("doc_id"), "component")
+        marked = buckets.join(label, "doc_id", "left").select("cell", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+        parts = marked.groupBy("cell", "part").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+        return marked.join(parts.where("parts > 1").select("cell", "main"), "cell")
+
+    # Members outside a bucket's largest component are compared with all members of other components that
+    # share a bundle of the first collection with them.
+    open_ = cut(unsettled())
+    whose = open_.select("doc_id", "part", (F.col("part") != F.col("main")).alias("few")).groupBy("doc_id", "part").agg(F.bool_or("few").alias("few"))
+    keyed = whose.join(grids, "doc_id").select("doc_id", "part", "few", "n_shingles", "places", F.explode("first").alias("key"))
+    crowds = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("few").alias("n_few")).where("n > 1 and n_few > 0")
+    keyed = cut(keyed.join(crowds, "key"))
+    # A bundle with few texts forms its pairs as rows, each in the first bundle that both texts have.
+    small = keyed.where(F.col("n") <= crowd)
+    names = ("doc_id", "part", "places", "n_shingles", "few")
+    x = small.where("few").select("key", *(F.col(c).alias(f"x_{c}") for c in names))
+    y = small.select("key", *(F.col(c).alias(f"y_{c}") for c in names))
+    same = F.filter(F.zip_with("x_places", "y_places", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
+    once = (
+        (F.col("x_part") != F.col("y_part"))
+        & (~F.col("y_few") | (F.col("x_doc_id") < F.col("y_doc_id")))
+        & (100 * F.least("x_n_shingles", "y_n_shingles") >= percent * F.greatest("x_n_shingles", "y_n_shingles"))
+        & (F.col("key") == F.element_at(same, 1))
+    )
+    rest = x.join(y, "key").where(once).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
+    # A bundle with many is dealt into blocks; each block of the few meets each block of all, and only links come out.
+    large = keyed.where(F.col("n") > crowd).select("key", "doc_id", "part", "few", F.ceil(F.col("n") / block).cast("int").alias("n"))
+    large = large.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")).join(sets.select("doc_id", "shingles"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    few_side = large.where("few").select("key", F.col("own").alias("i"), F.col("other").alias("j"), "doc_id", "part", "shingles")
+    all_side = large.select(*(F.col(c).alias(name) for c, name in (("key", "key"), ("other", "i"), ("own", "j"), ("doc_id", "doc_id"), ("part", "part"), ("shingles", "shingles"))))
+    in_blocks = few_side.groupBy("key", "i", "j").cogroup(all_side.groupBy("key", "i", "j")).applyInPandas(_meet(percent), "a long, b long")
+    more = cut(verify(rest, sets, percent).union(in_blocks.distinct()))
+    final = joined if more.isEmpty() else components(links.union(more))
     of_rep = final.select(F.col("node").alias("rep"), "component")
     ids = classes.join(of_rep, "rep", "left").select("content", F.coalesce("component", "rep").alias("component_id"))
     # The component's name is its smallest document, which is its smallest class's smallest.
