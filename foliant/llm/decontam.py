@@ -233,7 +233,8 @@ def _leaks_of(spark, docs: DataFrame, own: list[tuple[int, np.ndarray]], edits:
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i + t] for t, *_ in some], pa.int64()), pa.array(origin, pa.int64()), pa.array(stretch, pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names)
 
     held = docs.select("doc_id", "text").mapInArrow(windows, "doc_id long, origin long, words array<long>, keys array<long>")
-    held = cut(held.withColumn("window", F.xxhash64("doc_id", "origin", "words")).dropDuplicates(["window"]))
+    # Windows of several sizes or starts may have one stretch, clipped to the text; their keys differ, and each counts.
+    held = cut(held.withColumn("window", F.xxhash64("doc_id", "origin", "words", "keys")).dropDuplicates(["window"]))
     by_key = held.select("window", F.explode("keys").alias("key"))
     met = by_key.join(items.select("item", F.explode("keys").alias("key")), "key").select("window", "item").distinct()
     pairs = met.join(held.drop("keys"), "window").join(items.drop("keys"), "item")

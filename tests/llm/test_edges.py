@@ -175,6 +175,15 @@ def test_leaks(spark, odd, empty):
     assert decontam.find_leaks(empty, items).count() == 0 and decontam.find_leaks(docs, items.limit(0)).count() == 0 and decontam.find_leaks(odd, items).count() == 0
 
 
+def test_leaks_of_items_that_open_alike(spark):
+    """Copies of items of several lengths: windows of all lengths begin at the same word and are clipped to the same stretch."""
+    start = ["same", "four", "opening", "words"]
+    items = [(i, " ".join(start + [f"i{i}w{j}" for j in range(36 + 2 * i)])) for i in range(8)]
+    docs = spark.createDataFrame([*items, (100, items[0][1] + " x y"), (101, items[7][1] + " x y")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontam.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i, 0) for i in range(8)} | {(100, 0, 0), (101, 7, 0)}
+
+
 def test_leak_recall(spark):
     """Windows with as many edits as are allowed are nearly all found."""
     rng = np.random.default_rng(5)
