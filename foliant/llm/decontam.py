@@ -13,6 +13,11 @@ it exactly.
 Only windows that could match are embedded: with k edits, one of any k + 1
 disjoint parts of an item survives in place, so a window has to hold a part of
 an item as it is. That loses no leak.
+
+The longer a text, the larger the share of the string that its edits upset, so
+long items are embedded by blocks of bounded size. Of an item within its bound
+of edits, one block at least is within the bound of its own size; the alignment
+is with the whole item. That loses no leak either.
 """
 
 from __future__ import annotations
@@ -30,6 +35,11 @@ from .common import cut
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.multiply.accumulate(np.full(64, _MIX))
+#: Most words of a block.
+BLOCK = 40
+#: Block sizes up to the first figure are given the second as their Hamming share. Chosen by recall at the edit bound of
+#: a fifth, for edits of one kind as for mixed ones: deletions alone, the worst kind, upset the largest share.
+SHARES = ((9, 0.6), (20, 0.7), (BLOCK, 0.74))
 
 
 def letters_and_digits() -> np.ndarray:
@@ -68,6 +78,13 @@ def parts(n: int, edits: float) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
 
 
+def blocks(n: int) -> list[tuple[int, int]]:
+    """Start and size of the blocks of an item of n words."""
+    m = math.ceil(n / BLOCK)
+    edge = [n * i // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
+
+
 def _blur(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -94,8 +111,22 @@ def repetitions(recall: float, differ: float, bits: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
 
 
-def lsh_keys(sequences: list[np.ndarray], sizes: np.ndarray, repeats: int, bits: int) -> np.ndarray:
-    """One key per sequence and repetition; ``sizes`` are the item sizes whose positions are sampled."""
+def block_keys(sequences: list[np.ndarray], sizes: np.ndarray, marks: np.ndarray, recall: float, differ: float | None, bits: int) -> list[np.ndarray]:
+    """The keys of each sequence, as many as its block size needs for the recall."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sequences)
+    low = 0
+    for high, share in SHARES:
+        own = np.flatnonzero((low < sizes) & (sizes <= high))
+        low = high
+        if len(own):
+            repeats = repetitions(recall, share if differ is None else differ, bits)
+            for i, k in zip(own, lsh_keys([sequences[i] for i in own], sizes[own], marks[own], repeats, bits), strict=True):
+                out[i] = k
+    return out
+
+
+def lsh_keys(sequences: list[np.ndarray], sizes: np.ndarray, marks: np.ndarray, repeats: int, bits: int) -> np.ndarray:
+    """One key per sequence and repetition; ``sizes`` are the block sizes whose positions are sampled, and only equal ``marks`` meet."""
     lengths = np.array([len(s) for s in sequences])
     grid = np.zeros((len(sequences), int(lengths.max(initial=1))), np.uint64)
     for i, s in enumerate(sequences):
@@ -104,12 +135,12 @@ def lsh_keys(sequences: list[np.ndarray], sizes: np.ndarray, repeats: int, bits:
     for r in range(repeats):
         rng = np.random.default_rng(1000 + r)
         spread = rng.random(bits)
-        # Two walks in three move on by the end of the item at twice its length.
+        # Two walks in three move on by the end of the block at twice its length.
         string = cgk(grid, lengths, int(2 * sizes.max(initial=1)), r)
         key = _blur(np.full(len(sequences), r + 1, np.uint64))
         for x in spread:
             key = _blur(key ^ string[np.arange(len(sequences)), (x * 2 * sizes).astype(np.int64)])
-        keys[:, r] = _blur(key + sizes.astype(np.uint64))
+        keys[:, r] = _blur(key + marks.astype(np.uint64))
     return keys.astype(np.int64)
 
 
@@ -139,15 +170,16 @@ class ItemIndex:
         self.vocabulary = np.zeros(1 << 20, bool)
         for _, w in items:
             self.vocabulary[w >> np.uint64(44)] = True
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        found: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
         for i, (_, w) in enumerate(items):
-            for at, length in parts(len(w), edits):
-                if length:
-                    found[length].append((int(self.roll(w[at : at + length], length)[0]), i, at))
+            for first, size in blocks(len(w)):
+                for at, length in parts(size, edits):
+                    own = w[first + at : first + at + length]
+                    found[length].append((int(self.roll(own, length)[0]), i, at, first, size))
         self.parts = {}
         for length, rows in found.items():
             rows.sort()
-            self.parts[length] = tuple(np.array([r[j] for r in rows], np.uint64 if j == 0 else np.int64) for j in range(3))
+            self.parts[length] = tuple(np.array([r[j] for r in rows], np.uint64 if j == 0 else np.int64) for j in range(5))
 
     @staticmethod
     def roll(h: np.ndarray, length: int) -> np.ndarray:
@@ -158,11 +190,11 @@ class ItemIndex:
                 out = _blur(out * _MIX + h[j : j + n])
         return out
 
-    def windows(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
-        """Text, start and item size of the windows that hold an item's part where the item has it."""
+    def windows(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Text, start, item size, and the block's start in the item and size, of the windows that hold a block's part where the block has it."""
         out = set()
         ok = self.vocabulary[h >> np.uint64(44)]
-        for length, (keys, items, ats) in self.parts.items():
+        for length, (keys, items, ats, firsts, block_sizes) in self.parts.items():
             n = len(h) - length + 1
             if n < 1:
                 continue
@@ -179,12 +211,12 @@ class ItemIndex:
                 p, j = int(at[k]), low[k]
                 text = int(np.searchsorted(bounds, p, "right")) - 1
                 while p + length <= bounds[text + 1] and j < len(keys) and keys[j] == rolled[k]:
-                    out.add((text, p - int(bounds[text]) - int(ats[j]), self.sizes[items[j]]))
+                    out.add((text, p - int(bounds[text]) - int(ats[j]), self.sizes[items[j]], int(firsts[j]), int(block_sizes[j])))
                     j += 1
         return sorted(out)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: float = 0.99, differ: float = 0.5, bits: int = 2, slice_words: int = 2_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: float = 0.99, differ: float | None = None, bits: int = 2, slice_words: int = 2_000_000) -> DataFrame:
     """``(doc_id, item_id, edits, item_words, start, end)``: the closest stretch of each leak, in words.
 
     A word is a run of letters and digits, in lower case; punctuation and line
@@ -192,9 +224,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: fl
     are taken in slices of at most about ``slice_words`` words, so what a task
     holds has a bound; each slice reads the documents once. Repeated rows give
     one row; a null id on either side is kept. Other columns are not read.
+    ``differ`` takes the place of ``SHARES``, which hold for edits of a fifth.
     """
     spark = docs.sparkSession
-    repeats = repetitions(recall, differ, bits)
     listed = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = listed.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, math.ceil(total / 5 / slice_words))
@@ -202,16 +234,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: fl
     for part in range(slices):
         rows = listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == part).distinct().collect()
         own = [(r["item_id"], h) for r in rows if len(h := word_hashes(r["text"]))]
-        got = _leaks_of(spark, docs, own, edits, repeats, bits)
+        got = _leaks_of(spark, docs, own, edits, recall, differ, bits)
         found = got if found is None else found.unionByName(got)
     return found
 
 
-def _leaks_of(spark, docs: DataFrame, own: list[tuple[int, np.ndarray]], edits: float, repeats: int, bits: int) -> DataFrame:
+def _mark(n: int, first: int) -> int:
+    """One number for an item size and a block's start."""
+    return n + (first << 32)
+
+
+def _leaks_of(spark, docs: DataFrame, own: list[tuple[int, np.ndarray]], edits: float, recall: float, differ: float | None, bits: int) -> DataFrame:
     index = ItemIndex(own, edits)
     signed = [[i, item_id, h.astype(np.int64).tolist()] for i, (item_id, h) in enumerate(own)]
-    keys = lsh_keys([h for _, h in own], np.array([len(h) for _, h in own], np.int64), repeats, bits) if own else []
-    items = spark.createDataFrame([(i, item, words, k.tolist()) for (i, item, words), k in zip(signed, keys, strict=True)], "item int, item_id long, item_words array<long>, keys array<long>")
+    cuts = [(i, h, first, size) for i, (_, h) in enumerate(own) for first, size in blocks(len(h))]
+    sizes, marks = np.array([c[3] for c in cuts], np.int64), np.array([_mark(len(h), first) for _, h, first, _ in cuts], np.int64)
+    keys: list[list[int]] = [[] for _ in own]
+    for (i, *_), k in zip(cuts, block_keys([h[first : first + size] for _, h, first, size in cuts], sizes, marks, recall, differ, bits), strict=True):
+        keys[i] += k.tolist()
+    items = spark.createDataFrame([(i, item, words, k) for (i, item, words), k in zip(signed, keys, strict=True)], "item int, item_id long, item_words array<long>, keys array<long>")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "origin", "words", "keys"]
@@ -224,13 +265,17 @@ def _leaks_of(spark, docs: DataFrame, own: list[tuple[int, np.ndarray]], edits:
                 for k in range(0, len(held), 2000):
                     some = held[k : k + 2000]
                     own = [h[bounds[t] : bounds[t + 1]] for t, *_ in some]
-                    sizes = np.array([n for *_, n in some], np.int64)
-                    keys = lsh_keys([w[max(0, s) : max(0, s + n)] for w, (_, s, n) in zip(own, some, strict=True)], sizes, repeats, bits)
-                    # The stretch around a window has room for all edits on either side.
-                    slack = [2 * bound(n, edits) for *_, n in some]
-                    origin = [max(0, s - e) for (_, s, _), e in zip(some, slack, strict=True)]
-                    stretch = [w[o : max(0, s + n + e)].astype(np.int64) for w, (_, s, n), o, e in zip(own, some, origin, slack, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i + t] for t, *_ in some], pa.int64()), pa.array(origin, pa.int64()), pa.array(stretch, pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names)
+                    sizes, marks = np.array([x[4] for x in some], np.int64), np.array([_mark(n, first) for _, _, n, first, _ in some], np.int64)
+                    keys = block_keys([w[max(0, s) : max(0, s + size)] for w, (_, s, _, _, size) in zip(own, some, strict=True)], sizes, marks, recall, differ, bits)
+                    # The stretch around an item has room for all edits on either side.
+                    held_keys: dict[tuple[int, int, int], list[np.ndarray]] = defaultdict(list)
+                    for w, (t, s, n, first, _), x in zip(own, some, keys, strict=True):
+                        slack = 2 * bound(n, edits)
+                        held_keys[t, max(0, s - first - slack), min(len(w), max(0, s - first + n + slack))].append(x)
+                    stretch = [h[bounds[t] + o : bounds[t] + e].astype(np.int64) for t, o, e in held_keys]
+                    distinct = [np.unique(np.concatenate(x)) for x in held_keys.values()]
+                    columns = [[ids[i + t] for t, *_ in held_keys], [o for _, o, _ in held_keys], stretch, distinct]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())], strict=True)], names)
 
     held = docs.select("doc_id", "text").mapInArrow(windows, "doc_id long, origin long, words array<long>, keys array<long>")
     # Windows of several sizes or starts may have one stretch, clipped to the text; their keys differ, and each counts.

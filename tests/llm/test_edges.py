@@ -204,6 +204,27 @@ def test_leak_recall(spark):
     assert got == {True} and found >= 0.97 * len(docs)
 
 
+@pytest.mark.parametrize("size", [30, 60, 120, 240])
+def test_leak_recall_of_long_items(spark, size):
+    """Copies with as many deletions as are allowed, the worst kind of edit, or as many mixed edits, are nearly all found."""
+    rng = np.random.default_rng(size)
+    items, docs = [], []
+    for i in range(25):
+        w = [f"i{i}w{j}" for j in range(size)]
+        items.append((i, " ".join(w)))
+        for k in range(8):
+            v = list(w)
+            for e in range(size // 5):
+                at = int(rng.integers(0, len(v)))
+                kind = int(rng.integers(0, 3)) if k % 2 else 0
+                v[at : at + 1] = [] if kind == 0 else [f"n{k}e{e}"] if kind == 1 else [v[at], f"n{k}e{e}"]
+            docs.append((i * 8 + k, " ".join(["pad"] * 5 + v + ["pad"] * 5)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontam.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r.doc_id // 8 == r.item_id for r in got)
+    assert len(got) >= 0.985 * len(docs)
+
+
 def test_near_duplicates(odd, empty):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == 9 and minhash.near_duplicates(empty).count() == 0
