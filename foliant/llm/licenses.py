@@ -1,9 +1,11 @@
 """Licence scan: Dice coefficient over word bigrams against templates.
 
-Whole texts, paragraphs and lines are normalised and compared with licence
-templates. A coefficient of at least t is possible only if the smaller set has
+Whole texts, paragraphs, lines and runs of words are normalised and compared
+with licence templates. A coefficient of at least t is possible only if the smaller set has
 at least t / (2 - t) of the larger one's size, so templates outside those
-bounds are not looked at.
+bounds are not looked at. A run begins and ends anywhere, so a licence inside a
+longer text is compared at its own extent; only templates that share at least
+that part of their bigrams with the text are looked for.
 """
 
 from __future__ import annotations
@@ -54,6 +56,16 @@ def normalise(text: str) -> list[str]:
     return ["license" + w[7:] if w.startswith("licence") else w for w in words]
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the words of ``normalise(text)`` stand in the text."""
+    kept = _NOTICE.sub(lambda m: " " * len(m[0]), text)
+    lowered = kept.lower()
+    if len(lowered) == len(kept):
+        return [m.span() for m in _TOKEN.finditer(lowered)]
+    at = [i for i, c in enumerate(kept) for _ in c.lower()]
+    return [(at[m.start()], at[m.end() - 1] + 1) for m in _TOKEN.finditer(lowered)]
+
+
 def bigrams(words: list[str]) -> frozenset[tuple[str, str]]:
     return frozenset(zip(words, words[1:], strict=False))
 
@@ -71,6 +83,57 @@ class Templates:
         self.low = min((len(s) for _, s in self.sets), default=1) * ratio
         self.high = max((len(s) for _, s in self.sets), default=0) / ratio
         self.ratio = ratio
+        self.grams = frozenset(self.of)
+
+    def runs(self, text: str) -> Iterator[tuple[str, float, int, int]]:
+        """The best run of words for each template that has one: name, coefficient, start and end."""
+        words = normalise(text)
+        shared = Counter(i for g in self.grams.intersection(zip(words, words[1:], strict=False)) for i in self.of[g])
+        some = [i for i, k in shared.items() if k >= self.ratio * len(self.sets[i][1]) - 1e-9]
+        if not some:
+            return
+        number: dict[tuple[str, str], int] = {}
+        ids = [number.setdefault(g, len(number)) for g in zip(words, words[1:], strict=False)]
+        at = spans(text)
+        for i in sorted(some):
+            dice, a, b = self.best_run(ids, {number[g] for g in self.sets[i][1] if g in number}, len(self.sets[i][1]))
+            if dice >= self.least:
+                yield self.sets[i][0], dice, at[a][0], at[b + 1][1]
+
+    def best_run(self, ids: list[int], own: set[int], size: int) -> tuple[float, int, int]:
+        """Coefficient, first and last bigram of the best run for a template of so many bigrams; ``own`` are those in the text.
+
+        A run that begins or ends with a bigram that is not the template's, or
+        whose first one comes again in it, is no better than the shorter run,
+        so no such run is tried. The smaller set has at least ``ratio`` of the
+        larger one's size, and a run has no more bigrams than that allows.
+        """
+        best = (0.0, 0, 0)
+        most = size / self.ratio + 1e-9
+        for a, first in enumerate(ids):
+            if first not in own:
+                continue
+            seen, k = {first}, 1
+            best = max(best, (2 / (size + 1), -a, -a))
+            for b in range(a + 1, len(ids)):
+                g = ids[b]
+                if g == first:
+                    break
+                if g in seen:
+                    continue
+                seen.add(g)
+                if len(seen) > most:
+                    break
+                if g in own:
+                    k += 1
+                    best = max(best, (2 * k / (len(seen) + size), -a, -b))
+        a, b = -best[1], -best[2]
+        held = own.intersection(ids[a : b + 1])  # more of these leave the coefficient as it is
+        while b + 1 < len(ids) and ids[b + 1] in held:
+            b += 1
+        while a and ids[a - 1] in held:
+            a -= 1
+        return best[0], a, b
 
     def best(self, text: str) -> tuple[str, float] | None:
         own = bigrams(normalise(text))
@@ -87,7 +150,8 @@ def scan_licenses(docs: DataFrame, least: float = 0.8, templates: tuple[tuple[st
     """``(doc_id, license, dice, unit, start, end)``: the best unit of each licence found in a text.
 
     Units are the whole text, its paragraphs (between blank lines) and its
-    lines, each read whole; spans are in code points. Null, empty and one-word
+    lines, each read whole, and runs of words wherever they begin and end;
+    spans are in code points. Null, empty and one-word
     texts match nothing. Of equal units the widest, then the first, wins; of
     equal templates the first listed. Repeated rows give one row each. Other
     columns are not read.
@@ -106,7 +170,7 @@ def scan_licenses(docs: DataFrame, least: float = 0.8, templates: tuple[tuple[st
                 at += len(line) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, width = ["doc_id", "license", "dice", "unit", "start", "end"], {"text": 0, "paragraph": 1, "line": 2}
+        names, width = ["doc_id", "license", "dice", "unit", "start", "end"], {"text": 0, "paragraph": 1, "line": 2, "run": 3}
         kinds = [pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int64(), pa.int64()]
         for b in batches:
             out = []
@@ -115,6 +179,8 @@ def scan_licenses(docs: DataFrame, least: float = 0.8, templates: tuple[tuple[st
                 for unit, i, j in units(text) if text else ():
                     if hit := known.best(text[i:j]):
                         found[hit[0]] = min(found.get(hit[0], (0.0, 9, 0, 0, "")), (-hit[1], width[unit], i, j, unit))
+                for name, dice, i, j in known.runs(text) if text else ():
+                    found[name] = min(found.get(name, (0.0, 9, 0, 0, "")), (-dice, width["run"], i, j, "run"))
                 out += [(doc_id, name, -d, unit, i, j) for name, (d, _, i, j, unit) in sorted(found.items())]
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)

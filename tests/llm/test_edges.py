@@ -61,6 +61,40 @@ def test_licenses(spark, odd, empty):
     assert got[1, "MIT"].unit == "paragraph" and got[3, "MIT"].dice < 1
 
 
+def test_embedded_licenses(spark):
+    """Licences of several paragraphs and wrapped lines in longer documents, and notices in running lines."""
+    full = next(t for n, t in licenses.TEMPLATES if n == "MIT")
+    parts = full.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    wrapped = "\n".join(" * " + " ".join(parts.split()[i : i + 9]) for i in range(0, len(full.split()), 9))
+    notice = "Released under the MIT License."
+    before, after = "Some prose stands here first. ", " And more prose follows after it."
+    texts = [
+        "int a;\n\nMIT License\n\nCopyright (c) 2020 A B\n\n" + parts + "\n\n" + "".join(f"def f{i}(x{i}): return y{i}\n" for i in range(300)),
+        "/*\n" + wrapped + "\n */\n" + "".join(f"int g{i}() {{ return z{i}; }}\n" for i in range(300)),
+        before + notice + after,
+        "\u0130 \u0130 " + before + notice.replace("the MIT", "the\nMIT") + after,
+        before + after,
+        "the software the " * 5000 + "is provided",
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(got) == {0, 1, 2, 3} and all(r.license == "MIT" and r.dice == 1 for r in got.values())
+    assert [texts[i][got[i].start : got[i].end].replace("\n", " ") for i in (2, 3)] == [notice[:-1]] * 2
+    assert texts[0][got[0].start : got[0].end] == parts[:-1]
+
+
+def test_best_run():
+    """The run found is as good as the best of all runs."""
+    known = licenses.Templates((("X", "a b c d e f a c"),), 0.5)
+    own = known.sets[0][1]
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        text = " ".join(rng.choice(list("abcdefgh"), 25))
+        words = text.split()
+        every = [licenses.bigrams(words[i:j]) for i in range(25) for j in range(i + 2, 26)]
+        best = max(2 * len(s & own) / (len(s) + len(own)) for s in every)
+        assert [r[1] for r in known.runs(text)] == ([best] if best >= 0.5 else [])
+
+
 def test_mix(odd, empty):
     got = mixing.mix(odd).collect()
     assert len(got) == 9 and mixing.mix(empty).count() == 0
