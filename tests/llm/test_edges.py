@@ -82,6 +82,20 @@ def test_embedded_licenses(spark):
     assert texts[0][got[0].start : got[0].end] == parts[:-1]
 
 
+def test_full_bsd_texts(spark):
+    """The whole standard text is one licence, disclaimer and all; the conditions alone still are."""
+    start = "Copyright (c) 2020, A B\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+    kept = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+    name = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+    end = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    texts = [start + kept + end, start + kept + name + end, start + kept, start + kept + name]
+    known = licenses.Templates(licenses.TEMPLATES, 0.8)
+    assert [known.best(t)[0] for t in texts] == ["BSD-2-Clause", "BSD-3-Clause"] * 2
+    assert all(known.best(t)[1] > 0.9 for t in texts)
+    got = {(r.doc_id, r.license): r.unit for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0, "BSD-2-Clause"] and got[1, "BSD-3-Clause"]
+
+
 def test_best_run():
     """The run found is as good as the best of all runs."""
     known = licenses.Templates((("X", "a b c d e f a c"),), 0.5)
