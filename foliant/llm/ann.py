@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the ordered list of its nearest pivots. The index
-posts vectors in one inverted file per pivot, with the pivot's place in the
-vector's list; a query walks the files of its own nearest pivots, ranks the
-vectors found by Spearman's footrule distance of the two lists, and compares
-the best ones exactly. The index is dealt into blocks, and every block of
-queries meets every block of the index once.
+A vector is represented by its pivots ordered from near to far. The index
+posts every vector in the inverted files of its ``posted`` nearest pivots; a
+query reads the files of its own ``read`` nearest pivots and nothing else. In
+each file the entries are ranked by Spearman's footrule distance between their
+order of the ranking pivots and the query's, and only the best share of the
+file is compared exactly. There is about one pivot to ``per_pivot`` vectors, so
+files keep their length, and a query its work, while the table grows.
 """
 
 from __future__ import annotations
@@ -14,14 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
+_INDEX = "ids array<long>, v binary, pivots array<int>"
+_FOUND = "query_id long, vec_id long, score double"
+
 
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    v = F.transform(vector, lambda x: x.cast("double"))
+    """``(vec_id, v)`` of the vectors that take part; floats stay floats, other numbers become doubles."""
+    kind = df.schema[vector].dataType.elementType.typeName()
+    v = F.col(vector) if kind in ("float", "double") else F.transform(vector, lambda x: x.cast("double"))
     df = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return df.where(fine & F.exists("v", lambda x: x != 0))
@@ -30,97 +37,201 @@ def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 def _lift(v: np.ndarray, norm: float) -> np.ndarray:
     """Vectors of one length: the largest inner product is then the smallest angle."""
     left = np.sqrt(np.maximum(norm**2 - (v * v).sum(1), 0))
-    return np.concatenate([v, left[:, None]], 1) / norm
+    return (np.concatenate([v, left[:, None]], 1) / norm).astype(np.float32)
+
+
+def _near(v: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest pivots of each vector, in order."""
+    alike = v @ pivots.T
+    some = np.argpartition(-alike, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(some, np.argsort(-np.take_along_axis(alike, some, 1), axis=1, kind="stable"), 1).astype(np.int32)
+
+
+def _places(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The place of every ranking pivot in each vector's order."""
+    order = np.argsort(-(v @ pivots.T), axis=1, kind="stable")
+    out = np.empty(order.shape, np.int16)
+    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None, :], 1)
+    return out
+
+
+def _deal(files: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bucket and number of slices of each file: short files share a bucket of ``block`` entries, long ones are sliced."""
+    first, slices = np.zeros(len(files), np.int64), np.maximum(1, -(-files // block))
+    bucket = held = 0
+    for p, n in enumerate(files):
+        if slices[p] > 1:
+            bucket, held = bucket + (held > 0), 0
+            first[p] = bucket
+            bucket += int(slices[p])
+        else:
+            if held + n > block:
+                bucket, held = bucket + 1, 0
+            first[p] = bucket
+            held += int(n)
+    return first, slices
+
+
+def _best(query: np.ndarray, member: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's ``k`` best rows; ties go to the smaller member."""
+    order = np.lexsort((member, -score, query))
+    q = query[order]
+    starts = np.flatnonzero(np.diff(q, prepend=-1))
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(starts, append=len(q)))
+    return order[place < k]
+
+
+def search(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = 20,
+    key: str = "vec_id",
+    vector: str = "embedding",
+    per_pivot: int = 12,
+    most_pivots: int = 16384,
+    ranking: int = 128,
+    posted: int = 8,
+    read: int = 160,
+    share: float = 0.2,
+    least: int = 24,
+    block: int = 8192,
+    seed: int = 11,
+) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: for each query its ``k`` best by inner product, in double precision.
 
+    Pivots are chosen by hash: one to ``per_pivot`` distinct vectors, 64 at
+    least and ``most_pivots`` at most, which bounds what the driver and a task
+    hold of them; beyond that, files grow with the table. A crowd of near
+    copies gets its share of the pivots, so its files are no longer than
+    others. ``ranking`` of the pivots give the orders that the footrule
+    compares. Of a file a query compares the best ``share``, ``least`` entries
+    at least. A file of more than ``block`` entries is sliced, and a query
+    reads every slice.
+
+    Equal vectors are indexed once with their ``k + 1`` smallest ids, which is
+    all that a list of ``k`` can use, so a crowd of copies hides nobody. Ties
+    go to the smaller id; a query is not its own neighbour. Vectors that are
+    null, zero, or hold null or non-finite parts take no part; neither do rows
+    with a null id. Of rows with one id and one vector, one counts. All vectors
+    have one length. An empty table gives an empty result. Other columns are
+    not read.
+    """
+    spark = vectors.sparkSession
+    every = _usable(vectors, key, vector)
+    # dense_rank keeps repeats of one row from taking the places of other ids.
+    numbered = every.withColumn("_n", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= k + 1)
+    crowds = cut(numbered.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    total, norm = crowds.agg(F.count("*"), F.max(F.sqrt(square))).first()
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n_pivots = int(min(total, most_pivots, max(64, total // per_pivot)))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1 << 40))
+    # A little more than enough by the hash, then exactly as many.
+    sample = crowds.select(draw.alias("s"), "v").where(F.col("s") < int((1 << 40) * min(1.0, (n_pivots + 8 * n_pivots**0.5) / total))).orderBy("s", "v").limit(n_pivots).collect()
+    pivots = _lift(np.array([r["v"] for r in sample], float), norm)
+    ranking, posted, read = min(ranking, len(pivots)), min(posted, len(pivots)), min(read, len(pivots))
+    kind = np.float64 if crowds.schema["v"].dataType.elementType.typeName() == "double" else np.float32
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def listing(ids: str, query: bool):
+        """Read vectors; write their ids, parts and nearest pivots."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, b.num_rows, 1024):
+                    some = b.slice(i, 1024)
+                    v = some["v"].flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
+                    lifted = np.concatenate([v, np.zeros((len(v), 1))], 1).astype(np.float32) if query else _lift(v.astype(float), norm)
+                    near = _near(lifted, sent.value, read if query else posted)
+                    yield pa.RecordBatch.from_arrays([some[ids], pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()), pa.array(list(near), pa.list_(pa.int32()))], [ids, "v", "pivots"])
 
-def _apart(sample: np.ndarray, n: int, alike: float = 0.9) -> np.ndarray:
-    """The first ``n`` of a sample, those that nearly repeat a chosen one put last: a crowd would fill the lists with itself."""
-    chosen, repeats = [], []
-    for i, v in enumerate(sample):
-        near = bool(chosen) and float((sample[chosen] @ v).max()) > alike
-        (repeats if near else chosen).append(i)
-        if len(chosen) == n:
-            break
-    return sample[(chosen + repeats)[:n]]
+        return run
 
+    index = cut(crowds.select("ids", "v").mapInArrow(listing("ids", False), _INDEX))
+    asked = cut(_usable(queries, key, vector).distinct().mapInArrow(listing("vec_id", True), "vec_id long, v binary, pivots array<int>"))
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", pivots: int = 256, listed: int = 64, rerank: float = 0.15, close: float = 0.8, least: int = 400, block: int = 8192, seed: int = 11) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for each query its ``k`` best by inner product, in double precision.
+    def counts(df: DataFrame) -> np.ndarray:
+        """How often each pivot is listed: one row per pivot."""
+        out = np.zeros(len(pivots), np.int64)
+        for p, n in df.select(F.explode("pivots").alias("p")).groupBy("p").count().collect():
+            out[p] = n
+        return out
 
-    ``pivots`` rows chosen by hash, from a sample eight times as large, are the
-    pivots and bound what the driver holds; ``listed`` is the length of a vector's pivot list. In each block the
-    ``least`` best by footrule, or the share ``rerank`` of the block if that is
-    more, are compared exactly, and with them all whose lists agree nearly as well
-    as the best (to the share ``close``): a crowd of near copies has lists too
-    alike to choose by. Equal vectors are indexed once with their
-    ``k + 1`` smallest ids, which is all that a list of ``k`` can use, so a
-    crowd of copies hides nobody. Ties go to the smaller id; a query is not its
-    own neighbour. Vectors that are null, zero, or hold null or non-finite
-    parts take no part; neither do rows with a null id. Of rows with one id and
-    one vector, one counts. All vectors have one length. An empty table gives
-    an empty result. Other columns are not read.
-    """
-    every = _usable(vectors, key, vector).distinct()
-    numbered = every.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= k + 1)
-    crowds = cut(numbered.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("ids", "v", F.xxhash64("v").alias("h")))
-    schema = "query_id long, rank int, vec_id long, score double"
-    norm = crowds.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    if norm is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    sample = crowds.select("v", F.xxhash64(F.lit(seed), "v").alias("s")).orderBy("s", "v").limit(8 * pivots).collect()
-    anchor = _apart(_lift(np.array([r["v"] for r in sample]), norm), pivots)
-    listed = min(listed, len(anchor))
-    blocks = max(1, -(-crowds.count() // block))
-    sent = vectors.sparkSession.sparkContext.broadcast(anchor)
-
-    def lists(v: np.ndarray, query: bool = False) -> np.ndarray:
-        """Ordered nearest pivots of each vector."""
-        near = (np.concatenate([v, np.zeros((len(v), 1))], 1) if query else _lift(v, norm)) @ sent.value.T
-        return np.argsort(-near, axis=1, kind="stable")[:, :listed].astype(np.int16)
-
-    def represent(query: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    first, slices = _deal(counts(index), block)
+    # Queries that meet in a bucket are dealt into parts as well, should they be very many.
+    parts = np.ones(int((first + slices).max()), np.int64)
+    np.add.at(parts, first, counts(asked) // 65536)
+    for p in np.flatnonzero(slices > 1):
+        parts[first[p] : first[p] + slices[p]] = parts[first[p]]
+
+    def dealt(query: bool):
+        """One row per bucket and part in which a vector stands, with its pivots there."""
+        name = "vec_id" if query else "ids"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if len(b):
-                    b["pivots"] = list(lists(np.stack(b["v"].to_numpy()), query))
-                    yield b
+                row, bucket, part, listed = [], [], [], []
+                for i, (own, near) in enumerate(zip(b[name].to_pylist(), b["pivots"].to_pylist(), strict=True)):
+                    who = own if query else own[0]
+                    where: dict[int, list[int]] = {}
+                    for p in near:
+                        for s in range(int(slices[p])) if query else (who * 0x9E3779B1 % int(slices[p]),):
+                            where.setdefault(int(first[p]) + s, []).append(p)
+                    for c, ps in where.items():
+                        for t in (who * 0x85EBCA6B % int(parts[c]),) if query else range(int(parts[c])):
+                            row.append(i)
+                            bucket.append(c)
+                            part.append(t)
+                            listed.append(ps)
+                at = pa.array(row, pa.int64())
+                columns = [pa.array(bucket, pa.int32()), pa.array(part, pa.int32()), b[name].take(at), b["v"].take(at), pa.array(listed, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "part", name, "v", "pivots"])
 
         return run
 
-    index = crowds.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")).mapInPandas(represent(False), "ids array<long>, v array<double>, h long, block int, pivots array<smallint>")
-    asked = _usable(queries, key, vector).distinct()
-    q_blocks = max(1, -(-asked.count() // 1024))
-    asked = asked.mapInPandas(represent(True), "vec_id long, v array<double>, pivots array<smallint>")
-    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    index = index.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    entries = index.mapInArrow(dealt(False), "bucket int, part int, " + _INDEX)
+    readers = asked.mapInArrow(dealt(True), "bucket int, part int, vec_id long, v binary, pivots array<int>")
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+        found = []
         if len(q) and len(x):
-            x = x.iloc[np.argsort([i[0] for i in x["ids"]], kind="stable")]
-            v, perm = np.stack(x["v"].to_numpy()), np.stack(x["pivots"].to_numpy()).astype(np.int64)
-            n, ids = len(x), x["ids"].to_numpy()
-            # The inverted files: for each pivot, the vectors that list it and at which place.
-            order = np.argsort(perm.ravel(), kind="stable")
-            bounds = np.searchsorted(perm.ravel()[order], np.arange(pivots + 1))
-            rows, left = order // listed, (listed - order % listed).astype(np.int32)
-            take = min(n, max(least, int(rerank * n)))
-            for qid, qv, qp in zip(q["vec_id"], q["v"], q["pivots"], strict=True):
-                near = np.zeros(n, np.int32)
-                for place, p in enumerate(qp):
-                    part = slice(bounds[p], bounds[p + 1])
-                    # A pivot missing from a list counts as standing just behind it. Then the footrule is a
-                    # constant less twice the sum, over shared pivots, of what the later place leaves.
-                    near[rows[part]] += np.minimum(left[part], np.int32(listed - place))
-                ranked = near.astype(np.int64) * n + np.arange(n, 0, -1) - 1  # ties go to smaller ids
-                some = max(take, int((near >= close * near.max()).sum()))
-                best = np.argpartition(ranked, n - some)[n - some :]
-                scores = (v[best] * qv).sum(1)
-                top = scores >= np.partition(scores, len(scores) - min(len(scores), k + 1))[len(scores) - min(len(scores), k + 1)]
-                found = sorted((-s, i) for s, b in zip(scores[top], best[top], strict=True) for i in ids[b] if i != qid)[:k]
-                out += [(qid, i, -s) for s, i in found]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    met = asked.groupBy("q_block", "block").cogroup(index.groupBy("q_block", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
+            qv, xv = (np.frombuffer(b"".join(t["v"]), kind).reshape(len(t), -1).astype(float) for t in (q, x))
+            anchors = sent.value[:ranking]
+            q_place, x_place = _places(np.concatenate([qv, np.zeros((len(qv), 1))], 1).astype(np.float32), anchors), _places(_lift(xv, norm), anchors)
+            readers_of: dict[int, list[int]] = {}
+            file_of: dict[int, list[int]] = {}
+            for into, t in ((readers_of, q), (file_of, x)):
+                for i, ps in enumerate(t["pivots"]):
+                    for p in ps:
+                        into.setdefault(int(p), []).append(i)
+            for p, rows in readers_of.items():
+                if p not in file_of:
+                    continue
+                members = np.array(file_of[p])
+                keep = min(len(members), max(least, int(np.ceil(share * len(members)))))
+                step = max(1, 4_000_000 // (len(members) * ranking))
+                for i in range(0, len(rows), step):
+                    some = np.array(rows[i : i + step])
+                    footrule = np.abs(x_place[members][None] - q_place[some][:, None]).sum(2, dtype=np.int32)
+                    best = members[np.argpartition(footrule, keep - 1, axis=1)[:, :keep]]
+                    found.append((np.repeat(some, keep), best.ravel(), np.einsum("qkd,qd->qk", xv[best], qv[some]).ravel()))
+        if not found:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        query, member, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        _, once = np.unique(query * len(x) + member, return_index=True)
+        query, member, score = query[once], member[once], score[once]
+        ids = x["ids"].to_numpy()
+        n = np.array([len(i) for i in ids])[member]
+        vec = np.concatenate([ids[m] for m in member])
+        query, score = np.repeat(query, n), np.repeat(score, n)
+        other = q["vec_id"].to_numpy()[query] != vec
+        query, vec, score = query[other], vec[other], score[other]
+        top = _best(query, vec, score, k)
+        return pd.DataFrame({"query_id": q["vec_id"].to_numpy()[query[top]], "vec_id": vec[top], "score": score[top]})
+
+    met = readers.groupBy("bucket", "part").cogroup(entries.groupBy("bucket", "part")).applyInPandas(meet, _FOUND)
+    # One exchange by query serves both steps: a pair found in several files, and the best of all.
+    merged = met.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
