@@ -52,27 +52,27 @@ told AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_told, '')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM documents LEFT JOIN told USING (doc_id)"""
 
-#: Windows by prefix sums; what they hold is counted, and the digests come from the turns themselves.
+#: Windows opened turn by turn over prefix sums, with what each repeats and counts; the digests come from the turns themselves.
 CHAT = r"""
-WITH every AS (SELECT conv_id, turn, role, text FROM conversations
+WITH RECURSIVE every AS (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 r AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 AS n,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS i FROM every),
 s AS (SELECT *, i = 0 AND role = 'system' AS sys, length(regexp_replace(role, '[~<\[\n]', 'xx', 'g')) + length(regexp_replace(text, '[~<\[]', 'xx', 'g')) + 13 AS size FROM r),
-a AS (SELECT *, greatest(2, 1024 - 256 - coalesce(max(CASE WHEN sys THEN n END) OVER (PARTITION BY conv_id), 0)) AS avail, sum(CASE WHEN sys THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY i) AS stop,
-  sum(CASE WHEN sys THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY i) AS chars FROM s),
-l AS (SELECT *, 2 * n > avail AND NOT sys AS large FROM a),
-g AS (SELECT *, sum(CASE WHEN large THEN 2 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) - CASE WHEN large THEN 1 ELSE 0 END AS segment,
-  greatest(1, avail - coalesce(max(CASE WHEN NOT large AND NOT sys THEN n END) OVER (PARTITION BY conv_id), 0)) AS stride FROM l),
-f AS (SELECT *, min(CASE WHEN NOT sys THEN stop - n END) OVER (PARTITION BY conv_id, segment) AS origin FROM g),
-w AS (SELECT *, CASE WHEN large THEN 0 ELSE (stop - origin - 1) // stride END AS span FROM f),
-h AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment, span ORDER BY i) = 1 AS opens FROM w WHERE NOT sys),
-p AS (SELECT x.conv_id, x.i, sum(y.size) AS past FROM h x JOIN h y ON y.conv_id = x.conv_id AND y.stop - y.n BETWEEN x.stop - x.n - 256 AND x.stop - x.n - 1 WHERE x.opens GROUP BY ALL),
-c AS (SELECT conv_id, count(*) FILTER (opens) AS windows, sum(size) AS own FROM h GROUP BY conv_id),
-b AS (SELECT conv_id, sum(past) AS past FROM p GROUP BY conv_id),
-t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, coalesce(sum(size) FILTER (sys), 0) AS head FROM s GROUP BY conv_id)
-SELECT t.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, coalesce(own, 0) + coalesce(past, 0) + greatest(coalesce(windows, 0), 1) * head AS formatted_chars
-FROM t LEFT JOIN c USING (conv_id) LEFT JOIN b USING (conv_id)"""
+a AS (SELECT *, coalesce(max(CASE WHEN sys THEN n END) OVER (PARTITION BY conv_id), 0) AS head, sum(CASE WHEN sys THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY i) AS stop FROM s),
+t AS (SELECT *, stop - n AS start, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k FROM a WHERE NOT sys),
+walk AS (SELECT conv_id, i, k, CAST(0 AS BIGINT) AS origin, i AS first FROM t WHERE k = 1
+  UNION ALL SELECT t.conv_id, t.i, t.k, CAST(CASE WHEN t.stop - w.origin > 1024 - t.head - least(256, w.origin) THEN t.start ELSE w.origin END AS BIGINT),
+    CASE WHEN t.stop - w.origin > 1024 - t.head - least(256, w.origin) THEN t.i ELSE w.first END FROM walk w JOIN t ON t.conv_id = w.conv_id AND t.k = w.k + 1),
+v AS (SELECT t.conv_id, w.first, w.origin, max(t.stop) AS stop, max(t.head) AS head, CAST(sum(t.size) AS BIGINT) AS size FROM walk w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i GROUP BY ALL),
+h AS (SELECT *, greatest(0, least(256, 1024 - head - (stop - origin))) AS room FROM v),
+p AS (SELECT h.conv_id, h.first, h.origin, h.stop, h.head, h.size, count(t.i) AS past, CAST(coalesce(sum(t.size), 0) AS BIGINT) AS past_size, CAST(coalesce(sum(t.n), 0) AS BIGINT) AS past_tokens
+  FROM h LEFT JOIN t ON t.conv_id = h.conv_id AND t.i < h.first AND t.start >= h.origin - h.room GROUP BY ALL),
+c AS (SELECT conv_id, count(*) AS windows, sum(size + past_size) AS chars,
+  string_agg((past + CASE WHEN head > 0 AND origin > 0 THEN 1 ELSE 0 END) || ':' || CAST(head + past_tokens + stop - origin AS BIGINT), ',' ORDER BY first) AS told FROM p GROUP BY conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, coalesce(sum(size) FILTER (sys), 0) AS head, coalesce(sum(n) FILTER (sys), 0) AS head_tokens FROM s GROUP BY conv_id)
+SELECT d.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, coalesce(chars, 0) + greatest(coalesce(windows, 0), 1) * head AS formatted_chars, coalesce(told, '0:' || CAST(head_tokens AS BIGINT)) AS windows
+FROM d LEFT JOIN c USING (conv_id)"""
 
 ORACLES = {"op3_mix_sources": MIX, "op4_secret_scan": SECRETS, "op8_chat_windows": CHAT}

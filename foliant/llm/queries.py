@@ -66,6 +66,7 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         "formatted_chars",
+        "windows",
     )
 
 

@@ -197,10 +197,41 @@ def test_chat(spark):
     many = [w for w in windows.collect() if w.conv_id == 1]
     assert len(many) > 5 and all(w.formatted.startswith("<|system|>") for w in many)
     words = lambda s: len(s.split())
-    assert all(words(w.formatted) <= 260 for w in many) and any(w.context_turns > 1 for w in many)
+    assert all(words(w.formatted) <= 200 and w.tokens <= 200 for w in many) and any(w.context_turns > 1 for w in many)
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_budget(spark):
+    """No window is over the budget but one with a turn that is so itself, none could take the next turn, and histories are as long as they may be."""
+    rng = np.random.default_rng(2)
+    sizes = {1: [200, 900], 2: [900, *[90] * 12], 3: [1500, 10, 10], 4: [1, 1200, 300, 1, 700], 5: [20], 6: rng.integers(0, 700, 200).tolist(), 7: rng.integers(0, 60, 300).tolist()}
+    system = {2, 4, 5, 7}
+    rows = [(c, i, "system" if c in system and not i else "assistant" if i % 2 else "user", "w " * n) for c, ns in sizes.items() for i, n in enumerate(ns)]
+    windows = {}
+    for w in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "window_no").collect():
+        windows.setdefault(w.conv_id, []).append(w)
+    for c, ns in sizes.items():
+        cost = [n + chat.TURN_TOKENS for n in ns]
+        head = cost[0] if c in system else 0
+        at = int(c in system)
+        for w in windows[c]:
+            told = [p.split("|>\n")[1].count("w") + chat.TURN_TOKENS for p in w.formatted.split(chat.END)[:-1]]
+            assert sum(told) == w.tokens
+            back = w.context_turns - (1 if head and w.window_no else 0)
+            new = len(told) - w.context_turns - (1 if head and not w.window_no else 0)
+            assert told == cost[: 1 if head else 0] + cost[at - back : at + new]
+            fresh, past = sum(cost[at : at + new]), sum(cost[at - back : at])
+            assert w.tokens <= 1024 or (new == 1 and back == 0)
+            assert past <= 256
+            before = at - back - 1
+            if before >= int(c in system):
+                assert past + cost[before] > 256 or w.tokens + cost[before] > 1024
+            if at + new < len(cost):
+                assert head + min(256, sum(cost[int(c in system) : at])) + fresh + cost[at + new] > 1024
+            at += new
+        assert at == len(cost)
+
+
 def test_leaks(spark, odd, empty):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     items = spark.createDataFrame([(1, item), (2, None), (3, "?!"), (None, "alone words in here")], "item_id long, text string")
