@@ -6,13 +6,15 @@ walk copies a sequence into a longer string: at each step it writes the
 current word and moves on or stays, as a random bit of step and word says. A
 small edit distance becomes a small Hamming distance, and sampling a few
 positions of the string gives a key that near sequences share. The sampling is
-repeated until a pair at the assumed Hamming share is missed with probability
-below ``1 - recall``. Windows that share a key with an item are aligned with
-it exactly.
+repeated until a pair at the Hamming share measured for its size is missed with
+probability below ``1 - recall``. Windows that share a key with an item are
+aligned with it exactly.
 
-Only windows that could match are embedded: with k edits, one of any k + 1
-disjoint parts of an item survives in place, so a window has to hold a part of
-an item as it is. That loses no leak.
+Only windows near a seed are embedded: with k edits, one of any k + 1 disjoint
+parts of an item survives in place, so an item's window holds one of its parts
+at most k words away from where the item has it. Around each such part, windows
+of the item's size are embedded at every start within that bound. That loses no
+leak.
 
 The longer a text, the larger the share of the string that its edits upset, so
 long items are embedded by blocks of bounded size. Of an item within its bound
@@ -31,8 +33,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.multiply.accumulate(np.full(64, _MIX))
 #: Most words of a block.
@@ -144,21 +144,39 @@ def lsh_keys(sequences: list[np.ndarray], sizes: np.ndarray, marks: np.ndarray,
     return keys.astype(np.int64)
 
 
+_START = 1 << 32
+_FAR = 1 << 62
+
+
+def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(r) for r in rows])
+    out = np.zeros((len(rows), int(lengths.max(initial=0))), np.uint64)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out, lengths
+
+
+def alignments(items: list[np.ndarray], stretches: list[np.ndarray]) -> np.ndarray:
+    """Per pair, the least edits between the item and a part of the stretch, and that part's start and end; of equal parts the shortest, then the first."""
+    a, a_len = _padded(items)
+    b, b_len = _padded(stretches)
+    at = np.arange(b.shape[1] + 1)
+    # One number holds the cost and, below it, how early the part starts: a later start is the shorter part.
+    cell = np.tile(_START - 1 - at, (len(items), 1)).astype(np.int64)
+    for i in range(a.shape[1]):
+        new = cell + _START  # the item's word is missing
+        new[:, 1:] = np.minimum(new[:, 1:], cell[:, :-1] + _START * (b != a[:, i : i + 1]))
+        new = np.minimum.accumulate(new - _START * at, axis=1) + _START * at  # words too many
+        cell = np.where((i < a_len)[:, None], new, cell)
+    cost, start = cell // _START, _START - 1 - cell % _START
+    ranked = np.where(at <= b_len[:, None], cost * _START + (at - start), _FAR)
+    end = ranked.argmin(1)
+    n = np.arange(len(items))
+    return np.stack([cost[n, end], start[n, end], end], 1) if len(items) else np.zeros((0, 3), np.int64)
+
+
 def best_alignment(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
-    """Least edits between the item and a part of the stretch, and the part's start and end."""
-    n = len(stretch)
-    cost, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    for w in item:
-        new, frm = cost + 1, start.copy()  # the item's word is missing
-        swap = cost[:-1] + (stretch != w)
-        better = swap <= new[1:]
-        new[1:][better], frm[1:][better] = swap[better], start[:-1][better]
-        for j in range(1, n + 1):  # a word too many
-            if new[j - 1] + 1 < new[j]:
-                new[j], frm[j] = new[j - 1] + 1, frm[j - 1]
-        cost, start = new, frm
-    end = int(cost.argmin())
-    return int(cost[end]), int(start[end]), end
+    return tuple(int(x) for x in alignments([item], [stretch])[0])
 
 
 class ItemIndex:
@@ -190,8 +208,8 @@ class ItemIndex:
                 out = _blur(out * _MIX + h[j : j + n])
         return out
 
-    def windows(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """Text, start, item size, and the block's start in the item and size, of the windows that hold a block's part where the block has it."""
+    def seeds(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+        """Text, place where the block would start, item size, the block's start in the item and size, and the part's start in the block, of the parts that the texts hold."""
         out = set()
         ok = self.vocabulary[h >> np.uint64(44)]
         for length, (keys, items, ats, firsts, block_sizes) in self.parts.items():
@@ -211,20 +229,21 @@ class ItemIndex:
                 p, j = int(at[k]), low[k]
                 text = int(np.searchsorted(bounds, p, "right")) - 1
                 while p + length <= bounds[text + 1] and j < len(keys) and keys[j] == rolled[k]:
-                    out.add((text, p - int(bounds[text]) - int(ats[j]), self.sizes[items[j]], int(firsts[j]), int(block_sizes[j])))
+                    out.add((text, p - int(bounds[text]) - int(ats[j]), self.sizes[items[j]], int(firsts[j]), int(block_sizes[j]), int(ats[j])))
                     j += 1
         return sorted(out)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: float = 0.99, differ: float | None = None, bits: int = 2, slice_words: int = 2_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: float = 0.99, differ: float | None = None, bits: int = 2, slice_words: int = 1_000_000) -> DataFrame:
     """``(doc_id, item_id, edits, item_words, start, end)``: the closest stretch of each leak, in words.
 
     A word is a run of letters and digits, in lower case; punctuation and line
     breaks do not count. Null and wordless texts and items match nothing. Items
-    are taken in slices of at most about ``slice_words`` words, so what a task
-    holds has a bound; each slice reads the documents once. Repeated rows give
-    one row; a null id on either side is kept. Other columns are not read.
-    ``differ`` takes the place of ``SHARES``, which hold for edits of a fifth.
+    are taken in slices of at most about ``slice_words`` words, so what the
+    driver and a task hold of them has a bound; each slice reads the documents
+    once. Repeated rows give one row; a null id on either side is kept; ids are
+    read as longs. Other columns are not read. ``differ`` takes the place of
+    ``SHARES``, which hold for edits of a fifth.
     """
     spark = docs.sparkSession
     listed = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
@@ -244,56 +263,89 @@ def _mark(n: int, first: int) -> int:
     return n + (first << 32)
 
 
+class ItemKeys:
+    """The LSH keys of all blocks of the items of a slice, in order, with the item of each."""
+
+    def __init__(self, own: list[tuple[int, np.ndarray]], recall: float, differ: float | None, bits: int):
+        self.how = (recall, differ, bits)
+        cuts = [(i, h, first, size) for i, (_, h) in enumerate(own) for first, size in blocks(len(h))]
+        sizes, marks = np.array([c[3] for c in cuts], np.int64), np.array([_mark(len(h), first) for _, h, first, _ in cuts], np.int64)
+        keys = block_keys([h[first : first + size] for _, h, first, size in cuts], sizes, marks, *self.how)
+        flat = np.concatenate([*keys, np.zeros(0, np.int64)])
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.items = flat[order], np.repeat(np.array([c[0] for c in cuts], np.int32), [len(k) for k in keys])[order]
+
+    def met(self, windows: list[np.ndarray], sizes: np.ndarray, marks: np.ndarray) -> list[np.ndarray]:
+        """The items that share a key with each window."""
+        keys = block_keys(windows, sizes, marks, *self.how)
+        flat, owner = np.concatenate([*keys, np.zeros(0, np.int64)]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        low, high = np.searchsorted(self.keys, flat), np.searchsorted(self.keys, flat, "right")
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(windows)
+        hit = np.flatnonzero(high > low)
+        for k in hit:
+            out[owner[k]] = np.union1d(out[owner[k]], self.items[low[k] : high[k]])
+        return out
+
+
+def _merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals with those that overlap joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(intervals):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _leaks_of(spark, docs: DataFrame, own: list[tuple[int, np.ndarray]], edits: float, recall: float, differ: float | None, bits: int) -> DataFrame:
-    index = ItemIndex(own, edits)
-    signed = [[i, item_id, h.astype(np.int64).tolist()] for i, (item_id, h) in enumerate(own)]
-    cuts = [(i, h, first, size) for i, (_, h) in enumerate(own) for first, size in blocks(len(h))]
-    sizes, marks = np.array([c[3] for c in cuts], np.int64), np.array([_mark(len(h), first) for _, h, first, _ in cuts], np.int64)
-    keys: list[list[int]] = [[] for _ in own]
-    for (i, *_), k in zip(cuts, block_keys([h[first : first + size] for _, h, first, size in cuts], sizes, marks, recall, differ, bits), strict=True):
-        keys[i] += k.tolist()
-    items = spark.createDataFrame([(i, item, words, k) for (i, item, words), k in zip(signed, keys, strict=True)], "item int, item_id long, item_words array<long>, keys array<long>")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "origin", "words", "keys"]
+    sent = spark.sparkContext.broadcast((ItemIndex(own, edits), ItemKeys(own, recall, differ, bits), own))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches around windows that share a key with an item, and the item."""
+        index, keys, _ = sent.value
         in_word = letters_and_digits()
         for b in batches:
             ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
             for i in range(0, len(ids), 256):
                 h, bounds = hashed_words(texts[i : i + 256], in_word)
-                held = index.windows(h, bounds)
-                for k in range(0, len(held), 2000):
-                    some = held[k : k + 2000]
-                    own = [h[bounds[t] : bounds[t + 1]] for t, *_ in some]
-                    sizes, marks = np.array([x[4] for x in some], np.int64), np.array([_mark(n, first) for _, _, n, first, _ in some], np.int64)
-                    keys = block_keys([w[max(0, s) : max(0, s + size)] for w, (_, s, _, _, size) in zip(own, some, strict=True)], sizes, marks, recall, differ, bits)
-                    # The stretch around an item has room for all edits on either side.
-                    held_keys: dict[tuple[int, int, int], list[np.ndarray]] = defaultdict(list)
-                    for w, (t, s, n, first, _), x in zip(own, some, keys, strict=True):
+                words = [h[bounds[t] : bounds[t + 1]] for t in range(len(bounds) - 1)]
+                # Words in front of a seed may have been deleted or added, so the block may start later or earlier.
+                tried = [(seed, seed[1] + d) for seed in index.seeds(h, bounds) for d in range(-bound(seed[4], edits), min(seed[5], bound(seed[4], edits)) + 1)]
+                found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+                for k in range(0, len(tried), 4000):
+                    some = tried[k : k + 4000]
+                    sizes, marks = np.array([x[4] for x, _ in some], np.int64), np.array([_mark(x[2], x[3]) for x, _ in some], np.int64)
+                    met = keys.met([words[x[0]][max(0, s) : max(0, s + x[4])] for x, s in some], sizes, marks)
+                    for (x, _), got in zip(some, met, strict=True):
+                        # The stretch around an item has room for all edits on either side.
+                        t, s, n, first = x[:4]
                         slack = 2 * bound(n, edits)
-                        held_keys[t, max(0, s - first - slack), min(len(w), max(0, s - first + n + slack))].append(x)
-                    stretch = [h[bounds[t] + o : bounds[t] + e].astype(np.int64) for t, o, e in held_keys]
-                    distinct = [np.unique(np.concatenate(x)) for x in held_keys.values()]
-                    columns = [[ids[i + t] for t, *_ in held_keys], [o for _, o, _ in held_keys], stretch, distinct]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())], strict=True)], names)
-
-    held = docs.select("doc_id", "text").mapInArrow(windows, "doc_id long, origin long, words array<long>, keys array<long>")
-    # Windows of several sizes or starts may have one stretch, clipped to the text; their keys differ, and each counts.
-    held = cut(held.withColumn("window", F.xxhash64("doc_id", "origin", "words", "keys")).dropDuplicates(["window"]))
-    by_key = held.select("window", F.explode("keys").alias("key"))
-    met = by_key.join(items.select("item", F.explode("keys").alias("key")), "key").select("window", "item").distinct()
-    pairs = met.join(held.drop("keys"), "window").join(items.drop("keys"), "item")
+                        for item in got:
+                            found[t, int(item)].append((max(0, s - first - slack), min(len(words[t]), max(0, s - first + n + slack))))
+                rows = [(ids[i + t], item, o, words[t][o:e].astype(np.int64)) for (t, item), spans in found.items() for o, e in _merged(spans)]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], ["doc_id", "item", "origin", "words"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "item_id", "edits", "item_words", "start", "end"]
+        own = sent.value[2]
         for b in batches:
             out = []
-            for d, i, o, x, y in zip(*(b[c].to_pylist() for c in ("doc_id", "item_id", "origin", "item_words", "words")), strict=True):
-                e, s, t = best_alignment(np.array(x), np.array(y))
-                if e <= bound(len(x), edits):
-                    out.append((d, i, e, len(x), o + s, o + t))
+            columns = [b[c].to_pylist() for c in ("doc_id", "item", "origin", "words")]
+            rows = sorted(zip(*columns, strict=True), key=lambda r: len(own[r[1]][1]))
+            for k in range(0, len(rows), 200):  # of about one length, so padding is little
+                some = rows[k : k + 200]
+                got = alignments([own[r[1]][1] for r in some], [np.array(r[3], np.int64).astype(np.uint64) for r in some])
+                for (d, i, o, _), (e, s, t) in zip(some, got.tolist(), strict=True):
+                    n = len(own[i][1])
+                    if e <= bound(n, edits):
+                        out.append((d, own[i][0], e, n, o + s, o + t))
+            names = ["doc_id", "item_id", "edits", "item_words", "start", "end"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6, names)
 
-    leaks = pairs.mapInArrow(align, "doc_id long, item_id long, edits long, item_words long, start long, end long")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(candidates, "doc_id long, item int, origin long, words array<long>")
+    # Dealt anew, by number and not by bytes: documents with leaks may lie together, and aligning is where their work is.
+    held = held.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "item", "origin")
+    leaks = held.mapInArrow(align, "doc_id long, item_id long, edits long, item_words long, start long, end long")
     best = leaks.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start", "end", "item_words")).alias("b"))
     return best.select("doc_id", "item_id", "b.edits", "b.item_words", "b.start", "b.end")

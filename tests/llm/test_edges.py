@@ -263,45 +263,59 @@ def test_leaks_of_items_that_open_alike(spark):
     assert got == {(i, i, 0) for i in range(8)} | {(100, 0, 0), (101, 7, 0)}
 
 
-def test_leak_recall(spark):
-    """Windows with as many edits as are allowed are nearly all found."""
-    rng = np.random.default_rng(5)
-    words = [f"w{i}" for i in range(3000)]
-    items = [(i, [words[j] for j in rng.integers(0, 3000, 30)]) for i in range(40)]
-    docs = []
-    for i, w in items:
-        for k in range(10):
-            v = list(w)
-            for _ in range(6):
-                at = int(rng.integers(0, len(v)))
-                kind = int(rng.integers(0, 3))
-                v[at : at + 1] = [] if kind == 0 else [words[int(rng.integers(0, 3000))]] if kind == 1 else [v[at], words[int(rng.integers(0, 3000))]]
-            docs.append((i * 10 + k, " ".join(["pad"] * 20 + v + ["pad"] * 20)))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.doc_id // 10) == r.item_id for r in decontam.find_leaks(df, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
-    found = decontam.find_leaks(df, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).count()
-    assert got == {True} and found >= 0.97 * len(docs)
-
-
-@pytest.mark.parametrize("size", [30, 60, 120, 240])
-def test_leak_recall_of_long_items(spark, size):
-    """Copies with as many deletions as are allowed, the worst kind of edit, or as many mixed edits, are nearly all found."""
-    rng = np.random.default_rng(size)
-    items, docs = [], []
-    for i in range(25):
-        w = [f"i{i}w{j}" for j in range(size)]
-        items.append((i, " ".join(w)))
-        for k in range(8):
-            v = list(w)
-            for e in range(size // 5):
-                at = int(rng.integers(0, len(v)))
-                kind = int(rng.integers(0, 3)) if k % 2 else 0
-                v[at : at + 1] = [] if kind == 0 else [f"n{k}e{e}"] if kind == 1 else [v[at], f"n{k}e{e}"]
-            docs.append((i * 8 + k, " ".join(["pad"] * 5 + v + ["pad"] * 5)))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = decontam.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert all(r.doc_id // 8 == r.item_id for r in got)
-    assert len(got) >= 0.985 * len(docs)
+def edited(rng, words, kind, n):
+    """The words with ``n`` edits of one kind, or of any."""
+    v = list(words)
+    for e in range(n):
+        at = int(rng.integers(0, len(v)))
+        how = ("delete", "replace", "insert")[int(rng.integers(0, 3))] if kind == "mixed" else kind
+        v[at : at + 1] = {"delete": [], "replace": [f"n{e}x{at}"], "insert": [v[at], f"n{e}x{at}"]}[how]
+    return v
+
+
+@pytest.mark.parametrize("kind", ["delete", "replace", "insert", "mixed"])
+def test_leak_recall(spark, kind):
+    """Copies with as many edits as are allowed, in items of 15 to 250 words, against an alignment of every document with every item."""
+    rng = np.random.default_rng(sum(map(ord, kind)))
+    sizes = [15, 30, 60, 120, 250]
+    items = [(i, [f"c{j}" for j in rng.integers(0, 4000, sizes[i % 5])]) for i in range(40)]
+    docs = [(i * 10 + k, ["pad"] * 5 + edited(rng, w, kind, len(w) // 5) + [f"c{j}" for j in rng.integers(0, 4000, 30)]) for i, w in items for k in range(10)]
+    got = decontam.find_leaks(*(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string") for rows, key in ((docs, "doc_id"), (items, "item_id"))))
+    found = {(r.doc_id, r.item_id): r.edits for r in got.collect()}
+    hashed = [decontam.word_hashes(" ".join(w)) for _, w in items]
+    true = {}
+    for d, w in docs:
+        own = decontam.word_hashes(" ".join(w))
+        for i, (e, _, _) in enumerate(decontam.alignments(hashed, [own] * len(items)).tolist()):
+            if e <= decontam.bound(len(hashed[i]), 0.2):
+                true[d, i] = e
+    assert len(true) >= len(docs) and all(true.get(k) == e for k, e in found.items())
+    for size in sizes:
+        of = [k for k in true if len(items[k[1]][1]) == size]
+        assert len([k for k in of if k in found]) >= 0.97 * len(of), size
+
+
+def test_alignments():
+    """The vectorised alignment against the plain recurrence."""
+    rng = np.random.default_rng(4)
+    a = [rng.integers(0, 4, rng.integers(1, 9)).astype(np.uint64) for _ in range(60)]
+    b = [rng.integers(0, 4, rng.integers(0, 12)).astype(np.uint64) for _ in range(60)]
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, w in enumerate(x, 1):
+            row = _next(row, w, y, i)
+        return row[-1]
+
+    def _next(row, w, y, i):
+        new = [i]
+        for j, v in enumerate(y, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (v != w)))
+        return new
+
+    for x, y, (e, s, t) in zip(a, b, decontam.alignments(a, b).tolist(), strict=True):
+        every = [(edits(x, y[i:j]), j - i, i) for i in range(len(y) + 1) for j in range(i, len(y) + 1)]
+        assert (e, t - s, s) == min(every)
 
 
 def test_near_duplicates(odd, empty):
