@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 _INDEX = "ids array<long>, v binary, pivots array<int>"
+_ASKED = "vec_id long, v binary, pivots array<int>, floor double"
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -40,11 +41,13 @@ def _lift(v: np.ndarray, norm: float) -> np.ndarray:
     return (np.concatenate([v, left[:, None]], 1) / norm).astype(np.float32)
 
 
-def _near(v: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` nearest pivots of each vector, in order."""
+def _near(v: np.ndarray, pivots: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` nearest pivots of each vector, in order, and their similarities."""
     alike = v @ pivots.T
     some = np.argpartition(-alike, n - 1, axis=1)[:, :n]
-    return np.take_along_axis(some, np.argsort(-np.take_along_axis(alike, some, 1), axis=1, kind="stable"), 1).astype(np.int32)
+    order = np.argsort(-np.take_along_axis(alike, some, 1), axis=1, kind="stable")
+    some = np.take_along_axis(some, order, 1)
+    return some.astype(np.int32), np.take_along_axis(alike, some, 1)
 
 
 def _places(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -94,7 +97,7 @@ def search(
     read: int = 160,
     share: float = 0.2,
     least: int = 24,
-    block: int = 8192,
+    block: int = 1024,
     seed: int = 11,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query its ``k`` best by inner product, in double precision.
@@ -106,7 +109,9 @@ def search(
     others. ``ranking`` of the pivots give the orders that the footrule
     compares. Of a file a query compares the best ``share``, ``least`` entries
     at least. A file of more than ``block`` entries is sliced, and a query
-    reads every slice.
+    reads every slice. Pivots are rows of the table, so what scores below a
+    query's ``k + 1`` best pivots cannot be among its ``k`` best and is not
+    passed on.
 
     Equal vectors are indexed once with their ``k + 1`` smallest ids, which is
     all that a list of ``k`` can use, so a crowd of copies hides nobody. Ties
@@ -143,13 +148,17 @@ def search(
                     some = b.slice(i, 1024)
                     v = some["v"].flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
                     lifted = np.concatenate([v, np.zeros((len(v), 1))], 1).astype(np.float32) if query else _lift(v.astype(float), norm)
-                    near = _near(lifted, sent.value, read if query else posted)
-                    yield pa.RecordBatch.from_arrays([some[ids], pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()), pa.array(list(near), pa.list_(pa.int32()))], [ids, "v", "pivots"])
+                    near, alike = _near(lifted, sent.value, read if query else posted)
+                    columns = [some[ids], pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()), pa.array(list(near), pa.list_(pa.int32()))]
+                    if query:  # the similarities are single precision, hence the margin
+                        size = np.linalg.norm(v.astype(float), axis=1) * norm
+                        columns.append(pa.array(alike[:, k] * norm - 1e-4 * size if near.shape[1] > k else np.full(len(v), -np.inf), pa.float64()))
+                    yield pa.RecordBatch.from_arrays(columns, [ids, "v", "pivots", "floor"][: len(columns)])
 
         return run
 
     index = cut(crowds.select("ids", "v").mapInArrow(listing("ids", False), _INDEX))
-    asked = cut(_usable(queries, key, vector).distinct().mapInArrow(listing("vec_id", True), "vec_id long, v binary, pivots array<int>"))
+    asked = cut(_usable(queries, key, vector).distinct().mapInArrow(listing("vec_id", True), _ASKED))
 
     def counts(df: DataFrame) -> np.ndarray:
         """How often each pivot is listed: one row per pivot."""
@@ -186,18 +195,19 @@ def search(
                             listed.append(ps)
                 at = pa.array(row, pa.int64())
                 columns = [pa.array(bucket, pa.int32()), pa.array(part, pa.int32()), b[name].take(at), b["v"].take(at), pa.array(listed, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "part", name, "v", "pivots"])
+                more = ["floor"] if query else []
+                yield pa.RecordBatch.from_arrays([*columns, *(b[c].take(at) for c in more)], ["bucket", "part", name, "v", "pivots", *more])
 
         return run
 
     entries = index.mapInArrow(dealt(False), "bucket int, part int, " + _INDEX)
-    readers = asked.mapInArrow(dealt(True), "bucket int, part int, vec_id long, v binary, pivots array<int>")
+    readers = asked.mapInArrow(dealt(True), "bucket int, part int, " + _ASKED)
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(q) and len(x):
             qv, xv = (np.frombuffer(b"".join(t["v"]), kind).reshape(len(t), -1).astype(float) for t in (q, x))
-            anchors = sent.value[:ranking]
+            anchors, floor = sent.value[:ranking], q["floor"].to_numpy()
             q_place, x_place = _places(np.concatenate([qv, np.zeros((len(qv), 1))], 1).astype(np.float32), anchors), _places(_lift(xv, norm), anchors)
             readers_of: dict[int, list[int]] = {}
             file_of: dict[int, list[int]] = {}
@@ -215,8 +225,10 @@ def search(
                     some = np.array(rows[i : i + step])
                     footrule = np.abs(x_place[members][None] - q_place[some][:, None]).sum(2, dtype=np.int32)
                     best = members[np.argpartition(footrule, keep - 1, axis=1)[:, :keep]]
-                    found.append((np.repeat(some, keep), best.ravel(), np.einsum("qkd,qd->qk", xv[best], qv[some]).ravel()))
-        if not found:
+                    scores = np.einsum("qkd,qd->qk", xv[best], qv[some])
+                    fine = scores >= floor[some][:, None]
+                    found.append((np.repeat(some, fine.sum(1)), best[fine], scores[fine]))
+        if not sum(len(f[0]) for f in found):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         query, member, score = (np.concatenate(c) for c in zip(*found, strict=True))
         _, once = np.unique(query * len(x) + member, return_index=True)
