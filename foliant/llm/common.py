@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,24 +21,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) is a temporary folder taken.
+    Where that is unset, a local session takes a temporary folder of this
+    machine; on a cluster that is an error.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Take a folder out of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut or stored inside goes at the end; write the result outside that folder before."""
+    base = shared_dir(spark)
+    spark.sparkContext.setCheckpointDir(base)
+    inner = shared_dir(spark)
+    try:
+        yield
+    finally:
+        removed(spark, inner)
+        spark.sparkContext.setCheckpointDir(base)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4()}"
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows written as Parquet in the shared folder, or the given one, and read again."""
+    path = f"{folder or shared_dir(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -50,12 +74,13 @@ def hashed_sample(df: DataFrame, key: str, by: str, size: int) -> DataFrame:
     """Rows of each value of ``by``, about ``size`` of them, chosen by a hash of ``key``.
 
     Every group keeps all its rows while it has at most ``size``. The choice
-    needs one count per group, so no group meets in one task.
+    needs one count per group, so no group meets in one task; the counts are as
+    many as ``by`` has values, and Spark decides how they travel.
     """
     steps = 1_000_000
     counts = df.groupBy(by).agg(F.count("*").alias("_n"))
     return (
-        df.join(F.broadcast(counts), by)
+        df.join(counts, by)
         .where(F.pmod(F.xxhash64(key), F.lit(steps)) < F.ceil(F.lit(float(size * steps)) / F.col("_n")))
         .drop("_n")
     )

@@ -9,22 +9,25 @@ come from the forward and backward sums of a bounded sample of labelled texts.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hashed_sample
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 WORD_START = "▁"
-#: Longer words are scored as consecutive parts of this many characters.
-PART = 32
-LONGEST_PIECE = 10
+#: Longer runs of letters are scored as consecutive parts of this many characters, shorter ones as a whole; training takes shorter parts.
+PART, TRAINING_PART = 1024, 32
+#: The vocabulary has no longer piece of letters.
+LONGEST_PIECE = 16
+#: Sums are scaled up by this when they get so small.
+_SCALE = 1e100
 UNKNOWN = 1e-7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,6 +116,22 @@ class PieceTable:
             alpha[end] = np.bincount(rows, alpha[starts, rows] * p[pieces], n)
         return alpha
 
+    def log_forward(self, arcs: list, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Logs of the whole words' sums, which may be too small for a number."""
+        n = len(lengths)
+        alpha = np.zeros((len(arcs) + 1, n))
+        alpha[0] = 1.0
+        shift, out = np.zeros(n), np.zeros(n)
+        for end, (rows, starts, pieces) in enumerate(arcs, 1):
+            alpha[end] = np.bincount(rows, alpha[starts, rows] * p[pieces], n)
+            small = np.flatnonzero((alpha[end] < 1 / _SCALE) & (lengths >= end))
+            if len(small):  # with the sums that the next ones are made of
+                alpha[max(0, end - LONGEST_PIECE) : end + 1, small] *= _SCALE
+                shift[small] -= np.log(_SCALE)
+            done = lengths == end
+            out[done] = np.log(np.maximum(alpha[end, done], 1e-300)) + shift[done]
+        return out
+
     def expected(self, arcs: list, lengths: np.ndarray, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations."""
         n = len(lengths)
@@ -139,15 +158,21 @@ class LanguageModel:
         """Natural logs of the words' likelihoods: word x language."""
         if not words or not self.languages:
             return np.zeros((len(words), len(self.languages)))
-        arcs, lengths = self.table.lattice([WORD_START + w for w in words])
-        at = (lengths, np.arange(len(words)))
-        return np.stack([np.log(np.maximum(self.table.forward(arcs, lengths, p)[at], 1e-300)) for p in self.p], 1)
-
-
-def _parts(text: str) -> list[str]:
+        out = np.zeros((len(words), len(self.languages)))
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(order):  # words of like lengths together, so that a long one does not pad them all
+            some = order[at : at + max(1, 1_000_000 // (len(words[order[min(len(order), at + 50_000) - 1]]) + 1))][:50_000]
+            arcs, lengths = self.table.lattice([WORD_START + words[i] for i in some])
+            out[some] = np.stack([self.table.log_forward(arcs, lengths, p) for p in self.p], 1)
+            at += len(some)
+        return out
+
+
+def _parts(text: str, part: int = PART) -> list[str]:
     words = LETTERS.findall(text.lower())
-    if len(text) > PART and max(map(len, words), default=0) > PART:
-        words = [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
+    if len(text) > part and max(map(len, words), default=0) > part:
+        words = [w[i : i + part] for w in words for i in range(0, len(w), part)]
     return words
 
 
@@ -163,7 +188,7 @@ def train(docs: DataFrame, label: str = "lang", key: str = "doc_id", per_languag
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lang, text in zip(b["_label"].to_pylist(), b["text"].to_pylist(), strict=True):
-                w = _parts(text)
+                w = _parts(text, TRAINING_PART)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w), pa.string()), pa.array(w, pa.string())], ["lang", "word"])
 
     counted = chosen.mapInArrow(words, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n")).toPandas()
@@ -185,8 +210,9 @@ def train(docs: DataFrame, label: str = "lang", key: str = "doc_id", per_languag
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, remember: int = 200_000) -> DataFrame:
     """Add ``lang_pred`` and ``score``, the posterior of the best language under a flat prior.
 
-    ``keep`` names the columns that stay (all by default). A null text, one
-    without a letter, or a model that has seen no language gives ``und`` and 0.
+    ``keep`` names the columns that stay (all by default). A letter is a
+    character of Unicode's category L: numerals and digits are none. A null
+    text, one without a letter, or a model that has seen no language gives ``und`` and 0.
     Repeated rows get the same answer; of equal languages the first by name
     wins. Every text is read whole. Columns named ``lang_pred`` or ``score`` are replaced.
     """
@@ -207,7 +233,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                 ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
                 sizes.append(len(words))
             new = list(number)[len(known) :]
-            known = np.concatenate([known, *(m.word_scores(new[i : i + 50_000]) for i in range(0, len(new), 50_000))])
+            known = np.concatenate([known, m.word_scores(new)])
             total = np.stack([known[i].sum(0) for i in ids]) if ids else np.zeros((0, len(m.languages)))
             if m.languages and len(ids):
                 best = total.argmax(1)

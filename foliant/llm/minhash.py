@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, stored
@@ -116,22 +116,43 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, shingles binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets have 100 * intersection >= percent * union."""
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are similar enough; of an id with several sets any may be.
+
+    The pairs of one ``a`` are dealt into parts of about ``block``, and the set
+    of ``a`` goes to each part once, ahead of the sets of the ``b``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["a"].filter(keep), b["b"].filter(keep)], ["a", "b"])
+        of, heads = None, []
+        for batch in batches:
+            found = []
+            for a, part, b, s in zip(*(batch[c].to_pylist() for c in ("a", "part", "b", "shingles")), strict=True):
+                if (a, part) != of:
+                    of, heads = (a, part), []
+                own = np.frombuffer(s, np.uint64)
+                if b is None:
+                    heads.append(own)
+                elif any(_alike(x, own, percent) for x in heads):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    members = dealt.join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b").select("a", "part", "b", "shingles")
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.select(F.col("doc_id").alias("a"), "shingles"), "a")
+    rows = members.unionByName(heads.select("a", "part", F.lit(None).cast("long").alias("b"), "shingles"))
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long").distinct()
 
 
 def _meet(percent: int):
@@ -161,44 +182,52 @@ def _meet(percent: int):
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bundles: int = 24, rows: int = 4, crowd: int = 32, block: int = 1024) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per distinct id and set.
+    """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
     With ``rows`` minhashes to a bundle a pair of similarity s is missed with
     probability below ``2 * (1 - s ** rows) ** bundles``: 6e-6 at 0.8 for the
     defaults. Bundles that more than ``crowd`` texts of open buckets share are
     compared in blocks of about ``block`` texts. Texts null or without words have no shingles, link with nothing and
     are kept, as are rows with a null id (``component_id`` null). Texts with
-    equal sets are linked outright, whatever their number; repeated rows with
-    one id and one text come out once each.
+    equal sets are linked outright, whatever their number. Rows that share an id
+    are one document: all its texts belong to one component. Ids are read as
+    longs; other columns are not read.
     """
     slim = cut(sketch(docs, words, bundles, rows))
     full = slim.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("content").agg(F.min("doc_id").alias("rep"))
-    # Among rows with one id but different texts, each text is a class of its own id.
-    reps = full.join(classes, "content", "left").where("doc_id = rep").dropDuplicates(["doc_id", "content"]).select("doc_id", "n_shingles", "halves")
-    halves = reps.select("doc_id", F.posexplode("halves").alias("h", "key"))
+    classed = full.join(classes, "content")
+    # Classes that meet in one document are linked by it.
+    by_id = classed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("top"), F.collect_set("rep").alias("reps")).where("a < top")
+    by_id = by_id.select("a", F.explode("reps").alias("b")).where("a < b").distinct()
+    reps = classed.where("doc_id = rep").dropDuplicates(["doc_id", "content"]).select("doc_id", "n_shingles", "halves")
+    halves = reps.select("doc_id", "n_shingles", F.posexplode("halves").alias("h", "key"))
     # Bundles are dealt with their place mixed in, so a key is enough.
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     live = halves.join(shared, "key", "left_semi")
-    one_side = lambda lower: F.collect_list(F.when((F.col("h") < bundles) == lower, F.col("key")))
-    grids = live.groupBy("doc_id").agg(one_side(True).alias("first"), one_side(False).alias("second"))
-    grids = cut(grids.where((F.size("first") > 0) & (F.size("second") > 0)).join(reps.select("doc_id", "n_shingles", F.slice("halves", 1, bundles).alias("places")), "doc_id"))
+    one_side = lambda lower: F.collect_set(F.when((F.col("h") < bundles) == lower, F.col("key")))
+    grids = live.groupBy("doc_id").agg(one_side(True).alias("first"), one_side(False).alias("second"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    grids = cut(grids.where((F.size("first") > 0) & (F.size("second") > 0)))
     cells = grids.select("doc_id", "second", F.explode("first").alias("one")).select("doc_id", "one", F.explode("second").alias("two"))
     cells = cells.select("doc_id", F.xxhash64("one", "two").alias("cell"))
     heads = cells.groupBy("cell").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("cell", "head")
     buckets = stored(cells.join(heads, "cell"))
     # Only texts that share a table key are shingled in full.
     taking_part = buckets.select("doc_id").distinct()
-    sets = cut(full_sets(docs.join(taking_part, "doc_id", "left_semi"), words))
-    sizes = grids.select("doc_id", "n_shingles")
+    sets = cut(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taking_part, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), words).where("n_shingles > 0"))
+    sizes = grids.select("doc_id", "least", "most")
 
-    def fits(pairs: DataFrame) -> DataFrame:
+    def near_in_size(a: str, b: str) -> Column:
         """Sets of too different sizes cannot be similar enough."""
-        n = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n1")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n2")), "b")
-        return n.where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")).select("a", "b")
+        return 100 * F.least(f"{a}most", f"{b}most") >= percent * F.greatest(f"{a}least", f"{b}least")
+
+    def fits(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(sizes.select(F.col("doc_id").alias(side), F.col("least").alias(f"{side}_least"), F.col("most").alias(f"{side}_most")), side)
+        return pairs.where(near_in_size("a_", "b_")).select("a", "b")
 
     stars = fits(buckets.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = cut(verify(stars, sets, percent))
+    links = cut(verify(stars, sets, percent).union(by_id))
     joined = components(links)
 
     def unsettled() -> DataFrame:
@@ -212,22 +241,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bundles:
     # share a bundle of the first collection with them.
     open_ = cut(unsettled())
     whose = open_.select("doc_id", "part", (F.col("part") != F.col("main")).alias("few")).groupBy("doc_id", "part").agg(F.bool_or("few").alias("few"))
-    keyed = whose.join(grids, "doc_id").select("doc_id", "part", "few", "n_shingles", "places", F.explode("first").alias("key"))
+    keyed = whose.join(grids, "doc_id").select("doc_id", "part", "few", "least", "most", "first", F.explode("first").alias("key"))
     crowds = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("few").alias("n_few")).where("n > 1 and n_few > 0")
     keyed = cut(keyed.join(crowds, "key"))
     # A bundle with few texts forms its pairs as rows, each in the first bundle that both texts have.
     small = keyed.where(F.col("n") <= crowd)
-    names = ("doc_id", "part", "places", "n_shingles", "few")
+    names = ("doc_id", "part", "first", "least", "most", "few")
     x = small.where("few").select("key", *(F.col(c).alias(f"x_{c}") for c in names))
     y = small.select("key", *(F.col(c).alias(f"y_{c}") for c in names))
-    same = F.filter(F.zip_with("x_places", "y_places", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
     once = (
         (F.col("x_part") != F.col("y_part"))
         & (~F.col("y_few") | (F.col("x_doc_id") < F.col("y_doc_id")))
-        & (100 * F.least("x_n_shingles", "y_n_shingles") >= percent * F.greatest("x_n_shingles", "y_n_shingles"))
-        & (F.col("key") == F.element_at(same, 1))
+        & near_in_size("x_", "y_")
+        & (F.col("key") == F.array_min(F.array_intersect("x_first", "y_first")))
     )
-    rest = x.join(y, "key").where(once).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
+    rest = x.join(y, "key").where(once).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
     # A bundle with many is dealt into blocks; each block of the few meets each block of all, and only links come out.
     large = keyed.where(F.col("n") > crowd).select("key", "doc_id", "part", "few", F.ceil(F.col("n") / block).cast("int").alias("n"))
     large = large.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")).join(sets.select("doc_id", "shingles"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))

@@ -44,7 +44,7 @@ WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)
 base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
 more AS (SELECT * FROM generic x WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')
   AND NOT EXISTS (SELECT 1 FROM base y WHERE y.doc_id = x.doc_id AND y.a < x.b AND x.a < y.b)),
-owned AS (SELECT v, count(DISTINCT source) >= 3 AS copied FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY v),
+owned AS (SELECT v, count(DISTINCT source) >= 3 OR (count(DISTINCT source) > 1 AND count(DISTINCT doc_id) >= 10) AS copied FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY v),
 every AS (SELECT x.*, copied FROM (SELECT * FROM base UNION ALL SELECT * FROM more) x JOIN owned USING (v) WHERE ord < 3 OR NOT copied),
 told AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
   coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) FILTER (ord < 3), '') AS base_told, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) AS spans,

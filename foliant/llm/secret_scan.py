@@ -2,8 +2,8 @@
 
 A hash of every candidate is counted over the whole corpus by distinct
 documents (its repositories) and distinct sources (its owners). A value that
-several owners hold is a widely copied example; one that a single owner holds
-looks live. Only DataFrame functions run here.
+several owners hold, or two in many repositories, is a widely copied example;
+one that stays with its owner looks live, in however many repositories. Only DataFrame functions run here.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ KINDS = (
 )
 #: Further runs that look like generated keys: mixed case and digits, judged by ownership alone.
 GENERIC = ("generic", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}", 0, 20)
-_BLOCK = 256
 
 
 def _sum(items: Column) -> Column:
@@ -29,13 +28,14 @@ def _sum(items: Column) -> Column:
 
 
 def _prefix_sums(lengths: Column) -> Column:
-    """Sum of the items before each item; blocks keep the work below the square of the array's length."""
+    """Sum of the items before each item; blocks of the root of the array's length keep the work at its power of 1.5."""
     n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / _BLOCK))), lambda b: _sum(F.slice(lengths, (b * _BLOCK + 1).cast("int"), _BLOCK)))
+    width = F.ceil(F.sqrt(F.greatest(n, F.lit(1)))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / width))), lambda b: _sum(F.slice(lengths, (b * width + 1).cast("int"), width)))
 
     def before(_: Column, i: Column) -> Column:
-        block = F.floor(i / _BLOCK).cast("int")
-        return _sum(F.slice(blocks, F.lit(1), block)) + _sum(F.slice(lengths, block * _BLOCK + 1, i - block * _BLOCK))
+        block = F.floor(i / width).cast("int")
+        return _sum(F.slice(blocks, F.lit(1), block)) + _sum(F.slice(lengths, block * width + 1, i - block * width))
 
     return F.transform(lengths, before)
 
@@ -83,19 +83,23 @@ def ownership(found: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
-def scan(docs: DataFrame, owner: str = "source", copied_from: int = 3) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", copied_from: int = 3, spread_from: int = 10, few: int = 500_000) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, owner, base, added, n_live, n_copied``.
 
     ``base`` and ``added`` are arrays of ``(start, ord, kind, end, hash)``, in
-    order. A value that at least ``copied_from`` owners hold is a copied
-    example: its base spans stay, but a generic span is added only while its
-    value is rarer. A null text is empty; a null owner counts as one owner; a
+    order. A value that at least ``copied_from`` owners hold, or several owners
+    in at least ``spread_from`` repositories, is a copied example: its base
+    spans stay, but a generic span is added only while its value is rarer. Up
+    to ``few`` copied values are sent to the rows that hold candidates. A null text is empty; a null owner counts as one owner; a
     null id is one repository; repeated rows count once.
     """
     found = cut(candidates(docs, owner))
     some = found.where((F.size("base") > 0) | (F.size("more") > 0))
     exploded = some.select(F.xxhash64("doc_id", "owner", "base", "more").alias("_row"), F.explode(F.array_distinct(F.transform(F.concat("base", "more"), lambda x: x["hash"]))).alias("hash")).distinct()
-    widely = ownership(some).where(F.col("owners") >= copied_from).select("hash")
+    spread = (F.col("owners") > 1) & (F.col("repositories") >= spread_from)
+    widely = cut(ownership(some).where((F.col("owners") >= copied_from) | spread).select("hash"))
+    if widely.count() <= few:  # a value that very many rows hold then needs no shuffle
+        widely = F.broadcast(widely)
     copied = exploded.join(widely, "hash", "left_semi").groupBy("_row").agg(F.collect_list("hash").alias("_copied"))
     keyed = some.withColumn("_row", F.xxhash64("doc_id", "owner", "base", "more")).join(copied, "_row", "left")
     copied_set = F.coalesce("_copied", F.array().cast("array<string>"))

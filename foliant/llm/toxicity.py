@@ -67,14 +67,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_featur
     ``labels`` has ``doc_id`` and ``toxic``; null labels teach nothing, and a
     document without text teaches as an empty one. Sample, features and the
     bags of known features are bounded by the parameters, so what reaches the
-    driver is. Without labels the model scores everything 0.
+    driver is; features of weaker evidence than the first ``most_features`` are
+    left out. Ids are read as longs. Without labels the model scores everything 0.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     totals = {int(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}
     if not totals:
         return ToxicityModel({}, 0.0, -50.0)
     chosen = hashed_sample(known, "doc_id", "toxic", per_class)
-    bags = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
