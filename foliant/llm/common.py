@@ -42,14 +42,14 @@ def removed(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is cut or stored inside goes at the end; write the result outside that folder before."""
-    base = shared_dir(spark)
-    spark.sparkContext.setCheckpointDir(base)
+    parent = shared_dir(spark).rpartition("/")[0]
+    spark.sparkContext.setCheckpointDir(parent)  # a new folder in it
     inner = shared_dir(spark)
     try:
         yield
     finally:
+        spark.sparkContext.setCheckpointDir(parent)
         removed(spark, inner)
-        spark.sparkContext.setCheckpointDir(base)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -65,6 +65,13 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spare(name: str, taken: list[str]) -> str:
+    """The name, or one like it that no column has."""
+    while name.lower() in (c.lower() for c in taken):
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

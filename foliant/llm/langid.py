@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import hashed_sample, spare
 
 LETTERS = regex.compile(r"\p{L}+")
 WORD_START = "▁"
@@ -244,4 +244,4 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
             pred = [m.languages[i] if ok else "und" for i, ok in zip(best, named, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(pred, pa.string()), pa.array(np.where(named, share, 0.0))], [*out, "lang_pred", "score"])
 
-    return docs.select(*out, F.col("text").alias("_text")).mapInArrow(score, schema)
+    return docs.select(*out, F.col("text").alias(spare("_text", out))).mapInArrow(score, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import hashed_sample, spare
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -151,4 +151,4 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None,
             spans = [[{"start": i, "end": j, "score": p} for i, j, p in found if p >= threshold] for _, found in got]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(spans, kind)], [*out, *made])
 
-    return docs.select(*out, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*out, F.col("text").alias(spare("_text", out))).mapInArrow(run, schema)

@@ -7,7 +7,9 @@ import corpus_pipeline
 from foliant.llm import ann, chat, decontam, langid, licenses, linedup, minhash, mixing, secret_scan, toxicity
 from foliant.llm.components import components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_near long, taken long, keys string"
+#: Behind the columns of documents: names that operators make, and names that they work with.
+WORKING = ("score", "n_near", "taken", "keys", "_id", "_kept", "_lines", "row", "near", "rep", "part", "_text", "size", "item")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_near long, taken long, keys string, _id string, _kept string, _lines string, row string, near string, rep string, part string, _text string, size string, item string"
 LONG = "long text with many words " * 20_000
 
 
@@ -15,7 +17,7 @@ LONG = "long text with many words " * 20_000
 def odd(spark):
     """Null columns, blank, long and repeated texts, a repeated row, and columns that operators make."""
     texts = [(1, "One line of text here.\nAnother line."), (1, "One line of text here.\nAnother line."), (2, None), (3, ""), (4, " \n\t "), (5, LONG), (None, "One line of text here.\nA third line."), (6, "12345 !!!"), (7, "One line of text here.\nAnother line.")]
-    rows = [(i, t, None if i in (2, None) else "en", None if i in (3, 4) else "s", None, 0.5, 7, 9, "k") for i, t in texts]
+    rows = [(i, t, None if i in (2, None) else "en", None if i in (3, 4) else "s", None, 0.5, 7, 9, *"klmnopqrstu") for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -35,6 +37,22 @@ def test_langid(odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, langid.train(empty)).collect()} == {"und"}
 
 
+def test_langid_letters_and_long_words(spark, odd):
+    """Numerals are no letters; long words count whole, however small their likelihood gets."""
+    model = langid.train(odd)
+    rows = [(0, "½ ² 10"), (1, "Ⅷ"), (2, "①②"), (3, "x²"), (4, "word" * 5000), (5, "字" * 700)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in range(6)] == ["und"] * 3 + ["en"] * 3 and [got[i].score for i in range(6)] == [0.0] * 3 + [1.0] * 3
+    long = "mechanism" * 60
+    short = langid.LanguageModel(model.table, ["a"], np.full((1, model.table.size), 1e-4))
+    arcs, lengths = short.table.lattice([long])
+    logs = np.full(len(long) + 1, -np.inf)
+    logs[0] = 0
+    for end, (_, starts, pieces) in enumerate(arcs, 1):
+        logs[end] = np.logaddexp.reduce(logs[starts] + np.log(short.p[0][pieces]))
+    assert short.table.log_forward(arcs, lengths, short.p[0])[0] == pytest.approx(logs[-1])
+
+
 def test_langid_sums_all_segmentations():
     table = langid.PieceTable.of(["a", "b", "ab", "ba", "aba"])
     p = np.random.default_rng(0).random(table.size)
@@ -134,6 +152,14 @@ def test_secrets(spark, odd, empty):
     assert [(s.start, s.end) for s in got[9].base] == [(17 * i, 17 * i + 16) for i in range(600)]
 
 
+def test_secrets_by_repositories(spark):
+    """Two owners make a value a copied example once many repositories hold it; one owner never does."""
+    keys = ["Ab3dEf6hIj9kLmNoPq2sTu", "Zz9yXx8wVv7uTt6sRr5q", "Qq1wWw2eEe3rRr4tTt5y"]
+    rows = [(i, keys[0], "o1" if i else "o2") for i in range(12)] + [(20 + i, keys[1], "o1" if i else "o2") for i in range(4)] + [(40 + i, keys[2], "o1") for i in range(30)]
+    got = {r.doc_id: len(r.added) for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {got[i] for i in range(12)} == {0} and {got[20 + i] for i in range(4)} == {1} and {got[40 + i] for i in range(30)} == {1}
+
+
 def test_lines(spark, odd, empty):
     got = linedup.drop_repeats(odd).collect()
     assert len(got) == 9 and linedup.drop_repeats(empty).count() == 0
@@ -143,6 +169,9 @@ def test_lines(spark, odd, empty):
     # The null id is the earliest; both copies of row 1 stay alike; 7 repeats 1.
     assert by[None] == ["One line of text here.\nA third line."] and by[1] == ["Another line."] * 2 and by[7] == [""]
     assert by[2] == [None] and by[3] == [""] and by[4] == [" \n\t "] and by[5] == [LONG]
+    own = [c for c in odd.columns if c not in ("text", "n_near")]
+    key = lambda r: str([r[c] for c in own])
+    assert sorted(map(key, got)) == sorted(map(key, odd.collect()))
 
 
 def test_lines_within_one_edit(spark):
@@ -326,6 +355,16 @@ def test_near_duplicates(odd, empty):
     assert by[2].kept and by[3].n_shingles == 0 and by[None].component_id is None and by[None].kept
 
 
+def test_near_duplicates_of_one_id(spark):
+    """All texts of an id are one document: what either is near to belongs to its component, and repeats of a row change nothing."""
+    w = [f"t{i}" for i in range(300)]
+    one, two, three = " ".join(w[:100]), " ".join(w[100:200]), " ".join(w[200:])
+    rows = [(5, one), (5, two), (5, two), (6, one + " end"), (7, two + " end"), (8, three), (9, three + " end"), (3, two), (8, one + " more")] + [(9, three + " end")] * 700
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 3) for i in (3, 5, 6, 7, 8, 9)}
+
+
 def test_near_duplicate_chain(spark):
     """A chain of texts each near the next only is one group; its ends are far apart."""
     w = [f"t{i}" for i in range(400)]
@@ -341,8 +380,14 @@ def test_components(spark):
 
 
 def test_stages_on_odd_rows(spark, sf, odd):
-    docs = odd.drop("score", "n_near", "taken", "keys")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf).columns == docs.columns, name
-        assert stage(spark, docs.limit(0), sf).count() == 0, name
-    assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, sf).collect()} == {None, 1, 2, 3, 4, 5, 6}
+    for docs in (odd.drop(*WORKING), odd):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, sf)
+            if name != "mix_sources":
+                assert got.columns == docs.columns, name
+            if docs is odd or name == "mix_sources":
+                got.count()
+            assert stage(spark, docs.limit(0), sf).count() == 0, name
+    assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, odd, sf).collect()} == {None, 1, 2, 3, 4, 5, 6}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, odd, sf).collect()} == {None, 1, 2, 3, 4, 5, 6}
+    assert corpus_pipeline.mix_sources(spark, odd, sf).count() == 9
