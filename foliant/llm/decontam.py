@@ -305,27 +305,44 @@ def _leaks_of(spark, docs: DataFrame, own: list[tuple[int, np.ndarray]], edits:
         """Stretches around windows that share a key with an item, and the item."""
         index, keys, _ = sent.value
         in_word = letters_and_digits()
+        texts: list[tuple[int | None, np.ndarray]] = []
+        tried: list[tuple[int, int, int, int, int]] = []
+
+        def met() -> pa.RecordBatch:
+            """What the windows gathered so far meet: keys of many windows at a time."""
+            found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            for k in range(0, len(tried), 4000):
+                some = tried[k : k + 4000]
+                sizes, marks = np.array([x[4] for x in some], np.int64), np.array([_mark(x[2], x[3]) for x in some], np.int64)
+                got = keys.met([texts[t][1][max(0, s) : max(0, s + size)] for t, s, _, _, size in some], sizes, marks)
+                for (t, s, n, first, _), items in zip(some, got, strict=True):
+                    # The stretch around an item has room for all edits on either side.
+                    slack = 2 * bound(n, edits)
+                    for item in items:
+                        found[t, int(item)].append((max(0, s - first - slack), min(len(texts[t][1]), max(0, s - first + n + slack))))
+            rows = [(texts[t][0], item, o, texts[t][1][o:e].astype(np.int64)) for (t, item), spans in found.items() for o, e in _merged(spans)]
+            texts.clear()
+            tried.clear()
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], ["doc_id", "item", "origin", "words"])
+
         for b in batches:
-            ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
+            ids, written = b["doc_id"].to_pylist(), b["text"].to_pylist()
             for i in range(0, len(ids), 256):
-                h, bounds = hashed_words(texts[i : i + 256], in_word)
-                words = [h[bounds[t] : bounds[t + 1]] for t in range(len(bounds) - 1)]
+                h, bounds = hashed_words(written[i : i + 256], in_word)
                 # Words in front of a seed may have been deleted or added, so the block may start later or earlier.
-                tried = [(seed, seed[1] + d) for seed in index.seeds(h, bounds) for d in range(-bound(seed[4], edits), min(seed[5], bound(seed[4], edits)) + 1)]
-                found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                for k in range(0, len(tried), 4000):
-                    some = tried[k : k + 4000]
-                    sizes, marks = np.array([x[4] for x, _ in some], np.int64), np.array([_mark(x[2], x[3]) for x, _ in some], np.int64)
-                    met = keys.met([words[x[0]][max(0, s) : max(0, s + x[4])] for x, s in some], sizes, marks)
-                    for (x, _), got in zip(some, met, strict=True):
-                        # The stretch around an item has room for all edits on either side.
-                        t, s, n, first = x[:4]
-                        slack = 2 * bound(n, edits)
-                        for item in got:
-                            found[t, int(item)].append((max(0, s - first - slack), min(len(words[t]), max(0, s - first + n + slack))))
-                rows = [(ids[i + t], item, o, words[t][o:e].astype(np.int64)) for (t, item), spans in found.items() for o, e in _merged(spans)]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], ["doc_id", "item", "origin", "words"])
+                # Parts of one block mostly ask for the same windows.
+                windows = sorted({(t, s + d, n, first, size) for t, s, n, first, size, at in index.seeds(h, bounds) for d in range(-bound(size, edits), min(at, bound(size, edits)) + 1)})
+                last = None
+                for t, *window in windows:
+                    if t != last:
+                        texts.append((ids[i + t], h[bounds[t] : bounds[t + 1]].copy()))
+                        last = t
+                    tried.append((len(texts) - 1, *window))
+                if len(tried) >= 4000 or sum(len(w) for _, w in texts) > 4_000_000:
+                    yield met()
+        if tried:
+            yield met()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value[2]
