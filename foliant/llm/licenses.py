@@ -4,8 +4,12 @@ Whole texts, paragraphs, lines and runs of words are normalised and compared
 with licence templates. A coefficient of at least t is possible only if the smaller set has
 at least t / (2 - t) of the larger one's size, so templates outside those
 bounds are not looked at. A run begins and ends anywhere, so a licence inside a
-longer text is compared at its own extent; only templates that share at least
-that part of their bigrams with the text are looked for.
+longer text, also between comment marks, is compared at its own extent; only
+templates that share at least that part of their bigrams with the text are
+looked for.
+
+Templates are the full texts in ``licence_texts`` and the texts and notices
+listed here. A notice that names a version stands for that version alone.
 """
 
 from __future__ import annotations
@@ -13,11 +17,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Names of the full texts, as published, one file each.
+FULL_TEXTS = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
 #: Licence ids with their texts or customary notices.
 TEMPLATES = (
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
@@ -36,6 +44,9 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -47,24 +58,39 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("Proprietary", "All rights reserved."),
 )
+#: Fixed value: the section of the Affero licence that has no like in the licence it is made from.
+AFFERO_SECTION = """Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph. Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work. The terms of this License will continue to apply to the part which is the covered work, but the work with which it is combined will remain governed by version 3 of the GNU General Public License."""
 _TOKEN = re.compile(r"[^\W_]+")
-_NOTICE = re.compile(r"^[ \t]*(?:copyright|\(c\)|©).*$", re.IGNORECASE | re.MULTILINE)
+_NOTICE = re.compile(r"^[^\w\n(©]*(?:copyright|\(c\)|©).*$", re.IGNORECASE | re.MULTILINE)
 _PARAGRAPH = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")
 
 
+def every_template() -> tuple[tuple[str, str], ...]:
+    """The listed templates and the full texts. That of the Affero licence is the terms of GPL-3.0 under its own name, with its own section 13."""
+    folder = Path(__file__).parent / "licence_texts"
+    full = {name: (folder / f"{name}.txt").read_text(encoding="utf-8") for name in FULL_TEXTS}
+    terms = full["GPL-3.0"][full["GPL-3.0"].index("TERMS AND CONDITIONS") :]
+    terms = terms[: terms.index("END OF TERMS")]
+    section = slice(terms.index("13. Use with"), terms.index("14. Revised"))
+    kept = [part.replace("GNU General Public License", "GNU Affero General Public License") for part in (terms[: section.start], terms[section.stop :])]
+    return (*TEMPLATES, *full.items(), ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 {kept[0]} 13. {AFFERO_SECTION} {kept[1]}"))
+
+
+def _words(text: str) -> list[str]:
+    return ["license" + w[7:] if w.startswith("licence") else w for w in _TOKEN.findall(text.lower())]
+
+
 def normalise(text: str) -> list[str]:
     """Words in lower case, without copyright lines and punctuation, with one spelling of licence."""
-    words = _TOKEN.findall(_NOTICE.sub(" ", text).lower())
-    return ["license" + w[7:] if w.startswith("licence") else w for w in words]
+    return _words(_NOTICE.sub(" ", text))
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """Where the words of ``normalise(text)`` stand in the text."""
-    kept = _NOTICE.sub(lambda m: " " * len(m[0]), text)
-    lowered = kept.lower()
-    if len(lowered) == len(kept):
+    """Where the words of a text stand in it."""
+    lowered = text.lower()
+    if len(lowered) == len(text):
         return [m.span() for m in _TOKEN.finditer(lowered)]
-    at = [i for i, c in enumerate(kept) for _ in c.lower()]
+    at = [i for i, c in enumerate(text) for _ in c.lower()]
     return [(at[m.start()], at[m.end() - 1] + 1) for m in _TOKEN.finditer(lowered)]
 
 
@@ -73,10 +99,17 @@ def bigrams(words: list[str]) -> frozenset[tuple[str, str]]:
 
 
 class Templates:
+    #: A notice has fewer bigrams than this; its version must agree.
+    NOTICE = 60
+    #: A template of fewer bigrams counts only in a text that no other fits.
+    WEAK = 3
+
     def __init__(self, templates: tuple[tuple[str, str], ...], least: float):
         self.least = least
         self.sets = [(name, bigrams(normalise(text))) for name, text in templates]
         self.sets = [x for x in self.sets if x[1]]
+        # The words before and in a version.
+        self.version = [{g for g in s if g[1].isdigit()} if len(s) < self.NOTICE else set() for _, s in self.sets]
         self.of: dict[tuple[str, str], list[int]] = {}
         for i, (_, s) in enumerate(self.sets):
             for g in s:
@@ -87,103 +120,136 @@ class Templates:
         self.ratio = ratio
         self.grams = frozenset(self.of)
 
-    def runs(self, text: str) -> Iterator[tuple[str, float, int, int]]:
-        """The best run of words for each template that has one: name, coefficient, start and end."""
-        words = normalise(text)
+    def runs(self, text: str) -> Iterator[tuple[int, float, int, int]]:
+        """The best run of words for each template that has one: template, coefficient, start and end."""
+        words = _words(text)
         shared = Counter(i for g in self.grams.intersection(zip(words, words[1:], strict=False)) for i in self.of[g])
         some = [i for i, k in shared.items() if k >= self.ratio * len(self.sets[i][1]) - 1e-9]
         if not some:
             return
         number: dict[tuple[str, str], int] = {}
-        ids = [number.setdefault(g, len(number)) for g in zip(words, words[1:], strict=False)]
+        ids = np.array([number.setdefault(g, len(number)) for g in zip(words, words[1:], strict=False)])
         at = spans(text)
         for i in sorted(some):
-            dice, a, b = self.best_run(ids, {number[g] for g in self.sets[i][1] if g in number}, len(self.sets[i][1]))
-            if dice >= self.least:
-                yield self.sets[i][0], dice, at[a][0], at[b + 1][1]
+            own = np.zeros(len(number), bool)
+            own[[number[g] for g in self.sets[i][1] if g in number]] = True
+            dice, a, b = self.best_run(ids, own, len(self.sets[i][1]))
+            if dice >= self.least and self.version[i] <= set(zip(words[a : b + 1], words[a + 1 : b + 2], strict=False)):
+                yield i, dice, at[a][0], at[b + 1][1]
 
-    def best_run(self, ids: list[int], own: set[int], size: int) -> tuple[float, int, int]:
-        """Coefficient, first and last bigram of the best run for a template of so many bigrams; ``own`` are those in the text.
+    def best_run(self, ids: np.ndarray, own: np.ndarray, size: int) -> tuple[float, int, int]:
+        """Coefficient, first and last bigram of the best run for a template of so many bigrams; ``own`` marks those it has.
 
         A run that begins or ends with a bigram that is not the template's, or
         whose first one comes again in it, is no better than the shorter run,
         so no such run is tried. The smaller set has at least ``ratio`` of the
-        larger one's size, and a run has no more bigrams than that allows.
+        larger one's size, and a run has no more bigrams than that allows. A
+        run has no more of the template than there is behind its start.
         """
-        best = (0.0, 0, 0)
+        n = len(ids)
+        order = np.argsort(ids, kind="stable")
+        alike = ids[order][1:] == ids[order][:-1]
+        before, after = np.full(n, -1), np.full(n, n)
+        before[order[1:][alike]] = order[:-1][alike]
+        after[order[:-1][alike]] = order[1:][alike]
+        mine = own[ids]
+        ahead = np.cumsum((mine & (after == n))[::-1])[::-1]
+        best, first, last = 0.0, 0, 0
         most = size / self.ratio + 1e-9
-        for a, first in enumerate(ids):
-            if first not in own:
-                continue
-            seen, k = {first}, 1
-            best = max(best, (2 / (size + 1), -a, -a))
-            for b in range(a + 1, len(ids)):
-                g = ids[b]
-                if g == first:
-                    break
-                if g in seen:
-                    continue
-                seen.add(g)
-                if len(seen) > most:
+        for a in np.flatnonzero(mine):
+            if 2 * ahead[a] / (ahead[a] + size) <= best:
+                break
+            end, width = int(after[a]), int(2 * most) + 64
+            while True:
+                stop = min(end, a + width)
+                fresh = before[a:stop] < a
+                seen = np.cumsum(fresh)
+                if stop == end or seen[-1] > most:
                     break
-                if g in own:
-                    k += 1
-                    best = max(best, (2 * k / (len(seen) + size), -a, -b))
-        a, b = -best[1], -best[2]
-        held = own.intersection(ids[a : b + 1])  # more of these leave the coefficient as it is
-        while b + 1 < len(ids) and ids[b + 1] in held:
-            b += 1
-        while a and ids[a - 1] in held:
-            a -= 1
-        return best[0], a, b
-
-    def best(self, text: str) -> tuple[str, float] | None:
+                width *= 2
+            held = np.cumsum(fresh & mine[a:stop])
+            dice = np.where(fresh & mine[a:stop] & (seen <= most), 2 * held / (seen + size), 0.0)
+            b = int(dice.argmax())
+            if dice[b] > best:
+                best, first, last = float(dice[b]), int(a), int(a) + b
+        held = set(ids[first : last + 1][mine[first : last + 1]].tolist())  # more of these leave the coefficient as it is
+        while last + 1 < n and int(ids[last + 1]) in held:
+            last += 1
+        while first and int(ids[first - 1]) in held:
+            first -= 1
+        return best, first, last
+
+    def best(self, text: str) -> tuple[int, float] | None:
+        """The template nearest to a whole text, and the coefficient."""
         own = bigrams(normalise(text))
         n = len(own)
         if not self.low <= n <= self.high:
             return None
         shared = Counter(i for g in own & self.of.keys() for i in self.of[g])
-        got = [(2 * k / (n + len(self.sets[i][1])), i) for i, k in shared.items() if self.ratio * max(n, len(self.sets[i][1])) <= min(n, len(self.sets[i][1])) + 1e-9]
-        top = max(got, key=lambda x: (x[0], -x[1]), default=(0.0, 0))
-        return (self.sets[top[1]][0], top[0]) if top[0] >= self.least else None
+        some = ((k, i, len(self.sets[i][1])) for i, k in shared.items())
+        got = [(2 * k / (n + m), -i) for k, i, m in some if self.ratio * max(n, m) <= min(n, m) + 1e-9 and self.version[i] <= own]
+        top = max(got, default=(0.0, 0))
+        return (-top[1], top[0]) if top[0] >= self.least else None
+
+    def found(self, text: str) -> list[tuple[str, float, str, int, int]]:
+        """Licence, coefficient, unit, start and end of what a text holds.
+
+        Where licences overlap, the one nearer to its template stands, or of
+        equals the one that has more of it; no other is found in its words.
+        """
+        width = {"text": 0, "paragraph": 1, "line": 2, "run": 3}
+        hits: dict[int, tuple] = {}
+        for unit, i, j in units(text):
+            if hit := self.best(text[i:j]):
+                hits[hit[0]] = min(hits.get(hit[0], (0.0, 9, 0, 0, "")), (-hit[1], width[unit], i, j, unit))
+        for k, dice, i, j in self.runs(text):
+            hits[k] = min(hits.get(k, (0.0, 9, 0, 0, "")), (-dice, width["run"], i, j, "run"))
+        out: dict[str, tuple[str, float, str, int, int]] = {}
+        taken: list[tuple[int, int]] = []
+        weak = lambda k: len(self.sets[k][1]) < self.WEAK
+        for k, (dice, _, i, j, unit) in sorted(hits.items(), key=lambda h: (weak(h[0]), h[1][0], -len(self.sets[h[0]][1]), h[1][1:], h[0])):
+            if (weak(k) and out) or any(i < b and a < j for a, b in taken):
+                continue
+            taken.append((i, j))
+            name = self.sets[k][0]
+            out.setdefault(name, (name, -dice, unit, i, j))
+        return sorted(out.values())
+
+
+def units(text: str) -> Iterator[tuple[str, int, int]]:
+    """The whole text, its paragraphs and its lines."""
+    yield "text", 0, len(text)
+    for m in _PARAGRAPH.finditer(text):
+        if m.end() - m.start() < len(text):
+            yield "paragraph", m.start(), m.end()
+        at = m.start()
+        for line in m[0].split("\n"):
+            if len(line) < m.end() - m.start():
+                yield "line", at, at + len(line)
+            at += len(line) + 1
 
 
-def scan_licenses(docs: DataFrame, least: float = 0.8, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, least: float = 0.8, templates: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """``(doc_id, license, dice, unit, start, end)``: the best unit of each licence found in a text.
 
     Units are the whole text, its paragraphs (between blank lines) and its
-    lines, each read whole, and runs of words wherever they begin and end;
-    spans are in code points. Null, empty and one-word
-    texts match nothing. Of equal units the widest, then the first, wins; of
-    equal templates the first listed. Repeated rows give one row each. Other
-    columns are not read.
+    lines, each read whole and without copyright lines, and runs of words
+    wherever they begin and end; spans are in code points. Null, empty and
+    one-word texts match nothing. Of equal units the widest, then the first,
+    wins; of equal templates the first listed. Where licences overlap, the
+    nearest one stands. A template of one or two bigrams counts only where no
+    other licence is found. Repeated rows give one row each. Ids are read as
+    longs. Other columns are not read. ``templates`` defaults to all there are.
     """
-    known = Templates(templates, least)
-
-    def units(text: str) -> Iterator[tuple[str, int, int]]:
-        yield "text", 0, len(text)
-        for m in _PARAGRAPH.finditer(text):
-            if m.end() - m.start() < len(text):
-                yield "paragraph", m.start(), m.end()
-            at = m.start()
-            for line in m[0].split("\n"):
-                if len(line) < m.end() - m.start():
-                    yield "line", at, at + len(line)
-                at += len(line) + 1
+    known = docs.sparkSession.sparkContext.broadcast(Templates(templates or every_template(), least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, width = ["doc_id", "license", "dice", "unit", "start", "end"], {"text": 0, "paragraph": 1, "line": 2, "run": 3}
+        names = ["doc_id", "license", "dice", "unit", "start", "end"]
         kinds = [pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int64(), pa.int64()]
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                found: dict[str, tuple] = {}
-                for unit, i, j in units(text) if text else ():
-                    if hit := known.best(text[i:j]):
-                        found[hit[0]] = min(found.get(hit[0], (0.0, 9, 0, 0, "")), (-hit[1], width[unit], i, j, unit))
-                for name, dice, i, j in known.runs(text) if text else ():
-                    found[name] = min(found.get(name, (0.0, 9, 0, 0, "")), (-dice, width["run"], i, j, "run"))
-                out += [(doc_id, name, -d, unit, i, j) for name, (d, _, i, j, unit) in sorted(found.items())]
+                out += [(doc_id, *hit) for hit in known.value.found(text)] if text else []
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 

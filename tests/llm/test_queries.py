@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from foliant.llm import decontam, linedup
+from foliant.llm import decontam, licenses, linedup
 from foliant.llm.queries import QUERIES
 
 
@@ -42,6 +42,30 @@ def test_licenses(spark, sf, docs):
     for name, line in (("MIT", "Released under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0.")):
         assert {d for d, t in zip(docs["doc_id"], docs["text"], strict=True) if line in t.split("\n")} <= found[name]
     assert (got["dice"] >= 0.8).all()
+    # Every run of words of the shorter texts against every template.
+    known = licenses.Templates(licenses.every_template(), 0.8)
+    hits = {(r.doc_id, r.license): r for r in got.itertuples()}
+    short = [(d, t) for d, t in zip(docs["doc_id"], docs["text"], strict=True) if 2 <= len(t.split()) <= 110]
+    assert len(short) > 100
+    for d, text in short:
+        words, best = licenses._words(text), {}
+        for a in range(len(words) - 1):
+            seen, k = set(), defaultdict(int)
+            for g in zip(words[a:], words[a + 1 :], strict=False):
+                if g not in seen:
+                    seen.add(g)
+                    for i in known.of.get(g, ()):
+                        k[i] += 1
+                for i, n in k.items():
+                    if known.version[i] <= seen:
+                        best[i] = max(best.get(i, 0), 2 * n / (len(seen) + len(known.sets[i][1])))
+        want = defaultdict(float)
+        for i, dice in best.items():
+            if dice >= 0.8:
+                want[known.sets[i][0]] = max(want[known.sets[i][0]], dice)
+        own = {name: r.dice for (e, name), r in hits.items() if e == d}
+        assert bool(own) == bool(want) and all(dice >= want.get(name, 0) - 1e-9 for name, dice in own.items())
+        assert all(name in own or max(own.values()) >= dice for name, dice in want.items())
 
 
 def test_mix(spark, sf, docs):
