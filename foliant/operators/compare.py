@@ -1,8 +1,10 @@
 """Comparison of document versions: word diff, changes, page fingerprints and alignment.
 
 A pair of versions is ``(pair_id, a_doc, b_doc)``; words and pages of its sides
-carry ``pair_id``. Windows are partitioned by pair, joins are equi-joins on the
-pair and a word, so pairs are compared independently.
+carry ``pair_id`` and ``side`` (a or b). The words of both sides are one table
+that is read once: matching marks its rows by windows over the pair and a word
+or the pair and a side, so pairs are compared independently and no join repeats
+the words.
 """
 
 from __future__ import annotations
@@ -12,83 +14,108 @@ from pyspark.sql import functions as F
 
 GAP = 0.25
 SNIPPET = 60
+#: Ids are taken in ranges of two to this power where a first line has very many documents.
+RANGE_BITS = 16
 
 
 def version_pairs(docs: DataFrame) -> DataFrame:
-    """Each document with the one before it that has the same first line."""
+    """Each document with the one before it that has the same first line.
+
+    Documents meet by first line and range of ids, and ranges by their last
+    ids, so a first line that very many documents share is no single task.
+    """
     first = F.element_at(F.split("text", "\n", 2), 1)
-    before = F.lag("doc_id").over(Window.partitionBy("_f").orderBy("doc_id"))
-    paired = docs.select("doc_id", F.xxhash64(first).alias("_f")).withColumn("a_doc", before).where("a_doc is not null")
-    return paired.select(F.col("doc_id").alias("pair_id"), "a_doc", F.col("doc_id").alias("b_doc"))
+    keyed = docs.select("doc_id", F.xxhash64(first).alias("_f"), F.shiftright(F.col("doc_id").cast("long"), RANGE_BITS).alias("_r"))
+    inside = keyed.withColumn("a_doc", F.lag("doc_id").over(Window.partitionBy("_f", "_r").orderBy("doc_id")))
+    ranges = keyed.groupBy("_f", "_r").agg(F.max("doc_id").alias("_top"))
+    earlier = ranges.select("_f", "_r", F.lag("_top").over(Window.partitionBy("_f").orderBy("_r")).alias("_before")).where("_before is not null")
+    joined = inside.join(earlier, ["_f", "_r"], "left").withColumn("a_doc", F.coalesce("a_doc", "_before")).where("a_doc is not null")
+    return joined.select(F.col("doc_id").alias("pair_id"), "a_doc", F.col("doc_id").alias("b_doc"))
+
+
+def paired_documents(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents that are in a pair, once for each side of each pair: ``(pair_id, side, text)``."""
+    sides = pairs.select("pair_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_doc").alias("doc_id")) for s in "ab"))).alias("s"))
+    return sides.select("pair_id", "s.side", "s.doc_id").join(docs.select("doc_id", "text"), "doc_id").select("pair_id", "side", "text")
 
 
-def pair_words(words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The word streams of both sides: ``(pair_id, pos, word, page_no)``."""
-    return tuple(pairs.select("pair_id", F.col(f"{s}_doc").alias("doc_id")).join(words, "doc_id").select("pair_id", "pos", "word", "page_no") for s in "ab")
+def _partner(*keys: str) -> Column:
+    """The other side's position among the rows of a key, which has one of each side at most."""
+    by = Window.partitionBy(*keys)
+    at = lambda s: F.max(F.when(F.col("side") == s, F.col("pos"))).over(by)
+    return F.when(F.col("side") == "a", at("b")).otherwise(at("a"))
 
 
-def _in_order(matches: DataFrame) -> DataFrame:
-    """Matches that cross no other one."""
-    pair = Window.partitionBy("pair_id").orderBy("a")
-    before, after = F.max("b").over(pair.rowsBetween(Window.unboundedPreceding, -1)), F.min("b").over(pair.rowsBetween(1, Window.unboundedFollowing))
-    marked = matches.withColumn("_lo", F.coalesce(before, F.lit(-1))).withColumn("_hi", F.coalesce(after, F.lit(2**31)))
-    return marked.where((F.col("_lo") < F.col("b")) & (F.col("b") < F.col("_hi"))).drop("_lo", "_hi")
+def _crossing_none(partner: str) -> Column:
+    """Whether a row's match crosses no other one of its pair; both sides of a match agree on it."""
+    side = Window.partitionBy("pair_id", "side")
+    before = F.max(partner).over(side.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(partner).over(side.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))
+    return F.col(partner).isNotNull() & (F.coalesce(before, F.lit(-1)) < F.col(partner)) & (F.col(partner) < F.coalesce(after, F.lit(2**31)))
 
 
-def word_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(pair_id, a, b)``: positions of matching words, in the same order on both sides.
+def match_words(words: DataFrame) -> DataFrame:
+    """Mark the words ``(pair_id, side, pos, word, page_no)`` with ``partner``, the matching position on the other side, and ``gap``, the matches up to there.
 
     Words that occur once on either side are anchors unless they cross; between
     two anchors the k-th occurrences of a word match, again unless they cross.
     """
-    once = lambda s, c: s.groupBy("pair_id", "word").agg(F.min("pos").alias(c), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    anchors = _in_order(once(a, "a").join(once(b, "b"), ["pair_id", "word"]).select("pair_id", "a", "b"))
+    of_side = Window.partitionBy("pair_id", "side").orderBy("pos")
+    of_word = Window.partitionBy("pair_id", "word")
+    once = (F.count_if(F.col("side") == "a").over(of_word) == 1) & (F.count_if(F.col("side") == "b").over(of_word) == 1)
+    anchored = words.select("pair_id", "side", "pos", "word", "page_no", F.when(once, _partner("pair_id", "word")).alias("_p"))
+    anchored = anchored.withColumn("_anchor", _crossing_none("_p")).withColumn("_gap", F.count_if("_anchor").over(of_side))
+    # One exchange serves both windows: the occurrence's number, and who has the same one.
+    dealt = anchored.repartition("pair_id", "_gap", "word")
+    k = F.row_number().over(Window.partitionBy("pair_id", "_gap", "word", "_anchor", "side").orderBy("pos"))
+    dealt = dealt.withColumn("_k", k).withColumn("_q", _partner("pair_id", "_gap", "word", "_anchor", "_k"))
+    found = dealt.withColumn("_ok", _crossing_none("_q"))
+    return found.select("pair_id", "side", "pos", "word", "page_no", F.when(F.col("_ok"), F.col("_q")).alias("partner"), F.count_if("_ok").over(of_side).alias("gap"))
 
-    def gaps(side: DataFrame, c: str) -> DataFrame:
-        """Words between anchors, with the gap's number and the occurrence's number in it."""
-        at = side.join(anchors.select("pair_id", F.col(c).alias("pos"), F.lit(1).alias("_m")), ["pair_id", "pos"], "left")
-        gap = F.count("_m").over(Window.partitionBy("pair_id").orderBy("pos"))
-        free = at.withColumn("gap", gap).where("_m is null")
-        k = F.row_number().over(Window.partitionBy("pair_id", "gap", "word").orderBy("pos"))
-        return free.select("pair_id", "gap", "word", k.alias("k"), F.col("pos").alias(c))
 
-    more = gaps(a, "a").join(gaps(b, "b"), ["pair_id", "gap", "word", "k"]).select("pair_id", "a", "b")
-    return _in_order(anchors.unionByName(more))
+def word_diff(matched: DataFrame) -> DataFrame:
+    """``(pair_id, a, b)``: positions of matching words, in the same order on both sides."""
+    return matched.where("side = 'a' and partner is not null").select("pair_id", F.col("pos").alias("a"), F.col("partner").alias("b"))
 
 
-def diff_changes(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
+def diff_changes(matched: DataFrame) -> DataFrame:
     """What stands between consecutive matches: one change each, with its kind, snippets and first pages."""
+    free = matched.where("partner is null")
+    of = lambda s, x: F.when(F.col("side") == s, x)
 
-    def runs(side: DataFrame, c: str) -> DataFrame:
-        at = side.join(matches.select("pair_id", F.col(c).alias("pos"), F.lit(1).alias("_m")), ["pair_id", "pos"], "left")
-        gap = F.count("_m").over(Window.partitionBy("pair_id").orderBy("pos"))
-        free = at.withColumn("gap", gap).where("_m is null")
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
-        return free.groupBy("pair_id", "gap").agg(text.alias(f"{c}_t"), F.min("page_no").alias(f"{c}_page"), F.count("*").alias(f"{c}_words"))
+    def text(s: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(of(s, F.struct("pos", "word")))), lambda x: x["word"]), " ")
+
+    sides = [x for s in "ab" for x in (text(s).alias(f"{s}_t"), F.min(of(s, F.col("page_no"))).alias(f"{s}_page"))]
+    both = free.groupBy("pair_id", "gap").agg(*sides)
 
     def snippet(t: str) -> Column:
-        return F.when(F.length(t) > SNIPPET, F.concat(F.substring(t, 1, SNIPPET - 1), F.lit("…"))).otherwise(F.coalesce(t, F.lit("")))
+        return F.when(F.length(t) > SNIPPET, F.concat(F.substring(t, 1, SNIPPET - 1), F.lit("…"))).otherwise(F.col(t))
 
-    both = runs(a, "a").join(runs(b, "b"), ["pair_id", "gap"], "full_outer")
-    kind = F.when(F.col("b_t").isNull(), "delete").when(F.col("a_t").isNull(), "insert").otherwise("replace")
+    kind = F.when(F.col("b_page").isNull(), "delete").when(F.col("a_page").isNull(), "insert").otherwise("replace")
     return both.select("pair_id", "gap", kind.alias("kind"), snippet("a_t").alias("a_text"), snippet("b_t").alias("b_text"), "a_page", "b_page")
 
 
-def version_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
+def version_similarity(words: DataFrame) -> DataFrame:
     """Words kept, removed and added whatever their order, and the ratio of kept words."""
-    k = F.row_number().over(Window.partitionBy("pair_id", "word").orderBy("pos"))
-    mark = lambda s, c: s.select("pair_id", "word", k.alias("k"), F.lit(1).alias(c))
-    both = mark(a, "_a").join(mark(b, "_b"), ["pair_id", "word", "k"], "full_outer")
-    n = both.groupBy("pair_id").agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("equal"), F.count_if(F.col("_b").isNull()).alias("removed"), F.count_if(F.col("_a").isNull()).alias("added"))
+    of = lambda s: F.count_if(F.col("side") == s)
+    per_word = words.groupBy("pair_id", "word").agg(of("a").alias("_a"), of("b").alias("_b"))
+    both = F.least("_a", "_b")
+    n = per_word.groupBy("pair_id").agg(F.sum(both).alias("equal"), F.sum(F.col("_a") - both).alias("removed"), F.sum(F.col("_b") - both).alias("added"))
     return n.withColumn("ratio", 2 * F.col("equal") / (2 * F.col("equal") + F.col("removed") + F.col("added")))
 
 
-def compare_summary(pairs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Per pair: changes, changed pages of each side, and whether the versions are identical."""
+def compare_summary(extents: DataFrame, changes: DataFrame) -> DataFrame:
+    """Per pair: pages of each side, changes, changed pages, whether the versions are identical, and whether some of them was not read.
+
+    ``extents (pair_id, side, n_pages, truncated)`` has a row per side.
+    """
+    of = lambda s: F.max(F.when(F.col("side") == s, F.col("n_pages"))).alias(f"{s}_page_count")
+    sizes = extents.groupBy("pair_id").agg(of("a"), of("b"), F.bool_or("truncated").alias("truncated"))
     pages = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     n = changes.groupBy("pair_id").agg(F.count("*").alias("n"), pages("a_page").alias("a_pages"), pages("b_page").alias("b_pages"))
-    j = pairs.select("pair_id").join(n, "pair_id", "left")
-    return j.select("pair_id", F.coalesce("n", F.lit(0)).alias("changes"), F.coalesce("a_pages", F.lit("")).alias("a_pages"), F.coalesce("b_pages", F.lit("")).alias("b_pages"), F.col("n").isNull().alias("identical"))
+    told = [F.coalesce("n", F.lit(0)).alias("changes"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("a_pages", "b_pages")), F.col("n").isNull().alias("identical")]
+    return sizes.join(n, "pair_id", "left").select("pair_id", "a_page_count", "b_page_count", *told, "truncated")
 
 
 def box_refs(changes: DataFrame) -> DataFrame:
@@ -110,10 +137,11 @@ def changes_selected(refs: DataFrame, picks: DataFrame) -> DataFrame:
 def page_fingerprint(pages: DataFrame, bits: int = 16) -> DataFrame:
     """Gradient bits of the page's word lengths, its set of words, and its size in lines."""
     words = F.filter(F.split(F.lower("page_text"), r"\s+"), lambda w: w != "")
+    keys = [c for c in ("pair_id", "side", "doc_id") if c in pages.columns]
     sized = pages.withColumn("_w", words)
     length = lambda i: F.coalesce(F.length(F.try_element_at("_w", i)), F.lit(0))
     grade = F.transform(F.sequence(F.lit(1), F.lit(bits)), lambda i: (length(i + 1) < length(i)).cast("int"))
-    return sized.select("doc_id", "page_no", F.array_join(F.transform(grade, lambda b: b.cast("string")), "").alias("bits"), F.array_distinct("_w").alias("words"), F.size(F.split("page_text", "\n")).alias("height"))
+    return sized.select(*keys, "page_no", F.array_join(F.transform(grade, lambda b: b.cast("string")), "").alias("bits"), F.array_distinct("_w").alias("words"), F.size(F.split("page_text", "\n")).alias("height"))
 
 
 def page_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -138,29 +166,46 @@ def page_align(similarities: DataFrame) -> DataFrame:
 
     An unmatched page scores 0.25, so only pages more than 0.5 alike match; of
     equal moves a match wins, then skipping a page of A. One fold per pair over
-    its rows of similarities, which has the pair's pages as its size.
+    its rows of similarities keeps a letter per cell, and a second one walks
+    back over the letters, so memory is the product of the pair's pages.
     """
     per_row = similarities.groupBy("pair_id", "a_page").agg(F.transform(F.array_sort(F.collect_list(F.struct("b_page", "similarity"))), lambda x: x["similarity"]).alias("sims"))
     grid = per_row.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("a_page", "sims"))).alias("rows")).withColumn("_m", F.size(F.element_at("rows", 1)["sims"]))
-    path = "array<struct<a_page:int,b_page:int,similarity:double>>"
-    start = F.struct(F.transform(F.sequence(F.lit(0), F.col("_m")), lambda j: j * F.lit(GAP)).alias("best"), F.array_repeat(F.array().cast(path), F.col("_m") + 1).alias("path"), F.lit(0).alias("i"))
+    start = F.struct(F.transform(F.sequence(F.lit(0), F.col("_m")), lambda j: j * F.lit(GAP)).alias("best"), F.array().cast("array<string>").alias("ways"))
 
     def next_row(above: Column, row: Column) -> Column:
-        left_edge = F.struct(F.array(F.element_at(above["best"], 1) + GAP).alias("best"), F.array(F.element_at(above["path"], 1)).alias("path"))
+        """The best totals of the next row, and a letter per cell that tells where each came from."""
+        edge = F.element_at(above["best"], 1) + GAP
+        left_edge = F.struct(F.array(edge).alias("best"), edge.alias("last"), F.lit("").alias("way"))
 
         def cell(acc: Column, j: Column) -> Column:
-            s = F.element_at(row["sims"], j)
-            diag, up, left = F.element_at(above["best"], j) + s, F.element_at(above["best"], j + 1) + GAP, F.element_at(acc["best"], j) + GAP
-            matched = F.concat(F.element_at(above["path"], j), F.array(F.struct(above["i"].alias("a_page"), (j - 1).alias("b_page"), s.alias("similarity"))))
+            diag, up, left = F.element_at(above["best"], j) + F.element_at(row["sims"], j), F.element_at(above["best"], j + 1) + GAP, acc["last"] + GAP
             best = F.greatest(diag, up, left)
-            way = F.when(diag == best, matched).when(up == best, F.element_at(above["path"], j + 1)).otherwise(F.element_at(acc["path"], j))
-            return F.struct(F.concat(acc["best"], F.array(best)).alias("best"), F.concat(acc["path"], F.array(way)).alias("path"))
+            letter = F.when(diag == best, "d").when(up == best, "u").otherwise("l")
+            return F.struct(F.concat(acc["best"], F.array(best)).alias("best"), best.alias("last"), F.concat(acc["way"], letter).alias("way"))
 
         done = F.aggregate(F.sequence(F.lit(1), F.size(row["sims"])), left_edge, cell)
-        return F.struct(done["best"].alias("best"), done["path"].alias("path"), (above["i"] + 1).alias("i"))
-
-    folded = grid.select("pair_id", F.aggregate("rows", start, next_row, lambda x: F.element_at(x["path"], -1)).alias("p"))
-    return folded.select("pair_id", F.inline("p"))
+        return F.struct(done["best"].alias("best"), F.concat(above["ways"], F.array(done["way"])).alias("ways"))
+
+    grid = grid.withColumn("_ways", F.aggregate("rows", start, next_row, lambda x: x["ways"]))
+    here = F.struct(F.size("rows").alias("i"), F.col("_m").alias("j"), F.array().cast("array<struct<a_page:int,b_page:int>>").alias("pairs"))
+
+    def back(at: Column, _: Column) -> Column:
+        """One move back from the last cell; at an edge nothing matches any more."""
+        inside = (at["i"] > 0) & (at["j"] > 0)
+        letter = F.when(inside, F.substring(F.try_element_at("_ways", F.greatest(at["i"], F.lit(1))), at["j"], F.lit(1)))
+        pair = F.array(F.struct((at["i"] - 1).alias("a_page"), (at["j"] - 1).alias("b_page")))
+        return F.struct(
+            F.when(letter.isin("d", "u"), at["i"] - 1).otherwise(at["i"]).alias("i"),
+            F.when(letter.isin("d", "l"), at["j"] - 1).otherwise(at["j"]).alias("j"),
+            F.when(letter == "d", F.concat(pair, at["pairs"])).otherwise(at["pairs"]).alias("pairs"),
+        )
+
+    steps = F.sequence(F.lit(1), F.size("rows") + F.col("_m"))
+    traced = grid.withColumn("_pairs", F.aggregate(steps, here, back, lambda x: x["pairs"]))
+    # Pages of a pair are numbered from 0 without gaps, so a page is its place in the grid.
+    similarity = lambda p: F.element_at(F.element_at(F.col("rows"), p["a_page"] + 1)["sims"], p["b_page"] + 1)
+    return traced.select("pair_id", F.inline(F.transform("_pairs", lambda p: F.struct(p["a_page"].alias("a_page"), p["b_page"].alias("b_page"), similarity(p).alias("similarity")))))
 
 
 def unmatched_pages(a: DataFrame, b: DataFrame, alignment: DataFrame) -> DataFrame:

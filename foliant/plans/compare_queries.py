@@ -10,45 +10,47 @@ from ..sources import corpus
 from . import common_sql as sql
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return c.version_pairs(corpus.table(spark, d, "documents"))
+_SIDES = ("pair_id", "side")
 
 
-def _words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return c.pair_words(corpus.word_stream(corpus.table(spark, d, "documents")), _pairs(spark, d))
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    docs = corpus.table(spark, d, "documents")
+    return c.paired_documents(docs, c.version_pairs(docs))
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.word_stream(_paired(spark, d), keys=_SIDES)
 
 
 def word_diff(spark, d):
-    return c.word_diff(*_words(spark, d))
+    return c.word_diff(c.match_words(_words(spark, d)))
 
 
 def diff_changes(spark, d):
-    a, b = _words(spark, d)
-    return c.diff_changes(a, b, c.word_diff(a, b))
+    return c.diff_changes(c.match_words(_words(spark, d)))
 
 
 def version_similarity(spark, d):
-    return c.version_similarity(*_words(spark, d))
+    return c.version_similarity(_words(spark, d))
 
 
 def compare_summary(spark, d):
-    a, b = _words(spark, d)
-    return c.compare_summary(_pairs(spark, d), c.diff_changes(a, b, c.word_diff(a, b)))
+    return c.compare_summary(corpus.document_extent(_paired(spark, d), keys=_SIDES), diff_changes(spark, d))
 
 
 def box_refs(spark, d):
-    a, b = _words(spark, d)
-    return c.box_refs(c.diff_changes(a, b, c.word_diff(a, b)))
+    return c.box_refs(diff_changes(spark, d))
 
 
 def changes_selected(spark, d):
+    """Every other box ticked, of side B, but not those of deletions."""
     refs = box_refs(spark, d)
     return c.changes_selected(refs, refs.where("b_box % 2 = 0 and kind <> 'delete'").select("pair_id", "b_page", "b_box")).select("pair_id", "gap", "kind")
 
 
 def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    prints = c.page_fingerprint(corpus.page_texts(corpus.table(spark, d, "documents")))
-    return tuple(_pairs(spark, d).select("pair_id", F.col(f"{s}_doc").alias("doc_id")).join(prints, "doc_id") for s in "ab")
+    prints = c.page_fingerprint(corpus.page_texts(_paired(spark, d), keys=_SIDES))
+    return tuple(prints.where(F.col("side") == s).drop("side") for s in "ab")
 
 
 def page_fingerprint(spark, d):
@@ -65,11 +67,17 @@ def page_align(spark, d):
 
 
 def unmatched_pages(spark, d):
+    """With pages of one number and fingerprint as the alignment, which SQL can tell too."""
     a, b = _pages(spark, d)
     same = a.join(b.select("pair_id", "page_no", F.col("bits").alias("other")), ["pair_id", "page_no"]).where("bits = other").select("pair_id", F.col("page_no").alias("a_page"), F.col("page_no").alias("b_page"))
     return c.unmatched_pages(a, b, same)
 
 
+def unmatched_pages_aligned(spark, d):
+    a, b = _pages(spark, d)
+    return c.unmatched_pages(a, b, c.page_align(c.page_similarity(a, b)))
+
+
 _PAIRS = """pairs AS (SELECT doc_id AS pair_id, a_doc, doc_id AS b_doc FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY string_split(text, chr(10))[1] ORDER BY doc_id) AS a_doc FROM documents) WHERE a_doc IS NOT NULL)"""
 _W = f"""{sql.TOKENS}, {_PAIRS},
 ta AS (SELECT pair_id, pos, word, page_no FROM pairs JOIN tokens ON doc_id = a_doc), tb AS (SELECT pair_id, pos, word, page_no FROM pairs JOIN tokens ON doc_id = b_doc)"""
@@ -119,8 +127,12 @@ QUERIES = {
         compare_summary,
         f"""WITH {_CHANGES}, n AS (SELECT pair_id, count(*) AS n, string_agg(DISTINCT CAST(a_page AS VARCHAR), ',' ORDER BY CAST(a_page AS VARCHAR)) AS x FROM changes GROUP BY 1),
         pa AS (SELECT pair_id, string_agg(CAST(a_page AS VARCHAR), ',' ORDER BY a_page) AS a_pages FROM (SELECT DISTINCT pair_id, a_page FROM changes WHERE a_page IS NOT NULL) GROUP BY 1),
-        pb AS (SELECT pair_id, string_agg(CAST(b_page AS VARCHAR), ',' ORDER BY b_page) AS b_pages FROM (SELECT DISTINCT pair_id, b_page FROM changes WHERE b_page IS NOT NULL) GROUP BY 1)
-        SELECT pair_id, coalesce(n, 0) AS changes, coalesce(a_pages, '') AS a_pages, coalesce(b_pages, '') AS b_pages, n IS NULL AS identical FROM pairs LEFT JOIN n USING (pair_id) LEFT JOIN pa USING (pair_id) LEFT JOIN pb USING (pair_id)""",
+        pb AS (SELECT pair_id, string_agg(CAST(b_page AS VARCHAR), ',' ORDER BY b_page) AS b_pages FROM (SELECT DISTINCT pair_id, b_page FROM changes WHERE b_page IS NOT NULL) GROUP BY 1),
+        e AS (SELECT doc_id, (len(string_split(text, chr(10))) + 3) // 4 AS n_pages FROM documents),
+        u AS (SELECT doc_id, bool_or(page_no >= 1000 OR pos - k >= 300000) AS cut FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY pos) - 1 AS k FROM tokens) GROUP BY doc_id)
+        SELECT pair_id, x.n_pages AS a_page_count, y.n_pages AS b_page_count, coalesce(n, 0) AS changes, coalesce(a_pages, '') AS a_pages, coalesce(b_pages, '') AS b_pages, n IS NULL AS identical,
+        coalesce(v.cut, false) OR coalesce(w.cut, false) AS truncated FROM pairs JOIN e x ON x.doc_id = a_doc JOIN e y ON y.doc_id = b_doc LEFT JOIN u v ON v.doc_id = a_doc LEFT JOIN u w ON w.doc_id = b_doc
+        LEFT JOIN n USING (pair_id) LEFT JOIN pa USING (pair_id) LEFT JOIN pb USING (pair_id)""",
     ),
     "box_refs": (box_refs, f"WITH {_REFS} SELECT * FROM refs"),
     "changes_selected": (changes_selected, f"WITH {_REFS} SELECT pair_id, gap, kind FROM refs WHERE b_box % 2 = 0 AND kind <> 'delete'"),
@@ -130,6 +142,7 @@ QUERIES = {
         f"WITH {_SIM} SELECT pair_id, a_page, b_page, CASE WHEN every > 0 THEN CAST(0.7 AS DOUBLE) * alike + CAST(0.3 AS DOUBLE) * (common_n / greatest(every, 1)) ELSE alike END AS similarity FROM sims",
     ),
     "page_align": (page_align, None),
+    "unmatched_pages_aligned": (unmatched_pages_aligned, None),
     "unmatched_pages": (
         unmatched_pages,
         f"""WITH {_PRINTS}, {_PAIRS}, same AS (SELECT pair_id, a.page_no AS p FROM pairs JOIN prints a ON a.doc_id = a_doc JOIN prints b ON b.doc_id = b_doc AND a.page_no = b.page_no AND a.bits = b.bits)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import offsets
+
 LINES_PER_PAGE = 4
 #: A span ends behind its punctuation; the spans of a line cover it exactly.
 SPAN = r"[^.,]+[.,]*|[.,]+"
@@ -32,11 +34,12 @@ def explode_spans(lines: DataFrame) -> DataFrame:
     Lines without a span that shows anything are dropped, as are boxes thinner
     than half a point; white spans stay, with ``host`` false.
     """
-    seen = lines.where(F.col("line_text").rlike(r"\S"))
-    spans = seen.select("doc_id", "page_no", "line_no", "line_in_page", F.posexplode(F.regexp_extract_all("line_text", F.lit(SPAN), F.lit(0))).alias("span_no", "span_text"))
-    before = Window.partitionBy("doc_id", "line_no").orderBy("span_no").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.regexp_extract_all("line_text", F.lit(SPAN), F.lit(0))
+    seen = lines.where(F.col("line_text").rlike(r"\S")).select("doc_id", "page_no", "line_no", "line_in_page", parts.alias("_parts"))
+    # Offsets come from the line itself, so nothing is shuffled.
+    placed = F.arrays_zip(F.col("_parts").alias("span_text"), offsets(F.col("_parts")).alias("off"))
+    spans = seen.select("doc_id", "page_no", "line_no", "line_in_page", F.posexplode(placed).alias("span_no", "s")).select("*", "s.span_text", F.col("s.off").cast("long").alias("off"))
     size = F.length("span_text")
-    spans = spans.withColumn("off", F.coalesce(F.sum(size).over(before), F.lit(0)))
     x0 = F.col("off") * 5.0
     y0 = F.col("line_in_page") * 12.0
     upper = (F.upper("span_text") == F.col("span_text")) & (F.lower("span_text") != F.col("span_text"))
@@ -57,29 +60,44 @@ def explode_spans(lines: DataFrame) -> DataFrame:
     )
 
 
-def word_stream(docs: DataFrame, max_words: int = 300_000, max_pages: int = 1000) -> DataFrame:
+def _words(max_words: int, max_pages: int) -> tuple[Column, Column, Column]:
+    """Of a document: all words with their pages, the last page that is read, and whether there are words behind it."""
+
+    def of_line(line: Column, n: Column) -> Column:
+        return F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), lambda w: F.struct(w.alias("word"), F.floor(n / LINES_PER_PAGE).cast("int").alias("page_no")))
+
+    words = F.flatten(F.transform(F.split("text", "\n", -1), of_line))
+    crossing = F.try_element_at("_words", F.lit(max_words))["page_no"]
+    last = F.least(F.lit(max_pages - 1), F.coalesce(crossing, F.lit(max_pages)))
+    return words, last, F.coalesce(F.try_element_at("_words", F.lit(-1))["page_no"] > F.col("_last"), F.lit(False))
+
+
+def word_stream(docs: DataFrame, max_words: int = 300_000, max_pages: int = 1000, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Words in reading order with ``pos``, ``page_no`` and ``truncated``.
 
     A page is read if fewer than ``max_words`` words stand before it, so the
     page that crosses the limit is whole. This is the operator's own limit on a
-    comparison, and what it cut is flagged.
+    comparison, and what it cut is flagged. ``keys`` name the columns that stay;
+    a document's words come from its row alone, so nothing is shuffled.
     """
-    lines = explode_lines(docs)
-    words = lines.select("doc_id", "page_no", "line_no", F.posexplode(F.split("line_text", r"\s+")).alias("k", "word")).where("word <> ''")
-    per_page = words.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
-    doc = Window.partitionBy("doc_id")
-    before = doc.orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    pages = per_page.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    pages = pages.withColumn("_read", (F.col("_before") < max_words) & (F.col("page_no") < max_pages)).withColumn("truncated", F.bool_or(~F.col("_read")).over(doc))
-    read = words.join(pages.where("_read").select("doc_id", "page_no", "truncated"), ["doc_id", "page_no"])
-    pos = F.row_number().over(doc.orderBy("line_no", "k")) - 1
-    return read.select("doc_id", pos.alias("pos"), "word", "page_no", "truncated")
-
-
-def page_texts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, page_no, page_text)``, lines joined in order."""
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_text"))), lambda x: x["line_text"]), "\n")
-    return explode_lines(docs).groupBy("doc_id", "page_no").agg(ordered.alias("page_text"))
+    words, last, truncated = _words(max_words, max_pages)
+    own = docs.select(*keys, words.alias("_words")).withColumn("_last", last).withColumn("truncated", truncated)
+    told = own.select(*keys, "truncated", "_last", F.posexplode("_words").alias("pos", "w"))
+    return told.where(F.col("w.page_no") <= F.col("_last")).select(*keys, "pos", "w.word", "w.page_no", "truncated")
+
+
+def document_extent(docs: DataFrame, max_words: int = 300_000, max_pages: int = 1000, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Number of pages of each document, and whether ``word_stream`` cuts it."""
+    words, last, truncated = _words(max_words, max_pages)
+    own = docs.select(*keys, F.ceil(F.size(F.split("text", "\n", -1)) / LINES_PER_PAGE).cast("int").alias("n_pages"), words.alias("_words"))
+    return own.withColumn("_last", last).select(*keys, "n_pages", truncated.alias("truncated"))
+
+
+def page_texts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(doc_id, page_no, page_text)``, lines joined in order, each document from its own row."""
+    lines = docs.select(*keys, F.split("text", "\n", -1).alias("_lines")).where("_lines is not null")
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / LINES_PER_PAGE).cast("int")), lambda p: F.array_join(F.slice("_lines", p * LINES_PER_PAGE + 1, LINES_PER_PAGE), "\n"))
+    return lines.select(*keys, F.posexplode(pages).alias("page_no", "page_text"))
 
 
 def text_layer_status(pages: DataFrame, least: int = 20, force: bool = False) -> DataFrame:

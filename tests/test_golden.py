@@ -159,7 +159,8 @@ def test_word_diff_is_a_common_subsequence(spark, sf):
     texts = {r.doc_id: r.text.split() for r in docs.collect()}
     kept, best = 0, 0
     diff = {}
-    for r in compare.word_diff(*compare.pair_words(corpus.word_stream(docs), pairs)).orderBy("pair_id", "a").collect():
+    words = corpus.word_stream(compare.paired_documents(docs, pairs), keys=("pair_id", "side"))
+    for r in compare.word_diff(compare.match_words(words)).orderBy("pair_id", "a").collect():
         diff.setdefault(r.pair_id, []).append((r.a, r.b))
     for p in pairs.collect():
         a, b, d = texts[p.a_doc], texts[p.b_doc], diff.get(p.pair_id, [])
