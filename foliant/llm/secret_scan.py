@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import sums_before
 from .common import cut
 
 #: Kind, pattern, group that must be long enough, least length. Fixed values.
@@ -23,23 +24,6 @@ KINDS = (
 GENERIC = ("generic", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}", 0, 20)
 
 
-def _sum(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x)
-
-
-def _prefix_sums(lengths: Column) -> Column:
-    """Sum of the items before each item; blocks of the root of the array's length keep the work at its power of 1.5."""
-    n = F.size(lengths)
-    width = F.ceil(F.sqrt(F.greatest(n, F.lit(1)))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / width))), lambda b: _sum(F.slice(lengths, (b * width + 1).cast("int"), width)))
-
-    def before(_: Column, i: Column) -> Column:
-        block = F.floor(i / width).cast("int")
-        return _sum(F.slice(blocks, F.lit(1), block)) + _sum(F.slice(lengths, block * width + 1, i - block * width))
-
-    return F.transform(lengths, before)
-
-
 def _find(df: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
     """Add the column ``kind``: matches as structs of start, end (code points) and value, failing ones dropped."""
     found, gaps, at = f"_{kind}_found", f"_{kind}_gaps", f"_{kind}_at"
@@ -49,7 +33,7 @@ def _find(df: DataFrame, kind: str, pattern: str, group: int, least: int) -> Dat
     # A match starts after the gaps up to its own and the matches before it.
     steps = F.transform(found, lambda m, i: (F.element_at(F.col(gaps), i + 1) + F.when(i > 0, F.length(F.element_at(F.col(found), F.greatest(i, F.lit(1))))).otherwise(0)).cast("long"))
     df = df.withColumn(at, F.when(some, steps))
-    df = df.withColumn(at, F.when(some, F.zip_with(_prefix_sums(F.col(at)), F.col(at), lambda a, b: a + b)))
+    df = df.withColumn(at, F.when(some, F.zip_with(sums_before(F.col(at)), F.col(at), lambda a, b: a + b)))
     value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
     spans = F.zip_with(F.col(found), F.col(at), lambda m, s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), value(m).alias("value")))
     empty = F.lit(None).cast("array<struct<start:bigint,end:bigint,value:string>>")
