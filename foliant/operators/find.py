@@ -3,27 +3,43 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they fold to; fixed values, in pairs. đ has no decomposition, ß stays.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿăđĩũơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyadiuouaaaaaaaaaaaaeeeeeeeeiioooooooooooouuuuuuuyyyy"
+from ..functions.arrays import offsets
+
+
+def _folding() -> tuple[str, str]:
+    """Letters that decompose into one base and marks, with their bases, and đ; behind them the marks alone, which go."""
+    parts = {c: unicodedata.normalize("NFD", c) for c in map(chr, range(0xC0, 0x2000))}
+    pairs = {c: d[0] for c, d in parts.items() if len(d) > 1 and d[0].isalpha() and all(map(unicodedata.combining, d[1:]))} | {"đ": "d", "Đ": "D"}
+    marks = [chr(i) for i in range(0x300, 0x370) if unicodedata.combining(chr(i))]
+    return "".join([*pairs, *marks]), "".join(pairs.values())
+
+
+#: Letters with marks, and what they fold to.
+MARKED, PLAIN = _folding()
 
 
 def fold_text(text: Column) -> Column:
-    """Lower case without accents, one character for one, so offsets stay valid."""
+    """Lower case without accents: one character for one, but marks that stand alone go."""
     return F.translate(F.lower(text), MARKED, PLAIN)
 
 
+def folded(text: str) -> str:
+    """The same for a text at hand."""
+    return text.lower().translate(str.maketrans(MARKED[: len(PLAIN)], PLAIN, MARKED[len(PLAIN) :]))
+
+
 def _pattern(query: str, whole_word: bool) -> str:
     quoted = r"\Q" + query.replace(r"\E", r"\E\\E\Q") + r"\E"
     return rf"(?<![\p{{L}}\p{{N}}_]){quoted}(?![\p{{L}}\p{{N}}_])" if whole_word else quoted
 
 
 def find_occurrences(lines: DataFrame, query: str, match_case: bool = False, whole_word: bool = False) -> DataFrame:
-    """``(doc_id, page_no, line_no, hit_no, start, stop)``: leftmost non-overlapping matches, half-open.
+    """``(doc_id, page_no, line_no, line_text, hit_no, start, stop)``: leftmost non-overlapping matches, half-open.
 
     Without ``match_case`` both sides are lowered where that keeps the length of
     both; otherwise the match is exact. A whole word has no letter, digit or
@@ -38,11 +54,12 @@ def find_occurrences(lines: DataFrame, query: str, match_case: bool = False, who
     hay = lines.withColumn("_fold", folds).withColumn("_hay", F.when(F.col("_fold"), lowered).otherwise(F.col("line_text")))
     hay = hay.where(F.when(F.col("_fold"), F.contains("_hay", F.lit(low))).otherwise(F.contains("_hay", F.lit(query))))
     cuts = F.when(F.col("_fold"), F.split("_hay", loose, -1)).otherwise(F.split("_hay", exact, -1))
-    parts = hay.select("doc_id", "page_no", "line_no", cuts.alias("_cuts")).where(F.size("_cuts") > 1)
-    gaps = parts.select("doc_id", "page_no", "line_no", F.posexplode(F.slice("_cuts", F.lit(1), F.size("_cuts") - 1)).alias("hit_no", "gap"))
-    upto = Window.partitionBy("doc_id", "line_no").orderBy("hit_no").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.sum(F.length("gap")).over(upto) + F.col("hit_no") * len(query)
-    return gaps.select("doc_id", "page_no", "line_no", "hit_no", start.alias("start"), (start + len(query)).alias("stop"))
+    parts = hay.select("doc_id", "page_no", "line_no", "line_text", cuts.alias("_cuts")).where(F.size("_cuts") > 1)
+    # A hit starts where the rest behind it does, less its own length; lines stay where they are.
+    rests = F.slice(offsets(F.col("_cuts")), F.lit(2), F.size("_cuts") - 1)
+    gaps = parts.select("doc_id", "page_no", "line_no", "line_text", F.posexplode(rests).alias("hit_no", "gap"))
+    start = F.col("gap") + F.col("hit_no") * len(query)
+    return gaps.select("doc_id", "page_no", "line_no", "line_text", "hit_no", start.alias("start"), (start + len(query)).alias("stop"))
 
 
 def find_hits(lines: DataFrame, spans: DataFrame, query: str, match_case: bool = False, whole_word: bool = False) -> DataFrame:
@@ -56,10 +73,10 @@ def find_hits(lines: DataFrame, spans: DataFrame, query: str, match_case: bool =
     s = spans.select("doc_id", "line_no", "span_no", "span_text", "host", "off", "x0", "y0", "x1", "y1")
     touched = found.join(s, ["doc_id", "line_no"]).where((F.col("off") < F.col("stop")) & (F.col("off") + F.length("span_text") > F.col("start")))
     keys = ["doc_id", "page_no", "line_no", "hit_no", "start", "stop"]
+    whole = F.first("line_text").alias("line_text")
     first = F.min_by(F.struct("span_no", "off", "span_text"), "span_no")
-    hits = touched.groupBy(*keys).agg(F.count("*").alias("n_touched"), F.count_if("host").alias("n_host"), first.alias("f"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    whole = lines.select("doc_id", "line_no", "line_text")
-    hits = hits.join(whole, ["doc_id", "line_no"]).withColumn("replaceable", (F.col("n_touched") == 1) & (F.col("n_host") == 1))
+    hits = touched.groupBy(*keys).agg(F.count("*").alias("n_touched"), F.count_if("host").alias("n_host"), first.alias("f"), whole, F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    hits = hits.withColumn("replaceable", (F.col("n_touched") == 1) & (F.col("n_host") == 1))
     pick = lambda a, b: F.when(F.col("replaceable"), a).otherwise(b)
     return hits.select(
         *keys,
@@ -89,10 +106,15 @@ def find_capped(hits: DataFrame, max_hits: int) -> DataFrame:
     return ranked.withColumn("truncated_page", F.coalesce(over, F.lit(0))).where(F.col("_k") <= max_hits).drop("_k")
 
 
-def find_summary(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("doc_id").agg(
+def find_summary(hits: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Per document: hits, crossing and replaceable ones, pages with hits, pages scanned, and whether there is any text.
+
+    ``scanned (doc_id, pages_scanned, has_text)`` has every document, also those without hits.
+    """
+    found = hits.groupBy("doc_id").agg(
         F.count("*").alias("total"), F.count_if(~F.col("replaceable")).alias("crossing"), F.count_if("replaceable").alias("replaceable"), F.countDistinct("page_no").alias("pages")
     )
+    return scanned.select("doc_id", "pages_scanned", "has_text").join(found, "doc_id", "left").fillna(0, ["total", "crossing", "replaceable", "pages"])
 
 
 def _splice(text: Column, edits: Column, replacement: str) -> Column:
@@ -105,28 +127,30 @@ def _splice(text: Column, edits: Column, replacement: str) -> Column:
 def replace_all(lines: DataFrame, spans: DataFrame, query: str, replacement: str, match_case: bool = False, whole_word: bool = False) -> DataFrame:
     """``(doc_id, line_no, new_text, edited, locked)`` of the lines with hits: replaceable hits replaced, crossing ones counted."""
     hits = find_hits(lines, spans, query, match_case, whole_word)
-    ok = hits.where("replaceable").groupBy("doc_id", "line_no", "span_no").agg(F.array_sort(F.collect_list(F.struct(F.col("span_start").cast("int").alias("a"), F.col("span_stop").cast("int").alias("b")))).alias("edits"))
-    per_line = hits.groupBy("doc_id", "line_no").agg(F.count_if("replaceable").alias("edited"), F.count_if(~F.col("replaceable")).alias("locked"))
-    mine = spans.join(per_line, ["doc_id", "line_no"]).join(ok, ["doc_id", "line_no", "span_no"], "left")
-    new = F.when(F.col("edits").isNotNull(), _splice(F.col("span_text"), F.col("edits"), replacement)).otherwise(F.col("span_text"))
+    edit = F.struct("span_no", F.col("span_start").cast("int").alias("a"), F.col("span_stop").cast("int").alias("b"))
+    per_line = hits.groupBy("doc_id", "line_no").agg(
+        F.array_sort(F.collect_list(F.when(F.col("replaceable"), edit))).alias("all_edits"), F.count_if("replaceable").alias("edited"), F.count_if(~F.col("replaceable")).alias("locked")
+    )
+    mine = spans.join(per_line, ["doc_id", "line_no"]).withColumn("edits", F.filter("all_edits", lambda e: e["span_no"] == F.col("span_no")))
+    new = F.when(F.size("edits") > 0, _splice(F.col("span_text"), F.col("edits"), replacement)).otherwise(F.col("span_text"))
     joined = mine.withColumn("_new", new).groupBy("doc_id", "line_no", "edited", "locked").agg(F.array_sort(F.collect_list(F.struct("span_no", "_new"))).alias("_parts"))
     return joined.select("doc_id", "line_no", F.array_join(F.transform("_parts", lambda p: p["_new"]), "").alias("new_text"), "edited", "locked")
 
 
 def redact_matches(lines: DataFrame, query: str, mask: str = "█", match_case: bool = False) -> DataFrame:
     """``(doc_id, line_no, new_text)`` of the lines with hits, each hit covered by a mask of its length."""
-    found = find_occurrences(lines, query, match_case).groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("a"), F.col("stop").cast("int").alias("b")))).alias("edits"))
-    return found.join(lines, ["doc_id", "line_no"]).select("doc_id", "line_no", _splice(F.col("line_text"), F.col("edits"), mask * len(query)).alias("new_text"))
+    edit = F.struct(F.col("start").cast("int").alias("a"), F.col("stop").cast("int").alias("b"))
+    found = find_occurrences(lines, query, match_case).groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(edit)).alias("edits"), F.first("line_text").alias("line_text"))
+    return found.select("doc_id", "line_no", _splice(F.col("line_text"), F.col("edits"), mask * len(query)).alias("new_text"))
 
 
 def folded_search(docs: DataFrame, query: str) -> DataFrame:
-    """``(doc_id, n_hits, first_at, first_fraction)`` of the documents that hold the query, accents and case aside."""
-    table = str.maketrans(MARKED, PLAIN)
-    needle = query.lower().translate(table)
-    folded = docs.select("doc_id", "text", fold_text(F.col("text")).alias("_t")).where(F.contains("_t", F.lit(needle)))
+    """``(doc_id, n_hits, first_at, first_fraction)`` of the documents that hold the query, accents and case aside; places are those in the folded text."""
+    needle = folded(query)
+    hay = docs.select("doc_id", fold_text(F.col("text")).alias("_t")).where(F.contains("_t", F.lit(needle)))
     first = F.instr("_t", needle) - 1
     count = F.size(F.split("_t", r"\Q" + needle + r"\E", -1)) - 1
-    return folded.select("doc_id", count.alias("n_hits"), first.alias("first_at"), (first / F.length("_t")).alias("first_fraction"))
+    return hay.select("doc_id", count.alias("n_hits"), first.alias("first_at"), (first / F.length("_t")).alias("first_fraction"))
 
 
 def find_audit(lines: DataFrame, spans: DataFrame, query: str) -> DataFrame:

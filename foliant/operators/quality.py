@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters that a Latin-script text does not hold: C1, Cyrillic, Greek, private use, the replacement character, stray controls.
+#: Fixed value. Characters that a Latin-script text does not hold: C1, Cyrillic, Greek, private use, the replacement character, stray controls.
 MOJIBAKE = r"[\x{80}-\x{9f}\x{400}-\x{4ff}\x{370}-\x{3ff}\x{e000}-\x{f8ff}\x{fffd}\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 # The TCVN3 (TCVN 5712) code page as read through WinAnsi, and the letters meant.
@@ -22,19 +22,25 @@ ERROR_RULES = (
     ("PARSE_ERROR", True, 0, ("JSON", "parse", "Unexpected token")),
     ("NETWORK_ERROR", True, 0, ("fetch", "network", "ECONNREFUSED")),
 )
-OTHER_ERROR = ("MODEL_ERROR", True)
+OTHER_ERROR = ("GEMINI_ERROR", True)
 
-# Terms to protect, tried in this order at each place.
-TERM = r"[\w.+-]+@[\w-]+\.[\w.-]+|\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}|\d+(?:[.,]\d+)*"
+# Fixed value: terms to protect (e-mail, date, number), tried in this order at each place. Letters and digits of any script count in e-mails.
+TERM = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+|\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}|\d[\d.,]*"
 OPEN, CLOSE = "⟦", "⟧"
 
 # Style words that end a font's name.
 STYLES = "BoldItalic|BoldOblique|SemiBold|DemiBold|ExtraBold|UltraBold|Demi|Bold|Italic|Oblique|Regular|Normal|Book|Light|Medium|Black|Heavy|Thin|Condensed|Narrow|PSMT|PS|MT|Std|Pro"
 
 
+def plain_family(font: Column) -> Column:
+    """A font's name without the prefix of six characters that a subset has, style tail and technical suffix."""
+    head = F.regexp_extract(F.regexp_replace(font, r"^[^+]{6}\+", ""), r"^([^,-]*)", 1)
+    return F.trim(F.regexp_replace(head, "(PSMT|PS|MT)$", ""))
+
+
 def _legacy(font: Column) -> Column:
-    name = F.ltrim(F.lower(font))
-    return name.rlike(r"^\.*vn") | F.contains(name, F.lit("tcvn"))
+    name = F.regexp_replace(F.lower(plain_family(font)), r"^\.+", "")
+    return F.coalesce(name.rlike("^vn") | F.contains(name, F.lit("tcvn")), F.lit(False))
 
 
 def suspect_reason(text: Column, font: Column) -> Column:
@@ -116,6 +122,12 @@ def phrasebook_apply(blocks: DataFrame, book: DataFrame) -> DataFrame:
     return j.select("doc_id", "page_no", "block_no", F.when(ok, new).otherwise(F.col("text")).alias("translated"), F.coalesce(ok, F.lit(False)).alias("done"), F.col("_t").isNull().alias("missing"))
 
 
+def phrasebook_pages(done: DataFrame) -> DataFrame:
+    """Per page of ``phrasebook_apply``: translated blocks, whether the page changed, and whether it failed, as no block had an entry."""
+    n = done.groupBy("doc_id", "page_no").agg(F.count_if("done").alias("translated"), F.bool_and("missing").alias("failed"))
+    return n.select("doc_id", "page_no", "translated", (F.col("translated") > 0).alias("changed"), "failed")
+
+
 def charset_coverage(docs: DataFrame, charset: DataFrame) -> DataFrame:
     """Documents with characters outside ``charset (ch)``: how many distinct ones, and which."""
     chars = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where(F.col("ch").rlike(r"^\S$"))
@@ -129,7 +141,7 @@ def catalog_resolve(names: DataFrame, catalog: DataFrame) -> DataFrame:
     without style words, and the raw name, compared by their letters and digits.
     """
     bare = F.regexp_replace("name", r"^[^+]{6}\+", "")
-    clean = F.regexp_replace(F.regexp_extract(bare, r"^([^,-]*)", 1), r"(PSMT|PS|MT)$", "")
+    clean = plain_family(F.col("name"))
     raw = F.trim(F.regexp_extract(bare, r"^([^,]*)", 1))
     stripped = F.regexp_replace(raw, rf"(?i)(?<=.)([\s_-]*(?:{STYLES}))+$", "")
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
@@ -140,9 +152,9 @@ def catalog_resolve(names: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def modal_with_support(df: DataFrame, key: str, value: str, least: float = 0.6) -> DataFrame:
-    """The most frequent value of each key if its share reaches ``least``; of equals the smallest."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
-    top = Window.partitionBy(key).orderBy(F.desc("_n"), value)
+    """The most frequent value of each key if its share of the values reaches ``least``; of equals the smallest. A key without values has null."""
+    counts = df.groupBy(key, value).agg(F.count(value).alias("_n"))
+    top = Window.partitionBy(key).orderBy(F.desc("_n"), F.col(value).asc_nulls_last())
     ranked = counts.withColumn("_k", F.row_number().over(top)).withColumn("_all", F.sum("_n").over(Window.partitionBy(key))).where("_k = 1")
-    share = F.col("_n") / F.col("_all")
+    share = F.try_divide("_n", "_all")
     return ranked.select(key, F.when(share >= least, F.col(value)).alias("modal"), share.alias("share"))

@@ -35,7 +35,7 @@ def explode_spans(spark, d):
 
 
 def word_stream(spark, d):
-    return corpus.word_stream(corpus.table(spark, d, "documents"), max_words=2000)
+    return corpus.word_stream(corpus.table(spark, d, "documents"))
 
 
 def text_layer_status(spark, d):
@@ -47,7 +47,7 @@ def assemble_text(spark, d):
 
 
 def find_occurrences(spark, d):
-    return find.find_occurrences(_lines(spark, d), NEEDLE)
+    return find.find_occurrences(_lines(spark, d), NEEDLE).drop("line_text")
 
 
 def find_occurrences_whole_word(spark, d):
@@ -67,7 +67,9 @@ def find_capped(spark, d):
 
 
 def find_summary(spark, d):
-    return find.find_summary(find.find_hits(*_spans(spark, d), "in, "))
+    docs = corpus.table(spark, d, "documents")
+    scanned = docs.select("doc_id", F.ceil(F.size(F.split("text", "\n", -1)) / corpus.LINES_PER_PAGE).cast("int").alias("pages_scanned"), F.col("text").rlike(r"\S").alias("has_text"))
+    return find.find_summary(find.find_hits(*_spans(spark, d), "in, "), scanned)
 
 
 def replace_all(spark, d):
@@ -86,7 +88,7 @@ def find_audit(spark, d):
     return find.find_audit(*_spans(spark, d), "ing the")
 
 
-_CAP = 2000
+_CAP = 300_000
 QUERIES = {
     "scan_corpus": (
         scan_corpus,
@@ -132,8 +134,10 @@ QUERIES = {
     ),
     "find_summary": (
         find_summary,
-        f"""WITH {sql.SPANS}, {sql.hits('h', 'in, ')} SELECT doc_id, count(*) AS total, count(*) FILTER (NOT replaceable) AS crossing,
-        count(*) FILTER (replaceable) AS replaceable, count(DISTINCT page_no) AS pages FROM h GROUP BY doc_id""",
+        f"""WITH {sql.SPANS}, {sql.hits('h', 'in, ')}, n AS (SELECT doc_id, count(*) AS total, count(*) FILTER (NOT replaceable) AS crossing,
+        count(*) FILTER (replaceable) AS replaceable, count(DISTINCT page_no) AS pages FROM h GROUP BY doc_id),
+        p AS (SELECT doc_id, count(DISTINCT page_no) AS pages_scanned, bool_or(regexp_matches(line_text, '[^[:space:]]')) AS has_text FROM lines GROUP BY doc_id)
+        SELECT doc_id, pages_scanned, has_text, coalesce(total, 0) AS total, coalesce(crossing, 0) AS crossing, coalesce(replaceable, 0) AS replaceable, coalesce(pages, 0) AS pages FROM p LEFT JOIN n USING (doc_id)""",
     ),
     "replace_all": (
         replace_all,

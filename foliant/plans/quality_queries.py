@@ -18,7 +18,7 @@ def _damaged(spark: SparkSession, d: str) -> DataFrame:
     spans = corpus.explode_spans(corpus.explode_lines(docs)).join(docs.select("doc_id", "source"), "doc_id")
     k = F.col("doc_id") % 7
     text = F.when(k == 0, F.translate("span_text", FROM, TO)).when(k == 1, F.translate("span_text", "ae", "ае")).otherwise(F.col("span_text"))
-    return spans.select("doc_id", "line_no", "span_no", "source", text.alias("span_text"), F.when(k == 0, ".VnTime").when(k == 2, "VNI-Times").otherwise("Arial").alias("font"))
+    return spans.select("doc_id", "line_no", "span_no", "source", text.alias("span_text"), F.when(k == 0, F.when(F.col("doc_id") % 2 == 0, "ABCDEF+.VnTime").otherwise(".VnTime")).when(k == 2, "VNI-Times").when(k == 3, "VNTIME+Arial").otherwise("Arial").alias("font"))
 
 
 def encoding_triage(spark, d):
@@ -55,9 +55,12 @@ def unmask_corpus(spark, d):
 def phrasebook_apply(spark, d):
     lines = corpus.explode_lines(corpus.table(spark, d, "documents"))
     blocks = lines.where(F.col("line_text").rlike(r"\S")).select("doc_id", "page_no", F.col("line_no").alias("block_no"), F.col("line_text").alias("text"))
-    book = blocks.groupBy("text").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("text").alias("source"), F.concat(F.lit("T:"), F.regexp_replace("text", "[0-9@]", "")).alias("target")).where(~F.col("source").rlike("[0-9@]"))
+    # Entries stand for all lines that differ in their terms alone.
+    book = blocks.where("doc_id % 3 = 0").groupBy("text").agg(F.count("*").alias("n")).select(F.col("text").alias("source"), F.concat(F.lit("T:"), "text").alias("target"))
     done = q.phrasebook_apply(blocks, book)
-    return done.groupBy("doc_id", "page_no").agg(F.count_if("done").alias("translated"), F.count_if("missing").alias("missing"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "translated"))), lambda x: x["translated"]), "\n")).alias("page_md5"))
+    pages = q.phrasebook_pages(done)
+    texts = done.groupBy("doc_id", "page_no").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "translated"))), lambda x: x["translated"]), "\n")).alias("page_md5"))
+    return pages.join(texts, ["doc_id", "page_no"])
 
 
 def charset_coverage(spark, d):
@@ -73,7 +76,8 @@ def catalog_resolve(spark, d):
 
 
 def modal_with_support(spark, d):
-    return q.modal_with_support(corpus.table(spark, d, "documents"), "source", "lang", 0.6)
+    docs = corpus.table(spark, d, "documents")
+    return q.modal_with_support(docs.select("source", F.when(~F.endswith("source", F.lit("3")), F.col("lang")).alias("lang")), "source", "lang", 0.6)
 
 
 _DAMAGED = sql.SPANS + f""", damaged AS (SELECT d.source, CASE WHEN s.doc_id % 7 = 0 THEN translate(span_text, '{FROM}', '{TO}') WHEN s.doc_id % 7 = 1 THEN translate(span_text, 'ae', 'ае') ELSE span_text END AS span_text,
@@ -82,7 +86,7 @@ judged AS (SELECT *, k IN (0, 2) AS legacy, CASE WHEN NOT regexp_matches(span_te
  WHEN k IN (0, 2) AND regexp_matches(span_text, '[^\\x00-\\x7f]') THEN 'legacy_font' END AS reason FROM damaged)"""
 _RULES = " ".join(f"WHEN {'status = ' + str(s) + ' OR ' if s else ''}{' OR '.join(f'contains(message, {t!r})' for t in ts)} THEN '{c}'" for c, _, s, ts in q.ERROR_RULES)
 _RETRY = ", ".join(f"'{c}'" for c, r, *_ in q.ERROR_RULES if not r)
-_TERM = r"[\w.+-]+@[\w-]+\.[\w.-]+|\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}|\d+(?:[.,]\d+)*"
+_TERM = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+|\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}|\d[\d.,]*"
 QUERIES = {
     "encoding_triage": (encoding_triage, f"WITH {_DAMAGED} SELECT source, reason, count(*) AS spans FROM judged WHERE reason IS NOT NULL GROUP BY ALL"),
     "legacy_repair": (
@@ -112,9 +116,9 @@ QUERIES = {
     "phrasebook_apply": (
         phrasebook_apply,
         f"""WITH {sql.LINES}, b AS (SELECT * FROM lines WHERE regexp_matches(line_text, '[^[:space:]]')),
-        book AS (SELECT line_text FROM b GROUP BY 1 HAVING count(*) >= 2 AND NOT regexp_matches(line_text, '[0-9@]')),
-        j AS (SELECT b.*, book.line_text IS NOT NULL AS hit FROM b LEFT JOIN book USING (line_text))
-        SELECT doc_id, page_no, count(*) FILTER (hit) AS translated, count(*) FILTER (NOT hit) AS missing,
+        m AS (SELECT *, regexp_replace(line_text, '{_TERM}', '#', 'g') AS masked FROM b), book AS (SELECT DISTINCT masked, true AS hit FROM m WHERE doc_id % 3 = 0),
+        j AS (SELECT m.*, coalesce(hit, false) AS hit FROM m LEFT JOIN book USING (masked))
+        SELECT doc_id, page_no, count(*) FILTER (hit) AS translated, bool_or(hit) AS changed, NOT bool_or(hit) AS failed,
         md5(string_agg(CASE WHEN hit THEN 'T:' || line_text ELSE line_text END, chr(10) ORDER BY line_no)) AS page_md5 FROM j GROUP BY ALL""",
     ),
     "charset_coverage": (
@@ -132,8 +136,8 @@ QUERIES = {
     ),
     "modal_with_support": (
         modal_with_support,
-        """WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k, n / sum(n) OVER (PARTITION BY source) AS share FROM c)
+        """WITH v AS (SELECT source, CASE WHEN source NOT LIKE '%3' THEN lang END AS lang FROM documents), c AS (SELECT source, lang, count(lang) AS n FROM v GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang NULLS LAST) AS k, CASE WHEN sum(n) OVER (PARTITION BY source) > 0 THEN n / sum(n) OVER (PARTITION BY source) END AS share FROM c)
         SELECT source, CASE WHEN share >= 0.6 THEN lang END AS modal, share FROM r WHERE k = 1""",
     ),
 }

@@ -122,7 +122,23 @@ def test_triage(spark, text, font, suspect):
 def test_repair(spark):
     df = spark.createDataFrame([("s", "µ®", ".VnArial")], "source string, span_text string, font string")
     assert [(r.repaired, r.accepted) for r in quality.legacy_repair(df).collect()] == [("àđ", True)]
-    assert len(quality.TCVN3_FROM) == len(quality.TCVN3_TO) and len(find.MARKED) == len(find.PLAIN)
+    assert len(quality.TCVN3_FROM) == len(quality.TCVN3_TO) and len(find.MARKED) > len(find.PLAIN)
+
+
+@pytest.mark.parametrize(("font", "legacy"), [("ABCDEF+.VnTime", True), ("ABCDEF+VNI-Times", True), ("ABCDEFG+.VnTime", False), ("VNTIME+Arial", False), (".TCVN3Font-Bold", True), (None, False), ("Arial", False)])
+def test_triage_of_subset_fonts(spark, font, legacy):
+    df = spark.createDataFrame([("s", "µ®", font)], "source string, span_text string, font string")
+    assert (quality.encoding_triage(df).count() == 1) is legacy
+
+
+def test_folding(spark):
+    """As NFD does it: letters with marks lose them, marks that stand alone go, others stay."""
+    text = "Čaşa Ő ł đường e\u0301tait"
+    assert find.folded(text) == "casa o ł duong etait"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for query, at in (("caşa", 0), ("Duong", 9), ("était", 15), ("ł", 7)):
+        (r,) = find.folded_search(df, query).collect()
+        assert (r.n_hits, r.first_at, r.first_fraction) == (1, at, at / 20)
 
 
 def plain_alignment(sim):
