@@ -12,18 +12,18 @@ UNKNOWN, LOW = "unknown", "low"
 WANTED = ("party_info", "contract_value", "payment_schedule", "contract_number")
 
 
-def extract_by_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
+def extract_by_rules(docs: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
     """Long records ``(doc_id, template, key, value)``: the first match of each rule's pattern, null if there is none.
 
-    ``rules (template, key, pattern)`` with one group per pattern; the value
-    keeps its form.
+    ``rules`` are settings, ``(template, key, pattern)`` with one group per
+    pattern, each an expression of its own; the value keeps its form.
     """
-    # Rules are a few rows of settings: they travel inside each row as one array.
-    packed = rules.groupBy().agg(F.collect_list(F.struct("template", "key", "pattern")).alias("_r"))
-    keyed = docs.select("doc_id", "text").join(packed, F.lit(True)).select("doc_id", "text", F.inline("_r"))
-    value = F.expr("regexp_extract(text, pattern, 1)")
-    hit = F.expr("regexp_like(text, pattern)")
-    return keyed.select("doc_id", "template", "key", F.when(hit, value).alias("value"))
+
+    def record(template: str, key: str, pattern: str) -> Column:
+        value = F.when(F.col("text").rlike(pattern), F.regexp_extract("text", pattern, 1))
+        return F.struct(F.lit(template).alias("template"), F.lit(key).alias("key"), value.alias("value"))
+
+    return docs.select("doc_id", F.inline(F.array(*(record(*r) for r in rules))))
 
 
 def classify_by_rules(docs: DataFrame, words: DataFrame, first_chars: int = 2000) -> DataFrame:
@@ -69,11 +69,12 @@ def records_enriched(records: DataFrame, source: Column, stamp: Column) -> DataF
 
 
 def field_fill_rate(records: DataFrame, templates: DataFrame) -> DataFrame:
-    """Share of each template's records that have a key; keys beyond the template count too."""
+    """Share of each template's records that have a key, null for a template without records; keys beyond the template count too."""
     docs = records.groupBy("template").agg(F.countDistinct("doc_id").alias("docs"))
     filled = records.where("value is not null").groupBy("template", "key").agg(F.countDistinct("doc_id").alias("n"))
     keys = templates.select("template", "key").union(records.select("template", "key")).distinct()
-    return keys.join(docs, "template").join(filled, ["template", "key"], "left").select("template", "key", (F.coalesce("n", F.lit(0)) / F.col("docs")).alias("fill_rate"))
+    rate = F.when(F.col("docs").isNotNull(), F.coalesce("n", F.lit(0)) / F.col("docs"))
+    return keys.join(docs, "template", "left").join(filled, ["template", "key"], "left").select("template", "key", rate.alias("fill_rate"))
 
 
 def recon_select(pages: DataFrame, close: int = 5) -> DataFrame:
@@ -86,13 +87,35 @@ def recon_select(pages: DataFrame, close: int = 5) -> DataFrame:
 
 
 def parse_responses(raw: DataFrame, schema: str) -> DataFrame:
-    """Parse JSON answers ``(id, answer)`` that may stand in code fences; ``failed`` where they do not parse."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim("answer"), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    """Parse JSON answers ``(id, answer)`` that may stand in code fences; ``failed`` where they are no JSON object."""
+    bare = _unfenced("answer")
     parsed = F.from_json(bare, schema, {"mode": "PERMISSIVE"})
     ok = F.json_object_keys(bare).isNotNull()
     return raw.select("id", F.when(ok, parsed).alias("result"), (~F.coalesce(ok, F.lit(False))).alias("failed"))
 
 
+def _unfenced(answer: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(answer), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+
+
+def parse_lists(raw: DataFrame) -> DataFrame:
+    """Entries ``(id, i, t)`` of JSON answers that list texts by index, and ``failed`` rows for answers without any.
+
+    An answer is an array or an object whose first array counts; entries
+    without an index are ignored, and of entries with one index the last counts.
+    """
+    own = raw.select("id", _unfenced("answer").alias("_a"))
+    member = lambda k: F.call_function("get_json_object", F.col("_a"), F.concat(F.lit("$['"), k, F.lit("']")))
+    lists = F.filter(F.transform(F.json_object_keys("_a"), member), lambda v: F.startswith(F.ltrim(v), F.lit("[")))
+    text = F.when(F.startswith(F.ltrim("_a"), F.lit("[")), F.col("_a")).otherwise(F.try_element_at(lists, F.lit(1)))
+    listed = F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+    pairs = F.transform(listed, lambda e: F.struct(F.get_json_object(e, "$.i").try_cast("int").alias("i"), F.coalesce(F.get_json_object(e, "$.t"), F.lit("")).alias("t")))
+    kept = own.select("id", F.filter(pairs, lambda p: p["i"].isNotNull()).alias("p"))
+    rows = kept.select("id", F.posexplode("p").alias("place", "e")).groupBy("id", F.col("e.i").alias("i")).agg(F.max_by("e.t", "place").alias("t"))
+    none = kept.where(F.size("p") == 0).select("id", F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("t"))
+    return rows.withColumn("failed", F.lit(False)).unionByName(none.withColumn("failed", F.lit(True)))
+
+
 def payments_explode(results: DataFrame) -> DataFrame:
     """One row per payment of ``(id, payments)``; none gives one row of nulls; missing parts take defaults."""
     one = results.select("id", F.posexplode_outer("payments").alias("ord", "p"))

@@ -10,10 +10,12 @@ from ..functions.times import micros
 LEASE_DAYS, REFRESH_DUE_DAYS, GRACE_DAYS = 7, 2, 14
 
 
-def license_search(licences: DataFrame, query: str = "", plan: str | None = None, seats: str | None = None, issued_days: int | None = None, state: str | None = None, now: str = "2024-01-01", columns: tuple[str, ...] = ("name", "plan", "note", "id")) -> DataFrame:
-    """Licences that match all given criteria, with ``state`` (expired once past the expiry) and ``position``.
+def license_search(licences: DataFrame, query: str = "", plan: str | None = None, seats: str | None = None, issued_days: int | None = None, state: str | None = None, now: str = "2024-01-01", columns: tuple[str, ...] = ("name", "plan", "note", "id"), sort: str = "expires", ascending: bool = True) -> DataFrame:
+    """Licences that match all given criteria, with ``state`` (expired once past the expiry) and ``position`` in the order.
 
-    The order is by expiry, those without one last, then by id.
+    The order is by ``sort``, those without a value last (first if descending),
+    then by id. Rows with one value meet in one window, and values in another,
+    so no window holds all rows unless all have one value.
     """
     today = F.to_timestamp(F.lit(now))
     found = licences.withColumn("state", F.when(F.col("expires") < today, "expired").otherwise(F.col("status")))
@@ -29,7 +31,12 @@ def license_search(licences: DataFrame, query: str = "", plan: str | None = None
         found = found.where(F.datediff(today, "issued") <= issued_days)
     if state:
         found = found.where(F.col("state") == state)
-    return found
+    value = F.col(sort).asc_nulls_last() if ascending else F.col(sort).desc_nulls_first()
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = found.groupBy(F.col(sort).alias("_v")).agg(F.count("*").alias("_n"), F.first(sort).alias(sort)).select("_v", before.alias("_before"))
+    k = F.row_number().over(Window.partitionBy(sort).orderBy("id"))
+    ranked = found.withColumn("_k", k).join(values, F.col(sort).eqNullSafe(F.col("_v")))
+    return ranked.withColumn("position", F.col("_before") + F.col("_k") - 1).drop("_v", "_before", "_k")
 
 
 def license_overview(licences: DataFrame, activations: DataFrame) -> DataFrame:
@@ -44,26 +51,31 @@ def admin_gate(rows: DataFrame, allowed: DataFrame, actor: str) -> DataFrame:
     return rows.join(allowed, actor, "left_semi")
 
 
-def token_status(grants: DataFrame, checks: DataFrame) -> DataFrame:
+def token_status(grants: DataFrame, checks: DataFrame, licences: DataFrame) -> DataFrame:
     """The state of a token at each check: the last grant at or before it, as of its age.
 
-    ``grants`` and ``checks`` have ``key`` and ``ts``. Within the lease a token
-    is ``active``, in its last days ``refresh_due``; after that it has ``grace``,
-    then is ``expired``; without a grant it is ``none``.
+    ``grants (key, ts)``, ``checks (key, ts, check_id, offline)`` and ``licences
+    (key, status, expires)``. Without a grant the state is ``none``. Then the
+    licence rules: past its expiry it is ``expired``, and a status that is not
+    active is the state. Within the lease a token is ``active``, in its last
+    days ``refresh_due``; after that an offline check has ``grace`` for a while,
+    any other is ``expired``. A key without a licence has no such limits.
     """
     events = grants.select("key", "ts", F.col("ts").alias("granted"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("check_id"))
-    asked = checks.select("key", "ts", F.lit(None).cast(grants.schema["ts"].dataType).alias("granted"), F.lit(1).alias("kind"), "check_id")
+    asked = checks.select("key", "ts", F.lit(None).cast(grants.schema["ts"].dataType).alias("granted"), F.lit(1).alias("kind"), "check_id", "offline")
     upto = Window.partitionBy("key").orderBy("ts", "kind", "check_id").rowsBetween(Window.unboundedPreceding, 0)
-    known = events.unionByName(asked).withColumn("granted", F.last("granted", ignorenulls=True).over(upto)).where("kind = 1")
+    known = events.unionByName(asked, allowMissingColumns=True).withColumn("granted", F.last("granted", ignorenulls=True).over(upto)).where("kind = 1")
     days = (micros("ts") - micros("granted")) / 86_400_000_000
     state = (
         F.when(F.col("granted").isNull(), "none")
+        .when(F.col("expires") < F.col("ts"), "expired")
+        .when(F.col("status") != "active", F.col("status"))
         .when(days < LEASE_DAYS - REFRESH_DUE_DAYS, "active")
         .when(days < LEASE_DAYS, "refresh_due")
-        .when(days < LEASE_DAYS + GRACE_DAYS, "grace")
+        .when(F.col("offline") & (days < LEASE_DAYS + GRACE_DAYS), "grace")
         .otherwise("expired")
     )
-    return known.select("key", "check_id", "ts", "granted", state.alias("token_state"))
+    return known.join(licences.select("key", "status", "expires"), "key", "left").select("key", "check_id", "ts", "granted", state.alias("token_state"))
 
 
 def audit_tail(events: DataFrame, n: int = 200) -> DataFrame:
@@ -96,12 +108,20 @@ def unchanged_snapshot_skip(saves: DataFrame) -> DataFrame:
     return saves.withColumn("_b", before).where(~F.col("n_bytes").eqNullSafe(F.col("_b"))).drop("_b")
 
 
-def seat_admission(requests: DataFrame, licences: DataFrame) -> DataFrame:
-    """Where nobody is deactivated: a machine is admitted if it is among the first ``max_seats`` machines of its licence."""
-    first = requests.groupBy("licence_id", "machine").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+def seat_admission(requests: DataFrame, licences: DataFrame, deactivated: DataFrame) -> DataFrame:
+    """Decisions on ``(event_id, ts, licence_id, machine)``, in order.
+
+    An unknown licence is ``unknown``; one that is not active gives its status,
+    one past its expiry ``expired``; a machine on the list ``deactivated
+    (licence_id, machine)`` is ``deactivated``. Of the rest, a machine is
+    admitted if it is among the first ``max_seats`` such machines of its licence.
+    """
+    known = requests.join(licences.select("licence_id", "max_seats", "status", "expires"), "licence_id", "left").join(deactivated.select("licence_id", "machine", F.lit(True).alias("off")).distinct(), ["licence_id", "machine"], "left")
+    barred = F.when(F.col("max_seats").isNull(), "unknown").when(F.col("status") != "active", F.col("status")).when(F.col("expires") < F.col("ts"), "expired").when(F.col("off"), "deactivated")
+    judged = known.withColumn("barred", barred)
+    first = judged.where("barred is null").groupBy("licence_id", "machine").agg(F.min(F.struct("ts", "event_id")).alias("f"))
     ranked = first.withColumn("seat", F.row_number().over(Window.partitionBy("licence_id").orderBy("f", "machine")))
-    joined = requests.join(ranked, ["licence_id", "machine"]).join(licences, "licence_id")
-    ok = F.col("seat") <= F.col("max_seats")
+    joined = judged.join(ranked, ["licence_id", "machine"], "left")
     is_first = (F.col("f.ts") == F.col("ts")) & (F.col("f.event_id") == F.col("event_id"))
-    decision: Column = F.when(~ok, "refused").when(is_first, "activate").otherwise("reactivate")
+    decision: Column = F.coalesce("barred", F.when(F.col("seat") > F.col("max_seats"), "refused").when(is_first, "activate").otherwise("reactivate"))
     return joined.select("event_id", "licence_id", "machine", decision.alias("decision"))

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 A4 = (595.0, 842.0)
 
 
+def _number(text: Column) -> Column:
+    """Digits as a number however many they are: beyond nine, all are past the last page."""
+    digits = F.regexp_replace(F.trim(text), r"^([+-]?)0+(?=\d)", "$1")
+    size = F.when(F.length(F.regexp_replace(digits, "^[+-]", "")) > 9, F.concat(F.regexp_extract(digits, "^([+-]?)", 1), F.lit("999999999"))).otherwise(digits)
+    return F.when(digits.rlike(r"^[+-]?\d+$"), size.try_cast("int"))
+
+
 def page_ranges(specs: DataFrame, dialect: str = "client") -> DataFrame:
     """Explode ``(doc_id, spec, n_pages)`` into 0-based inclusive ranges ``(doc_id, ord, first, last)``.
 
@@ -19,8 +26,7 @@ def page_ranges(specs: DataFrame, dialect: str = "client") -> DataFrame:
     if dialect == "client":
         text = F.regexp_replace(F.regexp_replace(text, "[‐‑‒–—−]", "-"), ";", ",")
     token = specs.select("doc_id", "n_pages", F.posexplode(F.split(text, ",")).alias("ord", "token"))
-    a = F.try_element_at(F.split("token", "-"), F.lit(1)).try_cast("int")
-    b = F.try_element_at(F.split("token", "-"), F.lit(2)).try_cast("int")
+    a, b = (_number(F.try_element_at(F.split("token", "-"), F.lit(i))) for i in (1, 2))
     low, high = F.least(a, F.coalesce(b, a)), F.greatest(a, F.coalesce(b, a))
     ok = token.where(F.col("token").rlike(r"^\d+(-\d+)?$")).select("doc_id", "ord", "n_pages", low.alias("low"), high.alias("high"))
     clamp = lambda x: F.least(F.greatest(x, F.lit(1)), F.col("n_pages"))
@@ -79,17 +85,17 @@ def insert_at(manifest: DataFrame, inserts: DataFrame) -> DataFrame:
 
 
 def apply_page_ops(manifest: DataFrame, ops: DataFrame) -> DataFrame:
-    """One edit per document: ``ops (doc_id, op, page, to, delta)``.
+    """One edit per document: ``ops (doc_id, op, page, to, delta, pages)``.
 
-    ``reorder`` takes a page out and puts it in at ``to``; ``rotate`` turns a
-    page by ``delta``; ``blank`` adds a page at ``to`` with the size of the
+    ``reorder`` takes a page out and puts it in at ``to``; ``rotate`` turns the
+    pages of the array ``pages`` by ``delta``; ``blank`` adds a page at ``to`` with the size of the
     page before it, A4 in an empty document. Source pages are -1 for blanks.
     """
     j = manifest.join(ops, "doc_id", "left")
     p, a, b = F.col("page_no"), F.col("page"), F.col("to")
     moved = F.when(p == a, b).when((p > a) & (p <= b), p - 1).when((p < a) & (p >= b), p + 1).otherwise(p)
     place = F.when(F.col("op") == "reorder", moved).when((F.col("op") == "blank") & (p >= b), p + 1).otherwise(p)
-    turned = F.when((F.col("op") == "rotate") & (p == a), F.pmod(F.col("rotation") + F.col("delta"), F.lit(360))).otherwise(F.col("rotation"))
+    turned = F.when((F.col("op") == "rotate") & F.array_contains("pages", p), F.pmod(F.col("rotation") + F.col("delta"), F.lit(360))).otherwise(F.col("rotation"))
     edited = j.select("doc_id", p.alias("source_page"), place.alias("page_no"), turned.alias("rotation"), "width", "height")
     blanks = ops.where("op = 'blank'").select("doc_id", "to")
     before = manifest.groupBy("doc_id").agg(F.max("page_no").alias("_last"))
@@ -104,18 +110,20 @@ def delete_range(manifest: DataFrame, requests: DataFrame) -> DataFrame:
 
     Returns the remaining pages, renumbered, with ``refused``: ``empty`` if no
     page is named, ``all`` if none would stay; refused documents are unchanged.
+    A document without pages is one row of nulls with ``no-doc``. What is no
+    number stands for the first or last page.
     """
-    n = F.count("*").over(Window.partitionBy("doc_id"))
-    j = manifest.join(requests, "doc_id").withColumn("_n", n)
-    a = F.coalesce(F.col("from_page").try_cast("int"), F.lit(1))
-    b = F.coalesce(F.col("to_page").try_cast("int"), F.col("_n"))
+    n = F.count("page_no").over(Window.partitionBy("doc_id"))
+    j = requests.join(manifest, "doc_id", "left").withColumn("_n", n)
+    a = F.coalesce(_number(F.col("from_page")), F.lit(1))
+    b = F.coalesce(_number(F.col("to_page")), F.col("_n"))
     clamp = lambda x: F.least(F.greatest(x, F.lit(1)), F.col("_n"))
     low, high = clamp(F.least(a, b)), clamp(F.greatest(a, b))
     goes = (F.col("page_no") + 1).between(low, high) & ~F.array_contains("keep", F.col("page_no") + 1)
-    j = j.withColumn("_goes", goes).withColumn("_gone", F.count_if("_goes").over(Window.partitionBy("doc_id")))
-    j = j.withColumn("refused", F.when(F.col("_gone") == 0, "empty").when(F.col("_gone") == F.col("_n"), "all"))
+    j = j.withColumn("_goes", F.coalesce(goes, F.lit(False))).withColumn("_gone", F.count_if("_goes").over(Window.partitionBy("doc_id")))
+    j = j.withColumn("refused", F.when(F.col("_n") == 0, "no-doc").when(F.col("_gone") == 0, "empty").when(F.col("_gone") == F.col("_n"), "all"))
     left = j.where(~F.col("_goes") | F.col("refused").isNotNull())
-    return left.select("doc_id", F.col("page_no").alias("source_page"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no")) - 1).alias("page_no"), "refused")
+    return left.select("doc_id", F.col("page_no").alias("source_page"), F.when(F.col("page_no").isNotNull(), F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no")) - 1).alias("page_no"), "refused")
 
 
 def extract_pages(manifest: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -125,11 +133,12 @@ def extract_pages(manifest: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def split_every(manifest: DataFrame, n: int, most_parts: int = 1000) -> DataFrame:
-    """Parts of ``n`` pages with labels; a document that would give too many parts is refused (left out)."""
+    """Parts of ``n`` pages with labels; a document that would give too many parts has one row without a part, ``refused``."""
     parts = manifest.withColumn("part", F.floor(F.col("page_no") / max(1, n)).cast("int")).groupBy("doc_id", "part").agg((F.min("page_no") + 1).alias("a"), (F.max("page_no") + 1).alias("b"))
-    parts = parts.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))).where(F.col("_n") <= most_parts)
+    parts = parts.withColumn("refused", F.count("*").over(Window.partitionBy("doc_id")) > most_parts).where(~F.col("refused") | (F.col("part") == 0))
+    told = lambda c: F.when(~F.col("refused"), c)
     label = F.when(F.col("a") == F.col("b"), F.concat(F.lit("p"), F.col("a").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string")))
-    return parts.select("doc_id", F.format_string("%03d", F.col("part") + 1).alias("part_name"), label.alias("label"), (F.col("b") - F.col("a") + 1).alias("pages"))
+    return parts.select("doc_id", told(F.format_string("%03d", F.col("part") + 1)).alias("part_name"), told(label).alias("label"), told(F.col("b") - F.col("a") + 1).alias("pages"), "refused")
 
 
 def split_ranges(manifest: DataFrame, specs: DataFrame) -> DataFrame:

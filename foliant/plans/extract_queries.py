@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folders import shared_folder
 from ..operators import extract as x
 from ..sources import corpus, sinks
 from . import common_sql as sql
@@ -21,7 +20,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return x.extract_by_rules(_docs(spark, d), spark.createDataFrame(RULES, "template string, key string, pattern string"))
+    return x.extract_by_rules(_docs(spark, d), RULES)
 
 
 def extract_by_rules(spark, d):
@@ -55,7 +54,7 @@ def records_enriched(spark, d):
 
 
 def field_fill_rate(spark, d):
-    return x.field_fill_rate(_records(spark, d), _templates(spark).where("template <> 'default'"))
+    return x.field_fill_rate(_records(spark, d), _templates(spark))
 
 
 def recon_select(spark, d):
@@ -75,6 +74,16 @@ def parse_responses(spark, d):
     return x.parse_responses(_answers(spark, d), "k string").select("id", F.col("result.k").cast("string").alias("k"), "failed")
 
 
+def parse_lists(spark, d):
+    """Answers of four forms: an array, an object around one, the same in a fence, and an object without a list."""
+    k = F.col("event_id") % 4
+    one = lambda i, t: F.concat(F.lit('{"i": '), i.cast("string"), F.lit(', "t": "'), t, F.lit('"}'))
+    entries = F.concat(F.lit("["), one(F.lit(0), F.col("event_type")), F.lit(', {"t": "no index"}, '), one(F.lit(1), F.col("user_id").cast("string")), F.lit(', 7, {"i": 2}]'))
+    wrapped = F.concat(F.lit('{"note": "x", "items": '), entries, F.lit(', "more": []}'))
+    answer = F.when(k == 0, entries).when(k == 1, wrapped).when(k == 2, F.concat(F.lit("```json\n"), wrapped, F.lit("\n```"))).otherwise(F.lit('{"note": "nothing"}'))
+    return x.parse_lists(corpus.table(spark, d, "events").select(F.col("event_id").alias("id"), answer.alias("answer")))
+
+
 def payments_explode(spark, d):
     items = corpus.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("name"), F.col("l_discount").alias("share"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_extendedprice")).alias("amount")))).alias("payments"))
     results = corpus.table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("id"), "payments")
@@ -100,7 +109,7 @@ def exact_duplicates(spark, d):
 
 
 def _written(spark, d, fmt):
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-records-')}/records-{fmt}-{spark.sparkContext.applicationId}"
+    folder = f"{shared_folder(spark)}/records-{fmt}-{spark.sparkContext.applicationId}"
     wide = _records(spark, d).groupBy("doc_id").pivot("key", ["email", "first", "license", "version"]).agg(F.first("value"))
     wide = wide.withColumn("_page", F.lit(1))
     sinks.write_records(wide, folder, fmt, {"doc_id": "Document", "email": "E-mail", "first": "First word", "license": "License", "version": "Version"})
@@ -144,8 +153,8 @@ QUERIES = {
     "records_enriched": (records_enriched, "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'file-' || event_id END AS _source_file, '20240101_000000' AS _timestamp FROM events"),
     "field_fill_rate": (
         field_fill_rate,
-        f"""WITH {_TPL}, r AS ({_RULE_ROWS}), k AS (SELECT template, key FROM tpl WHERE template <> 'default' UNION SELECT template, key FROM r)
-        SELECT template, key, (SELECT count(DISTINCT doc_id) FROM r WHERE r.template = k.template AND r.key = k.key AND value IS NOT NULL) / (SELECT count(DISTINCT doc_id) FROM r WHERE r.template = k.template) AS fill_rate FROM k""",
+        f"""WITH {_TPL}, r AS ({_RULE_ROWS}), k AS (SELECT template, key FROM tpl UNION SELECT template, key FROM r)
+        SELECT template, key, (SELECT count(DISTINCT doc_id) FROM r WHERE r.template = k.template AND r.key = k.key AND value IS NOT NULL) / nullif((SELECT count(DISTINCT doc_id) FROM r WHERE r.template = k.template), 0) AS fill_rate FROM k""",
     ),
     "recon_select": (
         recon_select,
@@ -153,6 +162,11 @@ QUERIES = {
         m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c, bool_or(w) OVER (PARTITION BY doc_id) AS a, min(page_no) OVER (PARTITION BY doc_id) AS f FROM w) SELECT doc_id, page_no FROM m WHERE c <= 2 OR w OR (NOT a AND page_no = f)""",
     ),
     "parse_responses": (parse_responses, "SELECT event_id AS id, CASE WHEN event_id % 4 < 3 THEN json_extract_string(props, '$.k') END AS k, event_id % 4 = 3 AS failed FROM events"),
+    "parse_lists": (
+        parse_lists,
+        """SELECT event_id AS id, 0 AS i, event_type AS t, false AS failed FROM events WHERE event_id % 4 < 3 UNION ALL SELECT event_id, 1, CAST(user_id AS VARCHAR), false FROM events WHERE event_id % 4 < 3
+        UNION ALL SELECT event_id, 2, '', false FROM events WHERE event_id % 4 < 3 UNION ALL SELECT event_id, NULL, NULL, true FROM events WHERE event_id % 4 = 3""",
+    ),
     "payments_explode": (
         payments_explode,
         """WITH p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END NULLS FIRST, l_discount, CASE WHEN l_linenumber % 3 > 0 THEN l_extendedprice END NULLS FIRST) - 1 AS ord FROM lineitem)

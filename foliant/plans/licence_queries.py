@@ -26,7 +26,13 @@ def _licences(spark: SparkSession, d: str) -> DataFrame:
 
 def license_search(spark, d):
     found = licence.license_search(_licences(spark, d), query="1", seats="3-10", issued_days=120, state="active")
-    return found.select("id", "name", "plan", "max_seats", "state")
+    return found.select("id", "name", "plan", "max_seats", "state", "position")
+
+
+def license_search_newest(spark, d):
+    """All expired or suspended licences, those without an expiry first, then the latest expiry."""
+    found = licence.license_search(_licences(spark, d), issued_days=None, seats="3-10", sort="expires", ascending=False)
+    return found.where("state <> 'active'").select("id", "state", "position")
 
 
 def license_overview(spark, d):
@@ -43,8 +49,12 @@ def admin_gate(spark, d):
 def token_status(spark, d):
     e = table(spark, d, "events")
     grants = e.where("event_type in ('signup', 'purchase')").select(F.col("user_id").alias("key"), "ts")
-    checks = e.where("event_type = 'view'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("check_id"))
-    return licence.token_status(grants, checks).select("key", "check_id", micros("ts").alias("ts_us"), micros("granted").alias("granted_us"), "token_state")
+    checks = e.where("event_type = 'view'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("check_id"), (F.col("event_id") % 2 == 0).alias("offline"))
+    k = F.col("key")
+    status = F.when(k % 11 == 0, "suspended").when(k % 13 == 0, "revoked").otherwise("active")
+    expires = F.when(k % 4 == 0, F.expr("timestamp_ntz'2024-01-10 00:00:00'") + F.make_dt_interval((k % 15).cast("int")))
+    licences = e.select(F.col("user_id").alias("key")).distinct().select("key", status.alias("status"), expires.alias("expires"))
+    return licence.token_status(grants, checks, licences).select("key", "check_id", micros("ts").alias("ts_us"), micros("granted").alias("granted_us"), "token_state")
 
 
 def audit_tail(spark, d):
@@ -60,11 +70,12 @@ def thread_flatten(spark, d):
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.floor(F.col("o_totalprice") / 100000).cast("long").alias("n_bytes"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), (F.floor(F.col("o_totalprice") / 100000) * 10_000_000).cast("long").alias("n_bytes"))
 
 
 def history_trim(spark, d):
-    return licence.history_trim(_versions(spark, d), 6, 12)
+    """Within the feature's own limits: 30 versions, 512 MB."""
+    return licence.history_trim(_versions(spark, d), 30, 512 * 1024 * 1024)
 
 
 def unchanged_snapshot_skip(spark, d):
@@ -73,22 +84,41 @@ def unchanged_snapshot_skip(spark, d):
 
 def seat_admission(spark, d):
     e = table(spark, d, "events").where("event_type = 'signup'").select("event_id", "ts", (F.col("user_id") % 40).alias("licence_id"), F.col("user_id").alias("machine"))
-    licences = e.select("licence_id").distinct().withColumn("max_seats", 1 + F.col("licence_id") % 3)
-    return licence.seat_admission(e, licences)
+    k = F.col("licence_id")
+    expires = F.when(k % 9 == 2, F.expr("timestamp_ntz'2024-01-12 00:00:00'"))
+    licences = e.where(k != 39).select("licence_id").distinct().select("licence_id", (1 + k % 3).alias("max_seats"), F.when(k % 8 == 1, "suspended").otherwise("active").alias("status"), expires.alias("expires"))
+    off = e.where("machine % 10 = 3").select("licence_id", "machine").distinct()
+    return licence.seat_admission(e, licences, off)
 
 
-_V = "SELECT o_custkey AS doc_id, o_orderkey AS seq, CAST(floor(o_totalprice / 100000) AS BIGINT) AS n_bytes FROM orders"
-QUERIES = {
-    "license_search": (
-        license_search,
-        """WITH l AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS plan, 'nation ' || c_nationkey AS note, 1 + c_custkey % 5 * 3 AS max_seats,
+def seat_admission_open(spark, d):
+    """Active licences without an expiry, nobody deactivated: the batch twin of the stream."""
+    e = table(spark, d, "events").where("event_type = 'signup'").select("event_id", "ts", (F.col("user_id") % 40).alias("licence_id"), F.col("user_id").alias("machine"))
+    licences = e.select("licence_id").distinct().select("licence_id", (1 + F.col("licence_id") % 3).alias("max_seats"), F.lit("active").alias("status"), F.lit(None).cast("timestamp_ntz").alias("expires"))
+    return licence.seat_admission(e, licences, e.select("licence_id", "machine").limit(0))
+
+
+_V = "SELECT o_custkey AS doc_id, o_orderkey AS seq, CAST(floor(o_totalprice / 100000) * 10000000 AS BIGINT) AS n_bytes FROM orders"
+_LICENCES = """l AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS plan, 'nation ' || c_nationkey AS note, 1 + c_custkey % 5 * 3 AS max_seats,
           CASE WHEN c_acctbal < 0 THEN 'suspended' ELSE 'active' END AS status,
           CASE WHEN c_custkey % 4 <> 0 THEN DATE '2023-10-01' + CAST(c_custkey % 200 AS INTEGER) END AS expires,
           DATE '2023-06-01' + CAST(c_custkey % 300 AS INTEGER) AS issued FROM customer),
-        s AS (SELECT *, CASE WHEN expires < DATE '2024-01-01' THEN 'expired' ELSE status END AS state FROM l)
-        SELECT id, name, plan, max_seats, state FROM s WHERE state = 'active' AND max_seats BETWEEN 3 AND 10 AND DATE '2024-01-01' - issued <= 120
+        s AS (SELECT *, CASE WHEN expires < DATE '2024-01-01' THEN 'expired' ELSE status END AS state FROM l)"""
+_OPEN = """WITH e AS (SELECT event_id, ts, user_id % 40 AS licence_id, user_id AS machine FROM events WHERE event_type = 'signup'),
+        f AS (SELECT licence_id, machine, min((ts, event_id)) AS f, arg_min(event_id, (ts, event_id)) AS first_id FROM e GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY licence_id ORDER BY f, machine) AS seat FROM f)
+        SELECT event_id, licence_id, machine, CASE WHEN seat > 1 + licence_id % 3 THEN 'refused' WHEN first_id = event_id THEN 'activate' ELSE 'reactivate' END AS decision
+        FROM e JOIN r USING (licence_id, machine)"""
+QUERIES = {
+    "license_search": (
+        license_search,
+        f"""WITH {_LICENCES} SELECT id, name, plan, max_seats, state, row_number() OVER (ORDER BY expires NULLS LAST, id) - 1 AS position FROM s WHERE state = 'active' AND max_seats BETWEEN 3 AND 10 AND DATE '2024-01-01' - issued <= 120
           AND (contains(lower(name), '1') OR contains(lower(plan), '1') OR contains(note, '1') OR contains(CAST(id AS VARCHAR), '1'))""",
     ),
+    "license_search_newest": (
+        license_search_newest,
+        f"WITH {_LICENCES} SELECT id, state, position FROM (SELECT *, row_number() OVER (ORDER BY expires DESC NULLS FIRST, id) - 1 AS position FROM s WHERE max_seats BETWEEN 3 AND 10) WHERE state <> 'active'",
+    ),
     "license_overview": (
         license_overview,
         """WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
@@ -105,8 +135,9 @@ QUERIES = {
         """WITH g AS (SELECT user_id AS key, ts AS granted FROM events WHERE event_type IN ('signup', 'purchase')),
         c AS (SELECT user_id AS key, event_id AS check_id, ts, (SELECT max(granted) FROM g WHERE g.key = events.user_id AND granted <= ts) AS granted FROM events WHERE event_type = 'view'),
         a AS (SELECT *, (epoch_us(ts) - epoch_us(granted)) / 86400000000 AS days FROM c)
-        SELECT key, check_id, epoch_us(ts) AS ts_us, epoch_us(granted) AS granted_us, CASE WHEN granted IS NULL THEN 'none' WHEN days < 5 THEN 'active'
-        WHEN days < 7 THEN 'refresh_due' WHEN days < 21 THEN 'grace' ELSE 'expired' END AS token_state FROM a""",
+        SELECT key, check_id, epoch_us(ts) AS ts_us, epoch_us(granted) AS granted_us, CASE WHEN granted IS NULL THEN 'none'
+        WHEN key % 4 = 0 AND TIMESTAMP '2024-01-10' + to_days(CAST(key % 15 AS INTEGER)) < ts THEN 'expired' WHEN key % 11 = 0 THEN 'suspended' WHEN key % 13 = 0 THEN 'revoked' WHEN days < 5 THEN 'active'
+        WHEN days < 7 THEN 'refresh_due' WHEN check_id % 2 = 0 AND days < 21 THEN 'grace' ELSE 'expired' END AS token_state FROM a""",
     ),
     "audit_tail": (audit_tail, "SELECT event_id, epoch_us(ts) AS ts, event_type, json_extract_string(props, '$.k') AS detail FROM events ORDER BY events.ts DESC, event_id DESC LIMIT 200"),
     "comments_panel": (comments_panel, "SELECT conv_id, arg_min(text, turn) AS note, count(*) - 1 AS replies FROM conversations GROUP BY conv_id HAVING regexp_matches(arg_min(text, turn), '[^[:space:]]')"),
@@ -114,7 +145,7 @@ QUERIES = {
     "history_trim": (
         history_trim,
         f"""WITH v AS ({_V}), r AS (SELECT *, row_number() OVER w AS k, sum(n_bytes) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY seq DESC))
-        SELECT doc_id, seq, n_bytes FROM r WHERE k = 1 OR (k <= 6 AND s <= 12)""",
+        SELECT doc_id, seq, n_bytes FROM r WHERE k = 1 OR (k <= 30 AND s <= 536870912)""",
     ),
     "unchanged_snapshot_skip": (
         unchanged_snapshot_skip,
@@ -123,9 +154,11 @@ QUERIES = {
     "seat_admission": (
         seat_admission,
         """WITH e AS (SELECT event_id, ts, user_id % 40 AS licence_id, user_id AS machine FROM events WHERE event_type = 'signup'),
-        f AS (SELECT licence_id, machine, min((ts, event_id)) AS f, arg_min(event_id, (ts, event_id)) AS first_id FROM e GROUP BY ALL),
+        j AS (SELECT *, CASE WHEN licence_id = 39 THEN 'unknown' WHEN licence_id % 8 = 1 THEN 'suspended' WHEN licence_id % 9 = 2 AND ts > TIMESTAMP '2024-01-12' THEN 'expired' WHEN machine % 10 = 3 THEN 'deactivated' END AS barred FROM e),
+        f AS (SELECT licence_id, machine, min((ts, event_id)) AS f, arg_min(event_id, (ts, event_id)) AS first_id FROM j WHERE barred IS NULL GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY licence_id ORDER BY f, machine) AS seat FROM f)
-        SELECT event_id, licence_id, machine, CASE WHEN seat > 1 + licence_id % 3 THEN 'refused' WHEN first_id = event_id THEN 'activate' ELSE 'reactivate' END AS decision
-        FROM e JOIN r USING (licence_id, machine)""",
+        SELECT event_id, licence_id, machine, coalesce(barred, CASE WHEN seat > 1 + licence_id % 3 THEN 'refused' WHEN first_id = event_id THEN 'activate' ELSE 'reactivate' END) AS decision
+        FROM j LEFT JOIN r USING (licence_id, machine)""",
     ),
+    "seat_admission_open": (seat_admission_open, _OPEN),
 }

@@ -25,7 +25,7 @@ def _specs(spark: SparkSession, d: str, *texts: str) -> DataFrame:
 
 
 def page_select(spark, d):
-    return m.page_select(_manifest(spark, d), _specs(spark, d, "1-3,5,8-10", "3 - 1;2", "2–4,x,-3", "0,9999"))
+    return m.page_select(_manifest(spark, d), _specs(spark, d, "1-3,5,8-10", "3 - 1;2", "2–4,x,-3", "0,99999999999", "2-99999999999"))
 
 
 def page_labels(spark, d):
@@ -50,7 +50,7 @@ def insert_at(spark, d):
 def apply_page_ops(spark, d):
     k = F.col("doc_id") % 4
     ops = _counted(spark, d).where((F.col("n_pages") >= 3) & (k < 3)).select(
-        "doc_id", F.when(k == 0, "reorder").when(k == 1, "rotate").otherwise("blank").alias("op"), F.lit(0).alias("page"), F.lit(2).alias("to"), F.lit(-90).alias("delta")
+        "doc_id", F.when(k == 0, "reorder").when(k == 1, "rotate").otherwise("blank").alias("op"), F.lit(0).alias("page"), F.lit(2).alias("to"), F.lit(-90).alias("delta"), F.array(F.lit(0), F.lit(2)).alias("pages")
     )
     return m.apply_page_ops(_manifest(spark, d), ops)
 
@@ -58,8 +58,9 @@ def apply_page_ops(spark, d):
 def delete_range(spark, d):
     k = F.col("doc_id") % 4
     req = _counted(spark, d).select(
-        "doc_id", F.when(k == 0, "2").when(k == 1, "9").when(k == 2, "x").otherwise("3").alias("from_page"), F.when(k == 0, "3").when(k == 1, "1").when(k == 2, "").otherwise("3").alias("to_page"), F.array(F.lit(3)).alias("keep")
+        "doc_id", F.when(k == 0, "2").when(k == 1, "9").when(k == 2, "x").otherwise("3").alias("from_page"), F.when(k == 0, "3").when(k == 1, "1").when(k == 2, "").otherwise("99999999999").alias("to_page"), F.array(F.lit(3)).alias("keep")
     )
+    req = req.unionByName(req.where("doc_id % 50 = 0").withColumn("doc_id", -1 - F.col("doc_id")))  # documents that are not there
     return m.delete_range(_manifest(spark, d), req)
 
 
@@ -103,7 +104,7 @@ def _ranges(*specs: tuple) -> str:
 QUERIES = {
     "page_select": (
         page_select,
-        f"""WITH {_M}, {_ranges([(0, 1, 3), (1, 5, 5), (2, 8, 10)], [(0, 1, 3), (1, 2, 2)], [(0, 2, 4)], [(0, 0, 0), (1, 9999, 9999)])}
+        f"""WITH {_M}, {_ranges([(0, 1, 3), (1, 5, 5), (2, 8, 10)], [(0, 1, 3), (1, 2, 2)], [(0, 2, 4)], [(0, 0, 0), (1, 9999, 9999)], [(0, 2, 9999)])}
         SELECT DISTINCT doc_id, page_no FROM manifest JOIN ranges USING (doc_id) WHERE page_no BETWEEN first AND last""",
     ),
     "page_labels": (page_labels, f"WITH {_M} SELECT doc_id, page_no, (page_no + 4) || ' / ' || (n + 3) AS label FROM manifest JOIN counted USING (doc_id) WHERE page_no >= 1"),
@@ -131,22 +132,23 @@ QUERIES = {
         apply_page_ops,
         f"""WITH {_M}, e AS (SELECT m.*, CASE WHEN n >= 3 THEN doc_id % 4 ELSE 3 END AS k FROM manifest m JOIN counted USING (doc_id))
         SELECT doc_id, page_no AS source_page, CASE WHEN k = 0 AND page_no = 0 THEN 2 WHEN k = 0 AND page_no <= 2 THEN page_no - 1 WHEN k = 2 AND page_no >= 2 THEN page_no + 1 ELSE page_no END AS page_no,
-        CASE WHEN k = 1 AND page_no = 0 THEN 270 ELSE rotation END AS rotation, width, height FROM e
+        CASE WHEN k = 1 AND page_no IN (0, 2) THEN (rotation + 270) % 360 ELSE rotation END AS rotation, width, height FROM e
         UNION ALL SELECT doc_id, -1, 2, 0, width, height FROM e WHERE k = 2 AND page_no = 1""",
     ),
     "delete_range": (
         delete_range,
-        f"""WITH {_M}, r AS (SELECT doc_id, n, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 3 END AS lo, CASE doc_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 9 WHEN 2 THEN n ELSE 3 END AS hi FROM counted),
+        f"""WITH {_M}, r AS (SELECT doc_id, n, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 3 END AS lo, CASE doc_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 9 WHEN 2 THEN n ELSE n END AS hi FROM counted),
         g AS (SELECT doc_id, page_no, n, page_no + 1 BETWEEN least(lo, n) AND least(hi, n) AND page_no + 1 <> 3 AS goes FROM manifest JOIN r USING (doc_id)),
         f AS (SELECT *, count(*) FILTER (goes) OVER (PARTITION BY doc_id) AS gone FROM g),
         z AS (SELECT *, CASE WHEN gone = 0 THEN 'empty' WHEN gone = n THEN 'all' END AS refused FROM f)
-        SELECT doc_id, page_no AS source_page, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) - 1 AS page_no, refused FROM z WHERE NOT goes OR refused IS NOT NULL""",
+        SELECT doc_id, page_no AS source_page, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) - 1 AS page_no, refused FROM z WHERE NOT goes OR refused IS NOT NULL
+        UNION ALL SELECT -1 - doc_id, NULL, NULL, 'no-doc' FROM counted WHERE doc_id % 50 = 0""",
     ),
     "extract_pages": (extract_pages, f"WITH {_M} SELECT doc_id, page_no AS source_page, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) - 1 AS page_no FROM manifest WHERE page_no % 2 = 1"),
     "split_every": (
         split_every,
         f"""WITH {_M}, p AS (SELECT doc_id, page_no // 2 AS part, min(page_no) + 1 AS a, max(page_no) + 1 AS b FROM manifest GROUP BY ALL)
-        SELECT doc_id, lpad(CAST(part + 1 AS VARCHAR), 3, '0') AS part_name, CASE WHEN a = b THEN 'p' || a ELSE 'p' || a || '-' || b END AS label, b - a + 1 AS pages FROM p""",
+        SELECT doc_id, lpad(CAST(part + 1 AS VARCHAR), 3, '0') AS part_name, CASE WHEN a = b THEN 'p' || a ELSE 'p' || a || '-' || b END AS label, b - a + 1 AS pages, false AS refused FROM p""",
     ),
     "split_ranges": (
         split_ranges,

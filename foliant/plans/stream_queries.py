@@ -79,7 +79,7 @@ QUERIES = {
         SELECT event_id, user_id, (user_id, ts) NOT IN (SELECT (user_id, ts) FROM s) AS hit FROM events""",
     ),
     "lease_status": (lease_status, "SELECT check_id AS event_id, key AS user_id, token_state FROM (" + licence_queries.QUERIES["token_status"][1] + ")"),
-    "seat_admission_stream": (seat_admission_stream, licence_queries.QUERIES["seat_admission"][1]),
+    "seat_admission_stream": (seat_admission_stream, licence_queries.QUERIES["seat_admission_open"][1]),
     "batch_plan": (
         batch_plan,
         """WITH p AS (SELECT page_id, regexp_replace(url, '^https?://|[?#].*$', '', 'g') AS u FROM pages),

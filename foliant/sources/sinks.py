@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folders import exists
+
 NO_VALUE = "no information"
 
 
@@ -28,14 +30,8 @@ def write_records(records: DataFrame, path: str, fmt: str, labels: dict[str, str
         text = records.select(*(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(labels.get(k) or title(k)) for k in keys))
         if mode == "append":
             spark = records.sparkSession
-            try:
-                header = spark.read.option("header", True).csv(path).columns
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-            else:
-                if header != text.columns:
-                    raise ValueError(f"the folder has columns {header}")
+            if exists(spark, path) and (header := spark.read.option("header", True).csv(path).columns) != text.columns:
+                raise ValueError(f"the folder has columns {header}")
         text.write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
     elif fmt == "markdown":
         records.select(records_markdown(keys, labels).alias("value")).write.mode(mode).text(path, lineSep="\n\n")
