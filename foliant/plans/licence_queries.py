@@ -48,7 +48,7 @@ def admin_gate(spark, d):
 
 def token_status(spark, d):
     e = table(spark, d, "events")
-    grants = e.where("event_type in ('signup', 'purchase')").select(F.col("user_id").alias("key"), "ts")
+    grants = e.where("event_type in ('signup', 'purchase') and event_id % 30 = 0").select(F.col("user_id").alias("key"), "ts")
     checks = e.where("event_type = 'view'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("check_id"), (F.col("event_id") % 2 == 0).alias("offline"))
     k = F.col("key")
     status = F.when(k % 11 == 0, "suspended").when(k % 13 == 0, "revoked").otherwise("active")
@@ -132,7 +132,7 @@ QUERIES = {
     ),
     "token_status": (
         token_status,
-        """WITH g AS (SELECT user_id AS key, ts AS granted FROM events WHERE event_type IN ('signup', 'purchase')),
+        """WITH g AS (SELECT user_id AS key, ts AS granted FROM events WHERE event_type IN ('signup', 'purchase') AND event_id % 30 = 0),
         c AS (SELECT user_id AS key, event_id AS check_id, ts, (SELECT max(granted) FROM g WHERE g.key = events.user_id AND granted <= ts) AS granted FROM events WHERE event_type = 'view'),
         a AS (SELECT *, (epoch_us(ts) - epoch_us(granted)) / 86400000000 AS days FROM c)
         SELECT key, check_id, epoch_us(ts) AS ts_us, epoch_us(granted) AS granted_us, CASE WHEN granted IS NULL THEN 'none'

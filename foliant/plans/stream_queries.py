@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.times import micros
 from ..sources import corpus
 from ..streaming import streams as st
-from . import licence_queries
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -19,20 +18,36 @@ def _us(df: DataFrame, c: str) -> DataFrame:
     return df.withColumn(c, micros(F.col(c).cast("timestamp_ntz")))
 
 
+def _arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Events as files that drip in, some of them again in another spelling."""
+    name = F.concat("event_type", F.lit("/File"), (F.col("event_id") % 40).cast("string"), F.when(F.col("event_id") % 7 == 0, ".txt").otherwise(".pdf"))
+    return _events(spark, d).withColumn("path", F.when(F.col("event_id") % 3 == 0, F.upper(name)).otherwise(name))
+
+
 def debounce_batches(spark, d):
-    return _us(st.run_available(st.debounce_batches(_events(spark, d)), "complete"), "first_ts")
+    return _us(st.run_available(st.debounce_batches(_arrivals(spark, d)), "append"), "first_ts").drop("files")
+
+
+def debounced_plans(spark, d):
+    """With a gap of 36 hours, so that batches have many files; the plan is made as each batch closes."""
+    return _us(st.run_available(st.debounce_batches(_arrivals(spark, d), "36 hours"), "append", each=st.plan_closed), "first_ts")
 
 
 def autosave_snapshots(spark, d):
-    return _us(st.run_available(st.autosave_snapshots(_events(spark, d)), "complete"), "slot")
+    saves = _events(spark, d).withColumn("n_bytes", F.floor(F.col("value") / 25).cast("long"))
+    return st.run_available(st.autosave_snapshots(saves), "append")
 
 
 def latest_wins(spark, d):
-    return st.run_available(st.latest_wins(_events(spark, d)), "complete")
+    return st.run_available(st.latest_wins(_events(spark, d)), "update", keys=("user_id",))
 
 
 def audit_stream(spark, d):
-    return _us(st.run_available(st.audit_stream(_events(spark, d)), "complete"), "day").withColumn("total", F.round("total", 4))
+    return _us(st.run_available(st.audit_stream(_events(spark, d)), "append"), "ts")
+
+
+def audit_daily(spark, d):
+    return _us(st.run_available(st.audit_daily(_events(spark, d)), "append"), "day").withColumn("total", F.round("total", 4))
 
 
 def ttl_cache(spark, d):
@@ -40,13 +55,16 @@ def ttl_cache(spark, d):
 
 
 def lease_status(spark, d):
-    return st.run_available(st.lease_status(_events(spark, d)), "append")
+    what = F.when(F.col("event_type") == "view", "check").when(F.col("event_type") == "error", "revoke").when(F.col("event_type").isin("signup", "purchase"), "grant")
+    events = _events(spark, d).where("user_id % 3 = 0 or event_type <> 'purchase'").withColumn("what", what).withColumn("offline", F.col("event_id") % 2 == 0)
+    return st.run_available(st.lease_status(events.where("what is not null and (what = 'check' or event_id % 40 in (0, 1))")), "append")
 
 
 def seat_admission_stream(spark, d):
     e = _events(spark, d).where("event_type = 'signup'")
-    licence = F.col("user_id") % 40
-    requests = e.select("event_id", "ts", licence.alias("licence_id"), F.col("user_id").alias("machine"), (1 + licence % 3).alias("max_seats"), F.lit(False).alias("off"))
+    k = F.col("user_id") % 40
+    ends = F.when(k % 9 == 2, F.expr("timestamp_ntz'2024-01-12 00:00:00'").cast("timestamp"))
+    requests = e.select("event_id", "ts", k.alias("licence_id"), F.col("user_id").alias("machine"), (1 + k % 3).alias("max_seats"), F.lit(False).alias("off"), F.when(k % 8 == 1, "suspended").otherwise("active").alias("status"), ends.alias("expires"))
     return st.run_available(st.seat_admission(requests), "append")
 
 
@@ -55,38 +73,75 @@ def batch_plan(spark, d):
     path = F.regexp_replace("url", r"^https?://|[?#].*$", "")
     path = F.when(F.col("page_id") % 3 == 0, F.upper(path)).when(F.col("page_id") % 3 == 1, F.translate(path, "/", "\\")).otherwise(path)
     name = F.concat(path, F.when(F.col("page_id") % 11 == 0, ".txt").otherwise(".pdf"))
-    return st.batch_plan(pages.select((F.col("page_id") % 4).alias("batch_id"), F.col("page_id").alias("seq"), name.alias("path")), most=10)
+    return st.batch_plan(pages.select((F.col("page_id") % 2).alias("batch_id"), F.col("page_id").alias("seq"), name.alias("path")))
+
+
+#: The watermark when the stream ends, in microseconds: windows whose end it has not reached stay inside.
+_MARK = "(SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events)"
+
+
+def _sessions(hours: float) -> str:
+    return f"""g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= {int(hours * 3_600_000_000)} THEN 0 ELSE 1 END AS o FROM events),
+        s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g),
+        k AS (SELECT user_id, n, epoch_us(min(ts)) AS first_ts, count(*) AS arrivals FROM s GROUP BY ALL HAVING epoch_us(max(ts)) + {int(hours * 3_600_000_000)} <= {_MARK})"""
 
 
 QUERIES = {
     "debounce_batches": (
         debounce_batches,
-        """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS o FROM events),
-        s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g), k AS (SELECT user_id, n, min(ts) AS f, count(*) AS arrivals FROM s GROUP BY ALL),
-        t AS (SELECT user_id, n, string_agg(event_type, ',' ORDER BY event_type) AS kinds FROM (SELECT DISTINCT user_id, n, event_type FROM s) GROUP BY ALL)
-        SELECT user_id, epoch_us(f) AS first_ts, arrivals, kinds FROM k JOIN t USING (user_id, n)""",
+        f"""WITH {_sessions(0.25)}, t AS (SELECT user_id, n, string_agg(event_type, ',' ORDER BY event_type) AS kinds FROM (SELECT DISTINCT user_id, n, event_type FROM s) GROUP BY ALL)
+        SELECT user_id, first_ts, arrivals, kinds FROM k JOIN t USING (user_id, n)""",
+    ),
+    "debounced_plans": (
+        debounced_plans,
+        f"""WITH {_sessions(36)}, p AS (SELECT user_id, first_ts, event_id, event_type || '/File' || event_id % 40 || CASE WHEN event_id % 7 = 0 THEN '.txt' ELSE '.pdf' END AS path FROM k JOIN s USING (user_id, n)),
+        q AS (SELECT user_id, first_ts, lower(path) AS n, arg_min(CASE WHEN event_id % 3 = 0 THEN upper(path) ELSE path END, event_id) AS path FROM p WHERE path LIKE '%.pdf' GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY user_id, first_ts ORDER BY lpad(regexp_extract(n, '[0-9]+'), 20, '0'), path) AS k, count(*) OVER (PARTITION BY user_id, first_ts) AS c FROM q)
+        SELECT user_id, first_ts, k - 1 AS place, path, greatest(c - 60, 0) AS dropped FROM r WHERE k <= 60""",
     ),
     "autosave_snapshots": (
         autosave_snapshots,
-        "SELECT user_id, epoch_us(ts) // 7200000000 * 7200000000 AS slot, arg_max(value, (ts, event_id)) AS value, count(*) AS edits FROM events GROUP BY user_id, epoch_us(ts) // 7200000000 * 7200000000",
+        f"""WITH s AS (SELECT user_id, epoch_us(ts) // 7200000000 * 7200000000 AS slot, arg_max(CAST(floor(value / 25) AS BIGINT), (ts, event_id)) AS n_bytes FROM events GROUP BY ALL),
+        c AS (SELECT *, lag(n_bytes) OVER (PARTITION BY user_id ORDER BY slot) AS b FROM s WHERE slot + 7200000000 <= {_MARK}) SELECT user_id, slot, n_bytes FROM c WHERE n_bytes IS DISTINCT FROM b""",
     ),
     "latest_wins": (latest_wins, "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id"),
-    "audit_stream": (audit_stream, "SELECT event_type, epoch_us(ts) // 86400000000 * 86400000000 AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type, epoch_us(ts) // 86400000000 * 86400000000"),
+    "audit_stream": (audit_stream, "SELECT event_id, epoch_us(ts) AS ts, user_id AS actor, event_type AS action, json_extract_string(props, '$.k') AS detail FROM events"),
+    "audit_daily": (
+        audit_daily,
+        f"""SELECT event_type, epoch_us(ts) // 86400000000 * 86400000000 AS day, count(*) AS n, round(sum(value), 4) AS total FROM events
+        WHERE epoch_us(ts) // 86400000000 * 86400000000 + 86400000000 <= {_MARK} GROUP BY ALL""",
+    ),
     "ttl_cache": (
         ttl_cache,
         """WITH RECURSIVE s AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
           UNION ALL SELECT s.user_id, min(e.ts) FROM s JOIN events e ON e.user_id = s.user_id AND e.ts > s.ts + INTERVAL 3 DAY GROUP BY s.user_id, s.ts)
         SELECT event_id, user_id, (user_id, ts) NOT IN (SELECT (user_id, ts) FROM s) AS hit FROM events""",
     ),
-    "lease_status": (lease_status, "SELECT check_id AS event_id, key AS user_id, token_state FROM (" + licence_queries.QUERIES["token_status"][1] + ")"),
-    "seat_admission_stream": (seat_admission_stream, licence_queries.QUERIES["seat_admission_open"][1]),
+    "lease_status": (
+        lease_status,
+        """WITH g AS (SELECT user_id, ts AS granted FROM events WHERE event_type IN ('signup', 'purchase') AND event_id % 40 IN (0, 1) AND (user_id % 3 = 0 OR event_type <> 'purchase')),
+        v AS (SELECT user_id, ts AS revoked FROM events WHERE event_type = 'error' AND event_id % 40 IN (0, 1)),
+        c AS (SELECT user_id, event_id, ts, (SELECT max(granted) FROM g WHERE g.user_id = events.user_id AND granted <= ts) AS granted, (SELECT max(revoked) FROM v WHERE v.user_id = events.user_id AND revoked <= ts) AS gone FROM events WHERE event_type = 'view'),
+        a AS (SELECT *, (epoch_us(ts) - epoch_us(granted)) / 86400000000 AS days FROM c)
+        SELECT event_id, user_id, CASE WHEN granted IS NULL OR days >= 21 THEN 'none' WHEN days < 5 THEN 'active' WHEN days < 7 THEN 'refresh_due' WHEN event_id % 2 = 0 THEN 'grace'
+        WHEN gone > granted THEN 'revoked' ELSE 'expired' END AS token_state FROM a""",
+    ),
+    "seat_admission_stream": (
+        seat_admission_stream,
+        """WITH e AS (SELECT event_id, ts, user_id % 40 AS licence_id, user_id AS machine FROM events WHERE event_type = 'signup'),
+        j AS (SELECT *, CASE WHEN licence_id % 8 = 1 THEN 'suspended' WHEN licence_id % 9 = 2 AND ts > TIMESTAMP '2024-01-12' THEN 'expired' END AS barred FROM e),
+        f AS (SELECT licence_id, machine, min((ts, event_id)) AS f, arg_min(event_id, (ts, event_id)) AS first_id FROM j WHERE barred IS NULL GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY licence_id ORDER BY f, machine) AS seat FROM f)
+        SELECT event_id, licence_id, machine, coalesce(barred, CASE WHEN seat > 1 + licence_id % 3 THEN 'refused' WHEN first_id = event_id THEN 'activate' ELSE 'reactivate' END) AS decision
+        FROM j LEFT JOIN r USING (licence_id, machine)""",
+    ),
     "batch_plan": (
         batch_plan,
         """WITH p AS (SELECT page_id, regexp_replace(url, '^https?://|[?#].*$', '', 'g') AS u FROM pages),
-        n AS (SELECT page_id % 4 AS batch_id, page_id AS seq, CASE page_id % 3 WHEN 0 THEN upper(u) WHEN 1 THEN translate(u, '/', '\\') ELSE u END || '.pdf' AS path FROM p WHERE page_id % 11 <> 0),
+        n AS (SELECT page_id % 2 AS batch_id, page_id AS seq, CASE page_id % 3 WHEN 0 THEN upper(u) WHEN 1 THEN translate(u, '/', '\\') ELSE u END || '.pdf' AS path FROM p WHERE page_id % 11 <> 0),
         f AS (SELECT batch_id, lower(translate(path, '\\', '/')) AS n, arg_min(path, seq) AS path FROM n GROUP BY ALL),
         k AS (SELECT batch_id, path, array_to_string([CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 20, '0') ELSE x END FOR x IN regexp_extract_all(strip_accents(string_split(n, '/')[-1]), '[0-9]+|[^0-9]+')], '') AS nat FROM f),
         r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY nat, path) AS k, count(*) OVER (PARTITION BY batch_id) AS n FROM k)
-        SELECT batch_id, k - 1 AS place, path, greatest(n - 10, 0) AS dropped FROM r WHERE k <= 10""",
+        SELECT batch_id, k - 1 AS place, path, greatest(n - 60, 0) AS dropped FROM r WHERE k <= 60""",
     ),
 }

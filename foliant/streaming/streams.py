@@ -1,22 +1,27 @@
 """Structured Streaming operators over arrival events ``(event_id, ts, user_id, event_type, value, props)``.
 
-Late rows: a watermark of one hour on ``ts``; the engine drops what is later.
+Late rows: a watermark of one hour on ``ts``. Windows and sessions come out
+once, when the watermark has passed their end; keyed state goes by event-time
+timers when nothing can depend on it any more.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.folders import removed, shared_folder
+from ..operators.find import fold_text
+
 LATE = "1 hour"
+DAY = 86_400_000
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -29,104 +34,198 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there, into files in the shared folder, and read the result."""
+def run_available(stream: DataFrame, mode: str, keys: tuple[str, ...] = (), each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Run a stream over all that is there, into files in the shared folder, and read the result.
+
+    ``each`` is applied to every micro-batch of results. In update mode ``keys``
+    tell which rows replace each other: the newest batch's stands.
+    """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    folder = f"{root}/stream-{uuid.uuid4()}"
-    schema = stream.schema
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+    def write(batch: DataFrame, n: int) -> None:
+        done = each(batch) if each else batch
+        done.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/out")
+    removed(spark, f"{folder}/state")  # this run is over; a lasting stream keeps it
+    rows = spark.read.parquet(f"{folder}/out")
+    if keys:
+        newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch")))
+        rows = rows.withColumn("_k", newest).where("_k = 1").drop("_k")
+    return rows.drop("_batch")
 
 
 def debounce_batches(events: DataFrame, gap: str = "15 minutes") -> DataFrame:
-    """Arrivals of a user in batches that end when nothing comes for the gap."""
+    """Arrivals of a user in batches, each out once when nothing has come for the gap: ``(user_id, first_ts, arrivals, kinds, files)``."""
     s = F.session_window("ts", gap)
-    return events.withWatermark("ts", LATE).groupBy("user_id", s.alias("w")).agg(F.count("*").alias("arrivals"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds")).select("user_id", F.col("w.start").alias("first_ts"), "arrivals", "kinds")
+    files = F.collect_list(F.struct(F.col("event_id").alias("seq"), "path")).alias("files")
+    kinds = F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds")
+    return events.withWatermark("ts", LATE).groupBy("user_id", s.alias("w")).agg(F.count("*").alias("arrivals"), kinds, files).select("user_id", F.col("w.start").alias("first_ts"), "arrivals", "kinds", "files")
+
+
+def plan_closed(batches: DataFrame) -> DataFrame:
+    """The plan of each closed batch: ``(user_id, first_ts, place, path, dropped)``; for the results of one micro-batch."""
+    named = batches.withColumn("batch_id", F.struct("user_id", "first_ts")).select("batch_id", F.inline("files"))
+    return batch_plan(named).select("batch_id.user_id", "batch_id.first_ts", "place", "path", "dropped")
+
+
+def _micros(ts: pd.Timestamp) -> int:
+    return (ts.tz_localize("UTC") if ts.tzinfo is None else ts).value // 1000
+
+
+def _in_time(frames: Iterator[pd.DataFrame], *before: str) -> pd.DataFrame:
+    rows = pd.concat(list(frames))
+    return rows.assign(us=[_micros(t) for t in rows["ts"]]).sort_values(["us", *before, "event_id"], kind="stable")
+
+
+def _wake(state: GroupState, at_ms: int) -> None:
+    """Set the timer, which has to be ahead of the watermark."""
+    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs() + 1))
 
 
-def autosave_snapshots(events: DataFrame, every: str = "120 minutes") -> DataFrame:
-    """The last value of each user in each interval."""
-    last = F.max_by("value", F.struct("ts", "event_id"))
-    return events.withWatermark("ts", LATE).groupBy("user_id", F.window("ts", every).alias("w")).agg(last.alias("value"), F.count("*").alias("edits")).select("user_id", F.col("w.start").alias("slot"), "value", "edits")
+def autosave_snapshots(saves: DataFrame, every: timedelta = timedelta(hours=2), forget: timedelta = timedelta(days=60)) -> DataFrame:
+    """The last save of each user in each interval, out once the interval is over: ``(user_id, slot, n_bytes)``.
+
+    ``saves (event_id, ts, user_id, n_bytes)``. One of the length of the last
+    snapshot is skipped; a user without saves for ``forget`` starts anew.
+    ``slot`` is the interval's start in microseconds.
+    """
+    width = every // timedelta(microseconds=1)
+
+    def keep(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_: dict[int, tuple[int, int, int]] = {}
+        saved, last = -1, 0
+        if state.exists:
+            slots, stamps, ids, sizes, saved, last = state.get
+            open_ = {s: (t, i, n) for s, t, i, n in zip(slots, stamps, ids, sizes, strict=True)}
+        passed = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for e in _in_time(frames).itertuples():
+                slot = e.us // width * width
+                if slot + width > passed:  # what comes for a closed interval is too late
+                    open_[slot] = max(open_.get(slot, (-1, -1, -1)), (e.us, e.event_id, e.n_bytes))
+        out = []
+        for slot in sorted(s for s in open_ if s + width <= passed):
+            n = open_.pop(slot)[2]
+            last = slot
+            if n != saved:
+                out.append((key[0], slot, n))
+                saved = n
+        if open_ or passed < last + forget // timedelta(microseconds=1):
+            state.update((list(open_), *([v[i] for v in open_.values()] for i in range(3)), saved, last))
+            _wake(state, (min(open_) + width) // 1000 if open_ else (last + forget // timedelta(microseconds=1)) // 1000)
+        else:
+            state.remove()
+        yield pd.DataFrame(out, columns=["user_id", "slot", "n_bytes"])
+
+    kept = saves.withWatermark("ts", LATE).select("event_id", "ts", "user_id", "n_bytes")
+    held = "slots array<long>, stamps array<long>, ids array<long>, sizes array<long>, saved long, last long"
+    return kept.groupBy("user_id").applyInPandasWithState(keep, "user_id long, slot long, n_bytes long", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_wins(events: DataFrame) -> DataFrame:
-    """The result of each user's newest generation."""
+    """The result of each user's newest generation, for update mode."""
     return events.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
 
 
 def audit_stream(events: DataFrame) -> DataFrame:
-    """Audit rows per kind and day."""
-    return events.withWatermark("ts", LATE).groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("event_type", F.col("w.start").alias("day"), "n", "total")
+    """An audit row for each event, appended: who, what, which, and the detail of its JSON."""
+    return events.select("event_id", "ts", F.col("user_id").alias("actor"), F.col("event_type").alias("action"), F.get_json_object("props", "$.k").alias("detail"))
 
 
-def _in_time(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+def audit_daily(events: DataFrame) -> DataFrame:
+    """Audit rows per kind and day, out once the day is over."""
+    return events.withWatermark("ts", LATE).groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("event_type", F.col("w.start").alias("day"), "n", "total")
 
 
 def ttl_cache(events: DataFrame, ttl: timedelta = timedelta(days=3)) -> DataFrame:
-    """Hits and misses per key: an entry lives for ``ttl`` from when it was stored; hits do not prolong it."""
+    """Hits and misses per key: an entry lives for ``ttl`` from when it was stored, then goes; hits do not prolong it."""
+    life = ttl // timedelta(microseconds=1)
 
     def look(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stored = pd.Timestamp(state.get[0], unit="us", tz="UTC") if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stored = state.get[0] if state.exists else None
         out = []
         for e in _in_time(frames).itertuples():
-            ts = pd.Timestamp(e.ts).tz_localize("UTC") if e.ts.tzinfo is None else pd.Timestamp(e.ts)
-            hit = stored is not None and ts - stored <= ttl
-            stored = stored if hit else ts
+            hit = stored is not None and e.us - stored <= life
+            stored = stored if hit else e.us
             out.append((e.event_id, key[0], hit))
-        state.update((int(stored.value // 1000),))
+        state.update((stored,))
+        _wake(state, (stored + life) // 1000 + 1)
         yield pd.DataFrame(out, columns=["event_id", "user_id", "hit"])
 
     kept = events.withWatermark("ts", LATE).select("event_id", "ts", "user_id")
-    return kept.groupBy("user_id").applyInPandasWithState(look, "event_id long, user_id long, hit boolean", "stored long", "append", GroupStateTimeout.NoTimeout)
+    return kept.groupBy("user_id").applyInPandasWithState(look, "event_id long, user_id long, hit boolean", "stored long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lease_status(events: DataFrame, lease: int = 7, due: int = 2, grace: int = 14) -> DataFrame:
-    """The token's state at each check (``view``), from the last grant (``signup`` or ``purchase``)."""
+    """The token's state at each check, from the last grant: ``events (event_id, ts, user_id, what, offline)``.
+
+    ``what`` is grant, revoke or check. Within the lease, in days, a token is
+    ``active``, in its last days ``refresh_due``; a revocation tells at the next
+    refresh only. Behind the lease an offline check has ``grace``, any other is
+    ``revoked`` or ``expired``. When the grace has passed as well, the state
+    goes, and the token is ``none`` as it was before the first grant.
+    """
 
     def follow(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        granted = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        granted, revoked = state.get if state.exists else (None, False)
         out = []
-        rows = pd.concat(list(frames))
-        rows = rows.assign(check=rows["event_type"] == "view").sort_values(["ts", "check", "event_id"], kind="stable")
-        for e in rows.itertuples():
-            ts = e.ts.tz_localize(None)
-            if not e.check:
-                granted = ts
-                continue
-            days = None if granted is None else (ts - granted) / timedelta(days=1)
-            told = "none" if days is None else "active" if days < lease - due else "refresh_due" if days < lease else "grace" if days < lease + grace else "expired"
-            out.append((e.event_id, key[0], told))
+        for e in _in_time(frames, "check").itertuples():
+            if e.what == "grant":
+                granted, revoked = e.us, False
+            elif e.what == "revoke":
+                revoked = granted is not None
+            else:
+                days = None if granted is None else (e.us - granted) / (DAY * 1000)
+                if days is None or days >= lease + grace:
+                    told = "none"
+                elif days < lease:
+                    told = "active" if days < lease - due else "refresh_due"
+                else:
+                    told = "grace" if e.offline else "revoked" if revoked else "expired"
+                out.append((e.event_id, key[0], told))
         if granted is not None:
-            state.update((int(granted.value // 1000),))
+            state.update((granted, revoked))
+            _wake(state, granted // 1000 + (lease + grace) * DAY)
         yield pd.DataFrame(out, columns=["event_id", "user_id", "token_state"])
 
-    kept = events.where("event_type in ('view', 'signup', 'purchase')").withWatermark("ts", LATE).select("event_id", "ts", "user_id", "event_type")
-    return kept.groupBy("user_id").applyInPandasWithState(follow, "event_id long, user_id long, token_state string", "granted long", "append", GroupStateTimeout.NoTimeout)
+    kept = events.withWatermark("ts", LATE).select("event_id", "ts", "user_id", "what", "offline", (F.col("what") == "check").alias("check"))
+    return kept.groupBy("user_id").applyInPandasWithState(follow, "event_id long, user_id long, token_state string", "granted long, revoked boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def seat_admission(requests: DataFrame) -> DataFrame:
-    """Decisions on ``(event_id, ts, licence_id, machine, max_seats, off)``.
+    """Decisions on ``(event_id, ts, licence_id, machine, max_seats, off, status, expires)``.
 
-    A row with ``off`` deactivates its machine, which is refused from then on;
-    a known machine is activated again; a new one needs a free seat.
+    A row with ``off`` deactivates its machine, which is refused from then on.
+    A licence that is not active gives its status, one past its expiry
+    ``expired``. A known machine is activated again; a new one needs a free
+    seat. A licence's state goes when its expiry has passed.
     """
 
     def admit(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         on, off = (set(x) for x in state.get) if state.exists else (set(), set())
-        out = []
+        out, ends = [], None
         for e in _in_time(frames).itertuples():
+            ends = None if pd.isna(e.expires) else _micros(e.expires)
             if e.off:
                 on.discard(e.machine)
                 off.add(e.machine)
                 told = "deactivated"
+            elif e.status != "active":
+                told = e.status
+            elif ends is not None and ends < e.us:
+                told = "expired"
             elif e.machine in off:
                 told = "refused"
             elif e.machine in on:
@@ -138,10 +237,12 @@ def seat_admission(requests: DataFrame) -> DataFrame:
                 told = "activate"
             out.append((e.event_id, key[0], e.machine, told))
         state.update((sorted(on), sorted(off)))
+        if ends is not None:
+            _wake(state, ends // 1000 + 1)
         yield pd.DataFrame(out, columns=["event_id", "licence_id", "machine", "decision"])
 
     return requests.withWatermark("ts", LATE).groupBy("licence_id").applyInPandasWithState(
-        admit, "event_id long, licence_id long, machine long, decision string", "on_ array<long>, off_ array<long>", "append", GroupStateTimeout.NoTimeout
+        admit, "event_id long, licence_id long, machine long, decision string", "on_ array<long>, off_ array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -150,10 +251,6 @@ def batch_plan(paths: DataFrame, most: int = 60, ending: str = ".pdf") -> DataFr
 
     The cap is the feature; ``dropped`` tells how many files it left out.
     """
-    from pyspark.sql import Window
-
-    from ..operators.find import fold_text
-
     norm = F.lower(F.translate("path", "\\", "/"))
     own = paths.where(F.endswith(F.lower("path"), F.lit(ending))).withColumn("_n", norm)
     first = own.groupBy("batch_id", "_n").agg(F.min_by("path", "seq").alias("path"))
