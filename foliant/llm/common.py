@@ -77,15 +77,17 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def hashed_sample(df: DataFrame, key: str, by: str, size: int) -> DataFrame:
+def hashed_sample(df: DataFrame, key: str, by: str, size: int, few: int = 100_000) -> DataFrame:
     """Rows of each value of ``by``, about ``size`` of them, chosen by a hash of ``key``.
 
     Every group keeps all its rows while it has at most ``size``. The choice
-    needs one count per group, so no group meets in one task; the counts are as
-    many as ``by`` has values, and Spark decides how they travel.
+    needs one count per group, so no group meets in one task. Up to ``few``
+    counts are broadcast, so that the rows need no shuffle; more are joined.
     """
     steps = 1_000_000
-    counts = df.groupBy(by).agg(F.count("*").alias("_n"))
+    counts = cut(df.groupBy(by).agg(F.count("*").alias("_n")))
+    if counts.count() <= few:
+        counts = F.broadcast(counts)
     return (
         df.join(counts, by)
         .where(F.pmod(F.xxhash64(key), F.lit(steps)) < F.ceil(F.lit(float(size * steps)) / F.col("_n")))
