@@ -251,3 +251,38 @@ def test_state_goes_after_the_watermark(spark, tmp_path):
         stored.append(spark.read.format("statestore").load(f"{tmp_path}/ttl").count())
     assert sorted(saved) == [(1, 0, 6), (2, 10 * hour * 10**6, 1), (3, 200 * hour * 10**6, 1), (3, 400 * hour * 10**6, 2)]
     assert stored == [2, 1, 1]
+
+
+def test_licence_order(spark):
+    """Without a value last if ascending, first if descending; equal values go by id."""
+    rows = [(1, None), (2, "b"), (3, "a"), (4, "b"), (5, None)]
+    df = spark.createDataFrame([(i, v, "active", None, "p", 1) for i, v in rows], "id long, name string, status string, expires timestamp, plan string, max_seats int")
+    order = lambda up: [r.id for r in licence.license_search(df, columns=("name",), sort="name", ascending=up).orderBy("position").collect()]
+    assert order(True) == [3, 2, 4, 1, 5] and order(False) == [1, 5, 2, 4, 3]
+
+
+@pytest.mark.parametrize(("spec", "want"), [("99999999999", [(9, 9)]), ("3-99999999999", [(2, 9)]), ("007", [(6, 6)])])
+def test_large_page_numbers(spark, spec, want):
+    df = spark.createDataFrame([(1, spec, 10)], "doc_id long, spec string, n_pages int")
+    assert [(r.first, r.last) for r in manifest.page_ranges(df).collect()] == want
+
+
+def test_split_refuses_many_parts(spark):
+    pages = spark.createDataFrame([(d, i) for d in (1, 2) for i in range(2 + 3 * d)], "doc_id long, page_no int")
+    got = [(r.doc_id, r.part_name, r.pages, r.refused) for r in manifest.split_every(pages, 2, most_parts=3).orderBy("doc_id", "part_name").collect()]
+    assert got == [(1, "001", 2, False), (1, "002", 2, False), (1, "003", 1, False), (2, None, None, True)]
+
+
+def test_versions_in_ranges_of_ids(spark):
+    """Documents of one first line pair up across the ranges of ids."""
+    far = 1 << compare.RANGE_BITS
+    docs = spark.createDataFrame([(i, "t\n" + str(i)) for i in (1, 5, far + 2, 5 * far, 5 * far + 1)] + [(7, "other")], "doc_id long, text string")
+    assert {(r.a_doc, r.b_doc) for r in compare.version_pairs(docs).collect()} == {(1, 5), (5, far + 2), (far + 2, 5 * far), (5 * far, 5 * far + 1)}
+
+
+def test_unmatched_pages_of_an_alignment(spark):
+    """Two pages against three: the pairs of the best alignment leave the second page of B, as an insertion."""
+    sims = [(1, 0, 0, 0.9), (1, 0, 1, 0.1), (1, 0, 2, 0.1), (1, 1, 0, 0.1), (1, 1, 1, 0.2), (1, 1, 2, 0.8)]
+    aligned = compare.page_align(spark.createDataFrame(sims, "pair_id long, a_page int, b_page int, similarity double"))
+    pages = lambda n: spark.createDataFrame([(1, i) for i in range(n)], "pair_id long, page_no int")
+    assert [(r.kind, r.page_no) for r in compare.unmatched_pages(pages(2), pages(3), aligned).collect()] == [("ins", 1)]
