@@ -126,11 +126,10 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough; of an id with several sets any may be.
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of ``(a, b, part)`` whose full sets are similar enough; of an id with several sets any may be.
 
-    The pairs of one ``a`` are dealt into parts of about ``block``, and the set
-    of ``a`` goes to each part once, ahead of the sets of the ``b``.
+    The set of ``a`` goes to each of its parts once, ahead of the sets of the ``b``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +146,11 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 512) ->
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    members = dealt.join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b").select("a", "part", "b", "shingles")
-    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.select(F.col("doc_id").alias("a"), "shingles"), "a")
+    pairs = cut(pairs)
+    members = pairs.join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b").select("a", "part", "b", "shingles")
+    heads = pairs.select("a", "part").distinct().join(sets.select(F.col("doc_id").alias("a"), "shingles"), "a")
     rows = members.unionByName(heads.select("a", "part", F.lit(None).cast("long").alias("b"), "shingles"))
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def _meet(percent: int):
@@ -210,7 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bundles:
     grids = cut(grids.where((F.size("first") > 0) & (F.size("second") > 0)))
     cells = grids.select("doc_id", "second", F.explode("first").alias("one")).select("doc_id", "one", F.explode("second").alias("two"))
     cells = cells.select("doc_id", F.xxhash64("one", "two").alias("cell"))
-    heads = cells.groupBy("cell").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("cell", "head")
+    heads = cells.groupBy("cell").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
     buckets = stored(cells.join(heads, "cell"))
     # Only texts that share a table key are shingled in full.
     taking_part = buckets.select("doc_id").distinct()
@@ -224,9 +222,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bundles:
     def fits(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(sizes.select(F.col("doc_id").alias(side), F.col("least").alias(f"{side}_least"), F.col("most").alias(f"{side}_most")), side)
-        return pairs.where(near_in_size("a_", "b_")).select("a", "b")
+        return pairs.where(near_in_size("a_", "b_")).select("a", "b", "part")
 
-    stars = fits(buckets.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
+    # The members of a large bucket are dealt into parts of about half a block, so that its smallest one meets them in many tasks.
+    met = buckets.where("doc_id <> head").groupBy(F.col("head").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n"))
+    stars = fits(met.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(2 * F.col("n") / block)).cast("int").alias("part")))
     links = cut(verify(stars, sets, percent).union(by_id))
     joined = components(links)
 
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bundles:
         & near_in_size("x_", "y_")
         & (F.col("key") == F.array_min(F.array_intersect("x_first", "y_first")))
     )
-    rest = x.join(y, "key").where(once).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+    rest = x.join(y, "key").where(once).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"), F.lit(0).alias("part"))
     # A bundle with many is dealt into blocks; each block of the few meets each block of all, and only links come out.
     large = keyed.where(F.col("n") > crowd).select("key", "doc_id", "part", "few", F.ceil(F.col("n") / block).cast("int").alias("n"))
     large = large.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")).join(sets.select("doc_id", "shingles"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
