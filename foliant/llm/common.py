@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +95,20 @@ def hashed_sample(df: DataFrame, key: str, by: str, size: int, few: int = 100_00
         .where(F.pmod(F.xxhash64(key), F.lit(steps)) < F.ceil(F.lit(float(size * steps)) / F.col("_n")))
         .drop("_n")
     )
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges in a row, and which range each belongs to."""
+    n = high - low
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n), owner
+
+
+def sliced(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose values of one column have about ``most`` bytes; a longer value is a part of its own."""
+    if batch.num_rows <= 1 or batch[column].nbytes <= most:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from sliced(batch.slice(0, half), column, most)
+    yield from sliced(batch.slice(half), column, most)

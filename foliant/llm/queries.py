@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, licenses, linedup, minhash, mixing, secret_scan, toxicity
+from . import ann, bpe, chat, decontam, langid, licenses, linedup, minhash, mixing, secret_scan, spelling, toxicity
 from .common import fold, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -78,7 +79,17 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("word_bpe_49k.json"))
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_license_scan, op3_mix_sources, op4_secret_scan, op5_line_dedup, op6_nearest_neighbours, op7_toxicity, op8_chat_windows, op9_decontaminate, op10_near_duplicates)
+    for f in (op1_language_id, op2_license_scan, op3_mix_sources, op4_secret_scan, op5_line_dedup, op6_nearest_neighbours, op7_toxicity, op8_chat_windows, op9_decontaminate, op10_near_duplicates, op11_spelling_variants, op12_bpe_round_trip)
 }
