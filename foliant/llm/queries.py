@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, langid, licenses, linedup, minhash, mixing, secret_scan, spelling, toxicity
+from . import alignment, ann, bpe, chat, decontam, langid, licenses, linedup, minhash, mixing, secret_scan, spelling, toxicity
 from .common import fold, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -89,7 +89,13 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done, _ = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_license_scan, op3_mix_sources, op4_secret_scan, op5_line_dedup, op6_nearest_neighbours, op7_toxicity, op8_chat_windows, op9_decontaminate, op10_near_duplicates, op11_spelling_variants, op12_bpe_round_trip)
+    for f in (op1_language_id, op2_license_scan, op3_mix_sources, op4_secret_scan, op5_line_dedup, op6_nearest_neighbours, op7_toxicity, op8_chat_windows, op9_decontaminate, op10_near_duplicates, op11_spelling_variants, op12_bpe_round_trip, op13_cross_tokenizer)
 }
