@@ -15,21 +15,24 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_letters
-from .common import sliced, spare, spread, stored
+from .common import Numbers, numbered, sliced, spread, stored
 
-#: Both tokenizers have an edge in front of a blank between two characters that are no white space, so these parts stand for themselves.
-UNIT = regex.compile(r"\A\s+\S*(?:(?! \S)\s+\S*)*| \S+(?:(?! \S)\s+\S*)*")
+#: Both tokenizers have an edge in front of a blank between two characters that are no white space, so the parts between such blanks stand for themselves.
+PART = re.compile(r"\A\s+\S*(?:(?! \S)\s+\S*)*| \S+(?:(?! \S)\s+\S*)*")
+#: Without these, all blanks are such blanks.
+CLOSE = re.compile(r"\s | \s|\A\s|\s\Z")
 #: Documents of a chunk, which a bitmap numbers by two bytes; and numbers in a plane from which a bit set is shorter.
 CHUNK, DENSE = 1 << 16, 1 << 12
 
@@ -60,8 +63,8 @@ class Tokenizers:
             raise ValueError(f"{piece_path} has pieces across blanks")
 
     def __call__(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and B of texts that begin with a blank, which B puts there itself."""
-        return [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)], self.b.encode([u[1:] for u in units], num_threads=1)
+        """Ids of A and B of texts with a blank in front, which B puts there itself."""
+        return [e.ids for e in self.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False)], self.b.encode(units, num_threads=1)
 
 
 class Aligned:
@@ -74,7 +77,7 @@ class Aligned:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.groups: list[str] = []
         self.sizes = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, whether the unit comes back whole
         self.pairs, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
@@ -83,9 +86,9 @@ class Aligned:
         """The numbers of all units of the texts in a row, new ones aligned."""
         if len(self.number) > self.units or len(self.pairs) > self.links:
             self.clear()
-        number, known = self.number, len(self.number)
-        which = np.fromiter((number.setdefault(u, len(number)) for x in said for u in x), np.int64, sum(map(len, said)))
-        fresh = list(number)[known:]
+        known = len(self.number)
+        which = self.number.of(said)
+        fresh = list(islice(self.number, known, None))
         for k in range(0, len(fresh), 20_000):
             self._learn(fresh[k : k + 20_000])
         return which
@@ -94,14 +97,14 @@ class Aligned:
         t = self.tokenizers
         a_ids, b_ids = t(units)
         for side, ids in ((t.a_bytes, a_ids), (t.b_bytes, b_ids)):  # as a rule all come back
-            if b"".join([side[i] for x in ids for i in x]) != "".join(units).encode():
+            if b"".join([side[i] for x in ids for i in x]) != "".join([f" {u}" for u in units]).encode():
                 break
         else:
             side = None
         whole = np.ones(len(units), bool)
-        if side is not None or sum(map(len, a_ids)) == 0:
+        if side is not None:
             for i, u in enumerate(units):
-                whole[i] = b"".join(t.a_bytes[x] for x in a_ids[i]) == b"".join(t.b_bytes[x] for x in b_ids[i]) == u.encode()
+                whole[i] = b"".join(t.a_bytes[x] for x in a_ids[i]) == b"".join(t.b_bytes[x] for x in b_ids[i]) == f" {u}".encode()
                 if not whole[i]:
                     a_ids[i], b_ids[i] = [], []
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_ids, b_ids))
@@ -125,12 +128,14 @@ class Aligned:
 
 
 def units(text: str | None) -> list[str]:
-    """The parts of a text, with a blank in front, that both tokenizers cut for themselves."""
+    """The parts of a text that both tokenizers cut for themselves, each without the blank in front of it."""
     if not text:
         return []
+    if not CLOSE.search(text):
+        return text.split(" ")
     whole = f" {text}"
-    found = UNIT.findall(whole)
-    return found if sum(map(len, found)) == len(whole) else [whole]
+    found = PART.findall(whole)
+    return [u[1:] for u in found] if sum(map(len, found)) == len(whole) else [text]
 
 
 def pack(rows: np.ndarray, numbers: np.ndarray, n: int) -> pa.BinaryArray:
@@ -205,10 +210,10 @@ def times_of(planes: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _posted(docs: DataFrame, byte_path: str, piece_path: str, keep: list[str], digest: bool, remember: int, most: int) -> DataFrame:
-    """Rows of documents ``(chunk, slot, keep..., n_a, n_b, n_groups, n_links, groups)`` and of postings ``(chunk, pair, planes)``, in one table."""
+    """Rows of documents ``(_chunk, _slot, c0..., n_a, n_b, n_groups, n_links, groups)`` and of postings ``(_chunk, _pair, _planes)``, in one table."""
     sizes = ["n_a", "n_b", "n_groups", "n_links"]
-    kept = [T.StructField(f.name, f.dataType) for f in docs.select(*(docs[f"`{c}`"] for c in keep)).schema.fields]
-    names = ["_chunk", "_slot", *keep, *sizes, "groups", "_pair", "_planes"]
+    some = docs.select(*numbered(keep), F.col("text").alias("x"))
+    kept = [T.StructField(f.name, f.dataType) for f in some.drop("x").schema.fields]
     schema = T.StructType([T.StructField("_chunk", T.LongType()), T.StructField("_slot", T.IntegerType()), *kept, *(T.StructField(c, T.LongType()) for c in sizes), T.StructField("groups", T.StringType()), T.StructField("_pair", T.LongType()), T.StructField("_planes", T.ArrayType(T.BinaryType()))])
     planes_type, width = pa.list_(pa.binary()), len(keep)
 
@@ -224,7 +229,7 @@ def _posted(docs: DataFrame, byte_path: str, piece_path: str, keep: list[str], d
             pairs, planes = planes_of(keys, np.bincount(which, times).astype(np.int64))
             n = len(pairs)
             none = [pa.nulls(n, k) for k in (pa.int32(), *kinds, *[pa.int64()] * 4, pa.string())]
-            whole = pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), *none, pa.array(pairs), planes], names)
+            whole = pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), *none, pa.array(pairs), planes], schema.names)
             for k in range(0, n, 10_000):
                 yield whole.slice(k, 10_000)
 
@@ -252,12 +257,12 @@ def _posted(docs: DataFrame, byte_path: str, piece_path: str, keep: list[str], d
                     keys, where = np.unique(aligned.pairs[at] << 16 | some[owner] & (CHUNK - 1), return_inverse=True)
                     held.append((keys, np.bincount(where, times[owner], len(keys)).astype(np.int64)))
                     n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(slot, slot + n, dtype=np.int32)), *part.columns[:width], *totals, pa.array(told, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, planes_type)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(slot, slot + n, dtype=np.int32)), *part.columns[:width], *totals, pa.array(told, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, planes_type)], schema.names)
                     slot += n
         if held:
             yield from postings()
 
-    return docs.select(*(docs[f"`{c}`"] for c in keep), F.col("text").alias(spare("_text", keep))).mapInArrow(run, schema)
+    return some.mapInArrow(run, schema)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +309,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, keep: list[str] | No
     their counts are broadcast to the postings, more are joined.
     """
     made = ["n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"]
-    keep = [c for c in (keep or [c for c in docs.columns if c != "text"]) if c.lower() not in (*made, "_chunk", "_slot", "_pair", "_planes")]
+    keep = [c for c in (keep or [c for c in docs.columns if c != "text"]) if c.lower() not in made]
     both = stored(_posted(docs, byte_path, piece_path, keep, digest, remember, most))
     postings = both.where("_pair is not null").select("_chunk", "_pair", "_planes")
     import sentencepiece
@@ -316,4 +321,5 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, keep: list[str] | No
     sums = postings.join(scores, "_pair").select("_chunk", "_planes", "n_docs", "best").groupBy("_chunk").applyInArrow(_scored, "_chunk long, _slot int, n_best long, count_sum long")
     rows = both.where("_pair is null").drop("_pair", "_planes").join(sums, ["_chunk", "_slot"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.select(*(rows[f"`{c}`"] for c in keep), "n_a", "n_b", "n_groups", "n_links", "groups", zero("n_best"), zero("count_sum")), pairs.drop("_pair")
+    done = rows.select(*(f"c{i}" for i in range(len(keep))), "n_a", "n_b", "n_groups", "n_links", "groups", zero("n_best"), zero("count_sum"))
+    return done.toDF(*keep, *made), pairs.drop("_pair")

@@ -16,6 +16,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, spare, spread
+from .common import Numbers, numbered, sliced, spread
 
 _NONE = np.iinfo(np.int64).max
 _PLACE = (1 << 32) - 1
 #: Words of more symbols have a tree of their own.
 SHORT = 64
-UNIT = regex.compile(r"[^\x20\x09-\x0D]+")
 
 
 def byte_letters() -> list[str]:
@@ -102,6 +102,8 @@ class Encoder:
         self.vocabulary = vocabulary
         self.word = regex.compile(vocabulary.words)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
+        self.opening = {t[0] for t in vocabulary.special}
+        self.lone = self.word.findall("x" * 9) == ["x" * 9] and not any(t.isalpha() for t in vocabulary.special)  # letters make one word
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.cut = pre_tokenizers.Split(Regex(vocabulary.words), "removed", invert=True)
         self.by_pair: dict[int, tuple[int, int]] | None = None
@@ -179,63 +181,71 @@ class Encoder:
                     tree[node] = low
         return [x for x in ids if x >= 0]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Token ids of each word."""
-        v, raw = self.vocabulary, [w.encode("utf-8", "surrogatepass") for w in words]
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+    def encode_words(self, words: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words in a row, and where each word's begin and the last's end; a special token's id stands for itself."""
+        v, raw = self.vocabulary, [w.encode("utf-8", "surrogatepass") if isinstance(w, str) else b"" for w in words]
+        done: list[tuple[list[int], np.ndarray, np.ndarray]] = []
         by_width: dict[int, list[int]] = {}
         for i, b in enumerate(raw):
             if len(b) > SHORT:
                 symbols = v.first[np.frombuffer(b, np.uint8)]
                 symbols[-1] = v.last[b[-1]]
-                out[i] = np.array(self.alone(symbols.tolist()), np.int64)
+                ids = self.alone(symbols.tolist())
+                done.append(([i], np.array([len(ids)]), np.array(ids, np.int64)))
             elif b:
                 by_width.setdefault(1 << (len(b) - 1).bit_length(), []).append(i)
+            else:
+                done.append(([i], np.ones(1, np.int64), np.array([words[i]], np.int64)))
         for width, some in by_width.items():
             for k in range(0, len(some), 8192):
                 part = some[k : k + 8192]
                 n = np.fromiter((len(raw[i]) for i in part), np.int64, len(part))
-                flat = np.frombuffer(b"".join(raw[i] for i in part), np.uint8)
+                flat = np.frombuffer(b"".join([raw[i] for i in part]), np.uint8)
                 symbols = np.full((len(part), width), -1, np.int64)
                 symbols[np.arange(width) < n[:, None]] = v.first[flat]
                 symbols[np.arange(len(part)), n - 1] = v.last[flat[np.cumsum(n) - 1]]
                 merged = self.in_step(symbols)
                 alive = merged >= 0
-                for i, ids in zip(part, np.split(merged[alive], np.cumsum(alive.sum(1))[:-1]), strict=True):
-                    out[i] = ids
-        return out
+                done.append((part, alive.sum(1), merged[alive]))
+        length = np.zeros(len(words), np.int64)
+        for part, n, _ in done:
+            length[part] = n
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
+        out = np.zeros(ends[-1], np.int64)
+        for part, n, ids in done:
+            first = ends[part]
+            out[spread(first, first + n)[0]] = ids
+        return out, ends
 
     def words_of(self, text: str) -> list[str | int]:
         """The words of a text in order; special tokens as their ids. White space inside is left to the pattern.
 
         Beyond the Latin and Greek blocks, characters go by the Unicode version of the tokenizer's own library.
         """
+        if text.isascii() and text.isalpha() and self.lone:
+            return [text.lower()]
         out: list[str | int] = []
-        for n, part in enumerate(self.special.split(text) if self.special else [text]):
+        for n, part in enumerate(self.special.split(text) if self.special and not self.opening.isdisjoint(text) else [text]):
             if n % 2:
                 out.append(self.vocabulary.special[part])
             elif part.isascii():
                 out += self.word.findall(part.lower())
             elif max(part) < "\u0400":
                 part = unicodedata.normalize("NFC", part)
-                part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()  # a capital sigma is lower-cased alike at every place
+                part = "".join([c.lower() for c in part]) if "Σ" in part else part.lower()  # a capital sigma is lower-cased alike at every place
                 out += self.word.findall(part)
             else:
                 out += [w for w, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(part))]
         return out
 
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
-        """Token ids of texts without ASCII white space."""
-        parts = [self.words_of(u) for u in units]
-        number: dict[str, int] = {}
-        for x in parts:
-            for w in x:
-                if isinstance(w, str):
-                    number.setdefault(w, len(number))
-        known = self.encode_words(list(number))
-        single = {i: np.array([i], np.int64) for i in self.vocabulary.special.values()}
-        pick = lambda w: known[number[w]] if isinstance(w, str) else single[w]
-        return [pick(x[0]) if len(x) == 1 else np.concatenate([pick(w) for w in x]) if x else np.zeros(0, np.int64) for x in parts]
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of texts without ASCII white space in a row, and how many each has."""
+        parts, number = [self.words_of(u) for u in units], Numbers()
+        which = number.of(parts)
+        flat, ends = self.encode_words(list(number))
+        low, high = ends[which], ends[which + 1]
+        owner = np.repeat(np.arange(len(units)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        return flat[spread(low, high)[0]], np.bincount(owner, high - low, len(units)).astype(np.int64)
 
 
 class Remembered:
@@ -246,24 +256,24 @@ class Remembered:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin and the last's end."""
         if len(self.number) > self.units or len(self.flat) > self.tokens:
             self.clear()
-        number, known = self.number, len(self.number)
-        said = [UNIT.findall(t) if t else [] for t in texts]
-        which = np.fromiter((number.setdefault(u, len(number)) for x in said for u in x), np.int64, sum(map(len, said)))
-        fresh = self.encoder.encode_units(list(number)[known:])
-        if fresh:
-            self.flat = np.concatenate([self.flat, *fresh]).astype(np.int32)
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in fresh])])
-        at, owner = spread(self.ends[which], self.ends[which + 1])
+        known = len(self.number)
+        said = [t.split() if t else [] for t in texts]  # of bytes: at ASCII white space
+        which = self.number.of(said)
+        if len(self.number) > known:
+            ids, n = self.encoder.encode_units([u.decode("utf-8", "surrogatepass") for u in islice(self.number, known, None)])
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+        low, high = self.ends[which], self.ends[which + 1]
         edges = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in said])]).astype(np.int64)
-        tokens = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.ends[which + 1] - self.ends[which])])
-        return self.flat[at], tokens[edges]
+        tokens = np.concatenate([np.zeros(1, np.int64), np.cumsum(high - low)])
+        return self.flat[spread(low, high)[0]], tokens[edges]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids", remember: int = 300_000) -> DataFrame:
@@ -274,18 +284,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
     as they are; texts are read whole, however long.
     """
     kept = [c for c in docs.columns if c != out]
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
+    some = docs.select(*numbered(kept), F.col(text).alias("x"))
+    schema = T.StructType([*some.drop("x").schema.fields, T.StructField("y", T.ArrayType(T.IntegerType(), False))])
     width = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = Remembered(Encoder(vocabulary), remember)
         for batch in batches:
             for b in sliced(batch, width):
-                ids, edges = encoded(b[width].to_pylist())
+                ids, edges = encoded(b[width].cast(pa.binary()).to_pylist())
                 column = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], column], [*kept, out])
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], column], schema.names)
 
-    return docs.select(*(docs[f"`{c}`"] for c in kept), F.col(f"`{text}`").alias(spare("_text", kept))).mapInArrow(run, schema)
+    return some.mapInArrow(run, schema).toDF(*kept, out)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -295,7 +306,8 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
     blanks between them. Null or no ids give the empty text.
     """
     kept = [c for c in rows.columns if c != out]
-    schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField(out, T.StringType())])
+    some = rows.select(*numbered(kept), F.col(ids).alias("x"))
+    schema = T.StructType([*some.drop("x").schema.fields, T.StructField("y", T.StringType())])
     width = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,6 +318,6 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
             for b in sliced(batch, width):
                 said = pc.fill_null(b[width], pa.scalar([], b[width].type))
                 parts = pa.LargeListArray.from_arrays(said.offsets.cast(pa.int64()), tokens.take(said.values))
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], pc.binary_join(parts, pa.scalar(" ", pa.large_string())).cast(pa.string())], [*kept, out])
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], pc.binary_join(parts, pa.scalar(" ", pa.large_string())).cast(pa.string())], schema.names)
 
-    return rows.select(*(rows[f"`{c}`"] for c in kept), F.col(f"`{ids}`").alias(spare("_ids", kept))).mapInArrow(run, schema)
+    return some.mapInArrow(run, schema).toDF(*kept, out)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,23 @@ def hashed_sample(df: DataFrame, key: str, by: str, size: int, few: int = 100_00
     )
 
 
+class Numbers(dict):
+    """Numbers from 0 for keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: object) -> int:
+        self[key] = n = len(self)
+        return n
+
+    def of(self, lists: list[list]) -> np.ndarray:
+        """The numbers of all keys of the lists in a row."""
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
+
+
+def numbered(columns: list[str]) -> list[Column]:
+    """The columns under the names ``c0``, ``c1`` ..., since functions over Arrow batches take no names with dots."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(columns)]
+
+
 def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges in a row, and which range each belongs to."""
     n = high - low
@@ -104,7 +122,7 @@ def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n), owner
 
 
-def sliced(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts whose values of one column have about ``most`` bytes; a longer value is a part of its own."""
     if batch.num_rows <= 1 or batch[column].nbytes <= most:
         yield batch
