@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import numbered_in_order
 from ..functions.times import micros
 
 LEASE_DAYS, REFRESH_DUE_DAYS, GRACE_DAYS = 7, 2, 14
@@ -14,8 +20,7 @@ def license_search(licences: DataFrame, query: str = "", plan: str | None = None
     """Licences that match all given criteria, with ``state`` (expired once past the expiry) and ``position`` in the order.
 
     The order is by ``sort``, those without a value last (first if descending),
-    then by id. Rows with one value meet in one window, and values in another,
-    so no window holds all rows unless all have one value.
+    then by id, which tells rows apart.
     """
     today = F.to_timestamp(F.lit(now))
     found = licences.withColumn("state", F.when(F.col("expires") < today, "expired").otherwise(F.col("status")))
@@ -32,11 +37,7 @@ def license_search(licences: DataFrame, query: str = "", plan: str | None = None
     if state:
         found = found.where(F.col("state") == state)
     value = F.col(sort).asc_nulls_last() if ascending else F.col(sort).desc_nulls_first()
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    values = found.groupBy(F.col(sort).alias("_v")).agg(F.count("*").alias("_n"), F.first(sort).alias(sort)).select("_v", before.alias("_before"))
-    k = F.row_number().over(Window.partitionBy(sort).orderBy("id"))
-    ranked = found.withColumn("_k", k).join(values, F.col(sort).eqNullSafe(F.col("_v")))
-    return ranked.withColumn("position", F.col("_before") + F.col("_k") - 1).drop("_v", "_before", "_k")
+    return numbered_in_order(found, [value, F.col("id").asc()], "position")
 
 
 def license_overview(licences: DataFrame, activations: DataFrame) -> DataFrame:
@@ -108,20 +109,65 @@ def unchanged_snapshot_skip(saves: DataFrame) -> DataFrame:
     return saves.withColumn("_b", before).where(~F.col("n_bytes").eqNullSafe(F.col("_b"))).drop("_b")
 
 
-def seat_admission(requests: DataFrame, licences: DataFrame, deactivated: DataFrame) -> DataFrame:
-    """Decisions on ``(event_id, ts, licence_id, machine)``, in order.
-
-    An unknown licence is ``unknown``; one that is not active gives its status,
-    one past its expiry ``expired``; a machine on the list ``deactivated
-    (licence_id, machine)`` is ``deactivated``. Of the rest, a machine is
-    admitted if it is among the first ``max_seats`` such machines of its licence.
+@dataclass
+class Seats:
+    """One licence's machines: whether each is active, and how many are."""
+
+    machines: dict[int, bool | None] = field(default_factory=dict)
+    taken: int = 0
+
+    def decide(self, machine: int, off: bool, most: Any, status: Any, ends: float | None, us: int) -> str:
+        """What becomes of one row at ``us`` microseconds, under a licence that ``ends`` then.
+
+        A row with ``off`` deactivates its machine, which frees its seat. For a
+        request the licence comes first: ``unknown`` without one, its status if
+        that is not active, ``expired`` past its expiry. A machine that was
+        deactivated stays ``deactivated``, a known one is activated again, and
+        a new one is ``refused`` unless a seat is free.
+        """
+        known = self.machines.get(machine)
+        if off:
+            self.taken -= known is True
+            self.machines[machine] = False
+            return "deactivate"
+        if pd.isna(status):
+            return "unknown"
+        if status != "active":
+            return status
+        if ends is not None and ends < us:  # a missing number is not smaller
+            return "expired"
+        if known is not None:
+            return "reactivate" if known else "deactivated"
+        if self.taken >= most:
+            return "refused"
+        self.machines[machine] = True
+        self.taken += 1
+        return "activate"
+
+
+def seat_admission(requests: DataFrame, licences: DataFrame, deactivations: DataFrame) -> DataFrame:
+    """Decisions on ``requests (event_id, ts, licence_id, machine)`` and on ``deactivations``, of the same columns, by the rules of ``Seats``.
+
+    ``licences (licence_id, max_seats, status, expires)``. A licence's rows are
+    taken in the order of time and id, as a stream that holds no more than its
+    machines: each decision rests on all before it. Rows without a licence or a
+    machine are ``unknown``.
     """
-    known = requests.join(licences.select("licence_id", "max_seats", "status", "expires"), "licence_id", "left").join(deactivated.select("licence_id", "machine", F.lit(True).alias("off")).distinct(), ["licence_id", "machine"], "left")
-    barred = F.when(F.col("max_seats").isNull(), "unknown").when(F.col("status") != "active", F.col("status")).when(F.col("expires") < F.col("ts"), "expired").when(F.col("off"), "deactivated")
-    judged = known.withColumn("barred", barred)
-    first = judged.where("barred is null").groupBy("licence_id", "machine").agg(F.min(F.struct("ts", "event_id")).alias("f"))
-    ranked = first.withColumn("seat", F.row_number().over(Window.partitionBy("licence_id").orderBy("f", "machine")))
-    joined = judged.join(ranked, ["licence_id", "machine"], "left")
-    is_first = (F.col("f.ts") == F.col("ts")) & (F.col("f.event_id") == F.col("event_id"))
-    decision: Column = F.coalesce("barred", F.when(F.col("seat") > F.col("max_seats"), "refused").when(is_first, "activate").otherwise("reactivate"))
-    return joined.select("event_id", "licence_id", "machine", decision.alias("decision"))
+    columns = ["event_id", "ts", "licence_id", "machine"]
+    rows = requests.select(*columns, F.lit(False).alias("off")).unionByName(deactivations.select(*columns, F.lit(True).alias("off")))
+    known = rows.join(licences.select("licence_id", "max_seats", "status", "expires"), "licence_id", "left")
+    known = known.select("event_id", "licence_id", "machine", "off", "max_seats", "status", micros("expires").alias("ends"), micros("ts").alias("us"))
+
+    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, book = None, Seats()
+        for f in frames:
+            told = []
+            for e in f.itertuples():
+                if e.licence_id != of:
+                    of, book = e.licence_id, Seats()
+                told.append(book.decide(e.machine, e.off, e.max_seats, e.status, e.ends, e.us))
+            yield f[["event_id", "licence_id", "machine"]].assign(decision=told)
+
+    ordered = known.where("licence_id is not null and machine is not null").repartition("licence_id").sortWithinPartitions("licence_id", "us", "event_id")
+    lost = known.where("licence_id is null or machine is null").select("event_id", "licence_id", "machine", F.lit("unknown").alias("decision"))
+    return ordered.mapInPandas(follow, "event_id long, licence_id long, machine long, decision string").unionByName(lost)

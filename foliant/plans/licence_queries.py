@@ -82,20 +82,25 @@ def unchanged_snapshot_skip(spark, d):
     return licence.unchanged_snapshot_skip(_versions(spark, d))
 
 
+def _seats(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Requests for seats, and errors that deactivate their machine."""
+    e = table(spark, d, "events").select("event_id", "ts", (F.col("user_id") % 40).alias("licence_id"), F.col("user_id").alias("machine"), "event_type")
+    return e.where("event_type = 'signup'"), e.where("event_type = 'error' and event_id % 5 = 0")
+
+
 def seat_admission(spark, d):
-    e = table(spark, d, "events").where("event_type = 'signup'").select("event_id", "ts", (F.col("user_id") % 40).alias("licence_id"), F.col("user_id").alias("machine"))
+    requests, off = _seats(spark, d)
     k = F.col("licence_id")
     expires = F.when(k % 9 == 2, F.expr("timestamp_ntz'2024-01-12 00:00:00'"))
-    licences = e.where(k != 39).select("licence_id").distinct().select("licence_id", (1 + k % 3).alias("max_seats"), F.when(k % 8 == 1, "suspended").otherwise("active").alias("status"), expires.alias("expires"))
-    off = e.where("machine % 10 = 3").select("licence_id", "machine").distinct()
-    return licence.seat_admission(e, licences, off)
+    licences = requests.where(k != 39).select("licence_id").distinct().select("licence_id", (1 + k % 3).alias("max_seats"), F.when(k % 8 == 1, "suspended").otherwise("active").alias("status"), expires.alias("expires"))
+    return licence.seat_admission(requests, licences, off)
 
 
 def seat_admission_open(spark, d):
-    """Active licences without an expiry, nobody deactivated: the batch twin of the stream."""
-    e = table(spark, d, "events").where("event_type = 'signup'").select("event_id", "ts", (F.col("user_id") % 40).alias("licence_id"), F.col("user_id").alias("machine"))
-    licences = e.select("licence_id").distinct().select("licence_id", (1 + F.col("licence_id") % 3).alias("max_seats"), F.lit("active").alias("status"), F.lit(None).cast("timestamp_ntz").alias("expires"))
-    return licence.seat_admission(e, licences, e.select("licence_id", "machine").limit(0))
+    """Active licences without an expiry, nobody deactivated."""
+    requests, _ = _seats(spark, d)
+    licences = requests.select("licence_id").distinct().select("licence_id", (1 + F.col("licence_id") % 3).alias("max_seats"), F.lit("active").alias("status"), F.lit(None).cast("timestamp_ntz").alias("expires"))
+    return licence.seat_admission(requests, licences, requests.limit(0))
 
 
 _V = "SELECT o_custkey AS doc_id, o_orderkey AS seq, CAST(floor(o_totalprice / 100000) * 10000000 AS BIGINT) AS n_bytes FROM orders"
@@ -109,6 +114,17 @@ _OPEN = """WITH e AS (SELECT event_id, ts, user_id % 40 AS licence_id, user_id A
         r AS (SELECT *, row_number() OVER (PARTITION BY licence_id ORDER BY f, machine) AS seat FROM f)
         SELECT event_id, licence_id, machine, CASE WHEN seat > 1 + licence_id % 3 THEN 'refused' WHEN first_id = event_id THEN 'activate' ELSE 'reactivate' END AS decision
         FROM e JOIN r USING (licence_id, machine)"""
+#: Each licence's rows one after the other, with the lists of machines that are on and off.
+SEATS = """WITH RECURSIVE e AS (SELECT event_id, ts, user_id % 40 AS licence_id, user_id AS machine, event_type = 'error' AS off FROM events WHERE event_type = 'signup' OR event_type = 'error' AND event_id % 5 = 0),
+        r AS (SELECT *, 1 + licence_id % 3 AS most, CASE WHEN licence_id = 39 THEN 'unknown' WHEN licence_id % 8 = 1 THEN 'suspended' WHEN licence_id % 9 = 2 AND ts > TIMESTAMP '2024-01-12' THEN 'expired' END AS barred,
+          row_number() OVER (PARTITION BY licence_id ORDER BY ts, event_id) AS n FROM e),
+        s AS (SELECT DISTINCT licence_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS ons, CAST([] AS BIGINT[]) AS offs, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS machine, CAST(NULL AS VARCHAR) AS decision FROM e
+          UNION ALL SELECT licence_id, n, CASE decision WHEN 'deactivate' THEN [x FOR x IN ons IF x <> machine] WHEN 'activate' THEN list_append(ons, machine) ELSE ons END,
+            CASE WHEN decision = 'deactivate' THEN list_append(offs, machine) ELSE offs END, event_id, machine, decision
+          FROM (SELECT r.licence_id, r.n, s.ons, s.offs, r.event_id, r.machine, CASE WHEN r.off THEN 'deactivate' WHEN r.barred IS NOT NULL THEN r.barred WHEN list_contains(s.offs, r.machine) THEN 'deactivated'
+              WHEN list_contains(s.ons, r.machine) THEN 'reactivate' WHEN len(s.ons) >= r.most THEN 'refused' ELSE 'activate' END AS decision
+            FROM s JOIN r ON r.licence_id = s.licence_id AND r.n = s.n + 1))
+        SELECT event_id, licence_id, machine, decision FROM s WHERE n > 0"""
 QUERIES = {
     "license_search": (
         license_search,
@@ -151,14 +167,6 @@ QUERIES = {
         unchanged_snapshot_skip,
         f"WITH v AS ({_V}) SELECT doc_id, seq, n_bytes FROM (SELECT *, lag(n_bytes) OVER (PARTITION BY doc_id ORDER BY seq) AS b FROM v) WHERE n_bytes IS DISTINCT FROM b",
     ),
-    "seat_admission": (
-        seat_admission,
-        """WITH e AS (SELECT event_id, ts, user_id % 40 AS licence_id, user_id AS machine FROM events WHERE event_type = 'signup'),
-        j AS (SELECT *, CASE WHEN licence_id = 39 THEN 'unknown' WHEN licence_id % 8 = 1 THEN 'suspended' WHEN licence_id % 9 = 2 AND ts > TIMESTAMP '2024-01-12' THEN 'expired' WHEN machine % 10 = 3 THEN 'deactivated' END AS barred FROM e),
-        f AS (SELECT licence_id, machine, min((ts, event_id)) AS f, arg_min(event_id, (ts, event_id)) AS first_id FROM j WHERE barred IS NULL GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY licence_id ORDER BY f, machine) AS seat FROM f)
-        SELECT event_id, licence_id, machine, coalesce(barred, CASE WHEN seat > 1 + licence_id % 3 THEN 'refused' WHEN first_id = event_id THEN 'activate' ELSE 'reactivate' END) AS decision
-        FROM j LEFT JOIN r USING (licence_id, machine)""",
-    ),
+    "seat_admission": (seat_admission, SEATS),
     "seat_admission_open": (seat_admission_open, _OPEN),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.times import micros
 from ..sources import corpus
 from ..streaming import streams as st
+from .licence_queries import SEATS
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -54,17 +55,30 @@ def ttl_cache(spark, d):
     return st.run_available(st.ttl_cache(_events(spark, d)), "append")
 
 
+def first_of_the_day(spark, d):
+    """Each kind of event of a user once a day: repeats have the day as their event time, so they come within the delay or are late."""
+    days = _events(spark, d).select("user_id", "event_type", F.date_trunc("day", "ts").alias("ts"))
+    return _us(st.run_available(st.first_in_time(days, ["user_id", "event_type", "ts"], "1 day"), "append"), "ts")
+
+
 def lease_status(spark, d):
-    what = F.when(F.col("event_type") == "view", "check").when(F.col("event_type") == "error", "revoke").when(F.col("event_type").isin("signup", "purchase"), "grant")
-    events = _events(spark, d).where("user_id % 3 = 0 or event_type <> 'purchase'").withColumn("what", what).withColumn("offline", F.col("event_id") % 2 == 0)
-    return st.run_available(st.lease_status(events.where("what is not null and (what = 'check' or event_id % 40 in (0, 1))")), "append")
+    """Revocations, deactivations, suspended licences and such that expire among activations, refreshes and checks."""
+    k, i = F.col("user_id"), F.col("event_id")
+    kind = F.col("event_type")
+    what = F.when(kind == "view", "check").when((kind == "error") & (i % 12 == 0), "revoke").when((kind == "error") & (i % 60 == 7), "deactivate").when((kind == "signup") & (i % 20 == 0), "activate").when((kind == "purchase") & (i % 10 == 0), "refresh")
+    status = F.when((k % 11 == 0) & (F.dayofmonth("ts") > 12), "suspended").otherwise("active")
+    expires = F.when(k % 4 == 0, F.expr("timestamp'2024-01-10 00:00:00'") + F.make_dt_interval((k % 15).cast("int")))
+    events = _events(spark, d).withColumn("what", what).where("what is not null")
+    return st.run_available(st.lease_status(events.withColumns({"offline": i % 2 == 0, "status": status, "expires": expires})), "append")
 
 
 def seat_admission_stream(spark, d):
-    e = _events(spark, d).where("event_type = 'signup'")
+    """The stream of the batch query ``seat_admission``: requests, and errors that deactivate their machine, which frees a seat."""
+    e = _events(spark, d).where("event_type = 'signup' or event_type = 'error' and event_id % 5 = 0")
     k = F.col("user_id") % 40
-    ends = F.when(k % 9 == 2, F.expr("timestamp_ntz'2024-01-12 00:00:00'").cast("timestamp"))
-    requests = e.select("event_id", "ts", k.alias("licence_id"), F.col("user_id").alias("machine"), (1 + k % 3).alias("max_seats"), F.lit(False).alias("off"), F.when(k % 8 == 1, "suspended").otherwise("active").alias("status"), ends.alias("expires"))
+    ends = F.when(k % 9 == 2, F.expr("timestamp'2024-01-12 00:00:00'"))
+    status = F.when(k == 39, None).when(k % 8 == 1, "suspended").otherwise("active")
+    requests = e.select("event_id", "ts", k.alias("licence_id"), F.col("user_id").alias("machine"), (1 + k % 3).alias("max_seats"), (F.col("event_type") == "error").alias("off"), status.alias("status"), ends.alias("expires"))
     return st.run_available(st.seat_admission(requests), "append")
 
 
@@ -117,24 +131,23 @@ QUERIES = {
           UNION ALL SELECT s.user_id, min(e.ts) FROM s JOIN events e ON e.user_id = s.user_id AND e.ts > s.ts + INTERVAL 3 DAY GROUP BY s.user_id, s.ts)
         SELECT event_id, user_id, (user_id, ts) NOT IN (SELECT (user_id, ts) FROM s) AS hit FROM events""",
     ),
+    "first_of_the_day": (first_of_the_day, "SELECT DISTINCT user_id, event_type, epoch_us(ts) // 86400000000 * 86400000000 AS ts FROM events"),
     "lease_status": (
         lease_status,
-        """WITH g AS (SELECT user_id, ts AS granted FROM events WHERE event_type IN ('signup', 'purchase') AND event_id % 40 IN (0, 1) AND (user_id % 3 = 0 OR event_type <> 'purchase')),
-        v AS (SELECT user_id, ts AS revoked FROM events WHERE event_type = 'error' AND event_id % 40 IN (0, 1)),
-        c AS (SELECT user_id, event_id, ts, (SELECT max(granted) FROM g WHERE g.user_id = events.user_id AND granted <= ts) AS granted, (SELECT max(revoked) FROM v WHERE v.user_id = events.user_id AND revoked <= ts) AS gone FROM events WHERE event_type = 'view'),
-        a AS (SELECT *, (epoch_us(ts) - epoch_us(granted)) / 86400000000 AS days FROM c)
-        SELECT event_id, user_id, CASE WHEN granted IS NULL OR days >= 21 THEN 'none' WHEN days < 5 THEN 'active' WHEN days < 7 THEN 'refresh_due' WHEN event_id % 2 = 0 THEN 'grace'
-        WHEN gone > granted THEN 'revoked' ELSE 'expired' END AS token_state FROM a""",
-    ),
-    "seat_admission_stream": (
-        seat_admission_stream,
-        """WITH e AS (SELECT event_id, ts, user_id % 40 AS licence_id, user_id AS machine FROM events WHERE event_type = 'signup'),
-        j AS (SELECT *, CASE WHEN licence_id % 8 = 1 THEN 'suspended' WHEN licence_id % 9 = 2 AND ts > TIMESTAMP '2024-01-12' THEN 'expired' END AS barred FROM e),
-        f AS (SELECT licence_id, machine, min((ts, event_id)) AS f, arg_min(event_id, (ts, event_id)) AS first_id FROM j WHERE barred IS NULL GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY licence_id ORDER BY f, machine) AS seat FROM f)
-        SELECT event_id, licence_id, machine, coalesce(barred, CASE WHEN seat > 1 + licence_id % 3 THEN 'refused' WHEN first_id = event_id THEN 'activate' ELSE 'reactivate' END) AS decision
-        FROM j LEFT JOIN r USING (licence_id, machine)""",
+        """WITH k AS (SELECT *, CASE WHEN event_type = 'view' THEN 'check' WHEN event_type = 'error' AND event_id % 12 = 0 THEN 'revoke' WHEN event_type = 'error' AND event_id % 60 = 7 THEN 'deactivate'
+          WHEN event_type = 'signup' AND event_id % 20 = 0 THEN 'activate' WHEN event_type = 'purchase' AND event_id % 10 = 0 THEN 'refresh' END AS what,
+          user_id % 11 = 0 AND extract(day FROM ts) > 12 AS suspended, coalesce(user_id % 4 = 0 AND ts > TIMESTAMP '2024-01-10' + to_days(CAST(user_id % 15 AS INTEGER)), false) AS over FROM events),
+        e AS (SELECT *, NOT suspended AND NOT over AS fine, row_number() OVER (PARTITION BY user_id ORDER BY ts, what = 'check', event_id) AS n FROM k WHERE what IS NOT NULL),
+        b AS (SELECT *, min(CASE WHEN what = 'activate' AND fine THEN n END) OVER (PARTITION BY user_id) AS begun FROM e),
+        o AS (SELECT *, min(CASE WHEN what = 'deactivate' AND n > begun THEN n END) OVER (PARTITION BY user_id) AS ended FROM b),
+        v AS (SELECT *, fine AND n < coalesce(ended, n + 1) AS open, max(CASE WHEN what = 'activate' AND fine AND n < coalesce(ended, n + 1) THEN n END) OVER w AS let_in, max(CASE WHEN what = 'revoke' AND n > begun THEN n END) OVER w AS gone
+          FROM o WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+        g AS (SELECT *, max(CASE WHEN open AND (what = 'activate' OR what = 'refresh' AND let_in IS NOT NULL AND coalesce(gone < let_in, true)) THEN ts END) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS granted FROM v),
+        a AS (SELECT *, (epoch_us(ts) - epoch_us(granted)) / 86400000000 AS days FROM g WHERE what = 'check')
+        SELECT event_id, user_id, CASE WHEN let_in IS NULL THEN 'none' WHEN over THEN 'expired' WHEN suspended THEN 'suspended' WHEN days < 5 THEN 'active' WHEN days < 7 THEN 'refresh_due' WHEN days >= 21 THEN 'expired'
+        WHEN event_id % 2 = 0 THEN 'grace' WHEN n > ended THEN 'deactivated' WHEN gone > let_in THEN 'revoked' ELSE 'expired' END AS token_state FROM a""",
     ),
+    "seat_admission_stream": (seat_admission_stream, SEATS),
     "batch_plan": (
         batch_plan,
         """WITH p AS (SELECT page_id, regexp_replace(url, '^https?://|[?#].*$', '', 'g') AS u FROM pages),

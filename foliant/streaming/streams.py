@@ -2,23 +2,29 @@
 
 Late rows: a watermark of one hour on ``ts``. Windows and sessions come out
 once, when the watermark has passed their end; keyed state goes by event-time
-timers when nothing can depend on it any more.
+timers when nothing can depend on it any more. The cache, the leases and the
+seats keep several state variables each; these need the RocksDB state store
+(``with_state_store``).
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.folders import removed, shared_folder
 from ..operators.find import fold_text
+from ..operators.licence import Seats
 
 LATE = "1 hour"
 DAY = 86_400_000
@@ -34,6 +40,18 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+@contextmanager
+def with_state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which state variables and timers need."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def run_available(stream: DataFrame, mode: str, keys: tuple[str, ...] = (), each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over all that is there, into files in the shared folder, and read the result.
 
@@ -47,8 +65,9 @@ def run_available(stream: DataFrame, mode: str, keys: tuple[str, ...] = (), each
         done = each(batch) if each else batch
         done.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with with_state_store(spark):
+        q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     removed(spark, f"{folder}/state")  # this run is over; a lasting stream keeps it
     rows = spark.read.parquet(f"{folder}/out")
     if keys:
@@ -140,110 +159,184 @@ def audit_daily(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("event_type", F.col("w.start").alias("day"), "n", "total")
 
 
-def ttl_cache(events: DataFrame, ttl: timedelta = timedelta(days=3)) -> DataFrame:
-    """Hits and misses per key: an entry lives for ``ttl`` from when it was stored, then goes; hits do not prolong it."""
-    life = ttl // timedelta(microseconds=1)
+class _Processor(StatefulProcessor):
+    """A state handler that keeps nothing between calls but its state."""
 
-    def look(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stored = state.get[0] if state.exists else None
+    def close(self) -> None:
+        pass
+
+
+def _told(rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows as a frame of plain objects, which Spark can put together with those of other keys; none for no rows."""
+    if rows:
+        yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+
+def _follow(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    return stream.withWatermark("ts", LATE).groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
+
+
+class _Cache(_Processor):
+    """When a key's entry was stored; the timer drops it once it has run out."""
+
+    def __init__(self, life: int):
+        self.life = life
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.stored = handle, handle.getValueState("stored", "us long")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        before = stored = self.stored.get()[0] if self.stored.exists() else None
         out = []
-        for e in _in_time(frames).itertuples():
-            hit = stored is not None and e.us - stored <= life
+        for e in _in_time(rows).itertuples():
+            hit = stored is not None and e.us - stored <= self.life
             stored = stored if hit else e.us
             out.append((e.event_id, key[0], hit))
-        state.update((stored,))
-        _wake(state, (stored + life) // 1000 + 1)
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "hit"])
+        if stored != before:
+            ends = (stored + self.life) // 1000 + 1
+            if ends > timerValues.getCurrentWatermarkInMs():
+                self.stored.update((stored,))
+                self.handle.registerTimer(ends)
+            else:  # it has run out already
+                self.stored.clear()
+        yield from _told(out, ["event_id", "user_id", "hit"])
 
-    kept = events.withWatermark("ts", LATE).select("event_id", "ts", "user_id")
-    return kept.groupBy("user_id").applyInPandasWithState(look, "event_id long, user_id long, hit boolean", "stored long", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.stored.exists() and (self.stored.get()[0] + self.life) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.stored.clear()  # else it was stored anew since the timer was set
+        return iter(())
 
 
-def lease_status(events: DataFrame, lease: int = 7, due: int = 2, grace: int = 14) -> DataFrame:
-    """The token's state at each check, from the last grant: ``events (event_id, ts, user_id, what, offline)``.
+def ttl_cache(events: DataFrame, ttl: timedelta = timedelta(days=3)) -> DataFrame:
+    """Hits and misses per key: an entry lives for ``ttl`` from when it was stored, then goes; hits do not prolong it."""
+    kept = events.select("event_id", "ts", "user_id")
+    return _follow(kept, "user_id", _Cache(ttl // timedelta(microseconds=1)), "event_id long, user_id long, hit boolean")
+
+
+def first_in_time(events: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
+    """One row of each key within the watermark's delay; a key's state goes when the watermark has passed its first row by that much.
 
-    ``what`` is grant, revoke or check. Within the lease, in days, a token is
-    ``active``, in its last days ``refresh_due``; a revocation tells at the next
-    refresh only. Behind the lease an offline check has ``grace``, any other is
-    ``revoked`` or ``expired``. When the grace has passed as well, the state
-    goes, and the token is ``none`` as it was before the first grant.
+    This is the cache where only de-duplication is asked for. A row comes out
+    again if its key comes back later than that, so ``late`` is the time to live.
     """
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
-    def follow(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        granted, revoked = state.get if state.exists else (None, False)
+
+class _Lease(_Processor):
+    """A token, dropped by its timer when lease and grace are over, and the standing of its machine, which lives on."""
+
+    def __init__(self, lease: int, due: int, grace: int):
+        self.lease, self.due, self.grace = lease, due, grace
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.token = handle.getValueState("token", "granted long")
+        self.standing = handle.getValueState("standing", "revoked boolean, deactivated boolean")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = self.standing.exists()
+        standing = revoked, off = self.standing.get() if known else (False, False)
+        before = granted = self.token.get()[0] if self.token.exists() else None
         out = []
-        for e in _in_time(frames, "check").itertuples():
-            if e.what == "grant":
-                granted, revoked = e.us, False
+        for e in _in_time(rows, "check").itertuples():
+            expired = not pd.isna(e.expires) and _micros(e.expires) < e.us
+            fine = not expired and (pd.isna(e.status) or e.status == "active")
+            if e.what == "activate" and fine and not off:
+                known, revoked, granted = True, False, e.us
+            elif e.what == "refresh" and fine and known and not off and not revoked:
+                granted = e.us
             elif e.what == "revoke":
-                revoked = granted is not None
-            else:
-                days = None if granted is None else (e.us - granted) / (DAY * 1000)
-                if days is None or days >= lease + grace:
+                revoked = known
+            elif e.what == "deactivate":
+                off = known
+            elif e.what == "check":
+                days = self.lease + self.grace if granted is None else (e.us - granted) / (DAY * 1000)
+                if not known:
                     told = "none"
-                elif days < lease:
-                    told = "active" if days < lease - due else "refresh_due"
+                elif expired:
+                    told = "expired"
+                elif not fine:
+                    told = e.status
+                elif days < self.lease:
+                    told = "active" if days < self.lease - self.due else "refresh_due"
+                elif days >= self.lease + self.grace:
+                    told = "expired"
                 else:
-                    told = "grace" if e.offline else "revoked" if revoked else "expired"
+                    told = "grace" if e.offline else "deactivated" if off else "revoked" if revoked else "expired"
                 out.append((e.event_id, key[0], told))
-        if granted is not None:
-            state.update((granted, revoked))
-            _wake(state, granted // 1000 + (lease + grace) * DAY)
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "token_state"])
+        if known and (standing != (revoked, off) or not self.standing.exists()):
+            self.standing.update((revoked, off))
+        if granted != before:
+            ends = granted // 1000 + (self.lease + self.grace) * DAY
+            if ends > timerValues.getCurrentWatermarkInMs():
+                self.token.update((granted,))
+                self.handle.registerTimer(ends)
+            else:
+                self.token.clear()
+        yield from _told(out, ["event_id", "user_id", "token_state"])
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.token.exists() and self.token.get()[0] // 1000 + (self.lease + self.grace) * DAY <= expiredTimerInfo.getExpiryTimeInMs():
+            self.token.clear()  # else it was renewed since the timer was set
+        return iter(())
+
 
-    kept = events.withWatermark("ts", LATE).select("event_id", "ts", "user_id", "what", "offline", (F.col("what") == "check").alias("check"))
-    return kept.groupBy("user_id").applyInPandasWithState(follow, "event_id long, user_id long, token_state string", "granted long, revoked boolean", "append", GroupStateTimeout.EventTimeTimeout)
+def lease_status(events: DataFrame, lease: int = 7, due: int = 2, grace: int = 14) -> DataFrame:
+    """The token's state at each check: ``events (event_id, ts, user_id, what, offline, status, expires)``.
+
+    ``what`` is activate, refresh, revoke, deactivate or check; ``status`` and
+    ``expires`` are the licence's at that time (null: no limit). An activation
+    or a refresh counts only under an active licence that has not expired. A
+    refresh needs an activation before it and renews neither a revoked token
+    nor one of a deactivated machine; an activation lifts a revocation, but a
+    deactivated machine stays out, after any pause.
+
+    A check of a machine that was never activated is ``none``. Past the
+    licence's expiry it is ``expired``, under a status that is not active that
+    status. Within the lease, in days, a token is ``active``, in its last days
+    ``refresh_due``: a revocation tells at the next refresh only. Behind the
+    lease an offline check has ``grace``, any other is ``deactivated``,
+    ``revoked`` or ``expired``; past the grace all are ``expired``. Then a timer
+    drops the token; two bits of a machine's standing stay.
+    """
+    kept = events.select("event_id", "ts", "user_id", "what", "offline", "status", "expires", (F.col("what") == "check").alias("check"))
+    return _follow(kept, "user_id", _Lease(lease, due, grace), "event_id long, user_id long, token_state string")
+
+
+class _Seats(_Processor):
+    """A licence's machines, on or off, and how many are on."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.machines = handle.getMapState("machines", "machine long", "active boolean")
+        self.taken = handle.getValueState("taken", "n long")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        asked = _in_time(rows)
+        known = {}
+        for m in asked["machine"].unique().tolist():  # only those that the rows name are read
+            held = self.machines.getValue((m,))
+            known[m] = None if held is None else held[0]
+        book = Seats(dict(known), self.taken.get()[0] if self.taken.exists() else 0)
+        ends = [None if pd.isna(t) else _micros(t) for t in asked["expires"]]
+        out = [(e.event_id, key[0], e.machine, book.decide(e.machine, e.off, e.max_seats, e.status, end, e.us)) for e, end in zip(asked.itertuples(), ends, strict=True)]
+        for m, active in book.machines.items():
+            if active is not None and active != known[m]:
+                self.machines.updateValue((m,), (active,))
+        self.taken.update((book.taken,))
+        yield from _told(out, ["event_id", "licence_id", "machine", "decision"])
 
 
 def seat_admission(requests: DataFrame) -> DataFrame:
-    """Decisions on ``(event_id, ts, licence_id, machine, max_seats, off, status, expires)``.
+    """Decisions on ``(event_id, ts, licence_id, machine, max_seats, off, status, expires)``, by the rules of ``licence.Seats``.
 
-    A row with ``off`` deactivates its machine, which is refused from then on.
-    A licence that is not active gives its status, one past its expiry
-    ``expired``. A known machine is activated again; a new one needs a free
-    seat. A licence's state goes when its expiry has passed.
+    The state is the table of activations: machines stay in it, on or off,
+    beyond a licence's expiry, so a deactivated one stays refused and an
+    active one keeps its seat when the licence is renewed. It grows with the
+    machines that were ever admitted or deactivated, not with the requests.
+    Rows without a machine are no requests.
     """
-
-    def admit(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        on, off = (set(x) for x in state.get) if state.exists else (set(), set())
-        out, ends = [], None
-        for e in _in_time(frames).itertuples():
-            ends = None if pd.isna(e.expires) else _micros(e.expires)
-            if e.off:
-                on.discard(e.machine)
-                off.add(e.machine)
-                told = "deactivated"
-            elif e.status != "active":
-                told = e.status
-            elif ends is not None and ends < e.us:
-                told = "expired"
-            elif e.machine in off:
-                told = "refused"
-            elif e.machine in on:
-                told = "reactivate"
-            elif len(on) >= e.max_seats:
-                told = "refused"
-            else:
-                on.add(e.machine)
-                told = "activate"
-            out.append((e.event_id, key[0], e.machine, told))
-        state.update((sorted(on), sorted(off)))
-        if ends is not None:
-            _wake(state, ends // 1000 + 1)
-        yield pd.DataFrame(out, columns=["event_id", "licence_id", "machine", "decision"])
-
-    return requests.withWatermark("ts", LATE).groupBy("licence_id").applyInPandasWithState(
-        admit, "event_id long, licence_id long, machine long, decision string", "on_ array<long>, off_ array<long>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    kept = requests.where("machine is not null").select("event_id", "ts", "licence_id", "machine", "max_seats", "off", "status", "expires")
+    return _follow(kept, "licence_id", _Seats(), "event_id long, licence_id long, machine long, decision string")
 
 
 def batch_plan(paths: DataFrame, most: int = 60, ending: str = ".pdf") -> DataFrame:
