@@ -1,10 +1,14 @@
-"""Sums along arrays."""
+"""Sums along arrays, and places in sorted ones."""
+
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Longer arrays are summed in blocks.
 SHORT = 256
+#: Longer arrays are searched by blocks.
+FEW = 32
 
 
 def _folded(numbers: Column) -> Column:
@@ -35,3 +39,33 @@ def sums_before(numbers: Column) -> Column:
 def offsets(parts: Column) -> Column:
     """Where each text of an array of texts begins if they are joined."""
     return sums_before(F.transform(parts, lambda t: F.length(t).cast("long")))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def places(numbers: Column, sought: Column, inclusive: bool) -> Column:
+    """For each number sought: how many of the ascending numbers are smaller, or with ``inclusive`` not larger.
+
+    An array of more than ``FEW`` goes by blocks of the root of its length: the
+    first numbers of the blocks tell the block, and only that is gone through.
+    """
+
+    def count(some: Column, x: Column) -> Column:
+        return F.size(F.filter(some, lambda y: y <= x if inclusive else y < x))
+
+    def in_blocks(held: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(held))).cast("int")
+
+        def by(t: Column) -> Column:
+            def place(x: Column) -> Column:
+                return bound(count(t["heads"], x), lambda k: F.when(k == 0, F.lit(0)).otherwise((k - 1) * t["width"] + count(F.slice(held, (k - 1) * t["width"] + 1, t["width"]), x)))
+
+            return F.transform(sought, place)
+
+        heads = F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / width).cast("int")), lambda b: F.get(held, b * width))
+        return bound(F.struct(heads.alias("heads"), width.alias("width")), by)
+
+    return bound(numbers, lambda held: F.when(F.size(held) <= FEW, F.transform(sought, lambda x: count(held, x))).otherwise(in_blocks(held)))

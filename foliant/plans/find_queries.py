@@ -17,9 +17,9 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return corpus.explode_lines(corpus.table(spark, d, "documents"))
 
 
-def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines = _lines(spark, d)
-    return lines, corpus.explode_spans(lines)
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with their spans."""
+    return corpus.line_spans(_lines(spark, d))
 
 
 def scan_corpus(spark, d):
@@ -31,7 +31,7 @@ def explode_lines(spark, d):
 
 
 def explode_spans(spark, d):
-    return _spans(spark, d)[1]
+    return corpus.explode_spans(_lines(spark, d))
 
 
 def word_stream(spark, d):
@@ -55,25 +55,31 @@ def find_occurrences_whole_word(spark, d):
 
 
 def find_hits(spark, d):
-    return find.find_hits(*_spans(spark, d), NEEDLE)
+    return find.find_hits(_spans(spark, d), NEEDLE)
 
 
 def reading_order(spark, d):
-    return find.reading_order(find.find_hits(*_spans(spark, d), "ing")).select("doc_id", "id", "page_no", "line_no", "start")
+    return find.reading_order(find.find_hits(_spans(spark, d), "ing")).select("doc_id", "id", "page_no", "line_no", "start")
 
 
 def find_capped(spark, d):
-    return find.find_capped(find.find_hits(*_spans(spark, d), WORD), 20).select("doc_id", "page_no", "line_no", "start", "truncated_page")
+    return find.find_capped(find.find_hits(_spans(spark, d), WORD), 20).select("doc_id", "page_no", "line_no", "start", "truncated_page")
 
 
 def find_summary(spark, d):
     docs = corpus.table(spark, d, "documents")
     scanned = docs.select("doc_id", F.ceil(F.size(F.split("text", "\n", -1)) / corpus.LINES_PER_PAGE).cast("int").alias("pages_scanned"), F.col("text").rlike(r"\S").alias("has_text"))
-    return find.find_summary(find.find_hits(*_spans(spark, d), "in, "), scanned)
+    return find.find_summary(find.find_hits(_spans(spark, d), "in, "), scanned)
 
 
 def replace_all(spark, d):
-    return find.replace_all(*_spans(spark, d), "an", "[AN]")
+    return find.replace_all(_spans(spark, d), "an", "[AN]")
+
+
+def replace_scanned(spark, d):
+    """Where the scan of a document stops at 50 hits."""
+    lines = find.scanned_lines(corpus.table(spark, d, "documents"), "an", 50)
+    return find.replace_all(corpus.line_spans(lines), "an", "[AN]")
 
 
 def redact_matches(spark, d):
@@ -85,7 +91,7 @@ def folded_search(spark, d):
 
 
 def find_audit(spark, d):
-    return find.find_audit(*_spans(spark, d), "ing the")
+    return find.find_audit(_lines(spark, d), "ing the")
 
 
 _CAP = 300_000
@@ -145,6 +151,16 @@ QUERIES = {
         SELECT doc_id, line_no, string_agg(regexp_replace(span_text, 'an', '[AN]', 'gi'), '' ORDER BY span_no) AS new_text, any_value(edited) AS edited, any_value(locked) AS locked
         FROM spans JOIN per_line USING (doc_id, line_no) GROUP BY doc_id, line_no""",
     ),
+    "replace_scanned": (
+        replace_scanned,
+        f"""WITH {sql.SPANS}, {sql.hits('h', 'an')}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, hit_no) AS k FROM h),
+        t AS (SELECT doc_id, coalesce(max(CASE WHEN k = 51 THEN page_no + 1 END), 0) AS truncated_page FROM k GROUP BY doc_id),
+        c AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id, line_no ORDER BY hit_no), 0) AS a, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY hit_no DESC) AS r FROM k WHERE k <= 50),
+        l AS (SELECT doc_id, line_no, line_text FROM lines)
+        SELECT doc_id, line_no, string_agg(substr(line_text, CAST(a + 1 AS BIGINT), CAST(start - a AS BIGINT)) || CASE WHEN replaceable THEN '[AN]' ELSE substr(line_text, CAST(start + 1 AS BIGINT), 2) END, '' ORDER BY hit_no)
+          || any_value(substr(line_text, CAST(stop + 1 AS BIGINT))) FILTER (r = 1) AS new_text, count(*) FILTER (replaceable) AS edited, count(*) FILTER (NOT replaceable) AS locked, any_value(truncated_page) AS truncated_page
+        FROM c JOIN l USING (doc_id, line_no) JOIN t USING (doc_id) GROUP BY doc_id, line_no""",
+    ),
     "redact_matches": (
         redact_matches,
         f"WITH {sql.LINES} SELECT doc_id, line_no, regexp_replace(line_text, '{NEEDLE}', '{'#' * len(NEEDLE)}', 'gi') AS new_text FROM lines WHERE contains(lower(line_text), '{NEEDLE}')",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import offsets
+from ..functions.arrays import bound, offsets
 
 LINES_PER_PAGE = 4
 #: A span ends behind its punctuation; the spans of a line cover it exactly.
@@ -60,6 +60,31 @@ def explode_spans(lines: DataFrame) -> DataFrame:
     )
 
 
+def line_spans(lines: DataFrame) -> DataFrame:
+    """The lines that show something, each with its spans in an array ``spans`` of ``(span_no, span_text, host, off, x0, y0, x1, y1)``; nothing is shuffled."""
+    return lines.where(F.col("line_text").rlike(r"\S")).withColumn("spans", span_array())
+
+
+def span_array() -> Column:
+    """The spans of ``line_text``, as an array in their order."""
+
+    def span(x: Column, n: Column) -> Column:
+        text, off = x["text"], x["off"]
+        x0, y0 = off * 5.0, F.col("line_in_page") * 12.0
+        fields = {"span_no": n, "span_text": text, "host": text.rlike(r"\S"), "off": off, "x0": x0, "y0": y0, "x1": x0 + F.greatest(F.lit(1.0), F.length(text) * 5.0), "y1": y0 + 12.0}
+        return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+    parts = F.regexp_extract_all("line_text", F.lit(SPAN), F.lit(0))
+    return bound(parts, lambda t: F.transform(F.arrays_zip(t.alias("text"), offsets(t).alias("off")), span))
+
+
+def nest_spans(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """The same for spans that come as a table of their own: one exchange brings each line's together."""
+    s = F.struct("span_no", "span_text", "host", F.col("off").cast("long").alias("off"), "x0", "y0", "x1", "y1")
+    whole = spans.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(s)).alias("spans"))
+    return lines.join(whole, ["doc_id", "line_no"])
+
+
 def _words(max_words: int, max_pages: int) -> tuple[Column, Column, Column]:
     """Of a document: all words with their pages, the last page that is read, and whether there are words behind it."""
 

@@ -50,20 +50,20 @@ def line_of(spark, *lines):
     ],
 )
 def test_find(spark, lines, query, flags, expected):
-    hits = find.find_hits(*line_of(spark, *lines), query, **flags).orderBy("line_no", "hit_no").collect()
+    hits = find.find_hits(corpus.nest_spans(*line_of(spark, *lines)), query, **flags).orderBy("line_no", "hit_no").collect()
     assert [(h.replaceable, h.span_start, h.span_stop) for h in hits] == expected
 
 
 def test_find_cap(spark):
     lines, spans = line_of(spark, ["2026 2026 2026"], [""], [""], [""], ["2026 2026"])
-    hits = find.find_hits(lines, spans, "2026")
+    hits = find.find_hits(corpus.nest_spans(lines, spans), "2026")
     assert [r.truncated_page for r in find.find_capped(hits, 2).collect()] == [1, 1]
     assert [r.truncated_page for r in find.find_capped(hits, 99).collect()] == [0] * 5
 
 
 @pytest.mark.parametrize(("new", "want"), [("year", "year va year va year"), ("", " va  va "), ("2", "2 va 2 va 2")])
 def test_replace(spark, new, want):
-    done = find.replace_all(*line_of(spark, ["2026 va 2026 va 2026"]), "2026", new).collect()
+    done = find.replace_all(corpus.nest_spans(*line_of(spark, ["2026 va 2026 va 2026"])), "2026", new).collect()
     assert [(r.new_text, r.edited, r.locked) for r in done] == [(want, 3, 0)]
 
 
