@@ -20,6 +20,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -276,27 +277,36 @@ class Remembered:
         return self.flat[spread(low, high)[0]], tokens[edges]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids", remember: int = 300_000) -> DataFrame:
+def _texts(ids: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The texts of lists of token ids: tokens with blanks between them; null for a null list."""
+    parts = pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), tokens.take(ids.flatten()))
+    return pc.binary_join(parts, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids", decoded: str | None = None, remember: int = 300_000) -> DataFrame:
     """The rows of ``docs`` with the token ids of ``text`` in column ``out`` (replaced if there).
 
     Special tokens inside a text are recognised as such; none is added, nothing
     is cut off or padded. A null or empty text has no ids. Other columns stay
-    as they are; texts are read whole, however long.
+    as they are; texts are read whole, however long. With ``decoded`` the ids
+    are decoded at once into a column of that name, as ``decode`` does it. A
+    task remembers the encodings of about ``remember`` units.
     """
-    kept = [c for c in docs.columns if c != out]
+    made = [out, *([decoded] if decoded else [])]
+    kept = [c for c in docs.columns if c not in made]
     some = docs.select(*numbered(kept), F.col(text).alias("x"))
-    schema = T.StructType([*some.drop("x").schema.fields, T.StructField("y", T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([*some.drop("x").schema.fields, T.StructField("y", T.ArrayType(T.IntegerType(), False)), *([T.StructField("z", T.StringType())] if decoded else [])])
     width = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = Remembered(Encoder(vocabulary), remember)
+        encoded, tokens = Remembered(Encoder(vocabulary), remember), pa.array(vocabulary.tokens, pa.large_string())
         for batch in batches:
             for b in sliced(batch, width):
                 ids, edges = encoded(b[width].cast(pa.binary()).to_pylist())
                 column = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], column], schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], column, *([_texts(column, tokens)] if decoded else [])], schema.names)
 
-    return some.mapInArrow(run, schema).toDF(*kept, out)
+    return some.mapInArrow(run, schema).toDF(*kept, *made)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -311,13 +321,9 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
     width = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
         tokens = pa.array(vocabulary.tokens, pa.large_string())
         for batch in batches:
             for b in sliced(batch, width):
-                said = pc.fill_null(b[width], pa.scalar([], b[width].type))
-                parts = pa.LargeListArray.from_arrays(said.offsets.cast(pa.int64()), tokens.take(said.values))
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], pc.binary_join(parts, pa.scalar(" ", pa.large_string())).cast(pa.string())], schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], _texts(pc.fill_null(b[width], pa.scalar([], b[width].type)), tokens)], schema.names)
 
     return some.mapInArrow(run, schema).toDF(*kept, out)
