@@ -12,8 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
+
 GAP = 0.25
 SNIPPET = 60
+#: Pages of a side that a comparison by pages reads.
+MOST_PAGES = 400
 #: Ids are taken in ranges of two to this power where a first line has very many documents.
 RANGE_BITS = 16
 
@@ -144,56 +148,90 @@ def page_fingerprint(pages: DataFrame, bits: int = 16) -> DataFrame:
     return sized.select(*keys, "page_no", F.array_join(F.transform(grade, lambda b: b.cast("string")), "").alias("bits"), F.array_distinct("_w").alias("words"), F.size(F.split("page_text", "\n")).alias("height"))
 
 
-def page_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Similarity of all pages of a pair's sides: ``(pair_id, a_page, b_page, similarity)``.
+def first_pages(pages: DataFrame, most: int = MOST_PAGES) -> DataFrame:
+    """The pages of each side that a comparison by pages reads: the first ``most``, which is the feature's own limit."""
+    return pages.where(F.col("page_no") < most)
+
+
+def page_similarity(a: DataFrame, b: DataFrame, above: float | None = None, most: int = MOST_PAGES) -> DataFrame:
+    """Similarity of the first ``most`` pages of a pair's sides: ``(pair_id, a_page, b_page, similarity)``.
 
     Fingerprints agree by bits, less by 0.4 of that if the sizes differ; where
     either page has words, their Jaccard similarity weighs 0.3.
+
+    With ``above``, only pairs of pages that are more alike come out. Bits,
+    sizes and the numbers of words bound the similarity, since a Jaccard
+    similarity is at most the smaller number over the larger; the join drops
+    what stays below by these alone, so that words are compared for the rest.
     """
-    j = a.select("pair_id", F.col("page_no").alias("a_page"), F.col("bits").alias("ab"), F.col("words").alias("aw"), F.col("height").alias("ah")).join(
-        b.select("pair_id", F.col("page_no").alias("b_page"), F.col("bits").alias("bb"), F.col("words").alias("bw"), F.col("height").alias("bh")), "pair_id"
-    )
-    n = F.length("ab")
-    differ = F.bit_count(F.conv("ab", 2, 10).cast("long").bitwiseXOR(F.conv("bb", 2, 10).cast("long")))
-    alike = (1 - differ / n) * F.when(F.col("ah") != F.col("bh"), 0.6).otherwise(1.0)
-    jaccard = F.size(F.array_intersect("aw", "bw")) / F.greatest(F.size(F.array_union("aw", "bw")), F.lit(1))
-    some = (F.size("aw") > 0) | (F.size("bw") > 0)
-    return j.select("pair_id", "a_page", "b_page", F.when(some, 0.7 * alike + 0.3 * jaccard).otherwise(alike).alias("similarity"))
+    return page_candidates(a, b, above, most).where(F.lit(True) if above is None else F.col("similarity") > above)
 
 
-def page_align(similarities: DataFrame) -> DataFrame:
-    """Monotone alignment of each pair's pages with the best total: ``(pair_id, a_page, b_page, similarity)``.
+def page_candidates(a: DataFrame, b: DataFrame, above: float | None = None, most: int = MOST_PAGES) -> DataFrame:
+    """The pairs of pages whose words ``page_similarity`` compares, with their similarities."""
 
-    An unmatched page scores 0.25, so only pages more than 0.5 alike match; of
-    equal moves a match wins, then skipping a page of A. One fold per pair over
-    its rows of similarities keeps a letter per cell, and a second one walks
-    back over the letters, so memory is the product of the pair's pages.
-    """
-    per_row = similarities.groupBy("pair_id", "a_page").agg(F.transform(F.array_sort(F.collect_list(F.struct("b_page", "similarity"))), lambda x: x["similarity"]).alias("sims"))
-    grid = per_row.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("a_page", "sims"))).alias("rows")).withColumn("_m", F.size(F.element_at("rows", 1)["sims"]))
-    start = F.struct(F.transform(F.sequence(F.lit(0), F.col("_m")), lambda j: j * F.lit(GAP)).alias("best"), F.array().cast("array<string>").alias("ways"))
+    def side(pages: DataFrame, s: str) -> DataFrame:
+        bits = F.conv("bits", 2, 10).cast("long")
+        told = {"page_no": f"{s}_page", "words": f"{s}w", "height": f"{s}h"}
+        return first_pages(pages, most).select("pair_id", bits.alias(f"{s}b"), F.length("bits").alias(f"{s}l"), F.size("words").alias(f"{s}n"), *(F.col(c).alias(n) for c, n in told.items()))
+
+    alike = (1 - F.bit_count(F.col("ab").bitwiseXOR(F.col("bb"))) / F.col("al")) * F.when(F.col("ah") != F.col("bh"), 0.6).otherwise(1.0)
+    some = (F.col("an") > 0) | (F.col("bn") > 0)
+    told = lambda jaccard: F.when(some, 0.7 * alike + 0.3 * jaccard).otherwise(alike)
+    at_most = told(F.least("an", "bn") / F.greatest("an", "bn", F.lit(1)))
+    # The bound is rounded like the similarity, whose last digit may differ.
+    x, y = side(a, "a"), side(b, "b")
+    near = x["pair_id"] == y["pair_id"] if above is None else (x["pair_id"] == y["pair_id"]) & (at_most > above - 1e-9)
+    jaccard = F.size(F.array_intersect("aw", "bw")) / F.greatest(F.size(F.array_union("aw", "bw")), F.lit(1))
+    return x.join(y, near).select(x["pair_id"], "a_page", "b_page", told(jaccard).alias("similarity"))
 
-    def next_row(above: Column, row: Column) -> Column:
-        """The best totals of the next row, and a letter per cell that tells where each came from."""
-        edge = F.element_at(above["best"], 1) + GAP
-        left_edge = F.struct(F.array(edge).alias("best"), edge.alias("last"), F.lit("").alias("way"))
 
-        def cell(acc: Column, j: Column) -> Column:
-            diag, up, left = F.element_at(above["best"], j) + F.element_at(row["sims"], j), F.element_at(above["best"], j + 1) + GAP, acc["last"] + GAP
-            best = F.greatest(diag, up, left)
-            letter = F.when(diag == best, "d").when(up == best, "u").otherwise("l")
-            return F.struct(F.concat(acc["best"], F.array(best)).alias("best"), best.alias("last"), F.concat(acc["way"], letter).alias("way"))
+def page_align(a: DataFrame, b: DataFrame, similarities: DataFrame, most: int = MOST_PAGES) -> DataFrame:
+    """Monotone alignment of each pair's pages with the best total: ``(pair_id, a_page, b_page, similarity)``.
 
-        done = F.aggregate(F.sequence(F.lit(1), F.size(row["sims"])), left_edge, cell)
-        return F.struct(done["best"].alias("best"), F.concat(above["ways"], F.array(done["way"])).alias("ways"))
+    ``a`` and ``b`` have the pages of the sides; ``similarities`` those pairs
+    of pages that are more than 0.5 alike, others may be left out. An unmatched
+    page scores 0.25, so no others match; of equal moves a match wins, then
+    skipping a page of A.
 
-    grid = grid.withColumn("_ways", F.aggregate("rows", start, next_row, lambda x: x["ways"]))
-    here = F.struct(F.size("rows").alias("i"), F.col("_m").alias("j"), F.array().cast("array<struct<a_page:int,b_page:int>>").alias("pairs"))
+    The grid is filled by anti-diagonals: a cell needs the two diagonals before
+    its own, so one fold per pair carries these two and a letter per cell, and a
+    second one walks back over the letters. With at most ``most`` pages a side
+    that is 160,000 letters a pair.
+    """
+    extent = lambda pages, n: first_pages(pages, most).groupBy("pair_id").agg((F.max("page_no") + 1).alias(n))
+    sizes = extent(a, "_n").join(extent(b, "_m"), "pair_id")
+    cells = F.map_from_entries(F.collect_list(F.struct((F.col("a_page") * most + F.col("b_page")).alias("k"), "similarity"))).alias("_sims")
+    own = first_pages(similarities.withColumnRenamed("a_page", "page_no"), most).withColumnRenamed("page_no", "a_page").where(F.col("b_page") < most)
+    grid = sizes.join(own.where(F.col("similarity") > 2 * GAP).groupBy("pair_id").agg(cells), "pair_id")
+    numbers = "array<double>"
+
+    def diagonal(state: Column, d: Column) -> Column:
+        """The cells (i, d - i) for all i, from the totals of the diagonals before; and how each was reached."""
+
+        def cell(i: Column) -> Column:
+            before, last, j = state["before"], state["last"], d - i
+            sim = F.try_element_at(F.col("_sims"), (i - 1) * most + j - 1)
+            diag, up, left = F.get(before, i - 1) + sim, F.get(last, i - 1) + GAP, F.get(last, i) + GAP
+            best = F.greatest(diag, up, left)  # nulls, of pairs that do not match, are passed over
+            inner = F.struct(best.alias("best"), F.when(diag == best, "d").when(up == best, "u").otherwise("l").alias("way"))
+            edge = F.struct((d * F.lit(GAP)).alias("best"), F.lit("-").alias("way"))
+            return F.when((i == 0) | (j == 0), edge).when((j > 0) & (j <= F.col("_m")), inner).otherwise(F.struct(F.lit(0.0).alias("best"), F.lit("-").alias("way")))
+
+        def next_state(cells: Column) -> Column:
+            ways = F.array_join(F.transform(cells, lambda c: c["way"]), "")
+            return F.struct(state["last"].alias("before"), F.transform(cells, lambda c: c["best"]).alias("last"), F.concat(state["ways"], F.array(ways)).alias("ways"))
+
+        return bound(F.transform(F.sequence(F.lit(0), F.col("_n")), cell), next_state)
+
+    flat = lambda x: F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: F.lit(x))
+    start = F.struct(flat(0.0).cast(numbers).alias("before"), flat(GAP).cast(numbers).alias("last"), F.array().cast("array<string>").alias("ways"))
+    grid = grid.withColumn("_ways", F.aggregate(F.sequence(F.lit(2), F.col("_n") + F.col("_m")), start, diagonal, lambda x: x["ways"]))
+    here = F.struct(F.col("_n").alias("i"), F.col("_m").alias("j"), F.array().cast("array<struct<a_page:int,b_page:int>>").alias("pairs"))
 
     def back(at: Column, _: Column) -> Column:
         """One move back from the last cell; at an edge nothing matches any more."""
-        inside = (at["i"] > 0) & (at["j"] > 0)
-        letter = F.when(inside, F.substring(F.try_element_at("_ways", F.greatest(at["i"], F.lit(1))), at["j"], F.lit(1)))
+        letter = F.when((at["i"] > 0) & (at["j"] > 0), F.substring(F.try_element_at("_ways", F.greatest(at["i"] + at["j"] - 1, F.lit(1))), at["i"] + 1, F.lit(1)))
         pair = F.array(F.struct((at["i"] - 1).alias("a_page"), (at["j"] - 1).alias("b_page")))
         return F.struct(
             F.when(letter.isin("d", "u"), at["i"] - 1).otherwise(at["i"]).alias("i"),
@@ -201,15 +239,24 @@ def page_align(similarities: DataFrame) -> DataFrame:
             F.when(letter == "d", F.concat(pair, at["pairs"])).otherwise(at["pairs"]).alias("pairs"),
         )
 
-    steps = F.sequence(F.lit(1), F.size("rows") + F.col("_m"))
-    traced = grid.withColumn("_pairs", F.aggregate(steps, here, back, lambda x: x["pairs"]))
-    # Pages of a pair are numbered from 0 without gaps, so a page is its place in the grid.
-    similarity = lambda p: F.element_at(F.element_at(F.col("rows"), p["a_page"] + 1)["sims"], p["b_page"] + 1)
+    traced = grid.withColumn("_pairs", F.aggregate(F.sequence(F.lit(1), F.col("_n") + F.col("_m")), here, back, lambda x: x["pairs"]))
+    similarity = lambda p: F.try_element_at(F.col("_sims"), p["a_page"] * most + p["b_page"])
     return traced.select("pair_id", F.inline(F.transform("_pairs", lambda p: F.struct(p["a_page"].alias("a_page"), p["b_page"].alias("b_page"), similarity(p).alias("similarity")))))
 
 
-def unmatched_pages(a: DataFrame, b: DataFrame, alignment: DataFrame) -> DataFrame:
-    """Pages without a partner: removed ones of A, inserted ones of B, each as a change of the whole page."""
+def align_summary(a: DataFrame, b: DataFrame, alignment: DataFrame, most: int = MOST_PAGES) -> DataFrame:
+    """Per pair: pages of each side, pages that match, pages of either side alone, and whether a side has more pages than are read."""
+    pages = a.select("pair_id", "page_no", F.lit("a").alias("side")).unionByName(b.select("pair_id", "page_no", F.lit("b").alias("side")))
+    n = lambda s: (F.coalesce(F.max(F.when(F.col("side") == s, F.col("page_no"))), F.lit(-1)) + 1).alias(f"pages_{s}")
+    sizes = pages.groupBy("pair_id").agg(n("a"), n("b"))
+    told = sizes.join(alignment.groupBy("pair_id").agg(F.count("*").alias("n")), "pair_id", "left").withColumn("matched", F.coalesce("n", F.lit(0)))
+    alone = lambda s: (F.least(F.col(f"pages_{s}"), F.lit(most)) - F.col("matched")).alias(f"only_{s}")
+    return told.select("pair_id", "pages_a", "pages_b", "matched", alone("a"), alone("b"), (F.greatest("pages_a", "pages_b") > most).alias("truncated"))
+
+
+def unmatched_pages(a: DataFrame, b: DataFrame, alignment: DataFrame, most: int = MOST_PAGES) -> DataFrame:
+    """Pages without a partner among those read: removed ones of A, inserted ones of B, each as a change of the whole page."""
+    a, b = first_pages(a, most), first_pages(b, most)
     gone = a.select("pair_id", F.col("page_no").alias("a_page")).join(alignment, ["pair_id", "a_page"], "left_anti").select("pair_id", F.lit("del").alias("kind"), F.col("a_page").alias("page_no"))
     new = b.select("pair_id", F.col("page_no").alias("b_page")).join(alignment, ["pair_id", "b_page"], "left_anti").select("pair_id", F.lit("ins").alias("kind"), F.col("b_page").alias("page_no"))
     return gone.unionByName(new)

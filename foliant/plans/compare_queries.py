@@ -63,7 +63,21 @@ def page_similarity(spark, d):
 
 
 def page_align(spark, d):
-    return c.page_align(c.page_similarity(*_pages(spark, d)))
+    return _aligned(*_pages(spark, d))
+
+
+def _aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    return c.page_align(a, b, c.page_similarity(a, b, above=2 * c.GAP))
+
+
+def page_align_summary(spark, d):
+    a, b = _pages(spark, d)
+    return c.align_summary(a, b, _aligned(a, b))
+
+
+def page_similarity_pruned(spark, d):
+    """The pairs of pages that can match, of all that there are."""
+    return c.page_similarity(*_pages(spark, d), above=2 * c.GAP)
 
 
 def unmatched_pages(spark, d):
@@ -75,7 +89,7 @@ def unmatched_pages(spark, d):
 
 def unmatched_pages_aligned(spark, d):
     a, b = _pages(spark, d)
-    return c.unmatched_pages(a, b, c.page_align(c.page_similarity(a, b)))
+    return c.unmatched_pages(a, b, _aligned(a, b))
 
 
 _PAIRS = """pairs AS (SELECT doc_id AS pair_id, a_doc, doc_id AS b_doc FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY string_split(text, chr(10))[1] ORDER BY doc_id) AS a_doc FROM documents) WHERE a_doc IS NOT NULL)"""
@@ -114,6 +128,23 @@ prints AS (SELECT doc_id, page_no, array_to_string([CASE WHEN coalesce(length(w[
 _SIM = f"""{_PRINTS}, {_PAIRS}, sims AS (SELECT pair_id, a.page_no AS a_page, b.page_no AS b_page,
  (1 - len([1 FOR i IN range(1, 17) IF a.bits[i] <> b.bits[i]]) / 16) * CASE WHEN a.height <> b.height THEN CAST(0.6 AS DOUBLE) ELSE 1 END AS alike,
  len(list_intersect(a.words, b.words)) AS common_n, len(list_distinct(list_concat(a.words, b.words))) AS every FROM pairs JOIN prints a ON a.doc_id = a_doc JOIN prints b ON b.doc_id = b_doc)"""
+_EVERY = "CASE WHEN every > 0 THEN CAST(0.7 AS DOUBLE) * alike + CAST(0.3 AS DOUBLE) * (common_n / greatest(every, 1)) ELSE alike END"
+#: The grid of each pair by anti-diagonals, as a recursion over them, and the way back as another.
+_ALIGN = _SIM.replace("WITH ", "").replace("w AS (SELECT", "w AS MATERIALIZED (SELECT", 1) + f""",
+ scored AS MATERIALIZED (SELECT pair_id, a_page, b_page, {_EVERY} AS s FROM sims),
+ size AS MATERIALIZED (SELECT pair_id, max(a_page) + 1 AS n, max(b_page) + 1 AS m FROM scored GROUP BY 1),
+ sim AS MATERIALIZED (SELECT pair_id, map_from_entries(list((a_page * 10000 + b_page, s))) AS s FROM scored GROUP BY 1),
+ g(pair_id, d, before, last, ways) AS (SELECT pair_id, CAST(1 AS BIGINT), [CAST(0 AS DOUBLE) FOR i IN range(0, n + 1)], [CAST(0.25 AS DOUBLE) FOR i IN range(0, n + 1)], CAST([] AS VARCHAR[]) FROM size
+   UNION ALL SELECT pair_id, d, last, [x.best FOR x IN cells], [x.way FOR x IN cells] FROM (
+     SELECT g.pair_id, g.d + 1 AS d, g.last, [CASE WHEN i = 0 OR i = g.d + 1 THEN {{'best': (g.d + 1) * CAST(0.25 AS DOUBLE), 'way': '-'}} WHEN i > g.d + 1 OR g.d + 1 - i > m THEN {{'best': CAST(0 AS DOUBLE), 'way': '-'}}
+       ELSE {{'best': greatest(g.before[i] + sim.s[(i - 1) * 10000 + g.d - i], g.last[i] + 0.25, g.last[i + 1] + 0.25),
+         'way': CASE WHEN g.before[i] + sim.s[(i - 1) * 10000 + g.d - i] >= greatest(g.last[i], g.last[i + 1]) + 0.25 THEN 'd' WHEN g.last[i] >= g.last[i + 1] THEN 'u' ELSE 'l' END}} END FOR i IN range(0, n + 1)] AS cells
+     FROM g JOIN size USING (pair_id) JOIN sim USING (pair_id) WHERE g.d < n + m)),
+ grid AS MATERIALIZED (SELECT pair_id, d, ways FROM g),
+ t(pair_id, i, j, way) AS (SELECT size.pair_id, n, m, ways[n + 1] FROM size JOIN grid ON grid.pair_id = size.pair_id AND d = n + m
+   UNION ALL SELECT t.pair_id, t.i - CAST(t.way <> 'l' AS INTEGER), t.j - CAST(t.way <> 'u' AS INTEGER), coalesce(ways[t.i - CAST(t.way <> 'l' AS INTEGER) + 1], '-')
+   FROM t LEFT JOIN grid ON grid.pair_id = t.pair_id AND grid.d = t.i + t.j - 1 - CAST(t.way = 'd' AS INTEGER) WHERE t.way <> '-'),
+ aligned AS (SELECT t.pair_id, i - 1 AS a_page, j - 1 AS b_page, s AS similarity FROM t JOIN scored ON scored.pair_id = t.pair_id AND a_page = i - 1 AND b_page = j - 1 WHERE way = 'd')"""
 QUERIES = {
     "word_diff": (word_diff, f"WITH {_DIFF} SELECT * FROM matches"),
     "diff_changes": (diff_changes, f"WITH {_CHANGES} SELECT * FROM changes"),
@@ -139,10 +170,20 @@ QUERIES = {
     "page_fingerprint": (page_fingerprint, f"WITH {_PRINTS} SELECT doc_id, page_no, bits, len(words) AS n_words, height FROM prints"),
     "page_similarity": (
         page_similarity,
-        f"WITH {_SIM} SELECT pair_id, a_page, b_page, CASE WHEN every > 0 THEN CAST(0.7 AS DOUBLE) * alike + CAST(0.3 AS DOUBLE) * (common_n / greatest(every, 1)) ELSE alike END AS similarity FROM sims",
+        f"WITH {_SIM} SELECT pair_id, a_page, b_page, {_EVERY} AS similarity FROM sims WHERE a_page < 400 AND b_page < 400",
+    ),
+    "page_similarity_pruned": (page_similarity_pruned, f"WITH {_SIM} SELECT * FROM (SELECT pair_id, a_page, b_page, {_EVERY} AS similarity FROM sims WHERE a_page < 400 AND b_page < 400) WHERE similarity > 0.5"),
+    "page_align": (page_align, f"WITH RECURSIVE {_ALIGN} SELECT * FROM aligned"),
+    "page_align_summary": (
+        page_align_summary,
+        f"""WITH RECURSIVE {_ALIGN}, k AS (SELECT pair_id, count(*) AS k FROM aligned GROUP BY 1)
+        SELECT pair_id, n AS pages_a, m AS pages_b, coalesce(k, 0) AS matched, n - coalesce(k, 0) AS only_a, m - coalesce(k, 0) AS only_b, greatest(n, m) > 400 AS truncated FROM size LEFT JOIN k USING (pair_id)""",
+    ),
+    "unmatched_pages_aligned": (
+        unmatched_pages_aligned,
+        f"""WITH RECURSIVE {_ALIGN} SELECT pair_id, 'del' AS kind, page_no FROM pairs JOIN prints ON doc_id = a_doc WHERE (pair_id, page_no) NOT IN (SELECT (pair_id, a_page) FROM aligned)
+        UNION ALL SELECT pair_id, 'ins', page_no FROM pairs JOIN prints ON doc_id = b_doc WHERE (pair_id, page_no) NOT IN (SELECT (pair_id, b_page) FROM aligned)""",
     ),
-    "page_align": (page_align, None),
-    "unmatched_pages_aligned": (unmatched_pages_aligned, None),
     "unmatched_pages": (
         unmatched_pages,
         f"""WITH {_PRINTS}, {_PAIRS}, same AS (SELECT pair_id, a.page_no AS p FROM pairs JOIN prints a ON a.doc_id = a_doc JOIN prints b ON b.doc_id = b_doc AND a.page_no = b.page_no AND a.bits = b.bits)
