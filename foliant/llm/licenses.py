@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Names of the full texts, as published, one file each.
-FULL_TEXTS = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+FULL_TEXTS = ("Apache-2.0", "AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
 #: Licence ids with their texts or customary notices.
 TEMPLATES = (
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
@@ -47,7 +47,9 @@ TEMPLATES = (
     ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
@@ -58,22 +60,17 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("Proprietary", "All rights reserved."),
 )
-#: Fixed value: the section of the Affero licence that has no like in the licence it is made from.
-AFFERO_SECTION = """Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph. Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work. The terms of this License will continue to apply to the part which is the covered work, but the work with which it is combined will remain governed by version 3 of the GNU General Public License."""
+#: What stands before "general" in the name of a licence of that family.
+FAMILY = ("gnu", "affero", "lesser", "library")
 _TOKEN = re.compile(r"[^\W_]+")
 _NOTICE = re.compile(r"^[^\w\n(©]*(?:copyright|\(c\)|©).*$", re.IGNORECASE | re.MULTILINE)
 _PARAGRAPH = re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")
 
 
 def every_template() -> tuple[tuple[str, str], ...]:
-    """The listed templates and the full texts. That of the Affero licence is the terms of GPL-3.0 under its own name, with its own section 13."""
+    """The listed templates and the full texts as they are published."""
     folder = Path(__file__).parent / "licence_texts"
-    full = {name: (folder / f"{name}.txt").read_text(encoding="utf-8") for name in FULL_TEXTS}
-    terms = full["GPL-3.0"][full["GPL-3.0"].index("TERMS AND CONDITIONS") :]
-    terms = terms[: terms.index("END OF TERMS")]
-    section = slice(terms.index("13. Use with"), terms.index("14. Revised"))
-    kept = [part.replace("GNU General Public License", "GNU Affero General Public License") for part in (terms[: section.start], terms[section.stop :])]
-    return (*TEMPLATES, *full.items(), ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 {kept[0]} 13. {AFFERO_SECTION} {kept[1]}"))
+    return (*TEMPLATES, *((name, (folder / f"{name}.txt").read_text(encoding="utf-8")) for name in FULL_TEXTS))
 
 
 def _words(text: str) -> list[str]:
@@ -94,22 +91,28 @@ def spans(text: str) -> list[tuple[int, int]]:
     return [(at[m.start()], at[m.end() - 1] + 1) for m in _TOKEN.finditer(lowered)]
 
 
+FAMILIES = frozenset((w, "general") for w in FAMILY)
+
+
 def bigrams(words: list[str]) -> frozenset[tuple[str, str]]:
     return frozenset(zip(words, words[1:], strict=False))
 
 
 class Templates:
-    #: A notice has fewer bigrams than this; its version must agree.
+    #: A notice has fewer bigrams than this; its version and its family must agree.
     NOTICE = 60
-    #: A template of fewer bigrams counts only in a text that no other fits.
+    #: A template of fewer bigrams counts only in a text that no other fits, and as a line of its own or behind a copyright mark.
     WEAK = 3
+    #: Of a run that is near enough already, the best one's coefficient is told within this.
+    CLOSE = 0.005
 
     def __init__(self, templates: tuple[tuple[str, str], ...], least: float):
         self.least = least
         self.sets = [(name, bigrams(normalise(text))) for name, text in templates]
         self.sets = [x for x in self.sets if x[1]]
-        # The words before and in a version.
+        # The words before and in a version, and those that tell the family.
         self.version = [{g for g in s if g[1].isdigit()} if len(s) < self.NOTICE else set() for _, s in self.sets]
+        self.family = [s & FAMILIES if len(s) < self.NOTICE else None for _, s in self.sets]
         self.of: dict[tuple[str, str], list[int]] = {}
         for i, (_, s) in enumerate(self.sets):
             for g in s:
@@ -120,6 +123,10 @@ class Templates:
         self.ratio = ratio
         self.grams = frozenset(self.of)
 
+    def agrees(self, i: int, own: frozenset | set) -> bool:
+        """Whether a notice's version and family are those of the bigrams found; a full text may name other licences."""
+        return self.version[i] <= own and (self.family[i] is None or self.family[i] == own & FAMILIES)
+
     def runs(self, text: str) -> Iterator[tuple[int, float, int, int]]:
         """The best run of words for each template that has one: template, coefficient, start and end."""
         words = _words(text)
@@ -134,7 +141,7 @@ class Templates:
             own = np.zeros(len(number), bool)
             own[[number[g] for g in self.sets[i][1] if g in number]] = True
             dice, a, b = self.best_run(ids, own, len(self.sets[i][1]))
-            if dice >= self.least and self.version[i] <= set(zip(words[a : b + 1], words[a + 1 : b + 2], strict=False)):
+            if dice >= self.least and self.agrees(i, set(zip(words[a : b + 1], words[a + 1 : b + 2], strict=False))):
                 yield i, dice, at[a][0], at[b + 1][1]
 
     def best_run(self, ids: np.ndarray, own: np.ndarray, size: int) -> tuple[float, int, int]:
@@ -145,6 +152,17 @@ class Templates:
         so no such run is tried. The smaller set has at least ``ratio`` of the
         larger one's size, and a run has no more bigrams than that allows. A
         run has no more of the template than there is behind its start.
+
+        Nor are starts tried that can be no better. A run from k bigrams
+        further on has at most k fewer in all and no more of the template, so
+        its coefficient is at most 1 + k / size times that of the run from here
+        to the same end. If that one has more bigrams than are allowed, it has
+        at most k more of the template than the longest that was tried; if it
+        ends behind all that were tried, it has at most k fewer bigrams than
+        the longest, and no more of the template than there is. So steps grow
+        with the distance from a good start. Once a run is near enough, others are
+        sought only if they are nearer by ``CLOSE``, which matters for texts
+        that repeat a long template many times; for notices that is no bigram.
         """
         n = len(ids)
         order = np.argsort(ids, kind="stable")
@@ -156,22 +174,33 @@ class Templates:
         ahead = np.cumsum((mine & (after == n))[::-1])[::-1]
         best, first, last = 0.0, 0, 0
         most = size / self.ratio + 1e-9
-        for a in np.flatnonzero(mine):
+        starts, at = np.flatnonzero(mine), 0
+        while at < len(starts):
+            a = starts[at]
             if 2 * ahead[a] / (ahead[a] + size) <= best:
                 break
             end, width = int(after[a]), int(2 * most) + 64
             while True:
-                stop = min(end, a + width)
+                stop = min(n, a + width)
                 fresh = before[a:stop] < a
                 seen = np.cumsum(fresh)
-                if stop == end or seen[-1] > most:
+                if stop >= end or seen[-1] > most:
                     break
                 width *= 2
             held = np.cumsum(fresh & mine[a:stop])
             dice = np.where(fresh & mine[a:stop] & (seen <= most), 2 * held / (seen + size), 0.0)
-            b = int(dice.argmax())
+            b = int(dice[: end - a].argmax())
             if dice[b] > best:
                 best, first, last = float(dice[b]), int(a), int(a) + b
+            # Below the least a run is not told, so nothing below it is sought either.
+            target = best + self.CLOSE if best >= self.least else self.least
+            counted = int(np.searchsorted(seen, most, "right")) - 1
+            k = size * (target / max(float(dice.max()), 1e-9) - 1)
+            if counted < len(seen) - 1:
+                k = min(k, (target * (most + size) - 2 * held[counted]) / (2 + target))
+            elif stop < n:
+                k = min(k, seen[-1] + size - 2 * ahead[a] / target)
+            at = max(at + 1, int(np.searchsorted(starts, a + int(max(0.0, k - 1e-6)), "right")))
         held = set(ids[first : last + 1][mine[first : last + 1]].tolist())  # more of these leave the coefficient as it is
         while last + 1 < n and int(ids[last + 1]) in held:
             last += 1
@@ -187,7 +216,7 @@ class Templates:
             return None
         shared = Counter(i for g in own & self.of.keys() for i in self.of[g])
         some = ((k, i, len(self.sets[i][1])) for i, k in shared.items())
-        got = [(2 * k / (n + m), -i) for k, i, m in some if self.ratio * max(n, m) <= min(n, m) + 1e-9 and self.version[i] <= own]
+        got = [(2 * k / (n + m), -i) for k, i, m in some if self.ratio * max(n, m) <= min(n, m) + 1e-9 and self.agrees(i, own)]
         top = max(got, default=(0.0, 0))
         return (-top[1], top[0]) if top[0] >= self.least else None
 
@@ -206,9 +235,15 @@ class Templates:
             hits[k] = min(hits.get(k, (0.0, 9, 0, 0, "")), (-dice, width["run"], i, j, "run"))
         out: dict[str, tuple[str, float, str, int, int]] = {}
         taken: list[tuple[int, int]] = []
+
+        def alone(i: int, j: int) -> bool:
+            """Nothing but a copyright mark and its holder in front on the line, and nothing behind."""
+            before, behind = text[text.rfind("\n", 0, i) + 1 : i], text[j : (text.find("\n", j) + 1 or len(text) + 1) - 1]
+            return not _TOKEN.search(behind) and (not _TOKEN.search(before) or bool(_NOTICE.match(before)))
+
         weak = lambda k: len(self.sets[k][1]) < self.WEAK
         for k, (dice, _, i, j, unit) in sorted(hits.items(), key=lambda h: (weak(h[0]), h[1][0], -len(self.sets[h[0]][1]), h[1][1:], h[0])):
-            if (weak(k) and out) or any(i < b and a < j for a, b in taken):
+            if (weak(k) and (out or not alone(i, j))) or any(i < b and a < j for a, b in taken):
                 continue
             taken.append((i, j))
             name = self.sets[k][0]
