@@ -153,21 +153,21 @@ def first_pages(pages: DataFrame, most: int = MOST_PAGES) -> DataFrame:
     return pages.where(F.col("page_no") < most)
 
 
-def page_similarity(a: DataFrame, b: DataFrame, above: float | None = None, most: int = MOST_PAGES) -> DataFrame:
+def page_similarity(a: DataFrame, b: DataFrame, least: float | None = None, most: int = MOST_PAGES) -> DataFrame:
     """Similarity of the first ``most`` pages of a pair's sides: ``(pair_id, a_page, b_page, similarity)``.
 
     Fingerprints agree by bits, less by 0.4 of that if the sizes differ; where
     either page has words, their Jaccard similarity weighs 0.3.
 
-    With ``above``, only pairs of pages that are more alike come out. Bits,
+    With ``least``, only pairs of pages that are so much alike come out. Bits,
     sizes and the numbers of words bound the similarity, since a Jaccard
     similarity is at most the smaller number over the larger; the join drops
     what stays below by these alone, so that words are compared for the rest.
     """
-    return page_candidates(a, b, above, most).where(F.lit(True) if above is None else F.col("similarity") > above)
+    return page_candidates(a, b, least, most).where(F.lit(True) if least is None else F.col("similarity") >= least)
 
 
-def page_candidates(a: DataFrame, b: DataFrame, above: float | None = None, most: int = MOST_PAGES) -> DataFrame:
+def page_candidates(a: DataFrame, b: DataFrame, least: float | None = None, most: int = MOST_PAGES) -> DataFrame:
     """The pairs of pages whose words ``page_similarity`` compares, with their similarities."""
 
     def side(pages: DataFrame, s: str) -> DataFrame:
@@ -181,7 +181,7 @@ def page_candidates(a: DataFrame, b: DataFrame, above: float | None = None, most
     at_most = told(F.least("an", "bn") / F.greatest("an", "bn", F.lit(1)))
     # The bound is rounded like the similarity, whose last digit may differ.
     x, y = side(a, "a"), side(b, "b")
-    near = x["pair_id"] == y["pair_id"] if above is None else (x["pair_id"] == y["pair_id"]) & (at_most > above - 1e-9)
+    near = x["pair_id"] == y["pair_id"] if least is None else (x["pair_id"] == y["pair_id"]) & (at_most >= least - 1e-9)
     jaccard = F.size(F.array_intersect("aw", "bw")) / F.greatest(F.size(F.array_union("aw", "bw")), F.lit(1))
     return x.join(y, near).select(x["pair_id"], "a_page", "b_page", told(jaccard).alias("similarity"))
 
@@ -190,7 +190,7 @@ def page_align(a: DataFrame, b: DataFrame, similarities: DataFrame, most: int =
     """Monotone alignment of each pair's pages with the best total: ``(pair_id, a_page, b_page, similarity)``.
 
     ``a`` and ``b`` have the pages of the sides; ``similarities`` those pairs
-    of pages that are more than 0.5 alike, others may be left out. An unmatched
+    of pages that are 0.5 alike at least, others may be left out. An unmatched
     page scores 0.25, so no others match; of equal moves a match wins, then
     skipping a page of A.
 
@@ -203,7 +203,7 @@ def page_align(a: DataFrame, b: DataFrame, similarities: DataFrame, most: int =
     sizes = extent(a, "_n").join(extent(b, "_m"), "pair_id")
     cells = F.map_from_entries(F.collect_list(F.struct((F.col("a_page") * most + F.col("b_page")).alias("k"), "similarity"))).alias("_sims")
     own = first_pages(similarities.withColumnRenamed("a_page", "page_no"), most).withColumnRenamed("page_no", "a_page").where(F.col("b_page") < most)
-    grid = sizes.join(own.where(F.col("similarity") > 2 * GAP).groupBy("pair_id").agg(cells), "pair_id")
+    grid = sizes.join(own.where(F.col("similarity") >= 2 * GAP).groupBy("pair_id").agg(cells), "pair_id")
     numbers = "array<double>"
 
     def diagonal(state: Column, d: Column) -> Column:

@@ -78,20 +78,38 @@ def field_fill_rate(records: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def recon_select(pages: DataFrame, close: int = 5) -> DataFrame:
-    """Pages to read closely: all of a short document; else relevant ones or such as hold something wanted; else the first."""
+    """Pages to read closely: all of a short document; else relevant ones or such as hold something wanted; else the first.
+
+    Where a page has ``failed`` set, if there is such a column, its document was
+    not looked through, and all its pages are read.
+    """
     doc = Window.partitionBy("doc_id")
     wanted = F.col("relevance").isin("high", "medium") | F.arrays_overlap("contains", F.array(*map(F.lit, WANTED)))
-    marked = pages.withColumn("_w", F.coalesce(wanted, F.lit(False))).withColumn("_n", F.count("*").over(doc)).withColumn("_any", F.bool_or("_w").over(doc)).withColumn("_first", F.min("page_no").over(doc))
-    chosen = (F.col("_n") <= close) | F.col("_w") | (~F.col("_any") & (F.col("page_no") == F.col("_first")))
+    failed = F.coalesce("failed", F.lit(False)) if "failed" in pages.columns else F.lit(False)
+    marked = pages.withColumn("_w", F.coalesce(wanted, F.lit(False))).withColumn("_n", F.count("*").over(doc)).withColumn("_any", F.bool_or("_w").over(doc)).withColumn("_first", F.min("page_no").over(doc)).withColumn("_lost", F.bool_or(failed).over(doc))
+    chosen = (F.col("_n") <= close) | F.col("_w") | F.col("_lost") | (~F.col("_any") & (F.col("page_no") == F.col("_first")))
     return marked.where(chosen).select("doc_id", "page_no")
 
 
+def _variant(answer: str) -> Column:
+    """The JSON of an answer that may stand in a code fence; null if it is none."""
+    return F.try_parse_json(_unfenced(answer))
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit(kind))
+
+
 def parse_responses(raw: DataFrame, schema: str) -> DataFrame:
-    """Parse JSON answers ``(id, answer)`` that may stand in code fences; ``failed`` where they are no JSON object."""
-    bare = _unfenced("answer")
-    parsed = F.from_json(bare, schema, {"mode": "PERMISSIVE"})
-    ok = F.json_object_keys(bare).isNotNull()
-    return raw.select("id", F.when(ok, parsed).alias("result"), (~F.coalesce(ok, F.lit(False))).alias("failed"))
+    """Parse JSON answers ``(id, answer)`` that may stand in code fences; ``failed`` where they are no JSON object.
+
+    Each answer is parsed once, into a variant, from which the fields of
+    ``schema`` are taken; one that is missing or of another kind is null. JSON
+    that names a key twice is none.
+    """
+    v = F.col("_v")
+    ok = F.coalesce(_is(v, "OBJECT"), F.lit(False))
+    return raw.select("id", _variant("answer").alias("_v")).select("id", F.when(ok, F.try_variant_get(v, "$", f"struct<{schema}>")).alias("result"), (~ok).alias("failed"))
 
 
 def _unfenced(answer: str) -> Column:
@@ -102,14 +120,17 @@ def parse_lists(raw: DataFrame) -> DataFrame:
     """Entries ``(id, i, t)`` of JSON answers that list texts by index, and ``failed`` rows for answers without any.
 
     An answer is an array or an object whose first array counts; entries
-    without an index are ignored, and of entries with one index the last counts.
+    without an index are ignored, and of entries with one index the last
+    counts. An answer is parsed once, into a variant; the order of an object's
+    keys, which a variant does not keep, comes from its text.
     """
-    own = raw.select("id", _unfenced("answer").alias("_a"))
-    member = lambda k: F.call_function("get_json_object", F.col("_a"), F.concat(F.lit("$['"), k, F.lit("']")))
-    lists = F.filter(F.transform(F.json_object_keys("_a"), member), lambda v: F.startswith(F.ltrim(v), F.lit("[")))
-    text = F.when(F.startswith(F.ltrim("_a"), F.lit("[")), F.col("_a")).otherwise(F.try_element_at(lists, F.lit(1)))
-    listed = F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
-    pairs = F.transform(listed, lambda e: F.struct(F.get_json_object(e, "$.i").try_cast("int").alias("i"), F.coalesce(F.get_json_object(e, "$.t"), F.lit("")).alias("t")))
+    v = F.col("_v")
+    own = raw.select("id", _variant("answer").alias("_v"), _unfenced("answer").alias("_a"))
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    keyed = F.filter(F.transform(F.json_object_keys("_a"), lambda k: F.try_element_at(members, k)), lambda x: _is(x, "ARRAY"))
+    listed = F.when(_is(v, "ARRAY"), v).when(_is(v, "OBJECT"), F.try_element_at(keyed, F.lit(1)))
+    entries = F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array().cast("array<variant>"))
+    pairs = F.transform(entries, lambda e: F.struct(F.try_variant_get(e, "$.i", "int").alias("i"), F.coalesce(F.try_variant_get(e, "$.t", "string"), F.lit("")).alias("t")))
     kept = own.select("id", F.filter(pairs, lambda p: p["i"].isNotNull()).alias("p"))
     rows = kept.select("id", F.posexplode("p").alias("place", "e")).groupBy("id", F.col("e.i").alias("i")).agg(F.max_by("e.t", "place").alias("t"))
     none = kept.where(F.size("p") == 0).select("id", F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("t"))

@@ -11,9 +11,15 @@ SENSITIVITY = {"low": 60, "normal": 25, "high": 8}
 
 
 def normalise_boxes(spans: DataFrame) -> DataFrame:
-    """Repair spans whose top edge sits on the baseline; ``spans`` has ``origin_y``, ``asc`` and ``desc`` too."""
+    """Repair spans whose top edge sits on the baseline; ``spans`` has ``origin_y``, ``asc`` and ``desc`` too.
+
+    Only spans of lines that run from left to right are repaired: ``dir_x`` and
+    ``dir_y`` tell the direction; without them, or where they are null, it is that one.
+    """
     oy, size = F.col("origin_y"), F.col("size")
-    broken = (oy - F.col("y0") < 0.25 * size) & (F.col("y1") - F.col("y0") >= 0.5 * size)
+    way = lambda c, usual: F.coalesce(c, F.lit(usual)) if c in spans.columns else F.lit(usual)
+    level = (F.abs(way("dir_y", 0.0)) <= 1e-3) & (way("dir_x", 1.0) > 0)
+    broken = level & (oy - F.col("y0") < 0.25 * size) & (F.col("y1") - F.col("y0") >= 0.5 * size)
     top, bottom = oy - F.greatest("asc", F.lit(0.9)) * size, oy - F.least("desc", F.lit(-0.25)) * size
     marked = spans.withColumn("touched", broken)
     return marked.withColumn("y0", F.when(F.col("touched"), top).otherwise(F.col("y0"))).withColumn("y1", F.when(F.col("touched"), bottom).otherwise(F.col("y1")))
@@ -52,9 +58,9 @@ def prose_outside_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return blocks.alias("b").join(tables.alias("t"), inside, "left_anti")
 
 
-def split_runs(spans: DataFrame, gap: float = 2.0) -> DataFrame:
+def split_runs(spans: DataFrame, gap: float = 2.0, keys: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
     """Add ``run_no`` within a line: a new run begins where the gap to the span before exceeds ``gap`` sizes."""
-    line = Window.partitionBy("doc_id", "line_no").orderBy("x0", "span_no")
+    line = Window.partitionBy(*keys).orderBy("x0", "span_no")
     opens = F.coalesce(F.col("x0") - F.lag("x1").over(line) > gap * F.greatest("size", F.lit(1.0)), F.lit(False))
     return spans.withColumn("_o", opens.cast("int")).withColumn("run_no", F.sum("_o").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_o")
 
@@ -81,25 +87,66 @@ def cell_align(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("tx0", x0).withColumn("tx1", x1)
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _style(order: Column) -> list[Column]:
+    """The style of the first visible span in an order."""
+    first = F.min_by(F.struct("font", "size", "color", "flags"), F.when(F.col("host"), order))
+    return [first.alias("_s")]
+
+
+def _told(blocks: DataFrame, *columns: str) -> DataFrame:
+    flag = lambda n, name: (F.col("_s.flags").bitwiseAND(n) != 0).alias(name)
+    return blocks.select(*columns, *(F.col(f"_s.{c}").alias(c) for c in ("font", "size", "color")), flag(16, "bold"), flag(2, "italic"))
+
+
 def text_blocks(spans: DataFrame) -> DataFrame:
     """One row per block (page): its lines stripped and joined, its box, and the style of the first visible span."""
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    style = F.min_by(F.struct("size", "flags"), F.when(F.col("host"), F.struct("line_no", "span_no")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "span_text"))), lambda x: x["span_text"]), "")
-    per_line = spans.groupBy("doc_id", "page_no", "line_no").agg(strip(text).alias("t"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    box = lambda: [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    # A line's first style goes along, so that spans are read and shuffled once.
+    per_line = spans.groupBy("doc_id", "page_no", "line_no").agg(_stripped(text).alias("t"), F.bool_or("host").alias("host"), *_style(F.col("span_no")), *box())
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("line_no", "t")))), lambda x: x["t"]), " ")
-    styles = spans.groupBy("doc_id", "page_no").agg(style.alias("s"))
-    blocks = per_line.groupBy("doc_id", "page_no").agg(lines.alias("block_text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).where("block_text <> ''")
-    return blocks.join(styles, ["doc_id", "page_no"]).select("doc_id", "page_no", "block_text", "x0", "y0", "x1", "y1", F.col("s.size").alias("size"), (F.col("s.flags").bitwiseAND(16) != 0).alias("bold"), (F.col("s.flags").bitwiseAND(2) != 0).alias("italic"))
+    first = F.min_by("_s", F.when(F.col("host"), F.col("line_no"))).alias("_s")
+    blocks = per_line.groupBy("doc_id", "page_no").agg(lines.alias("block_text"), first, *box()).where("block_text <> ''")
+    return _told(blocks, "doc_id", "page_no", "block_text", "x0", "y0", "x1", "y1")
 
 
-def visual_lines(spans: DataFrame) -> DataFrame:
+def cell_blocks(assigned: DataFrame, cells: DataFrame) -> DataFrame:
+    """Blocks of the pages that fall into cells: one a cell, or one a run where a cell has a single row.
+
+    ``assigned`` as ``cell_assign`` gives it. A page is split only if every
+    visible span lies in a cell. In a cell of several rows the gaps are line
+    breaks, so it is one block; a single row falls into runs, and the cell is
+    cut at the middle of the gaps between them. A block has its spans' texts,
+    stripped, with blanks between, a box that is tight around them, the first
+    span's style, and where it may be set: its part of the cell, by alignment.
+    """
+    page, cell = ["doc_id", "page_no"], ["doc_id", "page_no", "cell_no"]
+    inside = F.bool_and(F.when(F.col("host"), F.col("cell_no") >= 0)).over(Window.partitionBy(*page))
+    seen = assigned.withColumn("_ok", inside).where(F.col("_ok") & F.col("host")).drop("_ok")
+    rows = visual_lines(seen, tuple(cell)).withColumn("_rows", F.max("row_no").over(Window.partitionBy(*cell))).drop("row_no")
+    runs = split_runs(seen.join(rows, [*cell, "line_no", "span_no"]), keys=tuple(cell))
+    single = F.col("_rows") == 0
+    order = F.struct(F.when(single, F.col("x0")).otherwise(F.lit(0.0)).alias("x"), "line_no", "span_no")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), _stripped(F.col("span_text")).alias("t")))), lambda x: x["t"]), " ")
+    box = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    blocks = runs.withColumn("run_no", F.when(single, F.col("run_no")).otherwise(F.lit(0))).groupBy(*cell, "run_no").agg(text.alias("block_text"), *_style(order), *box)
+    of = cells.select(*cell, *(F.col(c).alias(f"_{c}") for c in ("x0", "x1")))
+    line = Window.partitionBy(*cell).orderBy("run_no")
+    placed = blocks.join(of, cell).withColumn("cx0", F.coalesce((F.lag("x1").over(line) + F.col("x0")) / 2, "_x0")).withColumn("cx1", F.coalesce((F.col("x1") + F.lead("x0").over(line)) / 2, "_x1"))
+    return _told(cell_align(placed), *cell, "run_no", "block_text", "x0", "y0", "x1", "y1", "align", "tx0", "tx1")
+
+
+def visual_lines(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:
     """Rows of spans per page: a span joins the first row whose first span is within 0.6 of its size, else opens one.
 
-    A fold over the spans of one page, which are few; returns ``row_no`` per span.
+    A fold over the spans of one page (or of the given keys), which are few; returns ``row_no`` per span.
     """
     item = F.struct("y0", "x0", "line_no", "span_no", "size")
-    pages = spans.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    pages = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(F.array().cast("array<double>").alias("anchors"), F.array().cast("array<struct<line_no:int,span_no:int,row_no:int>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -110,8 +157,8 @@ def visual_lines(spans: DataFrame) -> DataFrame:
         placed = F.struct(s["line_no"].cast("int").alias("line_no"), s["span_no"].cast("int").alias("span_no"), row.cast("int").alias("row_no"))
         return F.struct(anchors.alias("anchors"), F.concat(acc["out"], F.array(placed)).alias("out"))
 
-    folded = pages.select("doc_id", "page_no", F.aggregate("items", start, step)["out"].alias("out"))
-    return folded.select("doc_id", "page_no", F.inline("out"))
+    folded = pages.select(*keys, F.aggregate("items", start, step)["out"].alias("out"))
+    return folded.select(*keys, F.inline("out"))
 
 
 def table_rectangularise(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value. Characters that a Latin-script text does not hold: C1, Cyrillic, Greek, private use, the replacement character, stray controls.
@@ -108,15 +108,41 @@ def unmask_corpus(masked: DataFrame) -> DataFrame:
     return masked.select("doc_id", unmask_terms(F.col("masked"), F.col("terms")).alias("text"))
 
 
-def phrasebook_apply(blocks: DataFrame, book: DataFrame) -> DataFrame:
+def heavy_shares(rows: DataFrame, key: Column, least: float = 0.002, tracked: int = 4096) -> dict[int, float]:
+    """Hashes of the keys that about ``least`` of the rows or more hold, with their shares.
+
+    A sketch of ``tracked`` counters finds them in one pass without a shuffle of
+    keys. It misses none whose share is above 1 / (0.75 * tracked), far below
+    ``least``, so there are at most 1 / least of them, whatever the table.
+    """
+    most = int(1 / least)
+    found = rows.select(F.xxhash64(key).alias("_h")).agg(F.expr(f"approx_top_k(_h, {most}, {tracked})").alias("top"), F.count("*").alias("n")).first()
+    return {t["item"]: t["count"] / found["n"] for t in found["top"] or [] if t["count"] >= least * found["n"]}
+
+
+def phrasebook_apply(blocks: DataFrame, book: DataFrame, pieces: int = 1024) -> DataFrame:
     """Translate whole blocks by a book of ``(source, target)``, terms masked on both sides.
 
     ``blocks (doc_id, page_no, block_no, text)`` gain ``translated`` and
-    ``done``; a missing, equal or empty entry leaves the block as it is.
+    ``done``; a missing, equal or empty entry leaves the block as it is. Of
+    entries with one mask the one whose source is smallest, then whose target
+    is, counts.
+
+    Blocks meet entries by mask. A mask that very many blocks have is dealt
+    into a share of ``pieces`` as large as its share of the blocks, and its
+    entry is sent to each of them, so no task gets more than a few thousandths
+    of the blocks.
     """
     masked, terms = mask_terms(F.col("text"))
-    entries = book.select(mask_terms(F.col("source"))[0].alias("_m"), mask_terms(F.col("target"))[0].alias("_t")).dropDuplicates(["_m"])
-    j = blocks.withColumn("_m", masked).withColumn("_terms", terms).join(entries, "_m", "left")
+    own = blocks.withColumn("_m", masked).withColumn("_terms", terms)
+    entries = book.where("source is not null").select(mask_terms(F.col("source"))[0].alias("_m"), F.struct("source", mask_terms(F.col("target"))[0].alias("t")).alias("e")).groupBy("_m").agg(F.min("e").alias("e"))
+    entries = entries.select("_m", F.col("e.t").alias("_t"))
+    heavy = heavy_shares(own, F.col("_m"))
+    parts = {h: max(2, round(share * pieces)) for h, share in heavy.items()}
+    many = F.coalesce(F.create_map(*(F.lit(x) for h, n in parts.items() for x in (h, n)))[F.xxhash64("_m")], F.lit(1)) if parts else F.lit(1)
+    own = own.withColumn("_part", F.pmod(F.xxhash64("doc_id", "block_no"), many).cast("int"))
+    entries = entries.withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1)))
+    j = own.join(entries, ["_m", "_part"], "left")
     new = unmask_terms(F.col("_t"), F.col("_terms"))
     ok = F.col("_t").isNotNull() & (new != F.col("text")) & new.rlike(r"\S")
     return j.select("doc_id", "page_no", "block_no", F.when(ok, new).otherwise(F.col("text")).alias("translated"), F.coalesce(ok, F.lit(False)).alias("done"), F.col("_t").isNull().alias("missing"))
@@ -154,7 +180,7 @@ def catalog_resolve(names: DataFrame, catalog: DataFrame) -> DataFrame:
 def modal_with_support(df: DataFrame, key: str, value: str, least: float = 0.6) -> DataFrame:
     """The most frequent value of each key if its share of the values reaches ``least``; of equals the smallest. A key without values has null."""
     counts = df.groupBy(key, value).agg(F.count(value).alias("_n"))
-    top = Window.partitionBy(key).orderBy(F.desc("_n"), F.col(value).asc_nulls_last())
-    ranked = counts.withColumn("_k", F.row_number().over(top)).withColumn("_all", F.sum("_n").over(Window.partitionBy(key))).where("_k = 1")
-    share = F.try_divide("_n", "_all")
-    return ranked.select(key, F.when(share >= least, F.col(value)).alias("modal"), share.alias("share"))
+    first = F.min(F.struct((-F.col("_n")).alias("less"), F.col(value).isNull().alias("none"), F.col(value).alias("v"))).alias("_f")
+    best = counts.groupBy(key).agg(first, F.sum("_n").alias("_all"))
+    share = F.try_divide(-F.col("_f.less"), "_all")
+    return best.select(key, F.when(share >= least, F.col("_f.v")).alias("modal"), share.alias("share"))

@@ -67,7 +67,7 @@ def page_align(spark, d):
 
 
 def _aligned(a: DataFrame, b: DataFrame) -> DataFrame:
-    return c.page_align(a, b, c.page_similarity(a, b, above=2 * c.GAP))
+    return c.page_align(a, b, c.page_similarity(a, b, least=2 * c.GAP))
 
 
 def page_align_summary(spark, d):
@@ -77,7 +77,7 @@ def page_align_summary(spark, d):
 
 def page_similarity_pruned(spark, d):
     """The pairs of pages that can match, of all that there are."""
-    return c.page_similarity(*_pages(spark, d), above=2 * c.GAP)
+    return c.page_similarity(*_pages(spark, d), least=2 * c.GAP)
 
 
 def unmatched_pages(spark, d):
@@ -172,7 +172,7 @@ QUERIES = {
         page_similarity,
         f"WITH {_SIM} SELECT pair_id, a_page, b_page, {_EVERY} AS similarity FROM sims WHERE a_page < 400 AND b_page < 400",
     ),
-    "page_similarity_pruned": (page_similarity_pruned, f"WITH {_SIM} SELECT * FROM (SELECT pair_id, a_page, b_page, {_EVERY} AS similarity FROM sims WHERE a_page < 400 AND b_page < 400) WHERE similarity > 0.5"),
+    "page_similarity_pruned": (page_similarity_pruned, f"WITH {_SIM} SELECT * FROM (SELECT pair_id, a_page, b_page, {_EVERY} AS similarity FROM sims WHERE a_page < 400 AND b_page < 400) WHERE similarity >= 0.5"),
     "page_align": (page_align, f"WITH RECURSIVE {_ALIGN} SELECT * FROM aligned"),
     "page_align_summary": (
         page_align_summary,

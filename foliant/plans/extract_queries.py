@@ -61,7 +61,7 @@ def recon_select(spark, d):
     lines = corpus.explode_lines(_docs(spark, d))
     pages = lines.groupBy("doc_id", "page_no").agg(F.sum(F.length("line_text")).alias("n"))
     relevance = F.when(F.col("n") > 4000, "high").when(F.col("n") > 3000, "medium").otherwise("low")
-    return x.recon_select(pages.select("doc_id", "page_no", relevance.alias("relevance"), F.when(F.col("n") % 11 == 0, F.array(F.lit("party_info"))).otherwise(F.array(F.lit("other"))).alias("contains")), close=2)
+    return x.recon_select(pages.select("doc_id", "page_no", (F.col("doc_id") % 9 == 0).alias("failed"), relevance.alias("relevance"), F.when(F.col("n") % 11 == 0, F.array(F.lit("party_info"))).otherwise(F.array(F.lit("other"))).alias("contains")), close=2)
 
 
 def _answers(spark, d):
@@ -159,7 +159,7 @@ QUERIES = {
     "recon_select": (
         recon_select,
         f"""WITH {sql.LINES}, p AS (SELECT doc_id, page_no, sum(length(line_text)) AS n FROM lines GROUP BY ALL), w AS (SELECT *, n > 3000 OR n % 11 = 0 AS w FROM p),
-        m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c, bool_or(w) OVER (PARTITION BY doc_id) AS a, min(page_no) OVER (PARTITION BY doc_id) AS f FROM w) SELECT doc_id, page_no FROM m WHERE c <= 2 OR w OR (NOT a AND page_no = f)""",
+        m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c, bool_or(w) OVER (PARTITION BY doc_id) AS a, min(page_no) OVER (PARTITION BY doc_id) AS f FROM w) SELECT doc_id, page_no FROM m WHERE c <= 2 OR w OR doc_id % 9 = 0 OR (NOT a AND page_no = f)""",
     ),
     "parse_responses": (parse_responses, "SELECT event_id AS id, CASE WHEN event_id % 4 < 3 THEN json_extract_string(props, '$.k') END AS k, event_id % 4 = 3 AS failed FROM events"),
     "parse_lists": (

@@ -24,6 +24,9 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 def normalise_boxes(spark, d):
     k = (F.col("span_no") + F.col("line_no")) % 3
     s = _spans(spark, d).withColumn("origin_y", F.when(k == 0, F.col("y0") + 1).otherwise(F.col("y0") + 9)).withColumn("asc", F.lit(0.8) + 0.05 * k).withColumn("desc", F.lit(-0.2))
+    # Some lines run downwards, some from right to left, and some tell no direction.
+    turn = F.col("line_no") % 5
+    s = s.withColumn("dir_x", F.when(turn == 1, 0.0).when(turn == 2, -1.0).when(turn != 3, 1.0)).withColumn("dir_y", F.when(turn == 1, 1.0).when(turn != 3, 0.0005))
     fixed = lay.normalise_boxes(s)
     return lay.touched_bounds(fixed, ["doc_id", "line_no"])
 
@@ -70,8 +73,24 @@ def cell_align(spark, d):
     return lay.cell_align(b).select("doc_id", "line_no", "cell_no", "align", "tx0", "tx1")
 
 
+def _styled(spark: SparkSession, d: str) -> DataFrame:
+    """Spans with fonts and colours, and on pages of even documents with gaps of 30 points between them."""
+    gap = F.when(F.col("doc_id") % 2 == 0, F.col("span_no") * 30.0).otherwise(0.0)
+    s = _spans(spark, d).withColumn("font", F.when(F.col("flags") == 16, "Sans-Bold").otherwise(F.concat(F.lit("Sans"), (F.col("span_no") % 3).cast("string")))).withColumn("color", (F.col("off") % 7 * 1000).cast("int"))
+    return s.withColumn("x0", F.col("x0") + gap).withColumn("x1", F.col("x1") + gap)
+
+
 def text_blocks(spark, d):
-    return lay.text_blocks(_spans(spark, d))
+    return lay.text_blocks(_styled(spark, d))
+
+
+def cell_blocks(spark, d):
+    """Two columns of cells on every page, above for its first line, below for the others."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("cell_no")
+    x0, y0 = F.col("cell_no") % 2 * 400.0, F.floor(F.col("cell_no") / 2) * 12.0
+    pages = corpus.explode_lines(corpus.table(spark, d, "documents")).select("doc_id", "page_no").distinct()
+    cells = pages.select("doc_id", "page_no", k).select("doc_id", "page_no", "cell_no", x0.alias("x0"), y0.alias("y0"), (x0 + 400.0).alias("x1"), F.when(F.col("cell_no") < 2, 12.0).otherwise(60.0).alias("y1"))
+    return lay.cell_blocks(lay.cell_assign(_styled(spark, d), cells), cells)
 
 
 def visual_lines(spark, d):
@@ -118,11 +137,13 @@ _RUNS = sql.SPANS + """, gappy AS (SELECT doc_id, line_no, span_no, size, x0 + s
 o AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY doc_id, line_no ORDER BY x0, span_no) > 2 * greatest(size, 1) THEN 1 ELSE 0 END AS o FROM gappy),
 runs AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, line_no ORDER BY x0, span_no) AS run_no FROM o)"""
 
+_STYLED = f"""{sql.SPANS}, styled AS (SELECT * EXCLUDE (x0, x1), x0 + g AS x0, x1 + g AS x1, CASE WHEN flags = 16 THEN 'Sans-Bold' ELSE 'Sans' || span_no % 3 END AS font, CAST(off % 7 * 1000 AS INTEGER) AS color
+        FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN span_no * 30.0 ELSE 0 END AS g FROM spans))"""
 QUERIES = {
     "normalise_boxes": (
         normalise_boxes,
         f"""WITH {sql.SPANS}, s AS (SELECT *, CASE WHEN (span_no + line_no) % 3 = 0 THEN y0 + 1 ELSE y0 + 9 END AS oy, CAST(0.8 AS DOUBLE) + CAST(0.05 AS DOUBLE) * ((span_no + line_no) % 3) AS a FROM spans),
-        b AS (SELECT *, oy - y0 < 0.25 * size AND y1 - y0 >= 0.5 * size AS touched FROM s),
+        b AS (SELECT *, line_no % 5 NOT IN (1, 2) AND oy - y0 < 0.25 * size AND y1 - y0 >= 0.5 * size AS touched FROM s),
         f AS (SELECT doc_id, line_no, x0, x1, touched, CASE WHEN touched THEN oy - greatest(a, CAST(0.9 AS DOUBLE)) * size ELSE y0 END AS y0, CASE WHEN touched THEN oy - least(CAST(-0.2 AS DOUBLE), CAST(-0.25 AS DOUBLE)) * size ELSE y1 END AS y1 FROM b)
         SELECT doc_id, line_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM f GROUP BY ALL HAVING bool_or(touched)""",
     ),
@@ -153,10 +174,23 @@ QUERIES = {
     ),
     "text_blocks": (
         text_blocks,
-        f"""WITH {sql.SPANS}, l AS (SELECT doc_id, page_no, line_no, regexp_replace(string_agg(span_text, '' ORDER BY span_no), '^[[:space:]]+|[[:space:]]+$', '', 'g') AS t, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM spans GROUP BY ALL),
-        s AS (SELECT doc_id, page_no, arg_min(size, (line_no, span_no)) AS size, arg_min(flags, (line_no, span_no)) AS flags FROM spans WHERE host GROUP BY ALL)
-        SELECT doc_id, page_no, string_agg(t, ' ' ORDER BY line_no) FILTER (t <> '') AS block_text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, any_value(size) AS size, any_value(flags) & 16 <> 0 AS bold, any_value(flags) & 2 <> 0 AS italic
-        FROM l JOIN s USING (doc_id, page_no) GROUP BY doc_id, page_no HAVING string_agg(t, ' ') FILTER (t <> '') IS NOT NULL""",
+        f"""WITH {_STYLED}, l AS (SELECT doc_id, page_no, line_no, regexp_replace(string_agg(span_text, '' ORDER BY span_no), '^[[:space:]]+|[[:space:]]+$', '', 'g') AS t, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM styled GROUP BY ALL),
+        s AS (SELECT doc_id, page_no, arg_min({{'size': size, 'flags': flags, 'font': font, 'color': color}}, (line_no, span_no)) AS s FROM styled WHERE host GROUP BY ALL)
+        SELECT doc_id, page_no, string_agg(t, ' ' ORDER BY line_no) FILTER (t <> '') AS block_text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, any_value(s.font) AS font, any_value(s.size) AS size, any_value(s.color) AS color,
+        any_value(s.flags) & 16 <> 0 AS bold, any_value(s.flags) & 2 <> 0 AS italic FROM l JOIN s USING (doc_id, page_no) GROUP BY doc_id, page_no HAVING string_agg(t, ' ') FILTER (t <> '') IS NOT NULL""",
+    ),
+    "cell_blocks": (
+        cell_blocks,
+        f"""WITH {_STYLED}, k AS (SELECT *, CASE WHEN (x0 + x1) / 2 > 800 THEN -1 WHEN (x0 + x1) / 2 > 400 THEN 1 ELSE 0 END AS c, CASE WHEN (y0 + y1) / 2 <= 12 THEN 0 ELSE 2 END AS r FROM styled WHERE host),
+        ok AS (SELECT *, c + r AS cell_no FROM (SELECT *, bool_and(c >= 0) OVER (PARTITION BY doc_id, page_no) AS fits FROM k) WHERE fits),
+        n AS (SELECT *, max(y0) OVER w > min(y0) OVER w AS wrapped, CASE WHEN x0 - lag(x1) OVER (PARTITION BY doc_id, page_no, cell_no ORDER BY x0, span_no) > 2 * greatest(size, 1) THEN 1 ELSE 0 END AS o FROM ok WINDOW w AS (PARTITION BY doc_id, page_no, cell_no)),
+        u AS (SELECT *, CASE WHEN wrapped THEN 0 ELSE sum(o) OVER (PARTITION BY doc_id, page_no, cell_no ORDER BY x0, span_no ROWS UNBOUNDED PRECEDING) END AS run_no, regexp_replace(span_text, '^[[:space:]]+|[[:space:]]+$', '', 'g') AS t FROM n),
+        b AS (SELECT doc_id, page_no, cell_no, run_no, string_agg(t, ' ' ORDER BY CASE WHEN wrapped THEN 0 ELSE x0 END, line_no, span_no) AS block_text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
+          arg_min({{'size': size, 'flags': flags, 'font': font, 'color': color}}, (CASE WHEN wrapped THEN 0 ELSE x0 END, line_no, span_no)) AS s FROM u GROUP BY ALL),
+        e AS (SELECT *, coalesce((lag(x1) OVER w + x0) / 2, cell_no % 2 * 400) + 2 AS a, coalesce((x1 + lead(x0) OVER w) / 2, cell_no % 2 * 400 + 400) - 2 AS z FROM b WINDOW w AS (PARTITION BY doc_id, page_no, cell_no ORDER BY run_no)),
+        f AS (SELECT *, CASE WHEN z - a < 4 THEN 'left' WHEN abs((x0 - a) - (z - x1)) <= greatest(2, 0.05 * (z - a)) THEN 'center' WHEN (z - x1) + greatest(2, 0.05 * (z - a)) < x0 - a THEN 'right' ELSE 'left' END AS align FROM e)
+        SELECT doc_id, page_no, cell_no, run_no, block_text, x0, y0, x1, y1, align, CASE WHEN z - a < 4 OR align = 'left' THEN x0 ELSE least(a, x0) END AS tx0, CASE WHEN z - a < 4 OR align = 'right' THEN x1 ELSE greatest(z, x1) END AS tx1,
+        s.font AS font, s.size AS size, s.color AS color, s.flags & 16 <> 0 AS bold, s.flags & 2 <> 0 AS italic FROM f""",
     ),
     "visual_lines": (
         visual_lines,

@@ -1,14 +1,17 @@
 """Literal cases of the find, layout, manifest, compare and masking rules, and their invariants."""
 
+import bisect
+import csv
 import difflib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions.arrays import places
 from foliant.operators import compare, extract, find, licence, manifest, quality
 from foliant.operators import layout as lay
-from foliant.sources import corpus
+from foliant.sources import corpus, sinks
 from foliant.streaming import streams
 
 
@@ -163,7 +166,8 @@ def test_page_align(spark):
         grids[k] = [[rng.choice([0.1, 0.4, 0.5, 0.75, 1.0]) for _ in range(m)] for _ in range(n)]
     rows = [(k, i, j, s) for k, g in grids.items() for i, r in enumerate(g) for j, s in enumerate(r)]
     got = {}
-    for r in compare.page_align(spark.createDataFrame(rows, "pair_id long, a_page int, b_page int, similarity double")).collect():
+    sides = [spark.createDataFrame([(k, i) for k, g in grids.items() for i in range(len(side(g)))], "pair_id long, page_no int") for side in (lambda g: g, lambda g: g[0])]
+    for r in compare.page_align(*sides, spark.createDataFrame(rows, "pair_id long, a_page int, b_page int, similarity double")).collect():
         got.setdefault(r.pair_id, []).append((r.a_page, r.b_page))
     assert got[0] == [(0, 0), (1, 2)]
     assert got == {k: p for k, g in grids.items() if (p := plain_alignment(g))}
@@ -275,6 +279,92 @@ def test_versions_in_ranges_of_ids(spark):
 def test_unmatched_pages_of_an_alignment(spark):
     """Two pages against three: the pairs of the best alignment leave the second page of B, as an insertion."""
     sims = [(1, 0, 0, 0.9), (1, 0, 1, 0.1), (1, 0, 2, 0.1), (1, 1, 0, 0.1), (1, 1, 1, 0.2), (1, 1, 2, 0.8)]
-    aligned = compare.page_align(spark.createDataFrame(sims, "pair_id long, a_page int, b_page int, similarity double"))
     pages = lambda n: spark.createDataFrame([(1, i) for i in range(n)], "pair_id long, page_no int")
+    aligned = compare.page_align(pages(2), pages(3), spark.createDataFrame(sims, "pair_id long, a_page int, b_page int, similarity double"))
     assert [(r.kind, r.page_no) for r in compare.unmatched_pages(pages(2), pages(3), aligned).collect()] == [("ins", 1)]
+
+
+def test_alignment_at_its_cap(spark):
+    """Pages behind the cap are not read, and the summary tells it."""
+    n, m = 420, 410
+    a, b = (spark.createDataFrame([(1, i) for i in range(k)] + [(2, 0)], "pair_id long, page_no int") for k in (n, m))
+    sims = [(1, i, j, 1.0 if i == j + 3 else 0.6 if i % 7 == j % 5 == 0 else 0.2) for i in range(n) for j in range(max(0, i - 8), min(m, i + 9))]
+    aligned = compare.page_align(a, b, spark.createDataFrame(sims, "pair_id long, a_page int, b_page int, similarity double"))
+    got = {(r.a_page, r.b_page) for r in aligned.collect()}
+    assert {(j + 3, j) for j in range(397)} <= got and max(i for i, _ in got) < 400
+    told = {r.pair_id: r for r in compare.align_summary(a, b, aligned).collect()}
+    assert (told[1].pages_a, told[1].pages_b, told[1].matched, told[1].only_a, told[1].truncated) == (n, m, len(got), 400 - len(got), True)
+    assert (told[2].matched, told[2].only_a, told[2].only_b, told[2].truncated) == (0, 1, 1, False)
+    assert {r.page_no for r in compare.unmatched_pages(a, b, aligned).where("pair_id = 1 and kind = 'del'").collect()} == set(range(400)) - {i for i, _ in got}
+
+
+def test_pruned_similarities(spark, sf):
+    """The bounds drop no pair of pages that can match, and half of all before their words are compared."""
+    docs = corpus.table(spark, sf, "documents")
+    prints = compare.page_fingerprint(corpus.page_texts(compare.paired_documents(docs, compare.version_pairs(docs)), keys=("pair_id", "side"))).cache()
+    a, b = (prints.where(F.col("side") == s).drop("side") for s in "ab")
+    every = {tuple(r)[:3]: r.similarity for r in compare.page_similarity(a, b).collect()}
+    assert {tuple(r)[:3]: r.similarity for r in compare.page_similarity(a, b, least=0.5).collect()} == {k: s for k, s in every.items() if s >= 0.5}
+    assert compare.page_candidates(a, b, least=0.5).count() < 0.55 * len(every)
+
+
+def test_phrasebook_winner(spark):
+    """Of entries with one mask the one with the smallest source counts, in whatever order they stand."""
+    blocks = spark.createDataFrame([(1, 0, 0, "total 5 items"), (1, 0, 1, "no entry"), (2, 0, 0, None)], "doc_id long, page_no int, block_no int, text string")
+    for rows in ([("total 7 items", "A 7"), ("total 9 items", "B 9")], [("total 9 items", "B 9"), ("total 7 items", "A 7")]):
+        done = quality.phrasebook_apply(blocks, spark.createDataFrame(rows, "source string, target string"))
+        assert sorted((r.doc_id, r.translated, r.missing) for r in done.where("doc_id = 1").collect()) == [(1, "A 5", False), (1, "no entry", True)]
+        assert done.count() == 3
+
+
+def test_phrasebook_on_a_frequent_line(spark):
+    """A line that half of all blocks have is dealt into many parts, and every block is translated."""
+    blocks = spark.range(20_000).select((F.col("id") % 100).alias("doc_id"), F.lit(0).alias("page_no"), F.col("id").cast("int").alias("block_no"), F.when(F.col("id") % 2 == 0, "the same line").otherwise(F.concat(F.lit("line "), F.chr(F.col("id") % 26 + 97), F.hex("id"))).alias("text"))
+    shares = quality.heavy_shares(blocks, F.col("text"))
+    assert len(shares) == 1 and max(shares.values()) == pytest.approx(0.5)
+    book = spark.createDataFrame([("the same line", "another line")], "source string, target string")
+    done = quality.phrasebook_apply(blocks, book)
+    assert done.where("translated = 'another line'").count() == 10_000 == done.where("missing").count()
+    assert quality.phrasebook_apply(blocks.limit(0), book).count() == 0
+
+
+def test_answers_parsed_once(spark):
+    """Objects give results, other JSON and none fail; an object's first array in its own order counts."""
+    raw = spark.createDataFrame([(1, '{"k": 5, "x": [1]}'), (2, "[1]"), (3, "{bad"), (4, None), (5, '```json\n{"k": "a", "z": null}\n```'), (6, "7"), (7, '{"k": 1, "k": 2}')], "id long, answer string")
+    got = {r.id: (r.result and (r.result.k, r.result.z), r.failed) for r in extract.parse_responses(raw, "k string, z string").collect()}
+    assert got == {1: (("5", None), False), 2: (None, True), 3: (None, True), 4: (None, True), 5: (("a", None), False), 6: (None, True), 7: (None, True)}
+    lists = spark.createDataFrame([(1, '{"z": [{"i": 0, "t": "first"}], "a": [{"i": 9, "t": "other"}]}'), (2, '[{"i": 1, "t": "x"}, {"i": 1, "t": "y"}, {"t": "none"}, 3]'), (3, '{"a": {"i": 1}}'), (4, "nothing")], "id long, answer string")
+    assert sorted(map(tuple, extract.parse_lists(lists).collect()), key=str) == [(1, 0, "first", False), (2, 1, "y", False), (3, None, None, True), (4, None, None, True)]
+
+
+def test_one_csv_file(spark, tmp_path):
+    """One file with a byte-order mark and one header, read back as it was, also after records were added."""
+    rows = [(i, f'a "quoted", word {i}' if i % 3 else None, "line\nbreak" if i % 5 == 0 else "đ", "src") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, note string, text string, _source_file string").repartition(3)
+    path = f"{tmp_path}/out.csv"
+    labels = {"doc_id": "Document", "note": "Note, all", "text": "Text"}
+    sinks.write_csv_file(df, path, labels)
+    sinks.write_csv_file(df.limit(5), path, labels)
+    raw = open(path, "rb").read()
+    assert raw.startswith(b"\xef\xbb\xbf") and raw.count(b"\xef\xbb\xbf") == 1 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["out.csv"]
+    with open(path, encoding="utf-8-sig", newline="") as f:
+        header, *got = csv.reader(f)
+    assert header == ["Document", "Note, all", "Text", "Source File"] and len(got) == 45
+    assert sorted(got[:40], key=lambda r: int(r[0])) == [[str(i), n or "", t, s] for i, n, t, s in rows]
+    with pytest.raises(ValueError):
+        sinks.write_csv_file(df, path)
+
+
+def test_failed_reconnaissance(spark):
+    pages = spark.createDataFrame([(d, i, "low", ["x"], d == 2) for d in (1, 2) for i in range(8)], "doc_id long, page_no int, relevance string, contains array<string>, failed boolean")
+    assert [(r.doc_id, r.n) for r in extract.recon_select(pages).groupBy("doc_id").agg(F.count("*").alias("n")).orderBy("doc_id").collect()] == [(1, 1), (2, 8)]
+
+
+def test_places_in_long_arrays(spark):
+    """Blocks of an array give the same places as going through it."""
+    rng = random.Random(1)
+    rows = [(k, sorted(rng.randrange(500) for _ in range(n)), [rng.randrange(-5, 505) for _ in range(40)]) for k, n in enumerate((1, 2, 31, 32, 33, 40, 300, 1025))]
+    df = spark.createDataFrame(rows, "k int, held array<bigint>, sought array<bigint>")
+    for inclusive, place in ((True, bisect.bisect_right), (False, bisect.bisect_left)):
+        got = {r.k: r.p for r in df.select("k", places(F.col("held"), F.col("sought"), inclusive).alias("p")).collect()}
+        assert got == {k: [place(held, x) for x in sought] for k, held, sought in rows}
