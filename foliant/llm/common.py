@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folders import cut, removed, shared_folder  # noqa: F401
+
 #: Words as every size in this package counts them: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,26 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session takes a temporary folder of this
-    machine; on a cluster that is an error.
-    """
+    """The folder that checkpoints go to, within the one that driver and executors share."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return context.getCheckpointDir()
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Take a folder out of the shared file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is cut or stored inside goes at the end; write the result outside that folder before."""
@@ -55,12 +43,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         removed(spark, inner)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows written as Parquet in the shared folder, or the given one, and read again."""
     path = f"{folder or shared_dir(df.sparkSession)}/{uuid.uuid4()}"
@@ -87,13 +69,13 @@ def hashed_sample(df: DataFrame, key: str, by: str, size: int, few: int = 100_00
     needs one count per group, so no group meets in one task. Up to ``few``
     counts are broadcast, so that the rows need no shuffle; more are joined.
     """
-    steps = 1_000_000
+    steps = 1 << 40
     counts = cut(df.groupBy(by).agg(F.count("*").alias("_n")))
     if counts.count() <= few:
         counts = F.broadcast(counts)
     return (
         df.join(counts, by)
-        .where(F.pmod(F.xxhash64(key), F.lit(steps)) < F.ceil(F.lit(float(size * steps)) / F.col("_n")))
+        .where(F.pmod(F.xxhash64(key), F.lit(steps)) < F.ceil(F.lit(float(size) * steps) / F.col("_n")))
         .drop("_n")
     )
 

@@ -22,7 +22,7 @@ from .common import hashed_sample, spare
 
 LETTERS = regex.compile(r"\p{L}+")
 WORD_START = "▁"
-#: Longer runs of letters are scored as consecutive parts of this many characters, shorter ones as a whole; training takes shorter parts.
+#: Longer runs of letters are scored as consecutive parts of this many characters by default; training takes shorter parts.
 PART, TRAINING_PART = 1024, 32
 #: The vocabulary has no longer piece of letters.
 LONGEST_PIECE = 16
@@ -169,9 +169,9 @@ class LanguageModel:
         return out
 
 
-def _parts(text: str, part: int = PART) -> list[str]:
+def _parts(text: str, part: int | None) -> list[str]:
     words = LETTERS.findall(text.lower())
-    if len(text) > part and max(map(len, words), default=0) > part:
+    if part and len(text) > part and max(map(len, words), default=0) > part:
         words = [w[i : i + part] for w in words for i in range(0, len(w), part)]
     return words
 
@@ -207,14 +207,15 @@ def train(docs: DataFrame, label: str = "lang", key: str = "doc_id", per_languag
     return LanguageModel(pieces, languages, np.array(probabilities).reshape(len(languages), pieces.size))
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, remember: int = 200_000) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, remember: int = 200_000, part: int | None = PART) -> DataFrame:
     """Add ``lang_pred`` and ``score``, the posterior of the best language under a flat prior.
 
     ``keep`` names the columns that stay (all by default). A letter is a
     character of Unicode's category L: numerals and digits are none. A null
     text, one without a letter, or a model that has seen no language gives ``und`` and 0.
     Repeated rows get the same answer; of equal languages the first by name
-    wins. Every text is read whole. Columns named ``lang_pred`` or ``score`` are replaced.
+    wins. Every text is read whole; a run of letters longer than ``part``
+    is scored as consecutive parts, with None always as a whole. Columns named ``lang_pred`` or ``score`` are replaced.
     """
     out = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     schema = docs.select(*out).schema.add("lang_pred", "string").add("score", "double")
@@ -229,7 +230,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                 number, known = {}, known[:0]
             ids, sizes = [], []
             for text in b[b.num_columns - 1].to_pylist():
-                words = _parts(text) if text else []
+                words = _parts(text, part) if text else []
                 ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
                 sizes.append(len(words))
             new = list(number)[len(known) :]

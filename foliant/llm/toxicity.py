@@ -30,6 +30,20 @@ def features(words: set[str]) -> set[str]:
     return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
 
 
+class Evidence(dict):
+    """The known features of each word met so far; most words have none."""
+
+    def __init__(self, known: dict[str, float], most: int = 500_000):
+        super().__init__()
+        self.known, self.most = known, most
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = tuple(x for x in features({word}) if x in self.known)
+        return found
+
+
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
@@ -40,35 +54,33 @@ class ToxicityModel:
     bias: float
     leak: float
 
-    def sentences(self, text: str) -> list[tuple[int, int, float]]:
+    def sentences(self, text: str, evidence: Evidence) -> list[tuple[int, int, float]]:
         """Start, end and score of the sentences with evidence."""
         out = []
         for m in _SENTENCE.finditer(text):
-            seen = features(set(_WORD.findall(m[0].lower()))) & self.weights.keys()
+            seen = {x for w in _WORD.findall(m[0].lower()) for x in evidence[w]}
             if seen:
                 z = self.bias + sum(self.weights[x] for x in sorted(seen))
                 out.append((m.start(), m.end(), float(1 / (1 + np.exp(-z)))))
         return out
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+    def score(self, text: str | None, evidence: Evidence | None = None) -> tuple[float, list[tuple[int, int, float]]]:
         """The noisy-or of a text's sentences, and the sentences with evidence."""
-        found = []
-        if text:
-            seen = set(_WORD.findall(text.lower()))
-            if not (features(seen).isdisjoint(self.weights)):
-                found = self.sentences(text)
+        found, evidence = [], Evidence(self.weights) if evidence is None else evidence
+        if text and any(map(evidence.__getitem__, set(_WORD.findall(text.lower())))):
+            found = self.sentences(text, evidence)
         clean = np.log1p(-np.minimum([s for *_, s in found], 1 - 1e-12)).sum() - _softplus(np.float64(self.leak))
         return float(-np.expm1(clean)), found
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_features: int = 4000, least_uses: int = 5, rounds: int = 300) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_features: int | None = 4000, least_uses: int = 5, rounds: int = 300) -> ToxicityModel:
     """Fit on about ``per_class`` labelled documents of each class.
 
     ``labels`` has ``doc_id`` and ``toxic``; null labels teach nothing, and a
     document without text teaches as an empty one. Sample, features and the
     bags of known features are bounded by the parameters, so what reaches the
     driver is; features of weaker evidence than the first ``most_features`` are
-    left out. Ids are read as longs. Without labels the model scores everything 0.
+    left out (None: none but those without evidence). Ids are read as longs. Without labels the model scores everything 0.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     totals = {int(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -92,14 +104,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_featur
     # Words in toxic documents far more often than in others, by a smoothed log ratio against its error.
     lift = F.log((F.col("t") + 0.5) / n1) - F.log((F.col("c") + 0.5) / n0)
     strength = lift / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    picked = [r["feature"] for r in counts.where((F.col("t") >= least_uses) & (strength > 3.0) & (lift > 1.0)).orderBy(F.desc(strength), "feature").limit(most_features).select("feature").collect()]
+    picked = [r["feature"] for r in counts.where((F.col("t") >= least_uses) & (strength > 3.0) & (lift > 1.0)).orderBy(F.desc(strength), "feature").limit(most_features or 2**31 - 1).select("feature").collect()]
     number = {f: i for i, f in enumerate(sorted(picked))}
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = Evidence(number)
         for b in batches:
             rows = []
             for text in b["text"].to_pylist():
-                hits = ([number[x] for x in sorted(features(set(_WORD.findall(s.lower()))) & number.keys())] for s in _SENTENCE.findall(text))
+                hits = ([number[x] for x in sorted({x for w in _WORD.findall(s.lower()) for x in evidence[w]})] for s in _SENTENCE.findall(text))
                 rows.append([h for h in hits if h])
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(rows, pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "bag"])
 
@@ -145,8 +158,9 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None,
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = Evidence(model.weights)
         for b in batches:
-            got = [model.score(t) for t in b[b.num_columns - 1].to_pylist()]
+            got = [model.score(t, evidence) for t in b[b.num_columns - 1].to_pylist()]
             scores = np.array([s for s, _ in got], float)
             spans = [[{"start": i, "end": j, "score": p} for i, j, p in found if p >= threshold] for _, found in got]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(spans, kind)], [*out, *made])
