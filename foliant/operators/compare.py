@@ -2,13 +2,16 @@
 
 A pair of versions is ``(pair_id, a_doc, b_doc)``; words and pages of its sides
 carry ``pair_id`` and ``side`` (a or b). The words of both sides are one table
-that is read once: matching marks its rows by windows over the pair and a word
-or the pair and a side, so pairs are compared independently and no join repeats
-the words.
+that is read once: matching marks its rows pair by pair, after one exchange, so
+pairs are compared independently and no join repeats the words.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,38 +46,86 @@ def paired_documents(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return sides.select("pair_id", "s.side", "s.doc_id").join(docs.select("doc_id", "text"), "doc_id").select("pair_id", "side", "text")
 
 
-def _partner(*keys: str) -> Column:
-    """The other side's position among the rows of a key, which has one of each side at most."""
-    by = Window.partitionBy(*keys)
-    at = lambda s: F.max(F.when(F.col("side") == s, F.col("pos"))).over(by)
-    return F.when(F.col("side") == "a", at("b")).otherwise(at("a"))
-
+def increasing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of a longest run of candidate matches that cross none of each other; ``a`` ascends and no ``b`` comes twice.
 
-def _crossing_none(partner: str) -> Column:
-    """Whether a row's match crosses no other one of its pair; both sides of a match agree on it."""
-    side = Window.partitionBy("pair_id", "side")
-    before = F.max(partner).over(side.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(partner).over(side.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))
-    return F.col(partner).isNotNull() & (F.coalesce(before, F.lit(-1)) < F.col(partner)) & (F.col(partner) < F.coalesce(after, F.lit(2**31)))
+    Patience: a candidate goes on the first pile whose top is behind it on side
+    B. Then, from the last pile back, of each pile the last candidate before
+    the one that was chosen last.
+    """
+    tops: list[int] = []
+    pile = np.zeros(len(b), np.int64)
+    for i, x in enumerate(b.tolist()):
+        pile[i] = k = bisect_left(tops, x)
+        tops[k : k + 1] = [x]
+    chosen, sought = [], len(tops) - 1
+    for i in range(len(b) - 1, -1, -1):
+        if pile[i] == sought:
+            chosen.append(i)
+            sought -= 1
+    return np.array(chosen[::-1], np.int64)
+
+
+def _matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of matching words of two texts given as numbers of words."""
+    n = 1 + max(a.max(initial=0), b.max(initial=0))
+    once = (np.bincount(a, minlength=n) == 1) & (np.bincount(b, minlength=n) == 1)
+    of_b = np.zeros(n, np.int64)
+    of_b[b] = np.arange(len(b))
+    x = np.flatnonzero(once[a])
+    y = of_b[a[x]]
+    kept = increasing(x, y)
+    x, y = x[kept], y[kept]
+
+    def occurrences(words: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions off the anchors, and for each the gap it is in, its word and its number there, as one row."""
+        free = np.ones(len(words), bool)
+        free[anchors] = False
+        at = np.flatnonzero(free)
+        key = np.searchsorted(anchors, at) * n + words[at]
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        number = np.zeros(len(at), np.int64)
+        number[order] = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+        return at, np.stack([key, number], 1)
+
+    a_at, a_key = occurrences(a, x)
+    b_at, b_key = occurrences(b, y)
+    place = {tuple(k): i for i, k in enumerate(b_key.tolist())}
+    met = np.array([place.get(tuple(k), -1) for k in a_key.tolist()], np.int64)
+    more_x, more_y = a_at[met >= 0], b_at[met[met >= 0]]
+    every_x, every_y = np.concatenate([x, more_x]), np.concatenate([y, more_y])
+    order = np.argsort(every_x)
+    kept = order[increasing(every_x[order], every_y[order])]
+    return every_x[kept], every_y[kept]
+
+
+def _matched(pair: pa.Table) -> pa.Table:
+    """The words of one pair with their partners and gaps."""
+    pair = pair.sort_by([("side", "ascending"), ("pos", "ascending")])
+    is_a = np.array([s == "a" for s in pair["side"].to_pylist()])
+    word = pair["word"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    pos = pair["pos"].to_numpy()
+    x, y = _matches(word[is_a], word[~is_a])
+    n = int(is_a.sum())
+    partner, hit = np.full(len(pos), -1, np.int64), np.zeros(len(pos), np.int64)
+    partner[x], partner[n + y] = pos[n + y], pos[x]
+    hit[x] = hit[n + y] = 1
+    gap = np.concatenate([np.cumsum(hit[:n]), np.cumsum(hit[n:])])
+    return pair.select(["pair_id", "side", "pos", "word", "page_no"]).append_column("partner", pa.array(partner, pa.int32(), mask=partner < 0)).append_column("gap", pa.array(gap, pa.int64()))
 
 
 def match_words(words: DataFrame) -> DataFrame:
     """Mark the words ``(pair_id, side, pos, word, page_no)`` with ``partner``, the matching position on the other side, and ``gap``, the matches up to there.
 
-    Words that occur once on either side are anchors unless they cross; between
-    two anchors the k-th occurrences of a word match, again unless they cross.
+    Words that occur once on either side are anchors, of which a longest run
+    that does not cross is kept. Between two anchors the k-th occurrences of a
+    word match, again as far as they keep a longest run. A pair's words, whose
+    number ``word_stream`` bounds, meet in one task, by one exchange.
     """
-    of_side = Window.partitionBy("pair_id", "side").orderBy("pos")
-    of_word = Window.partitionBy("pair_id", "word")
-    once = (F.count_if(F.col("side") == "a").over(of_word) == 1) & (F.count_if(F.col("side") == "b").over(of_word) == 1)
-    anchored = words.select("pair_id", "side", "pos", "word", "page_no", F.when(once, _partner("pair_id", "word")).alias("_p"))
-    anchored = anchored.withColumn("_anchor", _crossing_none("_p")).withColumn("_gap", F.count_if("_anchor").over(of_side))
-    # One exchange serves both windows: the occurrence's number, and who has the same one.
-    dealt = anchored.repartition("pair_id", "_gap", "word")
-    k = F.row_number().over(Window.partitionBy("pair_id", "_gap", "word", "_anchor", "side").orderBy("pos"))
-    dealt = dealt.withColumn("_k", k).withColumn("_q", _partner("pair_id", "_gap", "word", "_anchor", "_k"))
-    found = dealt.withColumn("_ok", _crossing_none("_q"))
-    return found.select("pair_id", "side", "pos", "word", "page_no", F.when(F.col("_ok"), F.col("_q")).alias("partner"), F.count_if("_ok").over(of_side).alias("gap"))
+    schema = "pair_id long, side string, pos int, word string, page_no int, partner int, gap long"
+    own = words.select(F.col("pair_id").cast("long").alias("pair_id"), "side", "pos", "word", "page_no")
+    return own.groupBy("pair_id").applyInArrow(_matched, schema)
 
 
 def word_diff(matched: DataFrame) -> DataFrame:

@@ -95,8 +95,29 @@ def unmatched_pages_aligned(spark, d):
 _PAIRS = """pairs AS (SELECT doc_id AS pair_id, a_doc, doc_id AS b_doc FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY string_split(text, chr(10))[1] ORDER BY doc_id) AS a_doc FROM documents) WHERE a_doc IS NOT NULL)"""
 _W = f"""{sql.TOKENS}, {_PAIRS},
 ta AS (SELECT pair_id, pos, word, page_no FROM pairs JOIN tokens ON doc_id = a_doc), tb AS (SELECT pair_id, pos, word, page_no FROM pairs JOIN tokens ON doc_id = b_doc)"""
-_ORDER = "WHERE coalesce(max(b) OVER (PARTITION BY pair_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) < b AND b < coalesce(min(b) OVER (PARTITION BY pair_id ORDER BY a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 2147483648)"
-_ORDER = _ORDER.replace("WHERE", "QUALIFY")
+_LATER = 2147483648
+
+
+def _longest(source: str, found: str) -> str:
+    """CTEs that keep a longest run of the candidate matches ``source (pair_id, a, b)`` that cross none of each other.
+
+    Those that cross no other are in it. The rest falls into segments between
+    them; there, candidates with none before them that is smaller on side B are
+    the first layer, those left with none the second, and so on; the run has one
+    of each layer, from the last layer back the last one before the one chosen.
+    """
+    f = found
+    return f"""{f}_x AS MATERIALIZED (SELECT *, coalesce(max(b) OVER (PARTITION BY pair_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) < b
+   AND b < coalesce(min(b) OVER (PARTITION BY pair_id ORDER BY a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), {_LATER}) AS clear FROM {source}),
+{f}_s AS MATERIALIZED (SELECT * FROM (SELECT pair_id, a, b, clear, count(*) FILTER (clear) OVER (PARTITION BY pair_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS seg FROM {f}_x) WHERE NOT clear),
+{f}_p(pair_id, seg, a, b, layer, done) AS (
+   SELECT pair_id, seg, a, b, 1, b < coalesce(min(b) OVER (PARTITION BY pair_id, seg ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {_LATER}) FROM {f}_s
+   UNION ALL SELECT pair_id, seg, a, b, layer + 1, b < coalesce(min(b) OVER (PARTITION BY pair_id, seg ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {_LATER}) FROM {f}_p WHERE NOT done),
+{f}_l AS MATERIALIZED (SELECT pair_id, seg, a, b, layer FROM {f}_p WHERE done),
+{f}_c(pair_id, seg, a, layer) AS (
+   SELECT pair_id, seg, max(a), layer FROM (SELECT *, max(layer) OVER (PARTITION BY pair_id, seg) AS top FROM {f}_l) WHERE layer = top GROUP BY pair_id, seg, layer
+   UNION ALL SELECT c.pair_id, c.seg, max(l.a), l.layer FROM {f}_c c JOIN {f}_l l ON l.pair_id = c.pair_id AND l.seg = c.seg AND l.layer = c.layer - 1 AND l.a < c.a GROUP BY c.pair_id, c.seg, l.layer),
+{f} AS MATERIALIZED (SELECT pair_id, a, b FROM {f}_x WHERE clear UNION ALL SELECT pair_id, a, b FROM {f}_c JOIN {f}_l USING (pair_id, seg, a, layer))"""
 
 
 def _gap(side: str) -> str:
@@ -106,8 +127,8 @@ def _gap(side: str) -> str:
 
 _DIFF = f"""{_W},
 oa AS (SELECT pair_id, word, min(pos) AS a FROM ta GROUP BY ALL HAVING count(*) = 1), ob AS (SELECT pair_id, word, min(pos) AS b FROM tb GROUP BY ALL HAVING count(*) = 1),
-anchors AS (SELECT pair_id, a, b FROM oa JOIN ob USING (pair_id, word) {_ORDER}), {_gap('a')}, {_gap('b')},
-matches AS (SELECT pair_id, a, b FROM (SELECT * FROM anchors UNION ALL SELECT ga.pair_id, ga.pos, gb.pos FROM ga JOIN gb USING (pair_id, gap, word, k)) {_ORDER})"""
+singles AS (SELECT pair_id, a, b FROM oa JOIN ob USING (pair_id, word)), {_longest('singles', 'anchors')}, {_gap('a')}, {_gap('b')},
+candidates AS (SELECT * FROM anchors UNION ALL SELECT ga.pair_id, ga.pos, gb.pos FROM ga JOIN gb USING (pair_id, gap, word, k)), {_longest('candidates', 'matches')}"""
 
 
 def _run(side: str) -> str:
@@ -146,8 +167,8 @@ _ALIGN = _SIM.replace("WITH ", "").replace("w AS (SELECT", "w AS MATERIALIZED (S
    FROM t LEFT JOIN grid ON grid.pair_id = t.pair_id AND grid.d = t.i + t.j - 1 - CAST(t.way = 'd' AS INTEGER) WHERE t.way <> '-'),
  aligned AS (SELECT t.pair_id, i - 1 AS a_page, j - 1 AS b_page, s AS similarity FROM t JOIN scored ON scored.pair_id = t.pair_id AND a_page = i - 1 AND b_page = j - 1 WHERE way = 'd')"""
 QUERIES = {
-    "word_diff": (word_diff, f"WITH {_DIFF} SELECT * FROM matches"),
-    "diff_changes": (diff_changes, f"WITH {_CHANGES} SELECT * FROM changes"),
+    "word_diff": (word_diff, f"WITH RECURSIVE {_DIFF} SELECT * FROM matches"),
+    "diff_changes": (diff_changes, f"WITH RECURSIVE {_CHANGES} SELECT * FROM changes"),
     "version_similarity": (
         version_similarity,
         f"""WITH {_W}, a AS (SELECT pair_id, word, row_number() OVER (PARTITION BY pair_id, word ORDER BY pos) AS k, 1 AS x FROM ta), b AS (SELECT pair_id, word, row_number() OVER (PARTITION BY pair_id, word ORDER BY pos) AS k, 1 AS y FROM tb),
@@ -156,7 +177,7 @@ QUERIES = {
     ),
     "compare_summary": (
         compare_summary,
-        f"""WITH {_CHANGES}, n AS (SELECT pair_id, count(*) AS n, string_agg(DISTINCT CAST(a_page AS VARCHAR), ',' ORDER BY CAST(a_page AS VARCHAR)) AS x FROM changes GROUP BY 1),
+        f"""WITH RECURSIVE {_CHANGES}, n AS (SELECT pair_id, count(*) AS n, string_agg(DISTINCT CAST(a_page AS VARCHAR), ',' ORDER BY CAST(a_page AS VARCHAR)) AS x FROM changes GROUP BY 1),
         pa AS (SELECT pair_id, string_agg(CAST(a_page AS VARCHAR), ',' ORDER BY a_page) AS a_pages FROM (SELECT DISTINCT pair_id, a_page FROM changes WHERE a_page IS NOT NULL) GROUP BY 1),
         pb AS (SELECT pair_id, string_agg(CAST(b_page AS VARCHAR), ',' ORDER BY b_page) AS b_pages FROM (SELECT DISTINCT pair_id, b_page FROM changes WHERE b_page IS NOT NULL) GROUP BY 1),
         e AS (SELECT doc_id, (len(string_split(text, chr(10))) + 3) // 4 AS n_pages FROM documents),
@@ -165,8 +186,8 @@ QUERIES = {
         coalesce(v.cut, false) OR coalesce(w.cut, false) AS truncated FROM pairs JOIN e x ON x.doc_id = a_doc JOIN e y ON y.doc_id = b_doc LEFT JOIN u v ON v.doc_id = a_doc LEFT JOIN u w ON w.doc_id = b_doc
         LEFT JOIN n USING (pair_id) LEFT JOIN pa USING (pair_id) LEFT JOIN pb USING (pair_id)""",
     ),
-    "box_refs": (box_refs, f"WITH {_REFS} SELECT * FROM refs"),
-    "changes_selected": (changes_selected, f"WITH {_REFS} SELECT pair_id, gap, kind FROM refs WHERE b_box % 2 = 0 AND kind <> 'delete'"),
+    "box_refs": (box_refs, f"WITH RECURSIVE {_REFS} SELECT * FROM refs"),
+    "changes_selected": (changes_selected, f"WITH RECURSIVE {_REFS} SELECT pair_id, gap, kind FROM refs WHERE b_box % 2 = 0 AND kind <> 'delete'"),
     "page_fingerprint": (page_fingerprint, f"WITH {_PRINTS} SELECT doc_id, page_no, bits, len(words) AS n_words, height FROM prints"),
     "page_similarity": (
         page_similarity,
