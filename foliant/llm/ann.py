@@ -92,6 +92,7 @@ def search(
     vector: str = "embedding",
     per_pivot: int = 12,
     most_pivots: int = 16384,
+    most_bytes: int = 256 << 20,
     ranking: int = 128,
     posted: int = 8,
     read: int = 160,
@@ -103,8 +104,9 @@ def search(
     """``(query_id, rank, vec_id, score)``: for each query its ``k`` best by inner product, in double precision.
 
     Pivots are chosen by hash: one to ``per_pivot`` distinct vectors, 64 at
-    least and ``most_pivots`` at most, which bounds what the driver and a task
-    hold of them; beyond that, files grow with the table. A crowd of near
+    least and ``most_pivots`` at most, fewer if their numbers would take more
+    than ``most_bytes``, which bounds what the driver and a task hold of them;
+    beyond that, files grow with the table. A crowd of near
     copies gets its share of the pivots, so its files are no longer than
     others. ``ranking`` of the pivots give the orders that the footrule
     compares. Of a file a query compares the best ``share``, ``least`` entries
@@ -127,14 +129,14 @@ def search(
     numbered = every.withColumn("_n", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= k + 1)
     crowds = cut(numbered.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    total, norm = crowds.agg(F.count("*"), F.max(F.sqrt(square))).first()
+    total, norm, length = crowds.agg(F.count("*"), F.max(F.sqrt(square)), F.max(F.size("v"))).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n_pivots = int(min(total, most_pivots, max(64, total // per_pivot)))
+    n_pivots = int(min(total, most_pivots, max(64, total // per_pivot), max(64, most_bytes // (8 * length))))
     draw = F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1 << 40))
     # A little more than enough by the hash, then exactly as many.
-    sample = crowds.select(draw.alias("s"), "v").where(F.col("s") < int((1 << 40) * min(1.0, (n_pivots + 8 * n_pivots**0.5) / total))).orderBy("s", "v").limit(n_pivots).collect()
-    pivots = _lift(np.array([r["v"] for r in sample], float), norm)
+    sample = crowds.select(draw.alias("s"), "v").where(F.col("s") < int((1 << 40) * min(1.0, (n_pivots + 8 * n_pivots**0.5) / total))).orderBy("s", "v").limit(n_pivots).select("v").toArrow()
+    pivots = _lift(sample["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, length), norm)
     ranking, posted, read = min(ranking, len(pivots)), min(posted, len(pivots)), min(read, len(pivots))
     kind = np.float64 if crowds.schema["v"].dataType.elementType.typeName() == "double" else np.float32
     sent = spark.sparkContext.broadcast(pivots)
