@@ -75,8 +75,8 @@ class Search:
 def find_occurrences(lines: DataFrame, query: str, match_case: bool = False, whole_word: bool = False) -> DataFrame:
     """``(doc_id, page_no, line_no, line_text, hit_no, start, stop)``: the matches of ``Search`` on each line."""
     search = Search(query, match_case, whole_word)
-    found = lines.where(search.holds(F.col("line_text"))).select("doc_id", "page_no", "line_no", "line_text", F.posexplode(search.starts(F.col("line_text"))).alias("hit_no", "start"))
-    return found.withColumn("stop", F.col("start") + search.length)
+    found = lines.where(search.holds(F.col("line_text"))).select("doc_id", "page_no", "line_no", "line_text", F.posexplode_outer(search.starts(F.col("line_text"))).alias("hit_no", "start"))
+    return found.where("start is not null").withColumn("stop", F.col("start") + search.length)
 
 
 def scanned_lines(docs: DataFrame, query: str, max_hits: int, match_case: bool = False, whole_word: bool = False) -> DataFrame:
@@ -92,10 +92,10 @@ def scanned_lines(docs: DataFrame, query: str, max_hits: int, match_case: bool =
     number = lambda line: F.when(search.holds(line) & line.rlike(r"\S"), F.size(search.cuts(line)) - 1).otherwise(F.lit(0)).cast("long")
     counted = bound(F.split("text", "\n", -1), lambda t: bound(F.transform(t, number), lambda n: F.arrays_zip(t.alias("line_text"), n.alias("n"), sums_before(n).alias("before"))))
     over = F.filter("_lines", lambda x: x["before"] + x["n"] > max_hits)
-    own = docs.select("doc_id", counted.alias("_lines")).withColumn("_n", F.size("_lines") - F.size(over)).where("_lines is not null")
+    own = docs.where("text is not null").select("doc_id", counted.alias("_lines")).withColumn("_n", F.size("_lines") - F.size(over))
     # The line that goes over the limit is the last one scanned.
     stop = F.when(F.size("_lines") > F.col("_n"), F.floor(F.col("_n") / LINES_PER_PAGE).cast("int") + 1).otherwise(F.lit(0))
-    lines = own.select("doc_id", stop.alias("truncated_page"), F.posexplode(F.slice("_lines", F.lit(1), F.col("_n") + 1)).alias("line_no", "x"))
+    lines = own.select("doc_id", stop.alias("truncated_page"), F.posexplode_outer(F.slice("_lines", F.lit(1), F.col("_n") + 1)).alias("line_no", "x"))
     return lines.select(
         "doc_id",
         "line_no",
@@ -108,8 +108,12 @@ def scanned_lines(docs: DataFrame, query: str, max_hits: int, match_case: bool =
 
 
 def _placed(lines: DataFrame, search: Search) -> DataFrame:
-    """The lines of ``corpus.line_spans`` that hold a match, with its matches placed on spans in an array ``hits``."""
-    return _with_hits(lines.where(search.holds(F.col("line_text"))), search).where(F.size("hits") > 0)
+    """The lines of ``corpus.line_spans`` that may hold a match, with its matches placed on spans in an array ``hits``.
+
+    Nothing filters by ``hits`` before it is exploded: such a filter would be
+    pushed down to the lines and work all of it out a second time.
+    """
+    return _with_hits(lines.where(search.holds(F.col("line_text"))), search)
 
 
 def _with_hits(lines: DataFrame, search: Search) -> DataFrame:
@@ -159,7 +163,7 @@ def find_hits(lines: DataFrame, query: str, match_case: bool = False, whole_word
     line, its box the union of what it touches. One that touches no span is none.
     """
     placed = _placed(lines, Search(query, match_case, whole_word))
-    return placed.select("doc_id", "page_no", "line_no", F.posexplode("hits").alias("hit_no", "h")).where("h is not null").select("doc_id", "page_no", "line_no", "hit_no", "h.*")
+    return placed.select("doc_id", "page_no", "line_no", F.posexplode_outer("hits").alias("hit_no", "h")).where("h is not null").select("doc_id", "page_no", "line_no", "hit_no", "h.*")
 
 
 def reading_order(hits: DataFrame) -> DataFrame:
@@ -209,10 +213,12 @@ def replace_all(lines: DataFrame, query: str, replacement: str, match_case: bool
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("_hits", lambda h: h["stop"]))
     piece = lambda a, b: F.substring(line, a.cast("int") + 1, (b - a).cast("int"))
     told = F.zip_with("_hits", F.slice(begins, F.lit(1), F.size("_hits")), lambda h, a: F.concat(piece(a, h["start"]), F.when(h["replaceable"], F.lit(replacement)).otherwise(piece(h["start"], h["stop"]))))
-    rest = piece(F.element_at("_hits", -1)["stop"], size)
-    found = placed.withColumn("_hits", F.filter("hits", lambda h: h.isNotNull())).where(F.size("_hits") > 0)
+    rest = piece(F.try_element_at("_hits", F.lit(-1))["stop"], size)
+    found = placed.withColumn("_hits", F.filter("hits", lambda h: h.isNotNull()))
     edited = F.size(F.filter("_hits", lambda h: h["replaceable"])).cast("long")
-    return found.select("doc_id", "line_no", F.concat(F.array_join(told, ""), rest).alias("new_text"), edited.alias("edited"), (F.size("_hits") - edited).alias("locked"), *more)
+    done = F.when(F.size("_hits") > 0, F.struct(F.concat(F.array_join(told, ""), rest).alias("new_text"), edited.alias("edited"), (F.size("_hits") - edited).alias("locked")))
+    # Behind the explode the filter stays where it is.
+    return found.select("doc_id", "line_no", F.explode_outer(F.array(done)).alias("x"), *more).where("x is not null").select("doc_id", "line_no", "x.*", *more)
 
 
 def redact_matches(lines: DataFrame, query: str, mask: str = "█", match_case: bool = False) -> DataFrame:

@@ -57,8 +57,6 @@ def phrasebook_apply(spark, d):
     blocks = lines.where(F.col("line_text").rlike(r"\S")).select("doc_id", "page_no", F.col("line_no").alias("block_no"), F.col("line_text").alias("text"))
     # Entries stand for all lines that differ in their terms alone.
     book = blocks.where("doc_id % 3 = 0").groupBy("text").agg(F.count("*").alias("n")).select(F.col("text").alias("source"), F.concat(F.lit("T:"), "text").alias("target"))
-    # A second entry for each source, whose target comes behind the other; the first one counts.
-    book = book.unionByName(book.select("source", F.concat(F.lit("U:"), "source").alias("target")))
     done = q.phrasebook_apply(blocks, book)
     pages = q.phrasebook_pages(done)
     texts = done.groupBy("doc_id", "page_no").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "translated"))), lambda x: x["translated"]), "\n")).alias("page_md5"))

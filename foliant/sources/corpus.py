@@ -38,7 +38,7 @@ def explode_spans(lines: DataFrame) -> DataFrame:
     seen = lines.where(F.col("line_text").rlike(r"\S")).select("doc_id", "page_no", "line_no", "line_in_page", parts.alias("_parts"))
     # Offsets come from the line itself, so nothing is shuffled.
     placed = F.arrays_zip(F.col("_parts").alias("span_text"), offsets(F.col("_parts")).alias("off"))
-    spans = seen.select("doc_id", "page_no", "line_no", "line_in_page", F.posexplode(placed).alias("span_no", "s")).select("*", "s.span_text", F.col("s.off").cast("long").alias("off"))
+    spans = seen.select("doc_id", "page_no", "line_no", "line_in_page", F.posexplode_outer(placed).alias("span_no", "s")).select("*", "s.span_text", F.col("s.off").cast("long").alias("off"))
     size = F.length("span_text")
     x0 = F.col("off") * 5.0
     y0 = F.col("line_in_page") * 12.0
