@@ -101,7 +101,7 @@ def bigrams(words: list[str]) -> frozenset[tuple[str, str]]:
 class Templates:
     #: A notice has fewer bigrams than this; its version and its family must agree.
     NOTICE = 60
-    #: A template of fewer bigrams counts only in a text that no other fits, and as a line of its own or behind a copyright mark.
+    #: A template of fewer bigrams counts only in a text that no other fits, and as a clause of its own or behind a copyright mark.
     WEAK = 3
     #: Of a run that is near enough already, the best one's coefficient is told within this.
     CLOSE = 0.005
@@ -237,9 +237,10 @@ class Templates:
         taken: list[tuple[int, int]] = []
 
         def alone(i: int, j: int) -> bool:
-            """Nothing but a copyright mark and its holder in front on the line, and nothing behind."""
+            """Whether the words are a clause of their own, or stand behind a copyright mark and its holder, and end there."""
             before, behind = text[text.rfind("\n", 0, i) + 1 : i], text[j : (text.find("\n", j) + 1 or len(text) + 1) - 1]
-            return not _TOKEN.search(behind) and (not _TOKEN.search(before) or bool(_NOTICE.match(before)))
+            ends = not _TOKEN.search(behind) or behind.lstrip()[0] in ".;!?"
+            return ends and (not _TOKEN.search(before) or before.rstrip()[-1] in ".:;,!?" or bool(_NOTICE.match(before)))
 
         weak = lambda k: len(self.sets[k][1]) < self.WEAK
         for k, (dice, _, i, j, unit) in sorted(hits.items(), key=lambda h: (weak(h[0]), h[1][0], -len(self.sets[h[0]][1]), h[1][1:], h[0])):
