@@ -150,8 +150,9 @@ def seat_admission(requests: DataFrame, licences: DataFrame, deactivations: Data
 
     ``licences (licence_id, max_seats, status, expires)``. A licence's rows are
     taken in the order of time and id, as a stream that holds no more than its
-    machines: each decision rests on all before it. Rows without a licence or a
-    machine are ``unknown``.
+    machines: each decision rests on all before it. They are numbered in a
+    window, which keeps a licence in one task however the join is run. Rows
+    without a licence or a machine are ``unknown``.
     """
     columns = ["event_id", "ts", "licence_id", "machine"]
     rows = requests.select(*columns, F.lit(False).alias("off")).unionByName(deactivations.select(*columns, F.lit(True).alias("off")))
@@ -159,15 +160,16 @@ def seat_admission(requests: DataFrame, licences: DataFrame, deactivations: Data
     known = known.select("event_id", "licence_id", "machine", "off", "max_seats", "status", micros("expires").alias("ends"), micros("ts").alias("us"))
 
     def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, book = None, Seats()
+        book = Seats()
         for f in frames:
             told = []
             for e in f.itertuples():
-                if e.licence_id != of:
-                    of, book = e.licence_id, Seats()
+                if e.turn == 1:
+                    book = Seats()
                 told.append(book.decide(e.machine, e.off, e.max_seats, e.status, e.ends, e.us))
             yield f[["event_id", "licence_id", "machine"]].assign(decision=told)
 
-    ordered = known.where("licence_id is not null and machine is not null").repartition("licence_id").sortWithinPartitions("licence_id", "us", "event_id")
+    turn = F.row_number().over(Window.partitionBy("licence_id").orderBy("us", "event_id"))
+    ordered = known.where("licence_id is not null and machine is not null").withColumn("turn", turn)
     lost = known.where("licence_id is null or machine is null").select("event_id", "licence_id", "machine", F.lit("unknown").alias("decision"))
     return ordered.mapInPandas(follow, "event_id long, licence_id long, machine long, decision string").unionByName(lost)
