@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from .find import MARKED, PLAIN
 
 UNKNOWN, LOW = "unknown", "low"
@@ -121,20 +122,26 @@ def parse_lists(raw: DataFrame) -> DataFrame:
 
     An answer is an array or an object whose first array counts; entries
     without an index are ignored, and of entries with one index the last
-    counts. An answer is parsed once, into a variant; the order of an object's
-    keys, which a variant does not keep, comes from its text.
+    counts. An answer is parsed once, into a variant, which is bound where it is
+    used; the order of an object's keys, which a variant does not keep, comes
+    from its text. Answers without an entry come out of the same pass.
     """
-    v = F.col("_v")
     own = raw.select("id", _variant("answer").alias("_v"), _unfenced("answer").alias("_a"))
-    members = F.try_variant_get(v, "$", "map<string,variant>")
-    keyed = F.filter(F.transform(F.json_object_keys("_a"), lambda k: F.try_element_at(members, k)), lambda x: _is(x, "ARRAY"))
-    listed = F.when(_is(v, "ARRAY"), v).when(_is(v, "OBJECT"), F.try_element_at(keyed, F.lit(1)))
-    entries = F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array().cast("array<variant>"))
-    pairs = F.transform(entries, lambda e: F.struct(F.try_variant_get(e, "$.i", "int").alias("i"), F.coalesce(F.try_variant_get(e, "$.t", "string"), F.lit("")).alias("t")))
+
+    def first_array(members: Column) -> Column:
+        found = F.transform(F.json_object_keys("_a"), lambda k: F.try_element_at(members, k))
+        return F.try_element_at(F.filter(found, lambda x: _is(x, "ARRAY")), F.lit(1))
+
+    def entries(v: Column) -> Column:
+        keyed = bound(F.try_variant_get(v, "$", "map<string,variant>"), first_array)
+        return F.try_variant_get(F.when(_is(v, "ARRAY"), v).when(_is(v, "OBJECT"), keyed), "$", "array<variant>")
+
+    pairs = F.transform(bound(F.col("_v"), entries), lambda e: F.struct(F.try_variant_get(e, "$.i", "int").alias("i"), F.coalesce(F.try_variant_get(e, "$.t", "string"), F.lit("")).alias("t")))
     kept = own.select("id", F.filter(pairs, lambda p: p["i"].isNotNull()).alias("p"))
-    rows = kept.select("id", F.posexplode("p").alias("place", "e")).groupBy("id", F.col("e.i").alias("i")).agg(F.max_by("e.t", "place").alias("t"))
-    none = kept.where(F.size("p") == 0).select("id", F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("t"))
-    return rows.withColumn("failed", F.lit(False)).unionByName(none.withColumn("failed", F.lit(True)))
+    rows = kept.select("id", F.posexplode_outer("p").alias("place", "e")).groupBy("id", F.col("e.i").alias("i")).agg(F.max_by("e.t", "place").alias("t"), F.count("*").alias("_n"))
+    failed = F.col("i").isNull()
+    each = F.explode(F.sequence(F.lit(1), F.when(failed, F.col("_n")).otherwise(F.lit(1).cast("long")))).alias("_k")
+    return rows.select("id", "i", "t", failed.alias("failed"), each).drop("_k")
 
 
 def payments_explode(results: DataFrame) -> DataFrame:
