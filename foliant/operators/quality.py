@@ -144,15 +144,18 @@ def phrasebook_apply(blocks: DataFrame, book: DataFrame, pieces: int = 1024) ->
     own = own.withColumn("_part", F.pmod(F.xxhash64("doc_id", "block_no"), many).cast("int"))
     entries = entries.withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1)))
     j = own.join(entries, ["_m", "_part"], "left")
-    new = unmask_terms(F.col("_t"), F.col("_terms"))
-    ok = F.col("_t").isNotNull() & (new != F.col("text")) & new.rlike(r"\S")
-    return j.select("doc_id", "page_no", "block_no", F.when(ok, new).otherwise(F.col("text")).alias("translated"), F.coalesce(ok, F.lit(False)).alias("done"), F.col("_t").isNull().alias("missing"))
-
-
-def phrasebook_pages(done: DataFrame) -> DataFrame:
-    """Per page of ``phrasebook_apply``: translated blocks, whether the page changed, and whether it failed, as no block had an entry."""
-    n = done.groupBy("doc_id", "page_no").agg(F.count_if("done").alias("translated"), F.bool_and("missing").alias("failed"))
-    return n.select("doc_id", "page_no", "translated", (F.col("translated") > 0).alias("changed"), "failed")
+    # Columns of their own, so that terms are put back once a block.
+    new = j.withColumn("_new", unmask_terms(F.col("_t"), F.col("_terms")))
+    ok = F.col("_t").isNotNull() & (F.col("_new") != F.col("text")) & F.col("_new").rlike(r"\S")
+    told = new.withColumn("done", F.coalesce(ok, F.lit(False)))
+    return told.select("doc_id", "page_no", "block_no", F.when(F.col("done"), F.col("_new")).otherwise(F.col("text")).alias("translated"), "done", F.col("_t").isNull().alias("missing"))
+
+
+def phrasebook_pages(done: DataFrame, *more: Column) -> DataFrame:
+    """Per page of ``phrasebook_apply``: translated blocks, whether the page changed, and whether it failed, as no block had an entry; with ``more`` aggregates of the same pass."""
+    n = done.groupBy("doc_id", "page_no").agg(F.count_if("done").alias("translated"), F.bool_and("missing").alias("failed"), *more)
+    told = ("doc_id", "page_no", "translated", "failed")
+    return n.select(*told[:3], (F.col("translated") > 0).alias("changed"), "failed", *(c for c in n.columns if c not in told))
 
 
 def charset_coverage(docs: DataFrame, charset: DataFrame) -> DataFrame:

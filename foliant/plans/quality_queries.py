@@ -58,9 +58,8 @@ def phrasebook_apply(spark, d):
     # Entries stand for all lines that differ in their terms alone.
     book = blocks.where("doc_id % 3 = 0").groupBy("text").agg(F.count("*").alias("n")).select(F.col("text").alias("source"), F.concat(F.lit("T:"), "text").alias("target"))
     done = q.phrasebook_apply(blocks, book)
-    pages = q.phrasebook_pages(done)
-    texts = done.groupBy("doc_id", "page_no").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "translated"))), lambda x: x["translated"]), "\n")).alias("page_md5"))
-    return pages.join(texts, ["doc_id", "page_no"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "translated"))), lambda x: x["translated"]), "\n")
+    return q.phrasebook_pages(done, F.md5(text).alias("page_md5"))
 
 
 def charset_coverage(spark, d):
