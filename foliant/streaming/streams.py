@@ -2,8 +2,8 @@
 
 Late rows: a watermark of one hour on ``ts``. Windows and sessions come out
 once, when the watermark has passed their end; keyed state goes by event-time
-timers when nothing can depend on it any more. The cache, the leases and the
-seats keep several state variables each; these need the RocksDB state store
+timers when nothing can depend on it any more. The snapshots, the cache, the
+leases and the seats keep state variables; these need the RocksDB state store
 (``with_state_store``).
 """
 
@@ -16,10 +16,9 @@ from datetime import timedelta
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.folders import removed, shared_folder
@@ -99,51 +98,6 @@ def _in_time(frames: Iterator[pd.DataFrame], *before: str) -> pd.DataFrame:
     return rows.assign(us=[_micros(t) for t in rows["ts"]]).sort_values(["us", *before, "event_id"], kind="stable")
 
 
-def _wake(state: GroupState, at_ms: int) -> None:
-    """Set the timer, which has to be ahead of the watermark."""
-    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs() + 1))
-
-
-def autosave_snapshots(saves: DataFrame, every: timedelta = timedelta(hours=2), forget: timedelta = timedelta(days=60)) -> DataFrame:
-    """The last save of each user in each interval, out once the interval is over: ``(user_id, slot, n_bytes)``.
-
-    ``saves (event_id, ts, user_id, n_bytes)``. One of the length of the last
-    snapshot is skipped; a user without saves for ``forget`` starts anew.
-    ``slot`` is the interval's start in microseconds.
-    """
-    width = every // timedelta(microseconds=1)
-
-    def keep(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_: dict[int, tuple[int, int, int]] = {}
-        saved, last = -1, 0
-        if state.exists:
-            slots, stamps, ids, sizes, saved, last = state.get
-            open_ = {s: (t, i, n) for s, t, i, n in zip(slots, stamps, ids, sizes, strict=True)}
-        passed = state.getCurrentWatermarkMs() * 1000
-        if not state.hasTimedOut:
-            for e in _in_time(frames).itertuples():
-                slot = e.us // width * width
-                if slot + width > passed:  # what comes for a closed interval is too late
-                    open_[slot] = max(open_.get(slot, (-1, -1, -1)), (e.us, e.event_id, e.n_bytes))
-        out = []
-        for slot in sorted(s for s in open_ if s + width <= passed):
-            n = open_.pop(slot)[2]
-            last = slot
-            if n != saved:
-                out.append((key[0], slot, n))
-                saved = n
-        if open_ or passed < last + forget // timedelta(microseconds=1):
-            state.update((list(open_), *([v[i] for v in open_.values()] for i in range(3)), saved, last))
-            _wake(state, (min(open_) + width) // 1000 if open_ else (last + forget // timedelta(microseconds=1)) // 1000)
-        else:
-            state.remove()
-        yield pd.DataFrame(out, columns=["user_id", "slot", "n_bytes"])
-
-    kept = saves.withWatermark("ts", LATE).select("event_id", "ts", "user_id", "n_bytes")
-    held = "slots array<long>, stamps array<long>, ids array<long>, sizes array<long>, saved long, last long"
-    return kept.groupBy("user_id").applyInPandasWithState(keep, "user_id long, slot long, n_bytes long", held, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def latest_wins(events: DataFrame) -> DataFrame:
     """The result of each user's newest generation, for update mode."""
     return events.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
@@ -176,6 +130,58 @@ def _follow(stream: DataFrame, key: str, processor: StatefulProcessor, schema: s
     return stream.withWatermark("ts", LATE).groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
 
 
+class _Snapshots(_Processor):
+    """A user's last interval that was closed, and the length of its save; the timer drops them once they are forgotten."""
+
+    def __init__(self, width: int, forget: int):
+        self.width, self.forget = width, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "slot long, n_bytes long")
+
+    def _ends(self, slot: int) -> int:
+        """When every interval that begins within ``forget`` is closed, in milliseconds."""
+        return (slot + self.forget + self.width) // 1000
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = self.last.get()
+        last, saved = held or (None, None)
+        for slot, n in sorted(((r.slot, r.n_bytes) for r in rows), key=lambda x: x[0]):
+            if last is not None and slot - last >= self.forget:
+                saved = None
+            if n != saved:
+                yield Row(user_id=key[0], slot=slot, n_bytes=n)
+            last, saved = slot, n
+        ends = self._ends(last)
+        if ends > timerValues.getCurrentWatermarkInMs():
+            self.last.update((last, saved))
+            self.handle.registerTimer(ends)
+        else:  # it is forgotten already
+            self.last.clear()
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        held = self.last.get()
+        if held and self._ends(held[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()  # else there was a save since the timer was set
+        return iter(())
+
+
+def autosave_snapshots(saves: DataFrame, every: timedelta = timedelta(hours=2), forget: timedelta = timedelta(days=60)) -> DataFrame:
+    """The last save of each user in each interval, out once the interval is over: ``(user_id, slot, n_bytes)``.
+
+    ``saves (event_id, ts, user_id, n_bytes)``. One of the length of the last
+    snapshot is skipped; a user without saves for ``forget`` starts anew.
+    ``slot`` is the interval's start in microseconds.
+
+    The last save of an interval is a windowed aggregate, so that only closed
+    intervals, each once and without its time stamp, come to the handler.
+    """
+    us = timedelta(microseconds=1)
+    kept = saves.withWatermark("ts", LATE).groupBy("user_id", F.window("ts", f"{every // us} microseconds").alias("w"))
+    closed = kept.agg(F.max_by("n_bytes", F.when(F.col("n_bytes").isNotNull(), F.struct("ts", "event_id"))).alias("n_bytes")).select("user_id", F.unix_micros("w.start").alias("slot"), "n_bytes")
+    return closed.groupBy("user_id").transformWithState(_Snapshots(every // us, forget // us), "user_id long, slot long, n_bytes long", "append", "eventTime")
+
+
 class _Cache(_Processor):
     """When a key's entry was stored; the timer drops it once it has run out."""
 
