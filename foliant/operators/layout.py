@@ -189,14 +189,17 @@ def content_to_csv(items: DataFrame) -> DataFrame:
     return body.unionByName(heads).select("doc_id", (F.row_number().over(order) - 1).alias("row_no"), "csv_line")
 
 
-def collapse_excess_regions(boxes: DataFrame, most: int = 200) -> DataFrame:
-    """Pages with too many boxes get one enclosing ``rep`` box; the rest keep theirs, numbered by (y, x)."""
-    page = ["doc_id", "page_no"]
-    counted = boxes.withColumn("_n", F.count("*").over(Window.partitionBy(*page)))
-    few = counted.where(F.col("_n") <= most).select(*page, "x0", "y0", "x1", "y1", "kind")
-    one = union_bounds(counted.where(F.col("_n") > most), page).withColumn("kind", F.lit("rep"))
-    order = Window.partitionBy(*page).orderBy("y0", "x0", "x1", "y1")
-    return few.unionByName(one).withColumn("box_no", F.row_number().over(order) - 1)
+def collapse_excess_regions(pages: DataFrame, most: int = 200) -> DataFrame:
+    """Pages with too many boxes get one enclosing ``rep`` box; the rest keep theirs, numbered by (y, x).
+
+    ``pages (doc_id, page_no, boxes)``, a box being ``(x0, y0, x1, y1, kind)``; a page is done in its row.
+    """
+    order = ("y0", "x0", "x1", "y1")
+    side = lambda f, c: f(F.transform("boxes", lambda b: b[c])).alias(c)
+    one = F.struct(side(F.array_min, "y0"), side(F.array_min, "x0"), side(F.array_max, "x1"), side(F.array_max, "y1"), F.lit("rep").alias("kind"))
+    few = F.array_sort(F.transform("boxes", lambda b: F.struct(*(b[c].alias(c) for c in (*order, "kind")))))
+    told = pages.select("doc_id", "page_no", F.posexplode(F.when(F.size("boxes") > most, F.array(one)).otherwise(few)).alias("box_no", "b"))
+    return told.select("doc_id", "page_no", *(F.col(f"b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1", "kind")), "box_no")
 
 
 def region_kind(regions: DataFrame, sensitivity: str = "normal") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layout as lay
@@ -14,6 +16,10 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
     return corpus.explode_spans(corpus.explode_lines(corpus.table(spark, d, "documents")))
 
 
+def _pages(spark: SparkSession, d: str, told: Callable[[dict[str, Column]], dict[str, Column]] = dict) -> DataFrame:
+    return corpus.page_spans(corpus.table(spark, d, "documents"), told)
+
+
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     """Three columns of cells on every page, the first two overlapping, none beyond x = 900."""
     pages = corpus.explode_lines(corpus.table(spark, d, "documents")).select("doc_id", "page_no").distinct()
@@ -119,7 +125,8 @@ def content_to_csv(spark, d):
 
 
 def collapse_excess_regions(spark, d):
-    return lay.collapse_excess_regions(_spans(spark, d).withColumn("kind", F.lit("ins")), 20)
+    boxes = lambda s: {c: s[c] for c in ("x0", "y0", "x1", "y1")} | {"kind": F.lit("ins")}
+    return lay.collapse_excess_regions(_pages(spark, d, boxes).withColumnRenamed("spans", "boxes"), 20)
 
 
 def region_kind(spark, d):
