@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
+
 PAD = 2.0
 #: Least changed ink for a region to count, by sensitivity. Fixed values.
 SENSITIVITY = {"low": 60, "normal": 25, "high": 8}
@@ -35,12 +37,19 @@ def union_bounds(boxes: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return boxes.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *more)
 
 
-def cell_assign(spans: DataFrame, cells: DataFrame) -> DataFrame:
-    """Add ``cell_no``: the first cell that holds the span's centre, edges included, -1 if none does."""
-    cx, cy = (F.col("s.x0") + F.col("s.x1")) / 2, (F.col("s.y0") + F.col("s.y1")) / 2
-    inside = (F.col("s.doc_id") == F.col("c.doc_id")) & (F.col("s.page_no") == F.col("c.page_no")) & cx.between(F.col("c.x0"), F.col("c.x1")) & cy.between(F.col("c.y0"), F.col("c.y1"))
-    hit = spans.alias("s").join(cells.alias("c"), inside).groupBy("s.doc_id", "s.line_no", "s.span_no").agg(F.min("c.cell_no").alias("cell_no"))
-    return spans.join(hit, ["doc_id", "line_no", "span_no"], "left").withColumn("cell_no", F.coalesce("cell_no", F.lit(-1)))
+def _cell_of(span: Column, cells: Column) -> Column:
+    """The first cell that holds a span's centre, edges included, -1 if none does."""
+    cx, cy = (span["x0"] + span["x1"]) / 2, (span["y0"] + span["y1"]) / 2
+    inside = F.filter(cells, lambda c: cx.between(c["x0"], c["x1"]) & cy.between(c["y0"], c["y1"]))
+    return F.coalesce(F.array_min(F.transform(inside, lambda c: c["cell_no"])), F.lit(-1))
+
+
+def cell_assign(pages: DataFrame) -> DataFrame:
+    """The spans of ``pages (doc_id, page_no, spans, cells)``, a row each, with ``cell_no``: the first cell that holds the span's centre, -1 if none does.
+
+    A cell is ``(cell_no, x0, y0, x1, y1)``. A page has its cells beside it, so nothing is joined.
+    """
+    return pages.select("doc_id", "page_no", "cells", F.explode("spans").alias("s")).select("doc_id", "page_no", "s.*", _cell_of(F.col("s"), F.col("cells")).alias("cell_no"))
 
 
 def block_split_by_cells(assigned: DataFrame) -> DataFrame:
@@ -114,30 +123,55 @@ def text_blocks(spans: DataFrame) -> DataFrame:
     return _told(blocks, "doc_id", "page_no", "block_text", "x0", "y0", "x1", "y1")
 
 
-def cell_blocks(assigned: DataFrame, cells: DataFrame) -> DataFrame:
+def _runs(items: Column, gap: float = 2.0) -> Column:
+    """Items of one row in the order of ``x0``, cut where the gap to the one before exceeds ``gap`` sizes."""
+
+    def cut(it: Column) -> Column:
+        opens = lambda k: (k == 1) | (F.get(it, k - 1)["x0"] - F.get(it, k - 2)["x1"] > gap * F.greatest(F.get(it, k - 1)["size"], F.lit(1.0)))
+        begins = F.filter(F.sequence(F.lit(1), F.size(it)), opens)
+        return bound(begins, lambda at: F.transform(at, lambda k, r: F.slice(it, k, F.coalesce(F.get(at, r + 1), F.size(it) + 1) - k)))
+
+    return bound(F.array_sort(items), cut)
+
+
+def cell_blocks(pages: DataFrame) -> DataFrame:
     """Blocks of the pages that fall into cells: one a cell, or one a run where a cell has a single row.
 
-    ``assigned`` as ``cell_assign`` gives it. A page is split only if every
+    ``pages`` as ``cell_assign`` takes them. A page is split only if every
     visible span lies in a cell. In a cell of several rows the gaps are line
     breaks, so it is one block; a single row falls into runs, and the cell is
     cut at the middle of the gaps between them. A block has its spans' texts,
     stripped, with blanks between, a box that is tight around them, the first
     span's style, and where it may be set: its part of the cell, by alignment.
+
+    A page is done in its row, and what a lambda uses is a column of it or bound.
     """
     page, cell = ["doc_id", "page_no"], ["doc_id", "page_no", "cell_no"]
-    inside = F.bool_and(F.when(F.col("host"), F.col("cell_no") >= 0)).over(Window.partitionBy(*page))
-    seen = assigned.withColumn("_ok", inside).where(F.col("_ok") & F.col("host")).drop("_ok")
-    rows = visual_lines(seen, tuple(cell)).withColumn("_rows", F.max("row_no").over(Window.partitionBy(*cell))).drop("row_no")
-    runs = split_runs(seen.join(rows, [*cell, "line_no", "span_no"]), keys=tuple(cell))
-    single = F.col("_rows") == 0
-    order = F.struct(F.when(single, F.col("x0")).otherwise(F.lit(0.0)).alias("x"), "line_no", "span_no")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), _stripped(F.col("span_text")).alias("t")))), lambda x: x["t"]), " ")
-    box = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
-    blocks = runs.withColumn("run_no", F.when(single, F.col("run_no")).otherwise(F.lit(0))).groupBy(*cell, "run_no").agg(text.alias("block_text"), *_style(order), *box)
-    of = cells.select(*cell, *(F.col(c).alias(f"_{c}") for c in ("x0", "x1")))
-    line = Window.partitionBy(*cell).orderBy("run_no")
-    placed = blocks.join(of, cell).withColumn("cx0", F.coalesce((F.lag("x1").over(line) + F.col("x0")) / 2, "_x0")).withColumn("cx1", F.coalesce((F.col("x1") + F.lead("x0").over(line)) / 2, "_x1"))
-    return _told(cell_align(placed), *cell, "run_no", "block_text", "x0", "y0", "x1", "y1", "align", "tx0", "tx1")
+    fields = ("x0", "span_no", "line_no", "y0", "x1", "y1", "size", "span_text", "font", "color", "flags")
+    seen = F.transform(F.filter("spans", lambda s: s["host"]), lambda s: F.struct(*(s[c].alias(c) for c in fields), _cell_of(s, F.col("cells")).alias("cell_no")))
+
+    def of_cells(items: Column) -> Column:
+        parts = F.transform("cells", lambda c: F.struct(c["cell_no"].alias("cell_no"), c["x0"].alias("x0"), c["x1"].alias("x1"), F.filter(items, lambda s: s["cell_no"] == c["cell_no"]).alias("items")))
+        return F.when(F.forall(items, lambda s: s["cell_no"] >= 0), F.filter(parts, lambda p: F.size(p["items"]) > 0))
+
+    cells = pages.select(*page, F.explode(bound(seen, of_cells)).alias("c")).select(*page, "c.*")
+    # A single row: all spans join the one that the topmost opens, as in ``visual_lines``.
+    single = bound(F.array_min("items.y0"), lambda top: F.forall("items", lambda s: F.abs(top - s["y0"]) <= 0.6 * F.greatest(s["size"], F.lit(1.0))))
+
+    def block(run: Column) -> Column:
+        order = lambda s: F.when(F.col("single"), s["x0"]).otherwise(F.lit(0.0)).alias("o")
+        ordered = F.array_sort(F.transform(run, lambda s: F.struct(order(s), *(s[c].alias(c) for c in ("line_no", "span_no", "span_text", "font", "size", "color", "flags")))))
+        text = lambda it: F.array_join(F.transform(it, lambda s: _stripped(s["span_text"])), " ")
+        style = lambda it: F.struct(*(F.get(it, F.lit(0))[c].alias(c) for c in ("font", "size", "color", "flags")))
+        box = [f(run[c]).alias(c) for f, c in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))]
+        return bound(ordered, lambda it: F.struct(text(it).alias("block_text"), style(it).alias("_s"), *box))
+
+    # Blocks come out of an explode, and so are worked out once; then each sees its neighbours.
+    runs = F.when(F.col("single"), _runs(F.col("items"))).otherwise(F.array("items"))
+    lined = lambda b: F.transform(b, lambda x, n: F.struct(n.cast("long").alias("run_no"), x.alias("b"), F.get(b, n - 1)["x1"].alias("before"), F.get(b, n + 1)["x0"].alias("behind")))
+    told = cells.withColumn("single", single).select(*cell, F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.explode(bound(F.transform(runs, block), lined)).alias("r"))
+    blocks = told.select(*cell, "r.run_no", "r.b.*", F.coalesce((F.col("r.before") + F.col("r.b.x0")) / 2, "_x0").alias("cx0"), F.coalesce((F.col("r.b.x1") + F.col("r.behind")) / 2, "_x1").alias("cx1"))
+    return _told(cell_align(blocks), *cell, "run_no", "block_text", "x0", "y0", "x1", "y1", "align", "tx0", "tx1")
 
 
 def visual_lines(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:

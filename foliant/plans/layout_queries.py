@@ -27,6 +27,16 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("doc_id", "page_no", k).select("doc_id", "page_no", "cell_no", (F.col("cell_no") * 300.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("cell_no") * 300.0 + 350.0).alias("x1"), F.lit(60.0).alias("y1"))
 
 
+def _cell(k: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    return F.struct(k.alias("cell_no"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+def _celled(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with the three columns of ``_cells`` beside their spans."""
+    cell = lambda k: _cell(k, k * 300.0, F.lit(0.0), k * 300.0 + 350.0, F.lit(60.0))
+    return _pages(spark, d).withColumn("cells", F.transform(F.sequence(F.lit(0), F.lit(2)), cell))
+
+
 def normalise_boxes(spark, d):
     k = (F.col("span_no") + F.col("line_no")) % 3
     s = _spans(spark, d).withColumn("origin_y", F.when(k == 0, F.col("y0") + 1).otherwise(F.col("y0") + 9)).withColumn("asc", F.lit(0.8) + 0.05 * k).withColumn("desc", F.lit(-0.2))
@@ -42,11 +52,11 @@ def union_bounds(spark, d):
 
 
 def cell_assign(spark, d):
-    return lay.cell_assign(_spans(spark, d), _cells(spark, d)).select("doc_id", "line_no", "span_no", "cell_no")
+    return lay.cell_assign(_celled(spark, d)).select("doc_id", "line_no", "span_no", "cell_no")
 
 
 def block_split_by_cells(spark, d):
-    return lay.block_split_by_cells(lay.cell_assign(_spans(spark, d), _cells(spark, d)))
+    return lay.block_split_by_cells(lay.cell_assign(_celled(spark, d)))
 
 
 def _boxes(spark, d):
@@ -73,30 +83,32 @@ def run_boxes(spark, d):
 
 
 def cell_align(spark, d):
-    s = lay.cell_assign(_spans(spark, d), _cells(spark, d)).where("cell_no >= 0 and host")
+    s = lay.cell_assign(_celled(spark, d)).where("cell_no >= 0 and host")
     b = s.groupBy("doc_id", "line_no", "cell_no").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     b = b.withColumn("cx0", F.col("cell_no") * 300.0).withColumn("cx1", F.when(F.col("cell_no") == 2, F.col("cx0") + 5).otherwise(F.col("cx0") + 350.0))
     return lay.cell_align(b).select("doc_id", "line_no", "cell_no", "align", "tx0", "tx1")
 
 
-def _styled(spark: SparkSession, d: str) -> DataFrame:
-    """Spans with fonts and colours, and on pages of even documents with gaps of 30 points between them."""
-    gap = F.when(F.col("doc_id") % 2 == 0, F.col("span_no") * 30.0).otherwise(0.0)
-    s = _spans(spark, d).withColumn("font", F.when(F.col("flags") == 16, "Sans-Bold").otherwise(F.concat(F.lit("Sans"), (F.col("span_no") % 3).cast("string")))).withColumn("color", (F.col("off") % 7 * 1000).cast("int"))
-    return s.withColumn("x0", F.col("x0") + gap).withColumn("x1", F.col("x1") + gap)
+def _style(s: dict[str, Column]) -> dict[str, Column]:
+    """A span with font and colour, and on pages of even documents with gaps of 30 points between them."""
+    gap = F.when(F.col("doc_id") % 2 == 0, s["span_no"] * 30.0).otherwise(0.0)
+    font = F.when(s["flags"] == 16, "Sans-Bold").otherwise(F.concat(F.lit("Sans"), (s["span_no"] % 3).cast("string")))
+    return s | {"font": font, "color": (s["off"] % 7 * 1000).cast("int"), "x0": s["x0"] + gap, "x1": s["x1"] + gap}
 
 
 def text_blocks(spark, d):
-    return lay.text_blocks(_styled(spark, d))
+    s = _spans(spark, d)
+    return lay.text_blocks(s.select([v.alias(c) for c, v in _style({c: F.col(c) for c in s.columns}).items()]))
 
 
 def cell_blocks(spark, d):
     """Two columns of cells on every page, above for its first line, below for the others."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("cell_no")
-    x0, y0 = F.col("cell_no") % 2 * 400.0, F.floor(F.col("cell_no") / 2) * 12.0
-    pages = corpus.explode_lines(corpus.table(spark, d, "documents")).select("doc_id", "page_no").distinct()
-    cells = pages.select("doc_id", "page_no", k).select("doc_id", "page_no", "cell_no", x0.alias("x0"), y0.alias("y0"), (x0 + 400.0).alias("x1"), F.when(F.col("cell_no") < 2, 12.0).otherwise(60.0).alias("y1"))
-    return lay.cell_blocks(lay.cell_assign(_styled(spark, d), cells), cells)
+
+    def cell(k: Column) -> Column:
+        x0, below = k % 2 * 400.0, k >= 2
+        return _cell(k, x0, F.when(below, 12.0).otherwise(0.0), x0 + 400.0, F.when(below, 60.0).otherwise(12.0))
+
+    return lay.cell_blocks(_pages(spark, d, _style).withColumn("cells", F.transform(F.sequence(F.lit(0), F.lit(3)), cell)))
 
 
 def visual_lines(spark, d):
